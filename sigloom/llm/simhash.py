@@ -19,7 +19,7 @@ from sigloom.llm.components import connected_components
 
 SHINGLE_WORDS = 3
 SEED = 42
-SEGMENT_BITS = 4
+SEGMENT_BITS = 2
 #: Linked fingerprints differ in at most so many bits; the join meets half-way, so it is fixed at twice radius 1.
 MAX_BITS = 2
 
