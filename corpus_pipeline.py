@@ -1,13 +1,75 @@
-"""Corpus cleaning: the stages in order, each over all rows that its predecessor kept."""
+"""Corpus cleaning: the stages in order, each over all rows that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``; the last returns the doc_id
+and token digests. A null text is an empty one to every stage and stays null until the last. Stages keep every row but
+those they reject: toxic documents, later members of a near-duplicate group, documents that contain a benchmark item.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from sigloom.llm import bpe, decontaminate, linededup, simhash, toxicity
+from sigloom.llm.common import cut, table
+
+
+def toxicity_stage(spark, docs, sf_dir):
+    """Drops the documents that the classifier chain, trained on the labelled ones, calls toxic."""
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.add_toxicity(docs, chain, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def line_dedup_stage(spark, docs, sf_dir):
+    """Deletes runs of lines that occurred before; a document stays even if nothing is left of its text."""
+    found = linededup.drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*docs.columns)
+
+
+def near_dedup_stage(spark, docs, sf_dir):
+    """Keeps the document with the smallest doc_id of each near-duplicate group."""
+    return simhash.keep_one_of_each(docs)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Drops the documents that contain a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark, docs, sf_dir):
+    """Encodes the texts that are left, and decodes them again."""
+    return bpe.add_tokens(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("tokens", token_stage),
+]
+
+#: Several stages can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, name)
     return docs
+
+
+def written(docs, name):
+    """``docs`` as Parquet in the shared folder, read again."""
+    import uuid
+
+    spark = docs.sparkSession
+    cut(spark.range(1))  # makes sure that there is a shared folder
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/stage-{name}-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    return spark.read.parquet(path)

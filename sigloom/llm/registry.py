@@ -1,16 +1,24 @@
-"""The training-data operators as registered queries."""
+"""The training-data operators as registered queries, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from sigloom.llm import bpe, simhash
+from sigloom.llm import bpe, decontaminate, langid, linededup, pii, quality, shards, simhash, tiff, toxicity
 
 
 def queries():
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_langid": langid.op2_langid,
         "op3_bpe": bpe.op3_bpe,
+        "op4_pii": pii.op4_pii,
+        "op5_shards": shards.op5_shards,
+        "op6_tiff": tiff.op6_tiff,
+        "op7_quality": quality.op7_quality,
+        "op8_linededup": linededup.op8_linededup,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op5_shards": shards.OP5_SQL, "op8_linededup": linededup.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
