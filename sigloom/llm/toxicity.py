@@ -18,9 +18,9 @@ from sigloom.llm.common import hash_threshold, map_columns, words_of
 from sigloom.llm.learn import fit_logistic, predict
 
 #: Labelled documents used for training at most, chosen by the hash of the id.
-SAMPLE_DOCS = 8000
+SAMPLE_DOCS = 6000
 #: Words in the models at most, and documents a word must be in at least.
-VOCABULARY, LEAST_DOCS = 1500, 3
+VOCABULARY, LEAST_DOCS = 500, 3
 FOLDS = 4
 THRESHOLD = 0.5
 CATEGORIES = ("severe", "repeated", "toxic")
@@ -56,12 +56,12 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[np.ndarra
     earlier, models = np.zeros((len(x), 0)), []
     for k in range(y.shape[1]):
         z = np.hstack([x, earlier])
-        models.append(fit_logistic(z, y[:, k], 2.0, 200))
+        models.append(fit_logistic(z, y[:, k], 2.0, 120))
         held = np.zeros(len(x))
         for f in range(FOLDS):
             out = folds == f
             if out.any():
-                held[out] = predict(fit_logistic(z[~out], y[~out, k], 2.0, 200), z[out])
+                held[out] = predict(fit_logistic(z[~out], y[~out, k], 2.0, 120), z[out])
         earlier = np.hstack([earlier, held[:, None]])
     return models
 
