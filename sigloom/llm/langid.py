@@ -136,7 +136,7 @@ class Tagger:
         """Start, number of letters and language of each word of a whole text."""
         letters = letters_of(text)
         starts, scores = [], []
-        at = 0
+        at = 0 if self.model.langs else len(letters)
         while at < len(letters):
             end = min(len(letters), at + BLOCK)
             if end < len(letters):  # not inside a word, unless it fills the block
@@ -147,7 +147,7 @@ class Tagger:
                 scores.append(self.model.word_scores(letters[at:end], found))
                 starts.append(found + at)
             at = end
-        if not starts or not self.model.langs:
+        if not starts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         start = np.concatenate(starts)
         return start, np.add.reduceat((letters > 0).astype(np.int64), start), viterbi(np.concatenate(scores))
