@@ -1,13 +1,345 @@
-"""The registered queries and the SQL that must agree with them."""
+"""The registered queries, each an operator over one of the table models, and the SQL that must agree with it."""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sigloom.functions.numeric import r
+from sigloom.operators import events, kernels, levels, report, spectral, timing
+from sigloom.plans import sql
+from sigloom.sources import tables
+
 FLAGSHIP = "quality_report"
+SR, N = 48_000, 64
+#: Samples a second of beat signals, and the frame sizes of the dense signal.
+BEAT_SR, FRAME, HOP, BLOCK = 100, 400, 100, 50
+
+
+def rounded(df, *places):
+    """Doubles to six places (or as given by name=places pairs), other columns as they are."""
+    given = dict(places)
+    return df.select(*(r(F.col(c), given.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def damaged(s, column="x"):
+    """a, and b with a known damage: 2 dB down, users divisible by 7 untouched, by 5 with loud samples clipped lower."""
+    gain = F.lit(10 ** (-2 / 20))
+    b = F.when(F.col("sig") % 7 == 0, F.col(column)).when((F.col("sig") % 5 == 0) & (F.col(column) > 0.6), F.lit(0.6)).otherwise(F.col(column) * gain)
+    return s.withColumns({"a": F.col(column), "b": b})
+
+
+def spectrum(spark, d):
+    return spectral.dft(tables.frames(spark, d), N, SR)
+
+
+def cut_band(spec):
+    """The spectrum with 5 to 10 kHz down 3 dB and everything down 2 dB."""
+    down = F.when((F.col("hz") >= 5000) & (F.col("hz") < 10000), 10 ** (-5 / 20)).otherwise(10 ** (-2 / 20))
+    return spec.withColumn("mag", F.col("mag") * down)
+
+
+def lengths(b, sr):
+    return b.groupBy("sig").agg((F.floor(F.max("t") * sr) + 1).cast("long").alias("n"))
+
+
+def anchors(spark, d):
+    b = tables.beats(spark, d).select("sig", "t")
+    return timing.warp_anchors(b, BEAT_SR, lengths(b, BEAT_SR))
+
+
+def dense_levels(spark, d):
+    s = tables.dense(spark, d)
+    return levels.frame_power(s, FRAME, HOP, last=True)
+
+
+def arrays(spark, d, least=0):
+    return tables.frames(spark, d).select(F.col("frame").alias("sig"), "x")
+
+
+def stems(spark, d):
+    """Names with their order and a number of beats."""
+    p = tables.table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"), F.max("p_size").alias("n_beats"))
+    return p.select("name", "pos", (F.col("n_beats") % 9).cast("long").alias("n_beats"))
+
+
+def suffixed(names):
+    """Every other name (by length) with a suffix, and one name that stands alone."""
+    return names.where(F.length("name") % 2 == 0).select(F.concat("name", F.lit("_restored")).alias("name")).unionByName(names.sparkSession.range(1).select(F.lit("only here_dry").alias("name")))
+
+
+def report_pairs(spark, d):
+    return damaged(tables.beats(spark, d)).select("sig", "k", "t", "a", "b")
+
+
+def q_tempo(spark, d):
+    return rounded(timing.tempo_stability(tables.beats(spark, d)))
+
+
+def q_anchors(spark, d):
+    return anchors(spark, d)
+
+
+def q_warp(spark, d):
+    return rounded(timing.describe_warp(anchors(spark, d)))
+
+
+def q_read_warp(spark, d):
+    grid = anchors(spark, d).groupBy("sig").agg(F.max("dst").alias("m")).select("sig", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("j"), "m")
+    return rounded(timing.read_warp(anchors(spark, d), grid.select("sig", F.expr("(m * j) div 8").alias("dst"))).distinct(), ("src", 4))
+
+
+def q_info(spark, d):
+    return rounded(levels.signal_info(tables.beats(spark, d)))
+
+
+def q_silence(spark, d):
+    s = tables.beats(spark, d).withColumn("x", F.when(F.col("sig") % 3 == 0, F.col("x") * 0.001).otherwise(F.col("x")))
+    return levels.silence(s)
+
+
+def q_residual(spark, d):
+    return rounded(levels.residual(damaged(tables.beats(spark, d))).drop("bucket"))
+
+
+def q_bucket(spark, d):
+    return levels.residual(damaged(tables.beats(spark, d))).drop("level")
+
+
+def q_frames(spark, d):
+    return rounded(levels.frame_power(tables.dense(spark, d), FRAME, HOP, last=False), ("power", 9))
+
+
+def q_envelope(spark, d):
+    return rounded(levels.envelope(tables.dense(spark, d), BLOCK))
+
+
+def q_dft(spark, d):
+    return rounded(spectrum(spark, d).select("frame", "bin", "mag"))
+
+
+def q_p95(spark, d):
+    return rounded(spectral.percentile_spectrum(spectrum(spark, d)).select("stem", "bin", "amp", "level"))
+
+
+def q_cliff(spark, d):
+    return rounded(spectral.spectral_cliff(spectral.percentile_spectrum(cut_band(spectrum(spark, d))), 2, 1500.0, 0.5))
+
+
+def q_above(spark, d):
+    return rounded(spectral.energy_above(spectral.percentile_spectrum(spectrum(spark, d)), 13_000.0))
+
+
+def q_bands(spark, d):
+    s = spectrum(spark, d)
+    return rounded(spectral.band_delta(s, cut_band(s), SR / 2))
+
+
+def q_features(spark, d):
+    return rounded(spectral.features(spectrum(spark, d)).drop("stem"), ("rolloff85", 3), ("rolloff99", 3))
+
+
+def q_hf(spark, d):
+    s = spectrum(spark, d)
+    return rounded(spectral.hf_envelope_correlation(s, cut_band(s), 10_000.0))
+
+
+def q_modulation(spark, d):
+    return rounded(spectral.modulation(tables.beats(spark, d).select("sig", "k", "x"), 32))
+
+
+def q_risk(spark, d):
+    return rounded(timing.risk_region(tables.beats(spark, d), 0.5))
+
+
+def q_gain(spark, d):
+    s = damaged(tables.dense(spark, d).withColumn("x", F.col("x") * F.pow(F.lit(10.0), -(F.col("i") % 4000) / 1000.0)).withColumn("sig", F.lit(1).cast("long")))
+    hop = F.expr(f"i div {BLOCK}")
+    f = s.groupBy("sig", hop.alias("f")).agg(F.avg(F.col("a") * F.col("a")).alias("pa"), F.avg(F.col("b") * F.col("b")).alias("pb"))
+    lv = f.select("sig", (10 * F.log10(F.col("pa") + 1e-12)).alias("da"), (10 * F.log10(F.col("pb") + 1e-12)).alias("db"))
+    return rounded(report.gain_curve(lv))
+
+
+def q_stereo(spark, d):
+    return rounded(spectral.stereo_metrics(tables.stereo(spark, d)))
+
+
+def q_midside(spark, d):
+    lr = tables.stereo(spark, d)
+    back = spectral.from_mid_side(spectral.to_mid_side(lr))
+    both = lr.join(back.select("pair", "i", F.col("l").alias("bl"), F.col("r").alias("br")), ["pair", "i"])
+    return rounded(both.groupBy("pair").agg(F.max(F.greatest(F.abs(F.col("l") - F.col("bl")), F.abs(F.col("r") - F.col("br")))).alias("error"), F.count("*").alias("n")))
+
+
+def q_mono(spark, d):
+    lr = tables.stereo(spark, d)
+    return rounded(lr.select("pair", "i", ((F.col("l") + F.col("r")) / 2).alias("mono")))
+
+
+def q_bars(spark, d):
+    return rounded(levels.peak_bars(tables.beats(spark, d), 20))
+
+
+def q_loudness(spark, d):
+    return rounded(levels.integrated_loudness(dense_levels(spark, d)))
+
+
+def q_range(spark, d):
+    return rounded(levels.loudness_range(dense_levels(spark, d)))
+
+
+def q_step(spark, d):
+    return rounded(levels.max_step(tables.beats(spark, d)))
+
+
+def q_loudest(spark, d):
+    return rounded(levels.loudest_start(tables.dense(spark, d), 8, HOP), ("power", 9))
+
+
+def q_lag(spark, d):
+    return rounded(timing.best_lag(tables.stereo(spark, d), 8))
+
+
+def q_sliding(spark, d):
+    return rounded(timing.sliding_correlation(tables.stereo(spark, d), 16))
+
+
+def q_summary(spark, d):
+    return rounded(timing.correlation_summary(timing.sliding_correlation(tables.stereo(spark, d), 16)))
+
+
+def q_fine(spark, d):
+    return rounded(report.local_fine(damaged(tables.beats(spark, d)), 8))
+
+
+def q_donor(spark, d):
+    return events.donor_match(tables.notes(spark, d), *sql.REGION)
+
+
+def q_splice(spark, d):
+    n = tables.notes(spark, d)
+    patch = n.where((F.col("onset") >= sql.REGION[0]) & (F.col("onset") < sql.REGION[1])).withColumn("pitch", (F.col("pitch") + 1) % 128)
+    return rounded(events.splice_events(n, patch, *sql.REGION))
+
+
+def q_chroma(spark, d):
+    return events.chroma(tables.notes(spark, d), sql.BEAT_SECONDS)
+
+
+def q_decode(spark, d):
+    return rounded(events.decode_notes(events.encode_notes(tables.notes(spark, d))))
+
+
+def q_spans(spark, d):
+    n = tables.beats(spark, d).groupBy("sig").agg(F.count("*").alias("n"))
+    return events.chunk_spans(n, *sql.CHUNK).drop("n")
+
+
+def q_overlap(spark, d):
+    s = tables.beats(spark, d).select("sig", F.col("k").alias("i"), "x")
+    n = s.groupBy("sig").agg(F.count("*").alias("n"))
+    return rounded(events.overlap_add(s, events.chunk_spans(n, *sql.CHUNK), sql.CHUNK[1], lambda x: x * 0.5))
+
+
+def q_crossfade(spark, d):
+    s = tables.beats(spark, d).select("sig", F.col("k").alias("i"), "x")
+    return rounded(events.crossfade(s, s.select("sig", F.col("i").alias("j"), (F.lit(1.0) - F.col("x")).alias("p")), *sql.SPLICE))
+
+
+def q_limit(spark, d):
+    s = tables.beats(spark, d).withColumn("x", F.when(F.col("sig") % 2 == 0, F.col("x") * 1.5).otherwise(F.col("x")))
+    return rounded(events.limit_peak(s))
+
+
+def q_staging(spark, d):
+    peak = F.max(F.abs("x")).over(Window.partitionBy("sig"))
+    s = tables.beats(spark, d).withColumn("g", F.when(peak > 0.5, 0.5 / peak).otherwise(1.0))
+    return rounded(s.groupBy("sig").agg(F.max("g").alias("gain"), F.max(F.abs(F.col("x") * F.col("g"))).alias("staged_peak")))
+
+
+def q_rank(spark, d):
+    x = events.rank_references(stems(spark, d), sql.KEYWORDS)
+    return x.select("name", F.col("kw").cast("long").alias("kw"), "pos")
+
+
+def q_fallback(spark, d):
+    return events.fallback_reference(events.rank_references(stems(spark, d), sql.KEYWORDS))
+
+
+def q_pairs(spark, d):
+    n = stems(spark, d).select("name")
+    return events.pair_names(n, suffixed(n))
+
+
+def q_unpaired(spark, d):
+    n = stems(spark, d).select("name")
+    return events.unpaired_names(n, suffixed(n))
+
+
+def q_transients(spark, d):
+    s = damaged(tables.dense(spark, d).withColumn("sig", F.lit(1).cast("long")))
+    on = s.where((F.col("a") > 0.85) & (F.col("i") >= 40)).select("sig", F.col("i").alias("o"))
+    return rounded(report.transients(s, on, 25, 5, 30))
+
+
+def q_report(spark, d):
+    return rounded(report.quality_report(report_pairs(spark, d)))
+
+
+def q_verdict(spark, d):
+    return report.verdict(report.quality_report(report_pairs(spark, d)))
+
+
+def q_track(spark, d):
+    s = tables.beats(spark, d).select("sig", F.col("k").alias("i"), F.col("x").alias("a"))
+    late = s.select("sig", (F.col("i") + 2).alias("i"), F.col("a").alias("b"))
+    return rounded(kernels.track_offsets(s.join(late, ["sig", "i"], "left").fillna(0.0, ["b"]), 12, 6, 6, 3))
+
+
+def q_dtw(spark, d):
+    a = arrays(spark, d)
+    b = a.select((F.col("sig") - 1).alias("sig"), F.col("x").alias("y")).where("sig % 2 = 0")
+    return rounded(kernels.dtw(a.join(b, "sig")))
+
+
+def q_coherence(spark, d):
+    f = tables.frames(spark, d)
+    other = F.transform("x", lambda v, i: v + 0.05 * F.sin(i * 1.0))
+    return rounded(kernels.coherence(f.select(F.col("stem").alias("sig"), "frame", "x", other.alias("y")), N, 8))
+
+
+def model(load, spark, d):
+    return kernels.apply_model(arrays(spark, d), load).select("sig", F.size("y").alias("n"))
+
+
+def stand_in():
+    return lambda x: x * 0.98
 
 
 def queries():
-    return {}
+    return {
+        "tempo_stability": q_tempo, "beat_warp_anchors": q_anchors, "warp_summary": q_warp, "warp_read": q_read_warp,
+        "signal_info": q_info, "silence_flags": q_silence, "residual_level": q_residual, "residual_bucket": q_bucket,
+        "frame_rms_hopping": q_frames, "envelope_blocks": q_envelope, "dft_magnitude": q_dft, "spectrum_p95": q_p95,
+        "spectral_cliff": q_cliff, "energy_above": q_above, "band_delta_gated": q_bands, "spectral_features": q_features,
+        "hf_envelope_corr": q_hf, "hf_modulation": q_modulation, "risk_regions": q_risk, "gain_curve": q_gain,
+        "stereo_metrics": q_stereo, "mid_side_roundtrip": q_midside, "mono_downmix": q_mono, "peak_bars": q_bars,
+        "loudness_gated": q_loudness, "loudness_range": q_range, "max_step": q_step, "loudest_window": q_loudest,
+        "lag_correlation": q_lag, "sliding_correlation": q_sliding, "correlation_summary": q_summary, "fine_correlation": q_fine,
+        "donor_match": q_donor, "event_splice_union": q_splice, "chroma_histogram": q_chroma, "decode_notes": q_decode,
+        "chunk_spans": q_spans, "overlap_add": q_overlap, "crossfade_splice": q_crossfade, "peak_limiter": q_limit,
+        "gain_staging": q_staging, "reference_rank": q_rank, "reference_fallback": q_fallback, "pair_names": q_pairs,
+        "unpaired_names": q_unpaired, "transient_windows": q_transients, "quality_report": q_report, "verdict": q_verdict,
+        "local_offset_track": q_track, "dtw_distance": q_dtw, "coherence": q_coherence, "model_hook": partial(model, stand_in),
+        "k_weight": lambda spark, d: kernels.k_weight(arrays(spark, d), SR),
+        "resample": lambda spark, d: kernels.resample(arrays(spark, d), 48_000, 44_100),
+        "phase_warp": lambda spark, d: kernels.phase_warp(arrays(spark, d), [0.0, 30.0, 64.0], [0.0, 34.0, 66.0]),
+        "pitch_shift": lambda spark, d: kernels.pitch_shift(arrays(spark, d), 3.0),
+        "onsets": lambda spark, d: kernels.onsets(arrays(spark, d), 4, 16),
+    }
 
 
 def oracle_sql():
-    return {}
+    return dict(sql.QUERIES)
