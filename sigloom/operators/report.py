@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.numeric import CLIPPED, correlation, db
+from sigloom.operators.spectral import BANDS
 
 #: Gain bins of 6 dB from -100 to -4 dB with 12 frames at least, and the limits of the verdict.
 BIN_LOW, BIN_HIGH, BIN_DB, BIN_FRAMES = -100, -4, 6, 12
-DRIFT_MS, CORR_MIN, BAND_DB, SLOPE_DROP, SPREAD_DB = 5.0, 0.90, 1.5, -0.5, 6.0
+DURATION_MS, DRIFT_MS, CORR_MIN, BAND_DB, SLOPE_DROP, SPREAD_DB = 5.0, 5.0, 0.90, 1.5, -0.5, 6.0
 
 
 def gain_curve(levels: DataFrame, least: int = BIN_FRAMES) -> DataFrame:
@@ -64,11 +65,38 @@ def quality_report(ab: DataFrame, window: int = 8) -> DataFrame:
     )
 
 
+def with_measures(report: DataFrame, lengths: DataFrame, offsets: DataFrame, bands: DataFrame, slopes: DataFrame) -> DataFrame:
+    """``report`` with channels_a, channels_b, duration_delta_ms, drift_ms, bands (a map) and slope_delta.
+
+    lengths (sig, channels_a, channels_b, end_a, end_b) in seconds; offsets (sig, w, ms); bands (sig, band, delta);
+    slopes (sig, slope_a, slope_b). What a table has no row for is null.
+    """
+    size = lengths.select("sig", "channels_a", "channels_b", (1000 * (F.col("end_b") - F.col("end_a"))).alias("duration_delta_ms"))
+    drift = offsets.groupBy("sig").agg((F.max("ms") - F.min("ms")).alias("drift_ms"))
+    moved = bands.groupBy("sig").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("band", "delta")))).alias("bands"))
+    attack = slopes.select("sig", (F.col("slope_b") - F.col("slope_a")).alias("slope_delta"))
+    return report.join(size, "sig", "left").join(drift, "sig", "left").join(moved, "sig", "left").join(attack, "sig", "left")
+
+
 def verdict(report: DataFrame) -> DataFrame:
-    """(sig, problems, passed): what a report fails, in a fixed order."""
+    """(sig, problems, passed): what a report with measures fails, in a fixed order; a plain change of gain is no problem.
+
+    A band counts if its low edge is in 100 to 10,000 Hz. What wasn't measured (null, or no column) raises no problem.
+    """
+    measures = {"channels_a": "int", "channels_b": "int", "duration_delta_ms": "double", "drift_ms": "double", "bands": "map<string,double>", "slope_delta": "double"}
+    report = report.withColumns({c: F.lit(None).cast(t) for c, t in measures.items() if c not in report.columns})
+    in_range = [name for name, low, _ in BANDS if 100 <= low <= 10_000]
+    bad = lambda name: F.when(F.abs(F.try_element_at("bands", F.lit(name))) > BAND_DB, f"band {name}")
     found = [
-        F.when(F.col("corr_min") < CORR_MIN, "corr_min"), F.when(F.abs("program_gain") > BAND_DB, "gain"),
-        F.when(F.col("spread") > SPREAD_DB, "spread"), F.when(F.col("clipped_out") > F.col("clipped_in"), "clipping"),
+        F.when(F.col("channels_a") != F.col("channels_b"), "channels"), F.when(F.abs("duration_delta_ms") > DURATION_MS, "duration"),
+        F.when(F.col("drift_ms") > DRIFT_MS, "drift"), F.when(F.col("corr_min") < CORR_MIN, "corr_min"), *map(bad, in_range),
+        F.when(F.col("slope_delta") < SLOPE_DROP, "attack slope"), F.when(F.col("spread") > SPREAD_DB, "spread"),
+        F.when(F.col("clipped_out") > F.col("clipped_in"), "clipping"),
     ]
     problems = F.array_compact(F.array(*found))
     return report.select("sig", F.array_join(problems, ",").alias("problems"), (F.size(problems) == 0).alias("passed"))
+
+
+def batch_verdict(verdicts: DataFrame) -> DataFrame:
+    """(n, failed, passed): one row; an empty batch passes."""
+    return verdicts.agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("failed"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"))

@@ -14,15 +14,16 @@ BANDS = (
 )
 
 
-def dft(frames: DataFrame, n: int, sr: int) -> DataFrame:
-    """(stem, frame, bin, hz, mag): magnitudes of arrays ``x`` of n samples, without a join or a shuffle."""
+def dft(frames: DataFrame, n: int, sr: int, phase: bool = False) -> DataFrame:
+    """(stem, frame, bin, hz, mag): magnitudes of arrays ``x`` of n samples, without a join or a shuffle; also ``phase``."""
     def part(wave):
         terms = F.zip_with("x", F.sequence(F.lit(0), F.lit(n - 1)), lambda v, j: v * wave(F.lit(2.0) * F.pi() * F.col("bin") * j / n))
         return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
 
     bins = frames.where(F.size("x") == n).select("stem", "frame", "x", F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("bin"))
     both = bins.select("stem", "frame", F.col("bin").cast("long").alias("bin"), part(F.cos).alias("re"), part(F.sin).alias("im"))
-    return both.select("stem", "frame", "bin", (F.col("bin") * sr / n).alias("hz"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
+    angle = [F.atan2(F.round(-F.col("im"), 9) + F.lit(0.0), F.col("re")).alias("phase")] if phase else []
+    return both.select("stem", "frame", "bin", (F.col("bin") * sr / n).alias("hz"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"), *angle)
 
 
 def percentile_spectrum(spec: DataFrame, q: float = 0.95) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.numeric import first_best
+from sigloom.operators import levels
 
 
 def tempo_stability(b: DataFrame) -> DataFrame:
@@ -66,16 +67,44 @@ def describe_warp(anchors: DataFrame) -> DataFrame:
     return g.select("sig", "segments", "corrected", "median_pct", "max_pct", (100 * (F.col("dst") / F.nullif("src", F.lit(0)) - 1)).alias("length_pct"))
 
 
+def with_slopes(anchors: DataFrame) -> DataFrame:
+    """Adds the slope of a monotone cubic at each anchor: the weighted harmonic mean of the secants beside it.
+
+    It is 0 where the secants differ in sign. Ends take a three-point estimate, limited so that the curve doesn't
+    overshoot; with two anchors every slope is the secant's, so that the curve is the line.
+    """
+    order = Window.partitionBy("sig").orderBy("dst")
+    x, y = F.col("dst"), F.col("src")
+    a = anchors.select("sig", "dst", F.col("src").cast("double").alias("src"), (F.lead(x).over(order) - x).cast("double").alias("h1"), ((F.lead(y).over(order) - y) / F.nullif(F.lead(x).over(order) - x, F.lit(0))).alias("m1"))
+    a = a.select("*", *(F.lag(c).over(order).alias(n) for c, n in (("h1", "h0"), ("m1", "m0"))), *(F.lead(c).over(order).alias(n) for c, n in (("h1", "h2"), ("m1", "m2"))))
+    a = a.select("*", *(F.lag(c, 2).over(order).alias(n) for c, n in (("h1", "hb"), ("m1", "mb"))))
+    u, v = 2 * F.col("h1") + F.col("h0"), F.col("h1") + 2 * F.col("h0")
+    middle = F.when(F.col("m0") * F.col("m1") > 0, (u + v) / (u / F.nullif("m0", F.lit(0.0)) + v / F.nullif("m1", F.lit(0.0)))).otherwise(0.0)
+
+    def end(h, m, h_next, m_next):
+        h, m, h_next, m_next = map(F.col, (h, m, h_next, m_next))
+        d = ((2 * h + h_next) * m - h * m_next) / (h + h_next)
+        limited = F.when((F.signum(m) != F.signum(m_next)) & (F.abs(d) > 3 * F.abs(m)), 3 * m).otherwise(d)
+        return F.when(m_next.isNull(), m).when(F.signum(d) != F.signum(m), 0.0).otherwise(limited)
+
+    slope = F.when(F.col("m0").isNull(), end("h1", "m1", "h2", "m2")).when(F.col("m1").isNull(), end("h0", "m0", "hb", "mb")).otherwise(middle)
+    return a.select("sig", "dst", "src", slope.alias("slope"))
+
+
 def read_warp(anchors: DataFrame, positions: DataFrame) -> DataFrame:
-    """(sig, dst, src): positions (sig, dst) read through the map, linearly between the anchors around them."""
-    marks = anchors.select("sig", "dst", F.col("src").cast("double").alias("s"), F.lit(True).alias("mark")).unionByName(positions.select("sig", "dst", F.lit(None).cast("double").alias("s"), F.lit(False).alias("mark")))
+    """(sig, dst, src): positions (sig, dst) read through the map by a monotone cubic between the anchors around them."""
+    known = with_slopes(anchors).select("sig", F.col("dst").cast("double").alias("dst"), "src", "slope", F.lit(True).alias("mark"))
+    asked = positions.select("sig", F.col("dst").cast("double").alias("dst"), *(F.lit(None).cast("double").alias(c) for c in ("src", "slope")), F.lit(False).alias("mark"))
     order = Window.partitionBy("sig").orderBy("dst", F.desc("mark"))
-    pair = F.when(F.col("mark"), F.struct("dst", "s"))
-    low = F.last(pair, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(pair, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = marks.withColumns({"a": low, "b": F.coalesce(high, low)}).where("not mark")
-    share = F.coalesce((F.col("dst") - F.col("a.dst")) / F.nullif(F.col("b.dst") - F.col("a.dst"), F.lit(0)), F.lit(0.0))
-    return both.select("sig", "dst", (F.col("a.s") + share * (F.col("b.s") - F.col("a.s"))).alias("src"))
+    here = F.when(F.col("mark"), F.struct("dst", "src", "slope"))
+    low = F.last(here, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first(here, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    both = known.unionByName(asked).withColumns({"a": F.coalesce(low, high), "b": F.coalesce(high, low)}).where("not mark")
+    h = F.col("b.dst") - F.col("a.dst")
+    t = F.coalesce((F.col("dst") - F.col("a.dst")) / F.nullif(h, F.lit(0.0)), F.lit(0.0))
+    rise = F.col("b.src") - F.col("a.src")
+    bend = t * (1 - t) * (h * ((1 - t) * F.col("a.slope") - t * F.col("b.slope")) + (2 * t - 1) * rise)
+    return both.select("sig", F.col("dst").cast(positions.schema["dst"].dataType).alias("dst"), (F.col("a.src") + t * rise + bend).alias("src"))
 
 
 def risk_region(f: DataFrame, dt: float, least: float = 0.4, merge_s: float = 1.0, min_s: float = 1.0, pad_s: float = 0.25) -> DataFrame:
@@ -127,3 +156,18 @@ def correlation_summary(windows: DataFrame) -> DataFrame:
     """Least, median and mean score of (pair, start, score), windows of 0.5 or more, or all where there are none."""
     w = windows.withColumn("any", F.max((F.col("score") >= 0.5).cast("int")).over(Window.partitionBy("pair"))).where("any = 0 or score >= 0.5")
     return w.groupBy("pair").agg(F.min("score").alias("corr_min"), F.median("score").alias("corr_median"), F.avg("score").alias("corr_mean"), F.count("*").alias("n_windows"))
+
+
+def estimate_offset(a: DataFrame, b: DataFrame, hop: int, coarse: int, fine: int, span: int) -> DataFrame:
+    """(sig, coarse, offset, score): how many samples b is late, first by envelopes, then by samples; a, b (sig, i, x).
+
+    Envelopes of ``hop`` samples are searched to ``coarse`` hops either way. Around the lag found, samples of a's loudest
+    stretch of ``span`` hops are searched to ``fine`` either way, so the sample step doesn't grow with the signals.
+    """
+    env = lambda s, n: levels.envelope(s, hop).select(F.col("sig").alias("pair"), F.col("b").alias("i"), F.col("env").alias(n))
+    first = best_lag(env(a, "l").join(env(b, "r"), ["pair", "i"]), coarse).select(F.col("pair").alias("sig"), (F.col("lag") * hop).alias("coarse"))
+    start = levels.loudest_start(a, span, hop).select("sig", "start")
+    near = a.join(start, "sig").where((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + span * hop)).select("sig", "i", F.col("x").alias("l"))
+    moved = b.join(first, "sig").select("sig", (F.col("i") - F.col("coarse")).alias("i"), F.col("x").alias("r"))
+    found = best_lag(near.join(moved, ["sig", "i"]).withColumnRenamed("sig", "pair"), fine).withColumnRenamed("pair", "sig")
+    return first.join(found, "sig").select("sig", "coarse", (F.col("coarse") + F.col("lag")).alias("offset"), "score")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.numeric import r
-from sigloom.operators import events, kernels, levels, report, spectral, timing
+from sigloom.operators import events, harmony, kernels, layout, levels, report, spectral, timing
 from sigloom.plans import sql
 from sigloom.sources import tables
 
@@ -288,8 +288,90 @@ def q_report(spark, d):
     return rounded(report.quality_report(report_pairs(spark, d)))
 
 
+def short_spectrum(ab, column):
+    """Spectra of one side of a pair, in frames of 16 samples."""
+    f = ab.groupBy("sig", F.expr("k div 16").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("k", F.col(column).alias("x")))).alias("v"))
+    return spectral.dft(f.select(F.col("sig").alias("stem"), "frame", F.col("v.x").alias("x")), 16, SR)
+
+
 def q_verdict(spark, d):
-    return report.verdict(report.quality_report(report_pairs(spark, d)))
+    ab = report_pairs(spark, d)
+    cut = (F.col("sig") % 13 == 0) & F.lead("k").over(Window.partitionBy("sig").orderBy("k")).isNull()
+    ends = ab.withColumn("tb", F.when(~cut, F.col("t"))).groupBy("sig").agg(F.max("t").alias("end_a"), F.max("tb").alias("end_b"))
+    ends = ends.withColumns({"channels_a": F.lit(1), "channels_b": F.when(F.col("sig") % 11 == 0, 2).otherwise(1)})
+    late = ab.select("sig", F.col("k").alias("w"), F.when(F.col("sig") % 17 == 0, F.col("k") * 0.2).otherwise(0.0).alias("ms"))
+    bands = spectral.band_delta(short_spectrum(ab, "a"), short_spectrum(ab, "b"), SR / 2).withColumnRenamed("stem", "sig")
+    onsets = ab.where("a > 0.85 and k >= 6").select("sig", F.col("k").alias("o"))
+    slopes = report.transients(ab.select("sig", F.col("k").alias("i"), "a", "b"), onsets, 5, 1, 6)
+    return report.verdict(report.with_measures(report.quality_report(ab), ends, late, bands, slopes))
+
+
+def q_batch(spark, d):
+    return report.batch_verdict(q_verdict(spark, d))
+
+
+def q_offset(spark, d):
+    a = tables.dense(spark, d)
+    return rounded(timing.estimate_offset(a, a.withColumn("i", F.col("i") + sql.DELAY), BLOCK, 10, 60, 8))
+
+
+def q_key(spark, d):
+    return rounded(harmony.key_of(tables.notes(spark, d)))
+
+
+def q_columns(spark, d):
+    m = events.chroma(tables.notes(spark, d), sql.BEAT_SECONDS).withColumn("n", F.col("n").cast("double"))
+    return rounded(harmony.normalize_columns(m, ["sig", "beat"], "n"))
+
+
+def q_phase(spark, d):
+    s = spectral.dft(tables.frames(spark, d), N, SR, phase=True)
+    p = harmony.accumulate_phase(harmony.phase_advance(s, 16, N))
+    return rounded(p.select("stem", "frame", "bin", F.cos("advance").alias("step"), F.cos("total").alias("re"), F.sin("total").alias("im")), ("re", 5), ("im", 5))
+
+
+def q_peaks(spark, d):
+    return harmony.nearest_peak(spectrum(spark, d)).select("frame", "bin", "peak")
+
+
+def channel_rows(spark, d):
+    """The stereo pairs, a row a channel and sample."""
+    both = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("ch"), F.col("l").alias("x")), F.struct(F.lit(1).cast("long").alias("ch"), F.col("r").alias("x"))))
+    return tables.stereo(spark, d).select(F.col("pair").alias("sig"), "i", both.alias("v")).select("sig", "v.ch", "i", "v.x")
+
+
+def q_match(spark, d):
+    return rounded(layout.match_channels(channel_rows(spark, d), 3))
+
+
+def q_delta(spark, d):
+    change = tables.stereo(spark, d).where("pair % 2 = 0 and i < 40").select(F.col("pair").alias("sig"), "i", (8 * F.col("l")).alias("d"))
+    return rounded(layout.apply_delta(channel_rows(spark, d), change))
+
+
+def q_integrity(spark, d):
+    before = channel_rows(spark, d).groupBy("sig").agg((F.max("ch") + 1).alias("channels"))
+    after = before.where("sig % 5 <> 0").withColumn("channels", F.when(F.col("sig") % 7 == 0, 1).otherwise(F.col("channels")))
+    return layout.check_stage(before, after)
+
+
+def q_stem_sum(spark, d):
+    mix = tables.stereo(spark, d).select(F.col("pair").alias("sig"), "i", (F.col("l") + 0.9 * F.col("r")).alias("m"))
+    return rounded(layout.stem_summary(channel_rows(spark, d).withColumnRenamed("ch", "stem"), mix))
+
+
+def q_rollback(spark, d):
+    b = tables.beats(spark, d)
+    region = timing.risk_region(b, 0.5).select("sig", "start", "end")
+    repaired = b.withColumn("x", F.col("x") * F.when(F.col("sig") % 2 == 0, 0.8).otherwise(1.1))
+    return rounded(layout.keep_if_better(layout.masked_mean(b, region, 0.5, "x"), layout.masked_mean(repaired, region, 0.5, "x")))
+
+
+def q_labels(spark, d):
+    p = tables.table(spark, d, "part")
+    hz = (F.col("p_size") % 7) * F.col("p_size") * 100
+    found = p.select("p_partkey", layout.hz_label(hz).alias("cutoff"), layout.output_rate(F.lit(48_000), (F.col("p_size") % 3) * 22_050).cast("long").alias("rate"), layout.target_bpm(F.col("p_size") / 10).alias("bpm"))
+    return rounded(found)
 
 
 def q_track(spark, d):
@@ -332,6 +414,9 @@ def queries():
         "chunk_spans": q_spans, "overlap_add": q_overlap, "crossfade_splice": q_crossfade, "peak_limiter": q_limit,
         "gain_staging": q_staging, "reference_rank": q_rank, "reference_fallback": q_fallback, "pair_names": q_pairs,
         "unpaired_names": q_unpaired, "transient_windows": q_transients, "quality_report": q_report, "verdict": q_verdict,
+        "batch_verdict": q_batch, "offset_estimate": q_offset, "key_profile": q_key, "column_normalize": q_columns,
+        "phase_accumulate": q_phase, "nearest_peak": q_peaks, "match_channels": q_match, "source_layout": q_delta,
+        "stage_integrity": q_integrity, "stem_summary": q_stem_sum, "repair_rollback": q_rollback, "labels_and_rates": q_labels,
         "local_offset_track": q_track, "dtw_distance": q_dtw, "coherence": q_coherence, "model_hook": partial(model, stand_in),
         "k_weight": lambda spark, d: kernels.k_weight(arrays(spark, d), SR),
         "resample": lambda spark, d: kernels.resample(arrays(spark, d), 48_000, 44_100),

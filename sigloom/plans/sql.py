@@ -6,6 +6,7 @@ REGION = (300_000.0, 900_000.0)
 BEAT_SECONDS = 50_000.0
 CHUNK = (20, 6)
 SPLICE = (10, 24, 5)
+DELAY = 137
 KEYWORDS = ("ring", "widget", "bolt", "gear")
 
 BEATS = """ev AS (SELECT user_id AS sig, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k,
@@ -61,6 +62,11 @@ rp AS (SELECT g.sig, n, duration, peak_a, peak_b, clipped_in, clipped_out, ({DB(
   program_gain, step_a, step_b, corr, coalesce(spread, 0.0) AS spread, corr_min, corr_median FROM g LEFT JOIN sd USING (sig) LEFT JOIN fs USING (sig))"""
 
 
+def END(h, m, h2, m2):  # noqa: N802
+    d = f"(((2 * {h} + {h2}) * {m} - {h} * {m2}) / ({h} + {h2}))"
+    return f"(CASE WHEN {m2} IS NULL THEN {m} WHEN sign({d}) <> sign({m}) THEN 0 WHEN sign({m}) <> sign({m2}) AND abs({d}) > 3 * abs({m}) THEN 3 * {m} ELSE {d} END)"
+
+
 def rd(*names: str, places: int = 6) -> str:
     return ", ".join(f"round({n}, {places}) + 0.0 AS {n}" for n in names)
 
@@ -70,6 +76,32 @@ WIDTH = f"least({CHUNK[1]}, (stop - start) // 2)"
 RAMP = lambda d: f"pow(sin(pi() / 2 * ({d} + 0.5) / {WIDTH}), 2)"
 S0, SL, SF = SPLICE
 
+RISK = f"""{BEATS}, t AS (SELECT sig, greatest(avg(x) + 1.5 * stddev_pop(x), 0.4) AS threshold FROM ev GROUP BY 1), up AS (SELECT sig, k, CASE WHEN k - lag(k) OVER (PARTITION BY sig ORDER BY k) - 1 <= 2 THEN 0 ELSE 1 END AS fresh FROM ev JOIN t USING (sig) WHERE x > threshold),
+rn AS (SELECT sig, run, min(k) AS s, max(k) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY sig ORDER BY k) AS run FROM up) GROUP BY 1, 2),
+be AS (SELECT sig, s * 0.5 AS s, e * 0.5 AS e FROM (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY e - s DESC, s) AS rk FROM rn) WHERE rk = 1),
+rg AS (SELECT sig, greatest((s + e) / 2 - greatest((e - s) / 2, 0.5) - 0.25, 0) AS "start", (s + e) / 2 + greatest((e - s) / 2, 0.5) + 0.25 AS "end" FROM be)"""
+BAND_NAMES = ("100_250", "250_500", "500_1k", "1k_2_5k", "2_5k_5k", "5k_8k", "8k_10k", "10k_16k")
+MOVED = ", ".join(f"max(delta) FILTER (band = '{n}') AS b{n}" for n in BAND_NAMES)
+BAD = ", ".join(f"CASE WHEN abs(b{n}) > 1.5 THEN 'band {n}' END" for n in BAND_NAMES)
+VERDICT = f"""{REPORT}, lw AS (SELECT sig, k, t, lead(k) OVER (PARTITION BY sig ORDER BY k) IS NULL AS fin FROM ab),
+ln AS (SELECT sig, 1000 * (max(t) FILTER (NOT (sig % 13 = 0 AND fin)) - max(t)) AS dd, CASE WHEN sig % 17 = 0 THEN (max(k) - min(k)) * 0.2 ELSE 0 END AS dr FROM lw GROUP BY 1),
+fv AS (SELECT sig, k // 16 AS frame, bin, bin * 3000 AS hz, pow(sum(a * cos(2 * pi() * bin * (k % 16) / 16)), 2) + pow(sum(a * sin(2 * pi() * bin * (k % 16) / 16)), 2) AS pa,
+  pow(sum(b * cos(2 * pi() * bin * (k % 16) / 16)), 2) + pow(sum(b * sin(2 * pi() * bin * (k % 16) / 16)), 2) AS pb FROM ab, range(9) AS rg(bin) GROUP BY 1, 2, 3 HAVING count(*) = 16),
+fl AS (SELECT sig, frame, 10 * log10(sum(pa) + 1e-12) AS da, 10 * log10(sum(pb) + 1e-12) AS db FROM fv GROUP BY 1, 2), ga AS (SELECT sig, quantile_cont(da, 0.4) AS gate FROM fl GROUP BY 1),
+lf AS (SELECT fl.*, da >= gate AS loud, count(*) FILTER (da >= gate) OVER (PARTITION BY sig) AS n FROM fl JOIN ga USING (sig)), us AS (SELECT * FROM lf WHERE loud OR n < 4),
+gn AS (SELECT sig, median(db - da) AS gain FROM us GROUP BY 1),
+bd AS (SELECT sig, frame, band, 10 * log10(sum(pa) + 1e-12) AS ba, 10 * log10(sum(pb) + 1e-12) AS bb FROM fv, {BANDS} WHERE hz >= lo AND hz < least(hi, 24000) GROUP BY 1, 2, 3),
+bn AS (SELECT bd.sig, band, median(bb - ba) - any_value(gain) AS delta FROM bd JOIN us USING (sig, frame) JOIN gn ON gn.sig = bd.sig GROUP BY 1, 2 HAVING count(*) >= 4),
+mv AS (SELECT sig, {MOVED} FROM bn GROUP BY 1),
+ts AS (SELECT o.sig, o.k AS o, avg(s.a * s.a) FILTER (s.k < o.k) AS a0, avg(s.a * s.a) FILTER (s.k >= o.k) AS a1, avg(s.b * s.b) FILTER (s.k < o.k) AS b0, avg(s.b * s.b) FILTER (s.k >= o.k) AS b1
+  FROM ab o JOIN ab s ON s.sig = o.sig AND s.k >= o.k - 5 AND s.k < o.k + 6 AND (s.k < o.k - 1 OR s.k >= o.k) WHERE o.a > 0.85 AND o.k >= 6 GROUP BY 1, 2),
+sl AS (SELECT sig, median(10 * log10((b1 + 1e-12) / (b0 + 1e-12))) - median(10 * log10((a1 + 1e-12) / (a0 + 1e-12))) AS sd FROM ts GROUP BY 1),
+v AS (SELECT rp.sig, list_filter([CASE WHEN rp.sig % 11 = 0 THEN 'channels' END, CASE WHEN abs(dd) > 5 THEN 'duration' END, CASE WHEN dr > 5 THEN 'drift' END, CASE WHEN corr_min < 0.9 THEN 'corr_min' END, {BAD},
+  CASE WHEN sd < -0.5 THEN 'attack slope' END, CASE WHEN spread > 6 THEN 'spread' END, CASE WHEN clipped_out > clipped_in THEN 'clipping' END], lambda y: y IS NOT NULL) AS p
+  FROM rp LEFT JOIN ln USING (sig) LEFT JOIN mv USING (sig) LEFT JOIN sl USING (sig))"""
+LAGS = lambda c, s, most: f"""m_{c} AS (SELECT avg(l) AS ml, avg(r) AS mr, sqrt(sum(l * l) - count(*) * avg(l) * avg(l)) * sqrt(sum(r * r) - count(*) * avg(r) * avg(r)) AS norm FROM {c}),
+{s} AS (SELECT b.i - a.i AS lag, sum((a.l - ml) * (b.r - mr)) / nullif(any_value(norm), 0) AS score FROM {c} a, {c} b, m_{c} WHERE b.i BETWEEN a.i - {most} AND a.i + {most} GROUP BY 1)"""
+
 QUERIES = {
     "tempo_stability": f"""WITH {BEATS}, gp AS (SELECT sig, t - lag(t) OVER (PARTITION BY sig ORDER BY t) AS gap FROM ev),
 n AS (SELECT sig, count(*) AS n_beats, median(gap) AS iv FROM gp GROUP BY 1),
@@ -82,9 +114,13 @@ SELECT n.sig, n_beats, {rd('bpm_median', 'bpm_std', 'bpm_min', 'bpm_max')} FROM
 c AS (SELECT *, CASE WHEN ds <> dd THEN 100 * abs(dd / ds - 1) END AS c FROM d)
 SELECT sig, segments, corrected, {rd('median_pct', 'max_pct', 'length_pct')} FROM (SELECT sig, count(ds) AS segments, count(c) AS corrected, coalesce(median(c), 0.0) AS median_pct, coalesce(max(c), 0.0) AS max_pct, 100 * (max(dst) / max(src) - 1) AS length_pct FROM c GROUP BY 1)""",
     "warp_read": f"""WITH {ANCHORS}, gr AS (SELECT DISTINCT sig, (m * j) // 8 AS dst FROM (SELECT sig, max(dst) AS m FROM an GROUP BY 1), range(9) AS g(j)),
+w1 AS (SELECT sig, dst, src, lead(dst) OVER w - dst AS h1, (lead(src) OVER w - src) / (lead(dst) OVER w - dst) AS m1 FROM an WINDOW w AS (PARTITION BY sig ORDER BY dst)),
+w2 AS (SELECT *, lag(h1) OVER w AS h0, lag(m1) OVER w AS m0, lead(h1) OVER w AS h2, lead(m1) OVER w AS m2, lag(h1, 2) OVER w AS hb, lag(m1, 2) OVER w AS mb FROM w1 WINDOW w AS (PARTITION BY sig ORDER BY dst)),
+w3 AS (SELECT sig, dst, src, CASE WHEN m0 IS NULL THEN {END('h1', 'm1', 'h2', 'm2')} WHEN m1 IS NULL THEN {END('h0', 'm0', 'hb', 'mb')} WHEN m0 * m1 > 0 THEN 3 * (h0 + h1) / ((2 * h1 + h0) / m0 + (h1 + 2 * h0) / m1) ELSE 0 END AS d FROM w2),
 lo AS (SELECT gr.sig, gr.dst, max(an.dst) AS ad FROM gr JOIN an ON an.sig = gr.sig AND an.dst <= gr.dst GROUP BY 1, 2),
-hi AS (SELECT gr.sig, gr.dst, min(an.dst) AS bd FROM gr JOIN an ON an.sig = gr.sig AND an.dst >= gr.dst GROUP BY 1, 2)
-SELECT sig, dst, round(a.src + coalesce((dst - ad) / nullif(bd - ad, 0), 0) * (b.src - a.src), 4) + 0.0 AS src FROM lo JOIN hi USING (sig, dst) JOIN an a ON a.sig = lo.sig AND a.dst = ad JOIN an b ON b.sig = lo.sig AND b.dst = bd""".replace("SELECT sig, dst, round", "SELECT lo.sig AS sig, lo.dst AS dst, round").replace("((dst - ad)", "((lo.dst - ad)"),
+hi AS (SELECT gr.sig, gr.dst, min(an.dst) AS bd FROM gr JOIN an ON an.sig = gr.sig AND an.dst >= gr.dst GROUP BY 1, 2),
+ps AS (SELECT lo.sig, lo.dst, bd - ad AS h, coalesce((lo.dst - ad) / nullif(bd - ad, 0), 0) AS t, a.src AS ya, b.src AS yb, a.d AS da, b.d AS db FROM lo JOIN hi USING (sig, dst) JOIN w3 a ON a.sig = lo.sig AND a.dst = ad JOIN w3 b ON b.sig = lo.sig AND b.dst = bd)
+SELECT sig, dst, round((2 * t * t * t - 3 * t * t + 1) * ya + (t * t * t - 2 * t * t + t) * h * da + (3 * t * t - 2 * t * t * t) * yb + (t * t * t - t * t) * h * db, 4) + 0.0 AS src FROM ps""",
     "signal_info": f"""WITH {BEATS}, g AS (SELECT sig, count(*) AS n, max(t) AS duration, max(abs(x)) AS peak, CAST(count(*) FILTER (abs(x) >= 0.999969) AS BIGINT) AS clipped, sqrt(avg(x * x)) AS rms FROM ev GROUP BY 1)
 SELECT sig, n, clipped, {rd('duration', 'peak', 'rms')}, round({DB('peak')}, 6) + 0.0 AS peak_db, round({DB('rms')}, 6) + 0.0 AS rms_db FROM g""",
     "silence_flags": f"WITH {BEATS} SELECT sig, ({DB('max(abs(CASE WHEN sig % 3 = 0 THEN x * 0.001 ELSE x END))')}) < -45 AS silent FROM ev GROUP BY 1",
@@ -113,10 +149,7 @@ SELECT stem, CASE WHEN count(*) * var_pop(u) > 1e-12 AND count(*) * var_pop(v) >
 g AS (SELECT sig, bin, sqrt(pow(sum(y * cos(2 * pi() * bin * k / 32)), 2) + pow(sum(y * sin(2 * pi() * bin * k / 32)), 2)) AS mag FROM s, range(1, 17) AS b(bin) WHERE n = 32 GROUP BY 1, 2),
 q AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY round(mag, 9) DESC, bin) AS rn FROM g)
 SELECT sig, round(32.0 / bin, 6) + 0.0 AS period, round(mag * 4 / 32, 6) + 0.0 AS depth FROM q WHERE rn = 1""",
-    "risk_regions": f"""WITH {BEATS}, t AS (SELECT sig, greatest(avg(x) + 1.5 * stddev_pop(x), 0.4) AS threshold FROM ev GROUP BY 1), up AS (SELECT sig, k, CASE WHEN k - lag(k) OVER (PARTITION BY sig ORDER BY k) - 1 <= 2 THEN 0 ELSE 1 END AS fresh FROM ev JOIN t USING (sig) WHERE x > threshold),
-rn AS (SELECT sig, run, min(k) AS s, max(k) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY sig ORDER BY k) AS run FROM up) GROUP BY 1, 2),
-be AS (SELECT sig, s * 0.5 AS s, e * 0.5 AS e FROM (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY e - s DESC, s) AS rk FROM rn) WHERE rk = 1),
-rg AS (SELECT sig, greatest((s + e) / 2 - greatest((e - s) / 2, 0.5) - 0.25, 0) AS "start", (s + e) / 2 + greatest((e - s) / 2, 0.5) + 0.25 AS "end" FROM be),
+    "risk_regions": f"""WITH {RISK},
 ins AS (SELECT ev.sig, avg(x) AS inside FROM ev JOIN rg ON rg.sig = ev.sig AND k * 0.5 >= "start" AND k * 0.5 < "end" GROUP BY 1)
 SELECT t.sig, round(threshold, 6) + 0.0 AS threshold, round("start", 6) + 0.0 AS "start", round("end", 6) + 0.0 AS "end", round(inside, 6) + 0.0 AS inside FROM t LEFT JOIN rg USING (sig) LEFT JOIN ins USING (sig)""",
     "gain_curve": """WITH s AS (SELECT event_id AS i, value / 500 * pow(10, -(event_id % 4000) / 1000.0) AS a FROM events), f AS (SELECT i // 50 AS f, avg(a * a) AS pa, avg(pow(a * pow(10, -0.1), 2)) AS pb FROM s GROUP BY 1),
@@ -165,7 +198,42 @@ g AS (SELECT o, avg(a * a) FILTER (i < o) AS a0, avg(a * a) FILTER (i >= o) AS a
 q AS (SELECT 10 * log10((a1 + 1e-12) / (a0 + 1e-12)) AS sa, 10 * log10((b1 + 1e-12) / (b0 + 1e-12)) AS sb FROM g WHERE a0 IS NOT NULL AND a1 IS NOT NULL)
 SELECT CAST(1 AS BIGINT) AS sig, count(*) AS n, round(median(sa), 6) + 0.0 AS slope_a, round(median(sb), 6) + 0.0 AS slope_b FROM q HAVING count(*) > 0""",
     "quality_report": f"WITH {REPORT} SELECT sig, n, clipped_in, clipped_out, {rd('duration', 'peak_a', 'peak_b', 'rms_delta', 'residual', 'program_gain', 'step_a', 'step_b', 'corr', 'spread', 'corr_min', 'corr_median')} FROM rp",
-    "verdict": f"""WITH {REPORT}, v AS (SELECT sig, list_filter([CASE WHEN corr_min < 0.9 THEN 'corr_min' END, CASE WHEN abs(program_gain) > 1.5 THEN 'gain' END, CASE WHEN spread > 6 THEN 'spread' END, CASE WHEN clipped_out > clipped_in THEN 'clipping' END], lambda y: y IS NOT NULL) AS p FROM rp)
-SELECT sig, array_to_string(p, ',') AS problems, len(p) = 0 AS passed FROM v""",
+    "verdict": f"WITH {VERDICT} SELECT sig, array_to_string(p, ',') AS problems, len(p) = 0 AS passed FROM v",
+    "batch_verdict": f"WITH {VERDICT} SELECT count(*) AS n, count(*) FILTER (len(p) > 0) AS failed, coalesce(bool_and(len(p) = 0), true) AS passed FROM v",
+    "offset_estimate": f"""WITH da AS (SELECT event_id AS i, value / 500 AS x FROM events), db AS (SELECT event_id + {DELAY} AS i, value / 500 AS x FROM events),
+ea AS (SELECT i // 50 AS i, sqrt(avg(x * x)) AS v FROM da GROUP BY 1 HAVING count(*) = 50), eb AS (SELECT i // 50 AS i, sqrt(avg(x * x)) AS v FROM db GROUP BY 1 HAVING count(*) = 50),
+c0 AS (SELECT i, ea.v AS l, eb.v AS r FROM ea JOIN eb USING (i)), {LAGS('c0', 's0', 10)}, k0 AS (SELECT lag * 50 AS coarse FROM s0 ORDER BY round(score, 9) DESC, lag LIMIT 1),
+h AS (SELECT f, sum(x * x) / 400 AS power FROM da, LATERAL (SELECT unnest(range(greatest(0, i // 50 - 7), i // 50 + 1)) AS f) GROUP BY 1 HAVING count(*) = 400),
+st AS (SELECT f * 50 AS start FROM h, (SELECT max(i) + 1 AS total FROM da) WHERE f * 50 < total - 400 ORDER BY round(power, 9) DESC, f LIMIT 1),
+c1 AS (SELECT da.i, da.x AS l, db.x AS r FROM da, db, k0, st WHERE db.i = da.i + coarse AND da.i >= start AND da.i < start + 400), {LAGS('c1', 's1', 60)}
+SELECT CAST(0 AS BIGINT) AS sig, coarse, coarse + lag AS "offset", round((SELECT max(score) FROM s1), 6) + 0.0 AS score FROM k0, (SELECT lag FROM s1 ORDER BY round(score, 9) DESC, lag LIMIT 1)""",
+    "key_profile": f"""WITH {NOTES}, pc AS (SELECT sig, p AS pc, coalesce(sum(dur) FILTER (pitch % 12 = p), 0) AS w FROM nt, range(12) AS g(p) GROUP BY 1, 2),
+pr AS (SELECT unnest(range(12)) AS k, unnest([6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88])::DOUBLE AS major, unnest([6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17])::DOUBLE AS minor),
+ks AS (SELECT tonic, m, k, CASE m WHEN 0 THEN major ELSE minor END AS v FROM pr, range(12) AS t(tonic), range(2) AS u(m)),
+sc AS (SELECT sig, tonic, m, corr(w, v) AS score FROM pc JOIN ks ON (pc - tonic + 12) % 12 = k GROUP BY 1, 2, 3 HAVING 12 * var_pop(w) > 1e-18),
+q AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY round(score, 9) DESC, tonic, m) AS rn FROM sc)
+SELECT sig, ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][tonic + 1] || CASE m WHEN 0 THEN ' major' ELSE ' minor' END AS key, {rd('score')} FROM q WHERE rn = 1""",
+    "column_normalize": f"""WITH {NOTES}, b AS (SELECT sig, CAST(greatest(1, ceil(max(onset) / {BEAT_SECONDS})) AS BIGINT) AS beats FROM nt GROUP BY 1),
+c AS (SELECT sig, pitch % 12 AS pc, CAST(least(floor(onset / {BEAT_SECONDS}), beats - 1) AS BIGINT) AS beat, count(*) AS n FROM nt JOIN b USING (sig) GROUP BY 1, 2, 3)
+SELECT sig, pc, beat, round(n / (sqrt(sum(n * n) OVER (PARTITION BY sig, beat)) + 1e-9), 6) + 0.0 AS n FROM c""",
+    "phase_accumulate": f"""WITH fr AS (SELECT CAST(label AS BIGINT) AS stem, vec_id AS frame, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS j FROM embeddings),
+ri AS (SELECT stem, frame, bin, sum(v * cos(2 * pi() * bin * j / 64)) AS re, sum(v * sin(2 * pi() * bin * j / 64)) AS im FROM fr, range(33) AS g(bin) GROUP BY 1, 2, 3),
+ph AS (SELECT stem, frame, bin, atan2(round(-im, 9) + 0.0, re) AS p FROM ri),
+ad AS (SELECT *, coalesce(lead(p) OVER w, p) - p AS step, 2 * pi() * 16 * bin / 64 AS ex FROM ph WINDOW w AS (PARTITION BY stem, bin ORDER BY frame)),
+aw AS (SELECT *, ex + (step - ex) - 2 * pi() * round_even((step - ex) / (2 * pi()), 0) AS advance FROM ad),
+tt AS (SELECT *, first_value(p) OVER (PARTITION BY stem, bin ORDER BY frame) + coalesce(sum(advance) OVER (PARTITION BY stem, bin ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS total FROM aw)
+SELECT stem, frame, bin, round(cos(advance), 6) + 0.0 AS step, round(cos(total), 5) + 0.0 AS re, round(sin(total), 5) + 0.0 AS im FROM tt""",
+    "nearest_peak": f"""WITH {SPEC}, t AS (SELECT frame, bin, mag >= coalesce(lag(mag) OVER w, -1) AND mag >= coalesce(lead(mag) OVER w, -1) AS top FROM sp WINDOW w AS (PARTITION BY frame ORDER BY bin)),
+pk AS (SELECT frame, bin AS p FROM t WHERE top), q AS (SELECT t.frame, t.bin, p, row_number() OVER (PARTITION BY t.frame, t.bin ORDER BY abs(t.bin - p), p) AS rn FROM t JOIN pk USING (frame))
+SELECT frame, bin, p AS peak FROM q WHERE rn = 1""",
+    "match_channels": f"WITH {LR} SELECT pair AS sig, ch, i, round((l + r) / 2, 6) + 0.0 AS x FROM lr, range(3) AS c(ch)",
+    "source_layout": f"""WITH {LR} SELECT pair AS sig, ch, i, round(least(greatest(CASE ch WHEN 0 THEN l ELSE r END + CASE WHEN pair % 2 = 0 AND i < 40 THEN 8 * l ELSE 0 END, -1), 1), 6) + 0.0 AS x FROM lr, range(2) AS c(ch)""",
+    "stage_integrity": f"WITH {LR} SELECT DISTINCT pair AS sig, CASE WHEN pair % 5 = 0 THEN 'lost' ELSE 'channels' END AS problem FROM lr WHERE pair % 5 = 0 OR pair % 7 = 0",
+    "stem_summary": f"""WITH {LR} SELECT pair AS sig, CASE WHEN round(sqrt(avg(r * r)), 9) > round(sqrt(avg(l * l)), 9) THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS target,
+  round(sqrt(avg(pow(0.1 * r, 2))) / nullif(sqrt(avg(pow(l + 0.9 * r, 2))), 0), 6) + 0.0 AS error FROM lr GROUP BY 1""",
+    "repair_rollback": f"""WITH {RISK}, m AS (SELECT ev.sig, avg(x) AS x FROM ev JOIN rg ON rg.sig = ev.sig AND k * 0.5 >= "start" AND k * 0.5 < "end" GROUP BY 1)
+SELECT t.sig, round(x, 6) + 0.0 AS before, round(x * CASE WHEN t.sig % 2 = 0 THEN 0.8 ELSE 1.1 END, 6) + 0.0 AS after, coalesce(t.sig % 2 = 0 AND x > 0, false) AS kept FROM t LEFT JOIN m USING (sig)""",
+    "labels_and_rates": """SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR p_size = 0 THEN 'none' ELSE format('{:,} Hz', p_size % 7 * p_size * 100) END AS cutoff,
+  CAST(CASE p_size % 3 WHEN 0 THEN 48000 ELSE p_size % 3 * 22050 END AS BIGINT) AS rate, round(60 / (p_size / 10), 6) + 0.0 AS bpm FROM part""",
     "model_hook": "SELECT vec_id AS sig, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
 }
