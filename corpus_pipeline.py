@@ -1,8 +1,9 @@
 """Corpus cleaning: the stages in order, each over all rows that its predecessor kept.
 
-Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``; the last returns the doc_id
-and token digests. A null text is an empty one to every stage and stays null until the last. Stages keep every row but
-those they reject: toxic documents, later members of a near-duplicate group, documents that contain a benchmark item.
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``, which may have further
+columns of any names; the last returns the doc_id and token digests. A null text is an empty one to every stage and
+stays null until the last. Stages keep every row but those they reject: toxic documents, later members of a
+near-duplicate group, documents that contain a benchmark item.
 """
 
 from __future__ import annotations
@@ -10,21 +11,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigloom.llm import bpe, decontaminate, linededup, simhash, toxicity
-from sigloom.llm.common import cut, table
+from sigloom.llm.common import cut, neutral, table
 
 
 def toxicity_stage(spark, docs, sf_dir):
     """Drops the documents that the classifier chain, trained on the labelled ones, calls toxic."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.add_toxicity(docs, chain, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, chain)
 
 
 def line_dedup_stage(spark, docs, sf_dir):
     """Deletes runs of lines that occurred before; a document stays even if nothing is left of its text."""
-    found = linededup.drop_repeated_lines(docs)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(*docs.columns)
+    plain, name, back = neutral(docs)
+    found = linededup.drop_repeated_lines(plain, name["doc_id"], name["text"])
+    if "n_chars" in name:
+        found = found.withColumn(name["n_chars"], F.length(name["text"]).cast("long"))
+    return back(found)
 
 
 def near_dedup_stage(spark, docs, sf_dir):

@@ -60,6 +60,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns named c0, c1 and so on, the new names by the old ones, and the way back.
+
+    Columns that an operator adds meanwhile can't clash with those of ``df``; the way back leaves them out.
+    """
+    names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*plain), dict(zip(names, plain, strict=True)), lambda out: out.select(*plain).toDF(*names)
+
+
 def map_columns(
     df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list[list]]], schema: pa.Schema, ddl: str,
     keep: list[str] = (),

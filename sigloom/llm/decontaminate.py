@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_columns, words_of
+from sigloom.llm.common import map_columns, neutral, words_of
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -163,10 +163,11 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no item; null and empty texts stay."""
+    """The rows of ``docs`` that contain no item; null and empty texts stay. Extra columns may have any names."""
+    rest, name, back = neutral(docs)
     for index in indexes(items, item_id, item_text, threshold):
-        docs = search(docs, index, text, docs.columns).where(F.size("__hits") == 0).drop("__hits")
-    return docs
+        rest = search(rest, index, name[text], rest.columns).where(F.size("__hits") == 0).drop("__hits")
+    return back(rest)
 
 
 def op9_decontaminate(spark, sf_dir):

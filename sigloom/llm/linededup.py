@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut
+from sigloom.llm.common import cut, neutral
 
 #: Words of a run that is deleted when it repeats, at least. Words are what single spaces part.
 MIN_WORDS = 50
@@ -66,23 +66,25 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """``docs`` with repeated runs deleted from ``text``, and the columns __n_lines and __n_gone.
 
     Every row stays, if with an empty text. Null texts stay null and have no lines. Rows with the same id and text are
-    one document and come out alike; a null id sorts before all others. Other columns pass through; an empty table
-    gives an empty result.
+    one document and come out alike; a null id sorts before all others. Other columns pass through under any names, but
+    for two of the added names, which are replaced. An empty table gives an empty result.
     """
     gone = repeated_lines(docs, doc_id, text, min_words)
     gone = cut(gone).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
-    same = F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__t"))
-    joined = docs.join(gone, same, "left")
-    lines = F.split(F.col(text), "\n", -1)
+    plain, name, _ = neutral(docs)
+    body = F.col(name[text])
+    same = F.col(name[doc_id]).eqNullSafe(F.col("__d")) & (F.xxhash64(body) == F.col("__t"))
+    joined = plain.join(gone, same, "left")
+    lines = F.split(body, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     out = {
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest),
-        "__n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+        text: F.when(F.col("__gone").isNull(), body).otherwise(rest),
+        "__n_lines": F.when(body.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
         "__n_gone": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
     }
-    names = [c for c in docs.columns if c != text]
-    return joined.select(*(F.col(f"`{c}`") for c in names), *(v.alias(k) for k, v in out.items()))
+    names = [c for c in docs.columns if c.lower() not in {k.lower() for k in out}]
+    return joined.select(*(F.col(name[c]).alias(c) for c in names), *(v.alias(k) for k, v in out.items()))
 
 
 def op8_linededup(spark, sf_dir):

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut, map_columns
+from sigloom.llm.common import cut, map_columns, neutral
 from sigloom.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -121,9 +121,13 @@ def hex_of(fp: F.Column) -> F.Column:
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows with a null id all stay."""
+    """The rows of ``docs`` whose id is the smallest of its component; rows with a null id all stay.
+
+    Extra columns may have any names.
+    """
     last = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(last, F.col(doc_id) == F.col("__gone"), "left_anti")
+    plain, name, back = neutral(docs)
+    return back(plain.join(last, F.col(name[doc_id]) == F.col("__gone"), "left_anti"))
 
 
 def op1_simhash(spark, sf_dir):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import hash_threshold, map_columns, words_of
+from sigloom.llm.common import hash_threshold, map_columns, neutral, words_of
 from sigloom.llm.learn import fit_logistic, predict
 
 #: Labelled documents used for training at most, chosen by the hash of the id.
@@ -146,6 +146,12 @@ def add_toxicity(docs: DataFrame, chain: Chain, text: str = "text", keep: list[s
     return map_columns(docs, [text], make, schema, ", ".join(f"{x} double" for x in names) + ", predicted int", keep)
 
 
+def drop_toxic(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, with the columns of ``docs``, whatever their names."""
+    plain, name, back = neutral(docs)
+    return back(add_toxicity(plain, chain, name[text], plain.columns).where("predicted = 0"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return add_toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
