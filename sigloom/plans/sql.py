@@ -235,5 +235,10 @@ SELECT frame, bin, p AS peak FROM q WHERE rn = 1""",
 SELECT t.sig, round(x, 6) + 0.0 AS before, round(x * CASE WHEN t.sig % 2 = 0 THEN 0.8 ELSE 1.1 END, 6) + 0.0 AS after, coalesce(t.sig % 2 = 0 AND x > 0, false) AS kept FROM t LEFT JOIN m USING (sig)""",
     "labels_and_rates": """SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR p_size = 0 THEN 'none' ELSE format('{:,} Hz', p_size % 7 * p_size * 100) END AS cutoff,
   CAST(CASE p_size % 3 WHEN 0 THEN 48000 ELSE p_size % 3 * 22050 END AS BIGINT) AS rate, round(60 / (p_size / 10), 6) + 0.0 AS bpm FROM part""",
+    "mid_side_retry": f"""WITH {LR}, g AS (SELECT pair, l * CASE WHEN pair % 9 = 0 THEN 0.001 ELSE 1 END AS l, r * CASE WHEN pair % 9 = 0 THEN 0.001 ELSE 1 END AS r FROM lr),
+h AS (SELECT *, (l + r) / 2 AS m, (l - r) / 2 AS s FROM g), t AS (SELECT pair, max(greatest(abs(l), abs(r))) < pow(10, -45 / 20.0) AS quiet, sum(l * l + r * r) AS before,
+  sum(2 * pow(m - 0.5 * m * m * m, 2) + 2 * pow(s - 0.5 * s * s * s, 2)) AS later, sqrt(avg(pow(0.5 * m * m * m, 2))) AS gone, sqrt(avg(m * m)) AS level FROM h GROUP BY 1)
+SELECT pair AS sig, CASE WHEN quiet THEN 'skipped' ELSE 'mid_side' END AS strategy, round(CASE WHEN quiet THEN before ELSE later END, 6) + 0.0 AS energy,
+  CASE WHEN quiet THEN CAST('-Infinity' AS DOUBLE) ELSE round(20 * log10(gone / level), 6) + 0.0 END AS residual FROM t""",
     "model_hook": "SELECT vec_id AS sig, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
 }
