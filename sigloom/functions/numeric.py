@@ -45,3 +45,24 @@ def correlation(a: str, b: str) -> Column:
 def r(x: Column, places: int = 6) -> Column:
     """Rounded for comparison, without a negative zero."""
     return F.round(x, places) + F.lit(0.0)
+
+
+def setting_number(raw: Column, default: float) -> Column:
+    """A setting's text as a double; the default where it is null, blank or no decimal number."""
+    text = F.trim(raw)
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double")).otherwise(F.lit(float(default)))
+
+
+def setting_whole(raw: Column, default: int) -> Column:
+    """A setting's number without its fraction."""
+    return setting_number(raw, default).cast("long")
+
+
+def setting_flag(raw: Column, default: bool) -> Column:
+    """True for 1, true, yes and on in any case, false for other text, the default where it is null or blank."""
+    text = F.lower(F.trim(raw))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(default)).otherwise(text.isin("1", "true", "yes", "on"))
+
+
+def setting_text(raw: Column, default: str) -> Column:
+    return F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.lit(default))

@@ -72,8 +72,13 @@ def target_bpm(interval):
 
 
 def hz_label(hz):
-    """Hertz as text; none for null and 0."""
-    return F.when(hz.isNull() | (hz == 0), "none").otherwise(F.concat(F.format_number(hz, 0), F.lit(" Hz")))
+    """Hertz as text without a fraction; none for null and 0."""
+    return F.when(hz.isNull() | (hz == 0), "none").otherwise(F.format_string("%.0fHz", F.rint(hz.cast("double"))))
+
+
+def percent_label(share):
+    """A percentage as text with two places; a dash for null."""
+    return F.when(share.isNull(), "\u2014").otherwise(F.format_string("%.2f%%", share.cast("double")))
 
 
 def output_rate(source, setting):

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.numeric import r
+from sigloom.functions.numeric import r, setting_flag, setting_number, setting_text, setting_whole
 from sigloom.operators import events, harmony, kernels, layout, levels, report, spectral, stages, timing
 from sigloom.plans import sql
 from sigloom.sources import tables
@@ -370,7 +370,7 @@ def q_rollback(spark, d):
 def q_labels(spark, d):
     p = tables.table(spark, d, "part")
     hz = (F.col("p_size") % 7) * F.col("p_size") * 100
-    found = p.select("p_partkey", layout.hz_label(hz).alias("cutoff"), layout.output_rate(F.lit(48_000), (F.col("p_size") % 3) * 22_050).cast("long").alias("rate"), layout.target_bpm(F.col("p_size") / 10).alias("bpm"))
+    found = p.select("p_partkey", layout.hz_label(hz).alias("cutoff"), layout.output_rate(F.lit(48_000), (F.col("p_size") % 3) * 22_050).cast("long").alias("rate"), layout.target_bpm(F.col("p_size") / 10).alias("bpm"), layout.percent_label(F.when(F.col("p_size") % 5 > 0, F.col("p_size") / 7)).alias("share"))
     return rounded(found)
 
 
@@ -392,6 +392,20 @@ def q_coherence(spark, d):
     return rounded(kernels.coherence(f.select(F.col("stem").alias("sig"), "frame", "x", other.alias("y")), N, 8))
 
 
+def q_scaled(spark, d):
+    s = tables.beats(spark, d)
+    ref = s.withColumn("x", F.when(F.col("sig") % 4 == 0, F.lit(0.0)).otherwise(F.col("x") * 0.5))
+    return rounded(levels.scaled_to(s.select("sig", "k", "x"), ref))
+
+
+def q_settings(spark, d):
+    p = tables.table(spark, d, "part")
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    raw = F.when(kind == 0, size).when(kind == 1, " ").when(kind == 2, " Yes").when(kind == 3, "off").when(kind == 4, F.concat(F.lit(" -"), size, F.lit(".75 "))).when(kind == 5, F.concat(size, F.lit("d")))
+    p = p.select("p_partkey", raw.alias("raw"))
+    return p.select("p_partkey", setting_number(p.raw, 2.5).alias("number"), setting_whole(p.raw, 7).alias("whole"), setting_flag(p.raw, True).alias("flag"), setting_text(p.raw, "none").alias("words"))
+
+
 def q_retry(spark, d):
     s = tables.stereo(spark, d).withColumn("g", F.when(F.col("pair") % 9 == 0, 0.001).otherwise(1.0))
     v = F.sort_array(F.collect_list(F.struct("i", (F.col("l") * F.col("g")).alias("l"), (F.col("r") * F.col("g")).alias("r"))))
@@ -431,7 +445,7 @@ def queries():
         "batch_verdict": q_batch, "offset_estimate": q_offset, "key_profile": q_key, "column_normalize": q_columns,
         "phase_accumulate": q_phase, "nearest_peak": q_peaks, "match_channels": q_match, "source_layout": q_delta,
         "stage_integrity": q_integrity, "stem_summary": q_stem_sum, "repair_rollback": q_rollback, "labels_and_rates": q_labels,
-        "mid_side_retry": q_retry,
+        "mid_side_retry": q_retry, "waveform_scaling": q_scaled, "settings_parse": q_settings,
         "local_offset_track": q_track, "dtw_distance": q_dtw, "coherence": q_coherence, "model_hook": partial(model, stand_in),
         "k_weight": lambda spark, d: kernels.k_weight(arrays(spark, d), SR),
         "resample": lambda spark, d: kernels.resample(arrays(spark, d), 48_000, 44_100),

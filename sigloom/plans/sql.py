@@ -233,8 +233,13 @@ SELECT frame, bin, p AS peak FROM q WHERE rn = 1""",
   round(sqrt(avg(pow(0.1 * r, 2))) / nullif(sqrt(avg(pow(l + 0.9 * r, 2))), 0), 6) + 0.0 AS error FROM lr GROUP BY 1""",
     "repair_rollback": f"""WITH {RISK}, m AS (SELECT ev.sig, avg(x) AS x FROM ev JOIN rg ON rg.sig = ev.sig AND k * 0.5 >= "start" AND k * 0.5 < "end" GROUP BY 1)
 SELECT t.sig, round(x, 6) + 0.0 AS before, round(x * CASE WHEN t.sig % 2 = 0 THEN 0.8 ELSE 1.1 END, 6) + 0.0 AS after, coalesce(t.sig % 2 = 0 AND x > 0, false) AS kept FROM t LEFT JOIN m USING (sig)""",
-    "labels_and_rates": """SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR p_size = 0 THEN 'none' ELSE format('{:,} Hz', p_size % 7 * p_size * 100) END AS cutoff,
-  CAST(CASE p_size % 3 WHEN 0 THEN 48000 ELSE p_size % 3 * 22050 END AS BIGINT) AS rate, round(60 / (p_size / 10), 6) + 0.0 AS bpm FROM part""",
+    "labels_and_rates": """SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR p_size = 0 THEN 'none' ELSE CAST(p_size % 7 * p_size * 100 AS VARCHAR) || 'Hz' END AS cutoff,
+  CAST(CASE p_size % 3 WHEN 0 THEN 48000 ELSE p_size % 3 * 22050 END AS BIGINT) AS rate, round(60 / (p_size / 10), 6) + 0.0 AS bpm,
+  CASE WHEN p_size % 5 > 0 THEN printf('%.2f%%', p_size / 7) ELSE chr(8212) END AS share FROM part""",
+    "waveform_scaling": f"WITH {BEATS} SELECT sig, k, round(x / CASE WHEN sig % 4 = 0 THEN 1 ELSE coalesce(nullif(max(abs(x)) OVER (PARTITION BY sig) * 0.5, 0), 1) END, 6) + 0.0 AS x FROM ev",
+    "settings_parse": """WITH q AS (SELECT p_partkey, trim(CASE p_partkey % 7 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN ' ' WHEN 2 THEN ' Yes' WHEN 3 THEN 'off' WHEN 4 THEN ' -' || p_size || '.75 ' WHEN 5 THEN p_size || 'd' END) AS raw FROM part)
+SELECT p_partkey, coalesce(try_cast(raw AS DOUBLE), 2.5) AS number, CAST(trunc(coalesce(try_cast(raw AS DOUBLE), 7)) AS BIGINT) AS whole,
+  CASE WHEN coalesce(raw, '') = '' THEN true ELSE lower(raw) IN ('1', 'true', 'yes', 'on') END AS flag, coalesce(nullif(raw, ''), 'none') AS words FROM q""",
     "mid_side_retry": f"""WITH {LR}, g AS (SELECT pair, l * CASE WHEN pair % 9 = 0 THEN 0.001 ELSE 1 END AS l, r * CASE WHEN pair % 9 = 0 THEN 0.001 ELSE 1 END AS r FROM lr),
 h AS (SELECT *, (l + r) / 2 AS m, (l - r) / 2 AS s FROM g), t AS (SELECT pair, max(greatest(abs(l), abs(r))) < pow(10, -45 / 20.0) AS quiet, sum(l * l + r * r) AS before,
   sum(2 * pow(m - 0.5 * m * m * m, 2) + 2 * pow(s - 0.5 * s * s * s, 2)) AS later, sqrt(avg(pow(0.5 * m * m * m, 2))) AS gone, sqrt(avg(m * m)) AS level FROM h GROUP BY 1)

@@ -96,7 +96,12 @@ def test_labels(spark):
 
     df = spark.createDataFrame([(None, 0.0), (0, 0.5), (16000, 2.0)], "hz int, iv double")
     got = df.select(layout.hz_label(df.hz).alias("h"), layout.target_bpm(df.iv).alias("b")).collect()
-    assert [r.h for r in got] == ["none", "none", "16,000 Hz"] and math.isnan(got[0].b) and [r.b for r in got[1:]] == [120.0, 30.0]
+    assert [r.h for r in got] == ["none", "none", "16000Hz"] and math.isnan(got[0].b) and [r.b for r in got[1:]] == [120.0, 30.0]
+
+
+def test_percent_labels(spark):
+    df = spark.createDataFrame([(None,), (0.0,), (12.346,)], "v double")
+    assert [r[0] for r in df.select(layout.percent_label(df.v)).collect()] == ["\u2014", "0.00%", "12.35%"]
 
 
 def test_midi_round_trip(spark, tmp_path):

@@ -2,7 +2,8 @@
 
 import pytest
 
-from sigloom.operators import stages
+from sigloom.functions import numeric
+from sigloom.operators import levels, stages
 
 LEFT, RIGHT = [0.5, -0.25, 0.1], [0.1, 0.3, -0.2]
 DDL = "sig long, x array<array<double>>"
@@ -72,3 +73,18 @@ def test_stages_keep_their_tables(spark, tmp_path):
             stages.only_one(bad)
     with pytest.raises(ValueError):
         stages.run_stages(df, [steps[0], steps[0]], str(tmp_path))
+
+
+def test_settings_fall_back(spark):
+    df = spark.createDataFrame([(None,), ("  ",), ("1",), (" TRUE ",), ("no",), ("2.9",), ("-2.9",), ("1e2",), ("1f",)], "raw string")
+    got = df.select(numeric.setting_number(df.raw, 5), numeric.setting_whole(df.raw, 5), numeric.setting_flag(df.raw, True), numeric.setting_text(df.raw, "x")).collect()
+    assert [tuple(r) for r in got] == [
+        (5.0, 5, True, "x"), (5.0, 5, True, "x"), (1.0, 1, True, "1"), (5.0, 5, True, "TRUE"), (5.0, 5, False, "no"),
+        (2.9, 2, False, "2.9"), (-2.9, -2, False, "-2.9"), (100.0, 100, False, "1e2"), (5.0, 5, False, "1f"),
+    ]
+
+
+def test_scaling_by_a_reference(spark):
+    ddl = "sig long, x double"
+    got = levels.scaled_to(spark.createDataFrame([(1, 1.0), (2, 1.0), (3, None)], ddl), spark.createDataFrame([(1, -0.5), (1, 0.2), (2, 0.0)], ddl))
+    assert [r.x for r in got.orderBy("sig").collect()] == [2.0, 1.0, None]
