@@ -1,12 +1,14 @@
-"""Repeated runs of lines, found by winnowing and deleted where they occur again. DataFrame functions only.
-
-Blank lines aside, a text is a sequence of line hashes. A window is the shortest stretch of whole lines with MIN_WORDS
-words or more that starts, or ends, at a line. Winnowing takes the least line hash of each window as its fingerprint
-(the rightmost on ties), so equal windows have equal fingerprints and every repeated run of MIN_WORDS words or more is
-guaranteed one. Fingerprints found at two places or more are joined back to their windows, each match is extended both
-ways to the window around it and compared whole, and windows that occurred before, in the order of (doc_id, text hash,
-line), are deleted. Every line of a repeated run is in such a window, so whole runs go, wherever their parts occurred
-first; no pair of occurrences is ever listed.
+"""Repeated runs of text, found by winnowing and deleted where they occur again. DataFrame functions only.
+
+A line is cut after each sentence mark that a space follows, since repeated passages also stand inside longer lines. So a
+text is a sequence of pieces, each a line or a part of one, and blank pieces aside a sequence of hashes. A repeated run
+can only hold pieces that occur at two places or more; other pieces part the text into stretches, of which those with too
+few words go first. A window is the shortest stretch of whole pieces with MIN_WORDS words or more that starts, or ends,
+at a piece. Winnowing takes the least hash of each window as its fingerprint (the rightmost on ties), so equal windows
+have equal fingerprints and every repeated run of that many words is guaranteed one. Fingerprints found at two places or
+more are joined back to their windows, each match is extended both ways to the window around it and compared whole, and
+windows that occurred before, in the order of (doc_id, text hash, piece), are deleted. Every piece of a repeated run is in
+such a window, so whole runs go, wherever their parts occurred first; no pair of occurrences is ever listed.
 """
 
 from __future__ import annotations
@@ -16,21 +18,39 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import cut, neutral
 
-#: Words of a run that is deleted when it repeats, at least. Words are what single spaces part.
-MIN_WORDS = 50
+#: Words of whole pieces in a run that is deleted when it repeats, at least. A passage of over 50 words reaches this even
+#: if the sentences at its ends, which its surroundings may change, take 15 of them. Words are what single spaces part.
+MIN_WORDS = 35
+#: A piece of a line with what parts it from the next: to a sentence mark and a space, to the end of the line, or the rest.
+PIECE = "[^\\n]*?[.!?] |[^\\n]*\\n|[^\\n]+"
+
+
+def pieces_of(text: str) -> F.Column:
+    """The pieces of a text in order; joined they are the text. An empty text has none."""
+    return F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
+
+
+def repeated_pieces(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(d, t, q, p, h, w): the pieces that occur at two places or more: place among pieces with words, and among all, hash and words."""
+    bare = F.transform(pieces_of(text), lambda x: F.btrim(x, F.lit(" \n")))
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    each = F.transform(bare, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("w"), i.alias("p")))
+    all_pieces = docs.select(
+        F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.filter(each, lambda x: x.w > 0)).alias("q", "x")
+    ).select("d", "t", "q", "x.p", "x.h", F.col("x.w").cast("long").alias("w"))
+    place = F.xxhash64("d", "t", "q")
+    seen = all_pieces.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    return all_pieces.join(cut(seen.where("lo <> hi").select("h")), "h", "left_semi").dropDuplicates(["d", "t", "q"])
 
 
 def line_windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """(d, t, s, e, key, fp, at): windows of each document from line s to e, their hash, fingerprint and its line."""
-    lines = docs.select(
-        F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("p", "x")
-    ).select(
-        "d", "t", "p", F.xxhash64("x").alias("h"),
-        F.size(F.filter(F.split("x", " ", -1), lambda w: w != "")).cast("long").alias("w"),
-    ).where("w > 0").dropDuplicates(["d", "t", "p"])
-    by_doc = Window.partitionBy("d", "t")
-    ends = F.sum("w").over(by_doc.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("stop", ends).withColumn("begin", F.col("stop") - F.col("w"))
+    """(d, t, s, e, key, fp, at): windows of each document from piece s to e, their hash, fingerprint and its piece."""
+    found = repeated_pieces(docs, doc_id, text)
+    stretch = F.col("q") - F.row_number().over(Window.partitionBy("d", "t").orderBy("q"))
+    by_stretch = Window.partitionBy("d", "t", "g")
+    lines = found.withColumn("g", stretch).withColumn("stop", F.sum("w").over(by_stretch.orderBy("q").rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumns({"begin": F.col("stop") - F.col("w"), "words": F.sum("w").over(by_stretch)})
+    lines = cut(lines.where(F.col("words") >= min_words).drop("words"))
     row = F.struct("h", (-F.col("p")).alias("q"), "w")
 
     def windows(frame) -> DataFrame:
@@ -42,13 +62,13 @@ def line_windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> Dat
             F.xxhash64(F.transform("a", lambda x: x.h)).alias("key"), low.h.alias("fp"), (-low.q).alias("at"),
         )
 
-    ahead = by_doc.orderBy("begin").rangeBetween(0, min_words - 1)
-    behind = by_doc.orderBy("stop").rangeBetween(-(min_words - 1), 0)
+    ahead = by_stretch.orderBy("begin").rangeBetween(0, min_words - 1)
+    behind = by_stretch.orderBy("stop").rangeBetween(-(min_words - 1), 0)
     return windows(ahead).unionAll(windows(behind))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, gone): for documents with repeated runs the ascending line numbers to delete, blank lines inside included."""
+    """(d, t, gone): for documents with repeated runs the ascending piece numbers to delete, blank pieces inside included."""
     found = cut(line_windows(docs, doc_id, text, min_words))
     place = F.struct("d", "t", "at")
     prints = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
@@ -63,9 +83,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated runs deleted from ``text``, and the columns __n_lines and __n_gone.
+    """``docs`` with repeated runs deleted from ``text``, and the columns __n_lines and __n_gone, its pieces and those deleted.
 
-    Every row stays, if with an empty text. Null texts stay null and have no lines. Rows with the same id and text are
+    Every row stays, if with an empty text. Null texts stay null and have no pieces. A piece
+    goes with the space or line end after it. Rows with the same id and text are
     one document and come out alike; a null id sorts before all others. Other columns pass through under any names, but
     for two of the added names, which are replaced. An empty table gives an empty result.
     """
@@ -75,9 +96,9 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     body = F.col(name[text])
     same = F.col(name[doc_id]).eqNullSafe(F.col("__d")) & (F.xxhash64(body) == F.col("__t"))
     joined = plain.join(gone, same, "left")
-    lines = F.split(body, "\n", -1)
+    lines = pieces_of(name[text])
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "")
     out = {
         text: F.when(F.col("__gone").isNull(), body).otherwise(rest),
         "__n_lines": F.when(body.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
@@ -91,23 +112,23 @@ def op8_linededup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = drop_repeated_lines(docs)
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_gone").alias("n_removed"), digest.alias("text_sha256"))
+    return found.select("doc_id", F.col("__n_lines").alias("n_pieces"), F.col("__n_gone").alias("n_removed"), digest.alias("text_sha256"))
 
 
 OP8_SQL = f"""
-WITH split AS (SELECT doc_id AS d, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+WITH split AS (SELECT doc_id AS d, regexp_extract_all(coalesce(text, ''), '{PIECE}') AS a FROM documents),
 flat AS (SELECT d, unnest(a) AS x, unnest(range(len(a))) AS p FROM split),
-worded AS (SELECT d, p, x, len(list_filter(string_split(x, ' '), lambda y: y <> '')) AS w FROM flat),
-lines AS (SELECT *, sum(w) OVER (PARTITION BY d ORDER BY p) AS stop FROM worded WHERE w > 0),
+bare AS (SELECT d, p, trim(x, ' ' || chr(10)) AS x FROM flat),
+lines AS (SELECT *, sum(w) OVER (PARTITION BY d ORDER BY p) AS stop FROM (SELECT *, len(x) - len(replace(x, ' ', '')) + 1 AS w FROM bare WHERE x <> '')),
 pairs AS (
   SELECT a.d, a.p AS s, min(b.p) AS e FROM lines a JOIN lines b ON a.d = b.d AND b.p >= a.p AND b.stop - a.stop + a.w >= {MIN_WORDS} GROUP BY 1, 2
   UNION
   SELECT b.d, max(a.p) AS s, b.p AS e FROM lines a JOIN lines b ON a.d = b.d AND b.p >= a.p AND b.stop - a.stop + a.w >= {MIN_WORDS} GROUP BY 1, 3),
 wins AS (SELECT q.d, q.s, q.e, string_agg(l.x, chr(10) ORDER BY l.p) AS k FROM pairs q JOIN lines l ON l.d = q.d AND l.p BETWEEN q.s AND q.e GROUP BY 1, 2, 3),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, s) AS r, first_value(d) OVER (PARTITION BY k ORDER BY d, s) AS fd, first_value(s) OVER (PARTITION BY k ORDER BY d, s) AS fs FROM wins),
-gone AS (SELECT DISTINCT d, unnest(range(s, e + 1)) AS p FROM ranked WHERE d <> fd OR s <> fs)
-SELECT o.doc_id, CAST(coalesce(len(string_split(o.text, chr(10))), 0) AS BIGINT) AS n_lines,
-  CAST((SELECT count(*) FROM gone g WHERE g.d = o.doc_id) AS BIGINT) AS n_removed,
-  sha256(coalesce((SELECT string_agg(f.x, chr(10) ORDER BY f.p) FROM flat f WHERE f.d = o.doc_id AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.d = f.d AND g.p = f.p)), '')) AS text_sha256
-FROM documents o
+ranked AS (SELECT *, first_value(d) OVER (PARTITION BY k ORDER BY d, s) AS fd, first_value(s) OVER (PARTITION BY k ORDER BY d, s) AS fs FROM wins),
+gone AS (SELECT DISTINCT d, unnest(range(s, e + 1)) AS p FROM ranked WHERE d <> fd OR s <> fs),
+lost AS (SELECT d, count(*) AS n FROM gone GROUP BY 1),
+rest AS (SELECT f.d, string_agg(f.x, '' ORDER BY f.p) AS x FROM flat f ANTI JOIN gone g ON g.d = f.d AND g.p = f.p GROUP BY 1)
+SELECT o.d AS doc_id, CAST(len(o.a) AS BIGINT) AS n_pieces, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest.x, '')) AS text_sha256
+FROM split o LEFT JOIN lost ON lost.d = o.d LEFT JOIN rest ON rest.d = o.d
 """

@@ -239,8 +239,9 @@ def test_quality(spark, odd, none):
 
 
 def brute_lines(docs, min_words):
-    """Lines in a run of min_words words or more that also occurs earlier, by trying all runs of every document."""
-    seq = [[(p, x, sum(w != "" for w in x.split(" "))) for p, x in enumerate(t.split("\n")) if any(w for w in x.split(" "))] for _, t in docs]
+    """Pieces in a run of min_words words or more that also occurs earlier, by trying all runs of every document."""
+    cuts = [[x for x in re.split(r"(?<=[.!?] )|(?<=\n)", t) if x] for _, t in docs]
+    seq = [[(p, x.strip(" \n"), x.strip(" \n").count(" ") + 1) for p, x in enumerate(c) if x.strip(" \n")] for c in cuts]
     seen, gone = {}, [set() for _ in docs]
     for k, lines in enumerate(seq):
         for i in range(len(lines)):
@@ -249,15 +250,20 @@ def brute_lines(docs, min_words):
                     run = tuple(x for _, x, _ in lines[i : j + 1])
                     if seen.setdefault(run, (k, i)) != (k, i):
                         gone[k] |= set(range(lines[i][0], lines[j][0] + 1))
-    return ["\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[k]) for k, (_, t) in enumerate(docs)]
+    return ["".join(x for p, x in enumerate(c) if p not in gone[k]) for k, c in enumerate(cuts)]
 
 
 def test_line_dedup(spark, odd, none):
     pool = [sentence(R.randrange(1, 9)) for _ in range(8)] + [""]
-    docs = [(i, "\n".join(R.choice(pool) for _ in range(R.randrange(12)))) for i in range(60)]
+    docs = [(i, "".join(R.choice(pool) + R.choice(("\n", ". ", "! ", ".  ")) for _ in range(R.randrange(12)))) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = linededup.drop_repeated_lines(df, min_words=12).orderBy("doc_id").toPandas().text.tolist()
     assert got == brute_lines(docs, 12)
+    passage = ". ".join(sentence(9) for _ in range(6)) + "."
+    inside = [(i, f"{sentence(20 + i)} {passage} {sentence(11 + i)}.\n{sentence(8)}") for i in range(40)]
+    kept = {r.doc_id: r.text for r in linededup.drop_repeated_lines(spark.createDataFrame(inside, "doc_id long, text string")).collect()}
+    assert [i for i, t in kept.items() if passage in t] == [0] and kept[0] == inside[0][1]
+    assert all(t.startswith(inside[i][1][:60]) and t.endswith(inside[i][1][-60:]) for i, t in kept.items())
     rows = linededup.drop_repeated_lines(odd).collect()
     assert len(rows) == 15 and {"lang", "score", "fp"} <= set(rows[0].asDict())
     assert [r.text for r in rows if r.doc_id == 0] == [None] and [r.text for r in rows if r.doc_id == 8] == [""]
