@@ -1,6 +1,6 @@
 """Repeated runs of text, found by winnowing and deleted where they occur again. DataFrame functions only.
 
-A line is cut after each sentence mark that a space follows, since repeated passages also stand inside longer lines. So a
+A line is cut after sentence marks that a space follows, since repeated passages also stand inside longer lines. So a
 text is a sequence of pieces, each a line or a part of one, and blank pieces aside a sequence of hashes. A repeated run
 can only hold pieces that occur at two places or more; other pieces part the text into stretches, of which those with too
 few words go first. A window is the shortest stretch of whole pieces with MIN_WORDS words or more that starts, or ends,
@@ -21,8 +21,11 @@ from sigloom.llm.common import cut, neutral
 #: Words of whole pieces in a run that is deleted when it repeats, at least. A passage of over 50 words reaches this even
 #: if the sentences at its ends, which its surroundings may change, take 15 of them. Words are what single spaces part.
 MIN_WORDS = 35
+#: Characters before a cut inside a line, at least: shorter sentences stay with the next one. From the end of the first
+#: sentence of that length on, the cuts of a passage are the same in whatever text it stands.
+PIECE_CHARS = 24
 #: A piece of a line with what parts it from the next: to a sentence mark and a space, to the end of the line, or the rest.
-PIECE = "[^\\n]*?[.!?] |[^\\n]*\\n|[^\\n]+"
+PIECE = f"[^\\n]{{{PIECE_CHARS},}}?[.!?] |[^\\n]*\\n|[^\\n]+"
 
 
 def pieces_of(text: str) -> F.Column:

@@ -240,7 +240,14 @@ def test_quality(spark, odd, none):
 
 def brute_lines(docs, min_words):
     """Pieces in a run of min_words words or more that also occurs earlier, by trying all runs of every document."""
-    cuts = [[x for x in re.split(r"(?<=[.!?] )|(?<=\n)", t) if x] for _, t in docs]
+    cuts = []
+    for _, t in docs:
+        at, cut = 0, []
+        for m in re.finditer(r"\n|[.!?] ", t):
+            if m[0] == "\n" or m.start() - at >= linededup.PIECE_CHARS:
+                cut.append(t[at : m.end()])
+                at = m.end()
+        cuts.append([*cut, t[at:]] if t[at:] else cut)
     seq = [[(p, x.strip(" \n"), x.strip(" \n").count(" ") + 1) for p, x in enumerate(c) if x.strip(" \n")] for c in cuts]
     seen, gone = {}, [set() for _ in docs]
     for k, lines in enumerate(seq):
