@@ -35,15 +35,17 @@ def pieces_of(text: str) -> F.Column:
 
 def repeated_pieces(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(d, t, q, p, h, w): the pieces that occur at two places or more: place among pieces with words, and among all, hash and words."""
-    bare = F.transform(pieces_of(text), lambda x: F.btrim(x, F.lit(" \n")))
+    named = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
+    bare = F.transform(pieces_of("x"), lambda x: F.btrim(x, F.lit(" \n")))
+    place = F.xxhash64("d", "t", "q")
+    hashes = F.transform(bare, lambda x: F.when(x != "", F.xxhash64(x)))
+    seen = named.select("d", "t", F.posexplode(hashes).alias("q", "h")).where("h is not null")
+    seen = seen.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     each = F.transform(bare, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("w"), i.alias("p")))
-    all_pieces = docs.select(
-        F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.filter(each, lambda x: x.w > 0)).alias("q", "x")
-    ).select("d", "t", "q", "x.p", "x.h", F.col("x.w").cast("long").alias("w"))
-    place = F.xxhash64("d", "t", "q")
-    seen = all_pieces.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    return all_pieces.join(cut(seen.where("lo <> hi").select("h")), "h", "left_semi").dropDuplicates(["d", "t", "q"])
+    pieces = named.select("d", "t", F.posexplode(F.filter(each, lambda x: x.w > 0)).alias("q", "v"))
+    pieces = pieces.select("d", "t", "q", "v.p", "v.h", F.col("v.w").cast("long").alias("w"))
+    return pieces.join(cut(seen), "h", "left_semi").dropDuplicates(["d", "t", "q"])
 
 
 def line_windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
