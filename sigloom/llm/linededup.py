@@ -100,8 +100,9 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     plain, name, _ = neutral(docs)
     body = F.col(name[text])
     same = F.col(name[doc_id]).eqNullSafe(F.col("__d")) & (F.xxhash64(body) == F.col("__t"))
-    joined = plain.join(gone, same, "left")
-    lines = pieces_of(name[text])
+    # A column of its own, used several times, is evaluated once a row and not again inside the lambda below.
+    joined = plain.join(gone, same, "left").withColumn("__pieces", pieces_of(name[text]))
+    lines = F.col("__pieces")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "")
     out = {
