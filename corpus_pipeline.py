@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigloom.llm import bpe, decontaminate, linededup, simhash, toxicity
+from sigloom.llm import bpe, decontaminate, linededup, passages, simhash, toxicity
 from sigloom.llm.common import cut, neutral, table
 
 
@@ -21,8 +21,12 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def line_dedup_stage(spark, docs, sf_dir):
-    """Deletes runs of lines that occurred before; a document stays even if nothing is left of its text."""
+    """Deletes passages of 51 words and more that occurred before, to the word, then shorter runs of whole pieces of lines.
+
+    A document stays even if nothing is left of its text.
+    """
     plain, name, back = neutral(docs)
+    plain = written(passages.drop_repeated_passages(plain, name["doc_id"], name["text"]), "passages")
     found = linededup.drop_repeated_lines(plain, name["doc_id"], name["text"])
     if "n_chars" in name:
         found = found.withColumn(name["n_chars"], F.length(name["text"]).cast("long"))

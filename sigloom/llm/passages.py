@@ -1,0 +1,105 @@
+"""Repeated passages of 51 words and more, found and deleted to the word, whatever pieces they stand in. DataFrame functions only.
+
+Every run of SPAN words has a fingerprint, the least hash of the shingles of SHINGLE words in it, so equal runs share one.
+Neighbouring runs mostly share theirs; such a stretch is one row. Stretches whose fingerprint stands at two places or more are
+joined back to their documents, and the hash of each whole run in them is compared: runs that occurred before, in the
+order of (doc_id, text hash, word), are deleted. No pair of occurrences is ever listed, and no repeated run is missed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sigloom.llm.common import cut, neutral
+
+#: Words of a run that is deleted when it repeats, at least.
+SPAN = 51
+#: Words of a hashed shingle, and shingles in a run.
+SHINGLE = 16
+WIDE = SPAN - SHINGLE + 1
+#: White space, and the characters of scripts without spaces (Chinese, Japanese, Thai, Lao, Tibetan, Burmese, Khmer), each a word.
+SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ALONE = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
+WORD = f"[{ALONE}]|[^{SPACE}{ALONE}]+"
+#: A word with the white space after it, the first one also with that before it; joined they are the text.
+TOKEN = f"[{SPACE}]*(?:{WORD})[{SPACE}]*"
+
+
+def doubled(df: DataFrame, column: str, size: int, join) -> DataFrame:
+    """Item i of the array joined with the ``size`` - 1 after it, by doubling. The last ``size`` - 1 items come out too short."""
+    held = 1
+    while held < size:
+        step = min(held, size - held)
+        # Each step is a column that the next one uses twice, so it is evaluated once a row.
+        df = df.withColumn(column, F.transform(column, lambda x, i: join(x, F.get(F.col(column), i + F.lit(step)))))  # noqa: B023
+        held += step
+    return df
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(d, t, n, h) and other columns for (d, t, x): the number of words and their hashes, of texts with SPAN words or more."""
+    words = F.transform(F.regexp_extract_all("x", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    found = docs.withColumn("h", words).drop("x").withColumn("n", F.size("h"))
+    return found.where(F.col("n") >= SPAN)
+
+
+def stretches(named: DataFrame) -> DataFrame:
+    """(d, t, a, b, fp, twice): the runs that start at the words from a to before b have the fingerprint fp. The runs of a text are parted into these.
+
+    ``twice`` tells that the fingerprint is that of several shingles in the stretch, which then can hold equal runs.
+    """
+    least = doubled(hashed(named), "h", SHINGLE, F.xxhash64).withColumn("g", F.slice("h", F.lit(1), F.col("n") - (SHINGLE - 1)))
+    least = doubled(least, "h", WIDE, F.least).withColumn("h", F.slice("h", F.lit(1), F.col("n") - (SPAN - 1)))
+    new = F.transform("h", lambda x, i: F.when((i == 0) | (F.get(F.col("h"), i - 1) != x), F.struct(x.alias("fp"), i.alias("a"))))
+    again = F.size(F.array_distinct("g")) < F.size("g")
+    parts = least.select("d", "t", "n", "g", again.alias("again"), F.array_compact(new).alias("r"))
+    stop = lambda j: F.coalesce(F.get(F.col("r"), j + 1)["a"], F.col("n") - (SPAN - 1))
+    parts = parts.withColumn("r", F.transform("r", lambda v, j: F.struct(v.fp.alias("fp"), v.a.alias("a"), stop(j).alias("b"))))
+    held = lambda v: F.slice("g", v.a + 1, v.b - v.a + (WIDE - 1))
+    twice = lambda v: F.when(F.col("again"), F.size(F.filter(held(v), lambda x: x == v.fp)) > 1).otherwise(False)
+    each = F.transform("r", lambda v: F.struct(v.fp.alias("fp"), v.a.alias("a"), v.b.alias("b"), twice(v).alias("twice")))
+    return parts.select("d", "t", F.explode(each).alias("v")).select("d", "t", "v.a", "v.b", "v.fp", "v.twice")
+
+
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, t, s): for documents with repeated runs the ascending first words of those to delete, SPAN words each."""
+    named = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
+    parts = cut(stretches(named))
+    place = F.struct("d", "t", "a")
+    prints = parts.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("twice").alias("twice"))
+    prints = cut(prints.where(~F.col("lo").eqNullSafe(F.col("hi")) | F.col("twice")).select("fp"))
+    close = parts.join(prints, "fp", "left_semi").groupBy(F.col("d").alias("d2"), F.col("t").alias("t2"))
+    close = close.agg(F.collect_set(F.struct("a", "b")).alias("r"))
+    near = named.join(close, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2"))).select("d", "t", "x", "r")
+    whole = doubled(hashed(near), "h", SPAN, F.xxhash64)
+    each = lambda v: F.transform(F.sequence(v.a, v.b - 1), lambda i: F.struct(i.alias("i"), F.get(F.col("h"), i).alias("key")))
+    runs = F.when(F.size("h") > 0, F.flatten(F.transform("r", each)))  # h twice, as above
+    runs = cut(whole.select("d", "t", F.explode(runs).alias("v")).select("v.key", F.struct("d", "t", "v.i").alias("o")))
+    firsts = runs.groupBy("key").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    firsts = cut(firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "first"))
+    later = runs.join(firsts, "key").where(~F.col("o").eqNullSafe(F.col("first"))).select("o.d", "o.t", "o.i")
+    return later.groupBy("d", "t").agg(F.sort_array(F.collect_set("i")).alias("s"))
+
+
+def drop_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every run of SPAN words or more that occurred before deleted from ``text``, whole and to the word.
+
+    Words are what white space parts, and single characters of scripts without spaces; they are compared as they stand.
+    A word goes with the white space after it. Every row stays, if with an empty text. Null texts stay null. Rows with
+    the same id and text are one document; a null id sorts before all others. Other columns pass through.
+    Of a text that repeats itself with overlaps one period stays. An empty table gives an empty result.
+    """
+    gone = cut(repeated_runs(docs, doc_id, text)).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("s").alias("__s"))
+    s = F.col("__s")
+    heads = F.filter(s, lambda x, j: (j == 0) | (x - F.get(s, j - 1) > SPAN))
+    tails = F.filter(s, lambda x, j: (j == F.size(s) - 1) | (F.get(s, j + 1) - x > SPAN))
+    gone = gone.select("__d", "__t", heads.alias("__a"), tails.alias("__b"))
+    plain, name, back = neutral(docs)
+    body = name[text]
+    same = F.col(name[doc_id]).eqNullSafe(F.col("__d")) & (F.xxhash64(body) == F.col("__t"))
+    joined = plain.join(gone, same, "left").withColumn("__w", F.when(F.col("__a").isNotNull(), F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))))
+    w, a, b = F.col("__w"), F.col("__a"), F.col("__b")
+    upto = F.transform(F.array_append(a, F.size(w)), lambda x, j: F.struct(F.when(j == 0, 0).otherwise(F.get(b, j - 1) + SPAN).alias("lo"), x.alias("hi")))
+    rest = F.array_join(F.flatten(F.transform(upto, lambda v: F.slice(w, v.lo + 1, v.hi - v.lo))), "")
+    return back(joined.withColumn(body, F.when(a.isNull(), F.col(body)).otherwise(rest)))

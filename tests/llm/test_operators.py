@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sigloom.llm import bpe, decontaminate, langid, linededup, pii, quality, registry, shards, simhash, tiff, toxicity
+from sigloom.llm import bpe, decontaminate, langid, linededup, passages, pii, quality, registry, shards, simhash, tiff, toxicity
 from tests.compare import duck, same
 
 R = random.Random(5)
@@ -278,6 +278,41 @@ def test_line_dedup(spark, odd, none):
     assert linededup.drop_repeated_lines(none).count() == 0
 
 
+def brute_passages(docs):
+    """The texts without the words of runs of 51 words that also occur earlier, by trying all runs."""
+    seen, out = {}, []
+    for k, t in docs:
+        words = re.findall(r"\s*\S+\s*", t)
+        bare, gone = [x.strip() for x in words], set()
+        for i in range(len(bare) - 50):
+            if seen.setdefault(tuple(bare[i : i + 51]), (k, i)) != (k, i):
+                gone |= set(range(i, i + 51))
+        out.append("".join(x for i, x in enumerate(words) if i not in gone) if gone else t)
+    return out
+
+
+def test_repeated_passages(spark, odd, none):
+    pool = [" ".join(sentence(1) for _ in range(n)) for n in (30, 51, 52, 70, 120)] + ["ka " * 130, "lo mi " * 60, ". ".join(sentence(9) for _ in range(7))]
+    docs = [(i, R.choice(("", " ", "\n")) + "".join(R.choice((R.choice(pool), sentence(R.randrange(1, 40)))) + R.choice((" ", "\n", "  ", "\t")) for _ in range(R.randrange(7)))) for i in range(80)]
+    docs += [(90 + n, " ".join(f"{w}{n}" for w in ("ka", "lo", "mi") for _ in range(n)) + " " + f"un{n} ter{n} so{n} " * (n // 3)) for n in range(50, 90, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = passages.drop_repeated_passages(df).orderBy("doc_id").toPandas().text.tolist()
+    assert got == brute_passages(docs) and got != [t for _, t in docs]
+    # 51 words of one sentence, glued to other surroundings: no whole piece is shared.
+    passage = sentence(51)
+    glued = [(i, f"{sentence(5 + i)} {passage} {sentence(9 + i)}.") for i in range(3)]
+    chinese = "".join(chr(0x4E00 + R.randrange(5000)) for _ in range(60))
+    glued += [(i, f"{sentence(3)} {chr(0x5A00 + i)}{chinese}{chr(0x5B00 + i)}") for i in (10, 11)]
+    staged = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(glued, "doc_id long, text string"), None)
+    kept = {r.doc_id: r.text for r in staged.collect()}
+    assert [i for i, t in kept.items() if passage in t] == [0] and kept[0] == glued[0][1]
+    assert kept[2] == glued[2][1].replace(passage + " ", "")
+    assert [i for i, t in kept.items() if chinese in t] == [10] and kept[11] == glued[4][1].replace(chinese, "")
+    rows = passages.drop_repeated_passages(odd)
+    assert rows.columns == odd.columns and rows.count() == 15 and [r.text for r in rows.collect() if r.doc_id == 0] == [None]
+    assert passages.drop_repeated_passages(none).count() == 0
+
+
 def test_decontamination(spark, odd, none):
     items = [(i, sentence(R.randrange(1, 40))) for i in range(30)] + [(90, ""), (91, None), (92, "Short, ITEM here")]
     docs = []
