@@ -86,6 +86,13 @@ WRITTEN = re.compile(
     r"(?i)[a-z0-9][a-z0-9._+-]{1,63}\s{0,2}[\[({<]?\s{0,2}\bat\b\s{0,2}[\])}>]?\s{0,2}[a-z0-9-]{2,63}"
     r"(?:\s{0,2}[\[({<]?\s{0,2}(?:\bdot\b|\.)\s{0,2}[\])}>]?\s{0,2}[a-z0-9-]{2,24}){1,4}"
 )
+#: A written-out at with a host after it, any or without a plain dot beside a space, and what stands before it.
+HOSTS = (
+    re.compile(WRITTEN.pattern[WRITTEN.pattern.index(r"\bat\b") :], re.IGNORECASE),
+    re.compile(r"\bat\b\s{0,2}[\])}>]?\s{0,2}[a-z0-9-]{2,63}(?:(?:\s{0,2}[\[({<]\s{0,2}(?:\bdot\b|\.)\s{0,2}[\])}>]\s{0,2}|\s{1,2}dot\s{1,2}|\.)[a-z0-9-]{2,24}){1,4}", re.IGNORECASE),
+)
+AT = re.compile(r"\b[aA][tT]\b")
+OWNER = re.compile(r"(?i)(?<![a-z0-9._+-])[a-z0-9][a-z0-9._+-]{1,63}\s{0,2}[\[({<]?\s{0,2}\Z")
 DOTTED = re.compile(r"(?i)[0-9]{1,3}(?:\s?[\[(]\s?(?:\.|dot)\s?[\])]\s?[0-9]{1,3}){3}")
 GROUPED = re.compile(r"[0-9]{4}(?:[ ._/-]{1,3}[0-9]{4}){3}(?![0-9])")
 LOCAL_PHONE = re.compile(r"\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![0-9])")
@@ -101,6 +108,10 @@ def candidates(text: str, taken: list[Span]) -> list[Span]:
         out += [(0, start + x.start(), start + x.end()) for x in WRITTEN.finditer(text[start : m.end() + 120])]
         out += [(1, start + x.start(), start + x.end()) for x in DOTTED.finditer(text[start : m.end() + 120])]
         near = m.start()
+    for m in AT.finditer(text):
+        ends = {x.end() for h in HOSTS if (x := h.match(text, m.start()))}
+        if ends and (owner := OWNER.search(text, max(0, m.start() - 70), m.start())):
+            out += [(0, owner.start(), end) for end in ends]
     for run in re.finditer(r"[(0-9][0-9 ()._/-]{6,}", text):
         out += [(2, run.start() + m.start(), run.start() + m.end()) for m in GROUPED.finditer(run[0])]
         out += [(3, run.start() + m.start(), run.start() + m.end()) for m in LOCAL_PHONE.finditer(run[0])]
@@ -115,6 +126,9 @@ def candidates(text: str, taken: list[Span]) -> list[Span]:
     return free
 
 
+WRITTEN_PARTS = re.compile(r"(?i)([a-z0-9][a-z0-9._+-]*)\s*([\[({<]?)\s*at\s*[\])}>]?\s*[a-z0-9-]+(?:\.[a-z0-9-]+)*\.([a-z0-9-]+)")
+
+
 def describe(text: str, span: Span) -> list[float]:
     """Format and context features of a proposal."""
     kind, start, end = span
@@ -124,6 +138,7 @@ def describe(text: str, span: Span) -> list[float]:
     words = set(re.findall(r"[a-z-]+", before)) | set(re.findall(r"[a-z-]+", after))
     cue = [float(any(c in words for c in CUES[k])) for k in range(4)]
     joiners = set(re.findall(r"[^0-9A-Za-z]", body))
+    parts = WRITTEN_PARTS.fullmatch(body) if kind == 0 else None
     return [
         float(kind), float(len(body)), float(len(d)), float(len(groups)), float(max(map(len, groups), default=0)),
         float(min(map(len, groups), default=0)), float(len(joiners)), float("(" in body), float("-" in body), float("/" in body),
@@ -132,6 +147,9 @@ def describe(text: str, span: Span) -> list[float]:
         float(bool(re.match(r"[\w%]", after))), float(" dot " in body.lower() or "[dot]" in body.lower() or "(dot)" in body.lower()),
         float(kind == 1 and len(groups) == 4 and all(int(g) <= 255 for g in groups)),
         float([len(g) for g in groups] in ([3, 3, 4], [1, 3, 3, 4])),
+        # Plain dots only: a local part with a digit or mark, an at in brackets, a last label of letters. And a dot before a space.
+        float(bool(parts and re.search(r"[0-9._+-]", parts[1]))), float(bool(parts and parts[2])),
+        float(bool(parts and parts[3].isalpha())), float(bool(parts)), float(bool(re.search(r"\.\s|\s\.", body))),
     ]
 
 
@@ -178,6 +196,23 @@ def training_texts(n: int = 3000, seed: int = 11) -> list[tuple[str, list[Span]]
         if good:
             spans.append((min(kind, 3), len(before) + 1, len(before) + 1 + len(body)))
         out.append((text, spans))
+    for _ in range(n // 3):  # an at in words and plain dots, and look-alikes: places, prices, ends of sentences
+        before, top = " ".join(word() for _ in range(r.randint(2, 8))), r.choice(("com", "org", "net", "de", "info", "co.uk"))
+        host = f"{word()}{r.choice(('', num(1), '-' + word(), '.' + word()))}.{top}"
+        marked = r.choice((f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}_{word()}", f"{word()}-{word()}"))
+        closed = r.choice(("[at]", " [at] ", "(at)", " (at) ", " <at> ", "{at}", " [AT] "))
+        good = r.random() < 0.5
+        if good:
+            body = r.choice((f"{marked}{closed}{host}", f"{word()}{closed}{host}", f"{marked} at {host}"))
+            before += r.choice(("", "", " " + r.choice(CUES[0])))
+        else:
+            plain = r.choice(("look", "meet", "is", "us", "me", "sold", "stay", "held", word()))
+            body = r.choice((
+                f"{plain} at {host}", f"{plain} at {word()}xx. {word().title()}", f"{marked} at {word()}xx. {word().title()}",
+                f"{plain} at {num(2)}.{num(2)}", f"{marked} at {num(2)}.{num(2)}", f"{plain} at the {host}",
+            ))
+        text = f"{before} {body}{r.choice((' ', '. ', ', '))}{r.choice((word(), word().title()))} {word()}"
+        out.append((text, [(0, len(before) + 1, len(before) + 1 + len(body))] if good else []))
     return out
 
 

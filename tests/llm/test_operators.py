@@ -195,6 +195,17 @@ def test_pii(spark, odd, none):
     assert pii.add_spans(none).count() == 0
 
 
+def test_pii_written_with_plain_dots(spark):
+    pick = pii.picker().pick
+    for address in ("john.doe [at] example.com", "jdoe(at)example.org", "jdoe42 at example.com", "j_doe AT mail.example.co.uk"):
+        for after in (" today", ". Then we met", ", or not", ""):
+            assert pick(f"please write to {address}{after}", []) == [(0, 16, 16 + len(address))]
+    for text in ("look at example.com for more", "we sat at home. Then we left", "it sold at 12.50 and more", "on page12 at noon. They left", "you can meet us at example.org. Good"):
+        assert pick(text, []) == []
+    docs = spark.createDataFrame([(1, "ask jdoe(at)example.org. Thanks")], "doc_id long, text string")
+    assert [(r.redacted, r.n_added, r.n_email) for r in pii.add_spans(docs).collect()] == [("ask <EMAIL>. Thanks", 1, 0)]
+
+
 def test_shards(spark, odd, none):
     docs = odd.unionByName(spark.range(3000).selectExpr("id as doc_id", "repeat('x', 100) as text", "'' as lang", "0D as score", "'' as fp"))
     docs = docs.unionByName(spark.range(2000).selectExpr("7L as doc_id", "repeat('y', 50) as text", "'' as lang", "0D as score", "'' as fp"))
