@@ -99,6 +99,15 @@ def fingerprint_links(fps: DataFrame, fp: str = "fp", counts: str = "counts") ->
     return ball.join(low, "w").where("f <> lo").select(F.col("f").alias("a"), F.col("lo").alias("b")).distinct()
 
 
+def print_components(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint in (doc_id, fp): one root per component, and its smallest doc_id."""
+    firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("counts", segment_counts(F.col("fp"))))
+    comp = connected_components(fingerprint_links(firsts))
+    named = firsts.join(comp, firsts.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lows = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(lows, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (long) and component_id (smallest doc_id reachable) of every row.
 
@@ -107,11 +116,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are ignored; an empty table gives an empty result.
     """
     prints = cut(add_fingerprints(docs, text, [doc_id]).select(F.col(doc_id).alias("doc_id"), "fp"))
-    firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("counts", segment_counts(F.col("fp"))))
-    comp = connected_components(fingerprint_links(firsts))
-    named = firsts.join(comp, firsts.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = cut(named.join(lows, "root").select("fp", "component_id"))
+    ids = cut(print_components(prints).select("fp", "component_id"))
     # Both sides are read from checkpoints and dealt by the join itself, so that a large group of copies is split at run time.
     return prints.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -121,13 +126,30 @@ def hex_of(fp: F.Column) -> F.Column:
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows with a null id all stay.
+    """One row of each component of ``docs``, with the smallest id in it; rows with a null id all stay.
 
-    Extra columns may have any names.
+    An id may stand for several texts: each row counts with the component of its own text. Of rows of a component that
+    repeat its smallest id one stays, by the hash of the text, then of the row. Components are those of op1, links of
+    fingerprints within MAX_BITS bits. Extra columns may have any names.
     """
-    last = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
+    prints = cut(add_fingerprints(keyed, "x", ["doc_id", "t"]))
+    roots = cut(print_components(prints).select("fp", "root"))
+    each = prints.where("doc_id is not null").join(roots, "fp").groupBy("root", "doc_id", "t").agg(F.count("*").alias("n"))
+    each = cut(each.select("root", F.struct("doc_id", "t").alias("o"), "n"))
+    best = cut(each.groupBy("root").agg(F.min("o").alias("best")))
+    marks = each.join(best, "root").select(F.col("o.doc_id").alias("__d"), F.col("o.t").alias("__t"), (F.col("o") != F.col("best")).alias("__gone"), "n")
+    marks = cut(marks.where(F.col("__gone") | (F.col("n") > 1)).drop("n"))
     plain, name, back = neutral(docs)
-    return back(plain.join(last, F.col(name[doc_id]) == F.col("__gone"), "left_anti"))
+    same = (F.col(name[doc_id]) == F.col("__d")) & (F.xxhash64(name[text]) == F.col("__t"))
+    rest = plain.join(marks.where("__gone"), same, "left_anti")
+    repeats = marks.where("not __gone")
+    if repeats.isEmpty():
+        return back(rest)
+    row = F.struct(*plain.columns)
+    hashed = F.xxhash64(*(f.name for f in plain.schema if "map" not in f.dataType.simpleString()))
+    one = rest.join(repeats, same).groupBy("__d", "__t").agg(F.min_by(row, hashed).alias("row")).select("row.*")
+    return back(rest.join(repeats, same, "left_anti").unionAll(one))
 
 
 def op1_simhash(spark, sf_dir):

@@ -84,6 +84,16 @@ def test_simhash(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark, odd, none):
+    a, b, c = (sentence(60) for _ in range(3))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (9, c, "x"), (9, c, "x"), (9, c, "y"), (None, c, "z"), (None, c, "z")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (5, b), (9, c), (0, c), (0, c)])
+    once = simhash.keep_one_of_each(spark.createDataFrame([(3, a), (4, a), (3, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in once) == sorted([(3, a), (3, b)])
+    assert simhash.keep_one_of_each(odd).columns == odd.columns and simhash.keep_one_of_each(none).count() == 0
+
+
 def test_links_equal_all_pairs(spark):
     seeds = [R.getrandbits(64) for _ in range(20)]
     f = sorted({s ^ sum(1 << R.randrange(64) for _ in range(R.randrange(3))) for s in seeds for _ in range(12)})
