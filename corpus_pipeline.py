@@ -34,7 +34,11 @@ def line_dedup_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Keeps the document with the smallest doc_id of each near-duplicate group."""
+    """Keeps the document with the smallest doc_id of each near-duplicate group.
+
+    Groups are those of op1: fingerprints of 3-word shingles within 2 bits. Looser copies (most pairs with a 5-word
+    Jaccard similarity of 0.8 or more differ in 3 to 11 bits) all stay.
+    """
     return simhash.keep_one_of_each(docs)
 
 
