@@ -1,7 +1,7 @@
 """TIFF pages: walks image directories, decodes strips and tiles, and emits one row per page.
 
 Reads both byte orders; uncompressed, PackBits, LZW and deflate data; strips and tiles; horizontal differencing;
-8- and 16-bit samples in chunky or separate planes. Also writes 8-bit grey or colour pages for storing payloads.
+8- and 16-bit samples in chunky or separate planes, and 1-, 2- and 4-bit ones, which come out as a byte each. Also writes 8-bit grey or colour pages for storing payloads.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from sigloom.llm.common import map_columns, table
 # Fixed values of the TIFF 6.0 format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
+FILL_ORDER = 266
 TYPE_SIZES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 5: (8, ""), 10: (8, ""), 7: (1, "B"), 11: (4, "f"), 12: (8, "d")}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 LZW_CLEAR, LZW_END = 256, 257
@@ -158,6 +159,8 @@ def squeeze(data: bytes, compression: int) -> bytes:
 
 def read_pages(data: bytes, max_bytes: int = 1 << 30) -> list[Page]:
     """Every page that the chain of directories leads to. A page that can't be decoded carries a problem instead."""
+    if data[:4] in (b"II+\0", b"MM\0+"):
+        return [Page(0, 0, 0, 0, 0, 0, 0, False, b"", "BigTIFF")]
     if len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
         return []
     order = "<" if data[:2] == b"II" else ">"
@@ -187,25 +190,43 @@ def read_pages(data: bytes, max_bytes: int = 1 << 30) -> list[Page]:
     return pages
 
 
+#: Each byte with its bits in the opposite order, as fill order 2 has them.
+MIRRORED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
+def widen(data: bytes, rows: int, columns: int, bits: int) -> bytes:
+    """A byte for each sample of fewer bits, the high bits of a byte first; each row starts at a byte."""
+    held = np.frombuffer(data, np.uint8, rows * -(-columns * bits // 8)).reshape(rows, -1)
+    shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+    return (held[:, :, None] >> shifts & ((1 << bits) - 1)).reshape(rows, -1)[:, :columns].astype(np.uint8).tobytes()
+
+
 def _page(data: bytes, tags: dict[int, list], number: int, order: str, max_bytes: int) -> Page:
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height, samples, bits = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1), one(BITS, 1)
     compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16):
+    if bits not in (1, 2, 4, 8, 16):
         raise ValueError(f"{bits} bits a sample")
-    if width * height * samples * bits // 8 > max_bytes:
+    if bits < 8 and predictor != 1:
+        raise ValueError(f"predictor {predictor} of {bits} bits a sample")
+    if width * height * samples * max(bits, 8) // 8 > max_bytes:
         raise ValueError("page too large")
     tiled = TILE_OFFSETS in tags
     w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
     offsets, counts = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
     across, down, depth = math.ceil(width / w), math.ceil(height / max(1, h)), samples if planar == 1 else 1
-    kind = np.dtype("u1") if bits == 8 else np.dtype(f"{order}u2")
+    kind = np.dtype("u1") if bits <= 8 else np.dtype(f"{order}u2")
     image = np.zeros((height, width, samples), kind.newbyteorder("=") if bits == 16 else kind)
     for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         plane, place = divmod(k, across * down)
         y, x = place // across * h, place % across * w
         rows = h if tiled else min(h, height - y)
-        raw = expand(data[offset : offset + count], compression, rows * w * depth * kind.itemsize)
+        packed = data[offset : offset + count]
+        if bits < 8:
+            packed = packed.translate(MIRRORED) if one(FILL_ORDER, 1) == 2 else packed
+            raw = widen(expand(packed, compression, rows * -(-w * depth * bits // 8)), rows, w * depth, bits)
+        else:
+            raw = expand(packed, compression, rows * w * depth * kind.itemsize)
         part = np.frombuffer(raw, kind, rows * w * depth).reshape(rows, w, depth).astype(image.dtype)
         if predictor == 2:
             part = np.cumsum(part, 1, dtype=image.dtype)
@@ -317,7 +338,7 @@ def pages_of(files: DataFrame, content: str = "content", keep: list[str] = ("pat
     """One row per page of binary files: ``keep`` columns (of which none may be named like a page column), page number,
     width, height, samples, bits, compression, predictor, tiled, pixels and problem.
 
-    A null, empty or foreign file has no page; a broken page has a problem and no pixels.
+    A null, empty or foreign file has no page; a broken page, one over 1 GiB, or a BigTIFF file has a problem and no pixels.
     """
     item = pa.struct([("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("problem", pa.string())])
 

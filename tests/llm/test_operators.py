@@ -249,6 +249,26 @@ def test_tiff(spark, odd, none):
     assert tiff.add_media(none).count() == 0
 
 
+def test_tiff_of_few_bits(spark):
+    import struct
+
+    rng = np.random.default_rng(3)
+    for bits in (1, 2, 4):
+        for form in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+            image = rng.integers(0, 1 << bits, (5, 13), dtype=np.uint8)
+            lines = ["".join(f"{v:0{bits}b}" for v in row) for row in image.tolist()]
+            data = b"".join(int(x.ljust(-(-len(x) // 8) * 8, "0"), 2).to_bytes(-(-len(x) // 8), "big") for x in lines)
+            data = tiff.squeeze(data, form)
+            tags = [(256, 13), (257, 5), (258, bits), (259, form), (273, 8), (278, 5), (279, len(data))]
+            fields = b"".join(struct.pack("<HHII", tag, 4, 1, v) for tag, v in tags if (tag, v) != (258, 1))
+            n = len(fields) // 12
+            file = b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", n) + fields + bytes(4)
+            (page,) = tiff.read_pages(file)
+            assert page.problem is None and page.bits == bits and page.pixels == image.tobytes()
+    files = spark.createDataFrame([("a", bytearray(file)), ("b", bytearray(b"II+\0" + bytes(12)))], "path string, content binary")
+    assert [(r.path, r.problem) for r in tiff.pages_of(files).orderBy("path").collect()] == [("a", None), ("b", "BigTIFF")]
+
+
 def test_quality(spark, odd, none):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet").toPandas()
