@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigloom.llm import bpe, decontaminate, linededup, passages, simhash, toxicity
-from sigloom.llm.common import cut, neutral, table
+from sigloom.llm import bpe, decontaminate, linededup, simhash, toxicity
+from sigloom.llm.common import neutral, stored, table
 
 
 def toxicity_stage(spark, docs, sf_dir):
@@ -21,12 +21,11 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def line_dedup_stage(spark, docs, sf_dir):
-    """Deletes passages of 51 words and more that occurred before, to the word, then shorter runs of whole pieces of lines.
+    """Deletes the runs of words and the whole lines that occurred before, by the rule of op8.
 
     A document stays even if nothing is left of its text.
     """
     plain, name, back = neutral(docs)
-    plain = written(passages.drop_repeated_passages(plain, name["doc_id"], name["text"]), "passages")
     found = linededup.drop_repeated_lines(plain, name["doc_id"], name["text"])
     if "n_chars" in name:
         found = found.withColumn(name["n_chars"], F.length(name["text"]).cast("long"))
@@ -69,17 +68,5 @@ def run(spark, sf_dir):
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(docs, name)
+            docs = stored(docs, f"stage-{name}")
     return docs
-
-
-def written(docs, name):
-    """``docs`` as Parquet in the shared folder, read again."""
-    import uuid
-
-    spark = docs.sparkSession
-    cut(spark.range(1))  # makes sure that there is a shared folder
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/stage-{name}-{uuid.uuid4().hex}"
-    docs.write.parquet(path)
-    return spark.read.parquet(path)
