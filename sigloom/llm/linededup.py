@@ -1,140 +1,214 @@
 """Repeated runs of text, found by winnowing and deleted where they occur again. DataFrame functions only.
 
-A line is cut after sentence marks that a space follows, since repeated passages also stand inside longer lines. So a
-text is a sequence of pieces, each a line or a part of one, and blank pieces aside a sequence of hashes. A repeated run
-can only hold pieces that occur at two places or more; other pieces part the text into stretches, of which those with too
-few words go first. A window is the shortest stretch of whole pieces with MIN_WORDS words or more that starts, or ends,
-at a piece. Winnowing takes the least hash of each window as its fingerprint (the rightmost on ties), so equal windows
-have equal fingerprints and every repeated run of that many words is guaranteed one. Fingerprints found at two places or
-more are joined back to their windows, each match is extended both ways to the window around it and compared whole, and
-windows that occurred before, in the order of (doc_id, text hash, piece), are deleted. Every piece of a repeated run is in
-such a window, so whole runs go, wherever their parts occurred first; no pair of occurrences is ever listed.
+A text is a sequence of words, and its lines are runs of words as well. Two kinds of runs go where they occurred before, in
+the order of (doc_id, text hash, word): every run of RUN_WORDS words or more, wherever it starts and ends, and every whole
+line of LINE_CHARS characters or more.
+
+Hashes of lines alone miss a passage inside a longer line, so the hashes winnowed are those of shingles of SHINGLE words. The
+least hash of every WINDOW shingles is selected: RUN_WORDS words hold a whole window, so equal runs select the same one,
+which makes the selected hashes guaranteed fingerprints. Neighbouring windows mostly select the same hash; such a stretch,
+about one for 14 words, is the only thing that leaves a document:
+
+1. Stretches are joined by fingerprint. One whose fingerprint stands nowhere else is dropped.
+2. A stretch is extended both ways to all words that its windows reach, and compared as a whole. Inside a repeated passage
+   stretches are equal, so they go here but for those at its ends. Lines are compared as a whole likewise.
+3. Where a fingerprint has different stretches, the first of each is extended word by word, and each run of RUN_WORDS words
+   in it is compared. Later stretches equal to it hold the same runs, so nothing else needs a look.
+
+No pair of occurrences is ever listed, and no repeated run is missed. Runs count as equal if two 64-bit hashes of their words
+agree (for a stretch, the fingerprint, a hash of all its words and their number).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut, neutral
-
-#: Words of whole pieces in a run that is deleted when it repeats, at least. A passage of over 50 words reaches this even
-#: if the sentences at its ends, which its surroundings may change, take 15 of them. Words are what single spaces part.
-MIN_WORDS = 35
-#: Characters before a cut inside a line, at least: shorter sentences stay with the next one. From the end of the first
-#: sentence of that length on, the cuts of a passage are the same in whatever text it stands.
-PIECE_CHARS = 24
-#: A piece of a line with what parts it from the next: to a sentence mark and a space, to the end of the line, or the rest.
-PIECE = f"[^\\n]{{{PIECE_CHARS},}}?[.!?] |[^\\n]*\\n|[^\\n]+"
-
-
-def pieces_of(text: str) -> F.Column:
-    """The pieces of a text in order; joined they are the text. An empty text has none."""
-    return F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
-
-
-def repeated_pieces(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(d, t, q, p, h, w): the pieces that occur at two places or more: place among pieces with words, and among all, hash and words."""
-    named = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
-    bare = F.transform(pieces_of("x"), lambda x: F.btrim(x, F.lit(" \n")))
-    place = F.xxhash64("d", "t", "q")
-    hashes = F.transform(bare, lambda x: F.when(x != "", F.xxhash64(x)))
-    seen = named.select("d", "t", F.posexplode(hashes).alias("q", "h")).where("h is not null")
-    seen = seen.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
-    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
-    each = F.transform(bare, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("w"), i.alias("p")))
-    pieces = named.select("d", "t", F.posexplode(F.filter(each, lambda x: x.w > 0)).alias("q", "v"))
-    pieces = pieces.select("d", "t", "q", "v.p", "v.h", F.col("v.w").cast("long").alias("w"))
-    return pieces.join(cut(seen), "h", "left_semi").dropDuplicates(["d", "t", "q"])
-
-
-def line_windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """(d, t, s, e, key, fp, at): windows of each document from piece s to e, their hash, fingerprint and its piece."""
-    found = repeated_pieces(docs, doc_id, text)
-    stretch = F.col("q") - F.row_number().over(Window.partitionBy("d", "t").orderBy("q"))
-    by_stretch = Window.partitionBy("d", "t", "g")
-    lines = found.withColumn("g", stretch).withColumn("stop", F.sum("w").over(by_stretch.orderBy("q").rowsBetween(Window.unboundedPreceding, 0)))
-    lines = lines.withColumns({"begin": F.col("stop") - F.col("w"), "words": F.sum("w").over(by_stretch)})
-    lines = cut(lines.where(F.col("words") >= min_words).drop("words"))
-    row = F.struct("h", (-F.col("p")).alias("q"), "w")
-
-    def windows(frame) -> DataFrame:
-        held = lines.select("d", "t", F.collect_list(row).over(frame).alias("a"))
-        words = F.aggregate("a", F.lit(0).cast("long"), lambda n, x: n + x.w)
-        low = F.array_min("a")
-        return held.where(words >= min_words).select(
-            "d", "t", (-F.array_max("a.q")).alias("s"), (-F.array_min("a.q")).alias("e"),
-            F.xxhash64(F.transform("a", lambda x: x.h)).alias("key"), low.h.alias("fp"), (-low.q).alias("at"),
-        )
-
-    ahead = by_stretch.orderBy("begin").rangeBetween(0, min_words - 1)
-    behind = by_stretch.orderBy("stop").rangeBetween(-(min_words - 1), 0)
-    return windows(ahead).unionAll(windows(behind))
-
-
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, gone): for documents with repeated runs the ascending piece numbers to delete, blank pieces inside included."""
-    found = cut(line_windows(docs, doc_id, text, min_words))
-    place = F.struct("d", "t", "at")
-    prints = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    prints = cut(prints.where(~F.col("lo").eqNullSafe(F.col("hi"))).select("fp"))
-    close = found.join(prints, "fp", "left_semi").select("key", F.struct("d", "t", "s").alias("o"), "e")
-    firsts = close.groupBy("key").agg(F.min("o").alias("first"), F.max("o").alias("last"))
-    firsts = cut(firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "first"))
-    later = close.join(firsts, "key").where(~F.col("o").eqNullSafe(F.col("first")))
-    spans = later.select("o.d", "o.t", "o.s", "e").groupBy("d", "t").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    numbers = F.flatten(F.transform("spans", lambda x: F.sequence(x.s, x.e)))
-    return spans.select("d", "t", F.sort_array(F.array_distinct(numbers)).alias("gone"))
-
-
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated runs deleted from ``text``, and the columns __n_lines and __n_gone, its pieces and those deleted.
-
-    Every row stays, if with an empty text. Null texts stay null and have no pieces. A piece
-    goes with the space or line end after it. Rows with the same id and text are
-    one document and come out alike; a null id sorts before all others. Other columns pass through under any names, but
-    for two of the added names, which are replaced. An empty table gives an empty result.
+from sigloom.llm.common import neutral, stored
+
+#: Words of a run that is deleted when it repeats, at least.
+RUN_WORDS = 35
+#: Characters of a whole line that is deleted when it repeats, at least, without the white space at its ends.
+LINE_CHARS = 40
+#: Words of a hashed shingle; the shingles in a run are a window.
+SHINGLE = 8
+#: White space, and the characters of scripts without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese), each a word.
+SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ALONE = r"\x{e00}-\x{fff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+WORD = f"[{ALONE}]|[^{SPACE}{ALONE}]+"
+#: A word with the white space after it up to the last line end.
+UNIT = rf"(?:{WORD})(?:[{SPACE}]*\n)?"
+#: A word with the white space after it, the first one also with that before it; joined they are the text.
+TOKEN = f"[{SPACE}]*(?:{WORD})[{SPACE}]*"
+#: Texts without such characters have the same words by these plainer patterns, which are three times as fast.
+FOREIGN = r"[\x{85}\x{a0}\x{e00}-\x{10ffff}]"
+PLAIN_UNIT = r"[^\x09-\x0d ]+(?:[\x09-\x0d ]*\n)?"
+PLAIN_TOKEN = r"[\x09-\x0d ]*[^\x09-\x0d ]+[\x09-\x0d ]*"
+#: The characters of SPACE.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def matches(text: str, pattern: str, plain: str) -> F.Column:
+    found = lambda x: F.regexp_extract_all(F.col(text), F.lit(x), F.lit(0))
+    return F.when(F.col(text).rlike(FOREIGN), found(pattern)).otherwise(found(plain))
+
+
+def ahead(column: str, join, steps: list[int]) -> F.Column:
+    """Each item of an array joined with those so many places ahead; null stands for those beyond the end."""
+    return F.transform(column, lambda x, i: join(x, *(F.get(F.col(column), i + F.lit(n)) for n in steps)))
+
+
+def trimmed(column: str, lost: int) -> F.Column:
+    return F.slice(column, F.lit(1), F.greatest(F.lit(0), F.size(column) - lost))
+
+
+def least_of(df: DataFrame, column: str, size: int) -> DataFrame:
+    """Replaces each item of an array by the least of it and the ``size`` - 1 after it; the last ``size`` - 1 are cut off."""
+    held = 1
+    while held < size:  # each step is a column that the next one uses several times, so it is evaluated once a row
+        steps = sorted({min(k * held, size - held) for k in (1, 2, 3)})
+        df, held = df.withColumn(column, ahead(column, F.least, steps)), held + steps[-1]
+    return df.withColumn(column, trimmed(column, size - 1))
+
+
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(d, t, x): id, hash and text of the rows with a text."""
+    return docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
+
+
+def word_hashes() -> F.Column:
+    return F.transform("u", lambda x: F.xxhash64(F.when(x.endswith("\n"), F.btrim(x, F.lit(SPACES))).otherwise(x)))
+
+
+def runs_of(docs: DataFrame, run_words: int, line_chars: int) -> DataFrame:
+    """(d, t, lo, hi, fp, kind, line): the stretches of texts (d, t, x), by their first and last words, and the long lines, by their number.
+
+    ``fp`` is the fingerprint of a stretch or a hash of a line, ``kind`` another hash of all its words. A stretch has less than
+    twice as many words as a run, so its first and last ``run_words`` words are all of them. Blank lines have no number.
+    """
+    row = lambda lo, hi, fp, kind, line: F.struct(lo.alias("lo"), hi.alias("hi"), fp.alias("fp"), kind.alias("kind"), F.lit(line).alias("line"))
+    bare = F.filter(F.transform(F.split("x", "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
+    lines = F.transform(bare, lambda x, j: F.when(F.length(x) >= line_chars, row(j, j, F.xxhash64(x), F.xxhash64(x, F.lit(1)), True)))
+    words = docs.select("d", "t", F.array_compact(lines).alias("lines"), matches("x", UNIT, PLAIN_UNIT).alias("u")).withColumn("n", F.size("u"))
+    words = words.withColumn("h", word_hashes()).drop("u")
+    words = words.withColumn("m", ahead("h", F.xxhash64, [1]))
+    words = words.withColumn("m", ahead("m", F.xxhash64, [2]))
+    # The lower half of a shingle's hash, then its place from the right: of equal ones the rightmost is the least.
+    words = words.withColumn("m", F.transform("m", lambda x, i: F.shiftleft(F.xxhash64(x, F.get(F.col("m"), i + 4)), 32) - i))
+    least = least_of(words.withColumn("m", trimmed("m", SHINGLE - 1)), "m", run_words - SHINGLE + 1)
+    place = lambda x: (-x).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    new = F.transform("m", lambda x, i: F.when((i == 0) | (F.get(F.col("m"), i - 1) != x), F.struct(place(x).alias("p"), i.alias("a"))))
+    parts = least.select("d", "t", "n", "h", "lines", F.array_compact(new).alias("r"))
+    last = lambda j: F.coalesce(F.get(F.col("r"), j + 1)["a"] + (run_words - 2), F.col("n") - 1)
+    parts = parts.withColumn("r", F.transform("r", lambda v, j: F.struct(v.a.alias("lo"), last(j).alias("hi"), v.p.alias("p"))))
+    block = lambda at, size: [F.get(F.col("h"), at + k) for k in range(size)]
+    whole = lambda lo, hi: F.xxhash64(hi - lo, *block(lo, run_words), *block(hi - (run_words - 1), run_words))
+    each = F.transform("r", lambda v: row(v.lo, v.hi, F.xxhash64(*block(v.p, SHINGLE)), whole(v.lo, v.hi), False))
+    return parts.select("d", "t", F.explode(F.concat(each, "lines")).alias("v")).select("d", "t", "v.*")
+
+
+def single_runs(near: DataFrame, run_words: int) -> DataFrame:
+    """(d, t, lo, k1, k2): the runs in the stretches ``r`` of texts (d, t, x), and two hashes of the words of each.
+
+    Hashes of 1, 2, 4 and so on words; two of the longest that fit, and three or four of half their length, hold a run.
     """
-    gone = repeated_lines(docs, doc_id, text, min_words)
-    gone = cut(gone).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
+    words = near.select("d", "t", "r", matches("x", UNIT, PLAIN_UNIT).alias("u")).withColumn("h", word_hashes()).drop("u")
+    words, held = words.withColumn("g", F.col("h")), 1
+    while 2 * held <= run_words:
+        words = words.withColumn("g", F.col("h")).withColumn("h", ahead("h", F.xxhash64, [held]))
+        held *= 2
+    get = lambda c, i, n: [F.get(F.col(c), i + k) for k in n]
+    half, rest = max(1, held // 2), run_words - held
+    keys = lambda i: (F.xxhash64(*get("h", i, (0, rest))), F.xxhash64(*get("g", i, (0, half, rest, rest + half))))
+    starts = F.array_distinct(F.flatten(F.transform("r", lambda v: F.sequence(v.lo, v.hi - (run_words - 1)))))
+    each = F.transform(starts, lambda i: F.struct(i.alias("lo"), keys(i)[0].alias("k1"), keys(i)[1].alias("k2")))
+    return words.select("d", "t", F.explode(each).alias("v")).select("d", "t", "v.*")
+
+
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, line_chars: int = LINE_CHARS) -> DataFrame:
+    """(d, t, spans): for documents with runs that occurred before these as structs (lo, hi, line): first and last words, or line numbers."""
+    texts = named(docs, doc_id, text)
+    runs = stored(runs_of(texts, run_words, line_chars), "runs")
+    place, spot = F.struct("d", "t", "lo"), F.xxhash64("d", "t", "lo")
+    # Fingerprints, and lines, at two places or more; mixed: the stretches differ.
+    prints = runs.groupBy("fp", "line").agg(F.min(spot).alias("s0"), F.max(spot).alias("s1"), F.min("kind").alias("k0"), F.max("kind").alias("k1"))
+    prints = prints.where("s0 <> s1").select("fp", "line", F.expr("k0 <> k1 and not line").alias("mixed"))
+    close = stored(runs.join(prints, ["fp", "line"]), "close-runs")
+    key = ["fp", "kind", "line"]
+    firsts = close.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("mixed").alias("mixed"), F.max(F.expr("hi - lo")).alias("more"))
+    firsts = stored(firsts, "first-runs")
+    again = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(*key, "first")
+    whole = close.select(*key, place.alias("o"), "hi").join(again, key)
+    whole = whole.where(~F.col("o").eqNullSafe(F.col("first"))).select("o.d", "o.t", "o.lo", "hi", "line")
+    # The first stretch of each kind under a mixed fingerprint, run by run.
+    heads = firsts.where("mixed").select("first.d", "first.t", F.struct("first.lo", (F.col("first.lo") + F.col("more")).alias("hi")).alias("v"))
+    heads = heads.groupBy(F.col("d").alias("d2"), F.col("t").alias("t2")).agg(F.collect_set("v").alias("r"))
+    near = texts.join(heads, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2"))).select("d", "t", "x", "r")
+    single = stored(single_runs(near, run_words).select("k1", "k2", place.alias("o")), "single-runs")
+    before = single.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    before = before.where(~F.col("first").eqNullSafe(F.col("last"))).select("k1", "k2", "first")
+    later = single.join(before, ["k1", "k2"]).where(~F.col("o").eqNullSafe(F.col("first"))).select("o.d", "o.t", "o.lo", (F.col("o.lo") + (run_words - 1)).alias("hi"), F.lit(False).alias("line"))
+    return whole.unionAll(later).groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi", "line")).alias("spans"))
+
+
+def drop_repeated_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, line_chars: int = LINE_CHARS,
+) -> DataFrame:
+    """``docs`` with repeated runs deleted from ``text``, and the column __n_gone, the number of words deleted.
+
+    Words are what white space parts, and single characters of scripts without spaces; they are compared as they stand, the
+    white space between them isn't. A word goes with the white space after it. Every row stays, if with an empty text. Null
+    texts stay null. Rows with the same id and text are one document and come out alike; a null id sorts
+    before all others. Of a text that repeats itself with overlaps one period stays. Other columns pass through under any
+    names, but for that of the added one, which is replaced. An empty table gives an empty result.
+    """
+    gone = stored(repeated_runs(docs, doc_id, text, run_words, line_chars), "gone")
+    gone = gone.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans"))
     plain, name, _ = neutral(docs)
     body = F.col(name[text])
     same = F.col(name[doc_id]).eqNullSafe(F.col("__d")) & (F.xxhash64(body) == F.col("__t"))
-    # A column of its own, used several times, is evaluated once a row and not again inside the lambda below.
-    joined = plain.join(gone, same, "left").withColumn("__pieces", pieces_of(name[text]))
-    lines = F.col("__pieces")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "")
+    # Columns of their own, used several times, are evaluated once a row and not again inside the lambda below.
+    joined = plain.join(gone, same, "left").withColumn("__tokens", F.when(F.col("__spans").isNotNull(), matches(name[text], TOKEN, PLAIN_TOKEN)))
+    tokens = F.col("__tokens")
+    # The first word of each line; a line's words are those up to the next one's.
+    ends = lambda x, i: x.contains("\n") & ((i > 0) | F.ltrim(x, F.lit(SPACES)).contains("\n"))
+    starts = F.transform("__tokens", lambda x, i: F.when((i == 0) | ends(F.get(tokens, i - 1), i - 1), i))
+    joined = joined.withColumn("__starts", F.when(F.exists("__spans", lambda v: v.line), F.array_append(F.array_compact(starts), F.size(tokens))))
+    at = lambda j: F.get(F.col("__starts"), j)
+    numbers = F.flatten(F.transform("__spans", lambda v: F.when(v.line, F.sequence(at(v.lo), at(v.lo + 1) - 1)).otherwise(F.sequence(v.lo, v.hi))))
+    joined = joined.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size(tokens) - 1), numbers))
+    rest = F.array_join(F.transform("__kept", lambda i: F.get(tokens, i)), "")
     out = {
-        text: F.when(F.col("__gone").isNull(), body).otherwise(rest),
-        "__n_lines": F.when(body.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-        "__n_gone": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
+        text: F.when(tokens.isNull(), body).otherwise(rest),
+        "__n_gone": F.when(tokens.isNotNull(), F.size(tokens) - F.size("__kept")).otherwise(F.lit(0)).cast("long"),
     }
     names = [c for c in docs.columns if c.lower() not in {k.lower() for k in out}]
     return joined.select(*(F.col(name[c]).alias(c) for c in names), *(v.alias(k) for k, v in out.items()))
 
 
 def op8_linededup(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = drop_repeated_lines(docs)
+    found = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return found.select("doc_id", F.col("__n_lines").alias("n_pieces"), F.col("__n_gone").alias("n_removed"), digest.alias("text_sha256"))
+    return found.select("doc_id", F.col("__n_gone").alias("n_removed"), digest.alias("text_sha256"))
+
 
+SPACES_SQL = "' || " + " || ".join(f"chr({ord(c)})" for c in SPACES) + " || '"
 
 OP8_SQL = f"""
-WITH split AS (SELECT doc_id AS d, regexp_extract_all(coalesce(text, ''), '{PIECE}') AS a FROM documents),
+WITH split AS (SELECT doc_id AS d, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS a FROM documents),
 flat AS (SELECT d, unnest(a) AS x, unnest(range(len(a))) AS p FROM split),
-bare AS (SELECT d, p, trim(x, ' ' || chr(10)) AS x FROM flat),
-lines AS (SELECT *, sum(w) OVER (PARTITION BY d ORDER BY p) AS stop FROM (SELECT *, len(x) - len(replace(x, ' ', '')) + 1 AS w FROM bare WHERE x <> '')),
-pairs AS (
-  SELECT a.d, a.p AS s, min(b.p) AS e FROM lines a JOIN lines b ON a.d = b.d AND b.p >= a.p AND b.stop - a.stop + a.w >= {MIN_WORDS} GROUP BY 1, 2
-  UNION
-  SELECT b.d, max(a.p) AS s, b.p AS e FROM lines a JOIN lines b ON a.d = b.d AND b.p >= a.p AND b.stop - a.stop + a.w >= {MIN_WORDS} GROUP BY 1, 3),
-wins AS (SELECT q.d, q.s, q.e, string_agg(l.x, chr(10) ORDER BY l.p) AS k FROM pairs q JOIN lines l ON l.d = q.d AND l.p BETWEEN q.s AND q.e GROUP BY 1, 2, 3),
-ranked AS (SELECT *, first_value(d) OVER (PARTITION BY k ORDER BY d, s) AS fd, first_value(s) OVER (PARTITION BY k ORDER BY d, s) AS fs FROM wins),
+bare AS (SELECT d, p, x, regexp_extract(x, '{WORD}') AS w,
+  coalesce(sum(CASE WHEN contains(ltrim(x, '{SPACES_SQL}'), chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM flat),
+words AS (SELECT d, list(w ORDER BY p) AS w FROM bare GROUP BY 1),
+runs AS (SELECT d, s, s + {RUN_WORDS - 1} AS e, array_to_string(w[s + 1:s + {RUN_WORDS}], ' ') AS k, 'run' AS kind
+  FROM (SELECT d, w, unnest(range(len(w) - {RUN_WORDS - 1})) AS s FROM words WHERE len(w) >= {RUN_WORDS})
+  UNION ALL
+  SELECT d, min(p), max(p), trim(string_agg(x, '' ORDER BY p), '{SPACES_SQL}'), 'line' FROM bare GROUP BY d, line HAVING len(trim(string_agg(x, '' ORDER BY p), '{SPACES_SQL}')) >= {LINE_CHARS}),
+ranked AS (SELECT *, first_value(d) OVER (PARTITION BY kind, k ORDER BY d, s) AS fd, first_value(s) OVER (PARTITION BY kind, k ORDER BY d, s) AS fs FROM runs),
 gone AS (SELECT DISTINCT d, unnest(range(s, e + 1)) AS p FROM ranked WHERE d <> fd OR s <> fs),
 lost AS (SELECT d, count(*) AS n FROM gone GROUP BY 1),
 rest AS (SELECT f.d, string_agg(f.x, '' ORDER BY f.p) AS x FROM flat f ANTI JOIN gone g ON g.d = f.d AND g.p = f.p GROUP BY 1)
-SELECT o.d AS doc_id, CAST(len(o.a) AS BIGINT) AS n_pieces, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest.x, '')) AS text_sha256
-FROM split o LEFT JOIN lost ON lost.d = o.d LEFT JOIN rest ON rest.d = o.d
+SELECT o.doc_id, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN lost.n IS NULL THEN coalesce(o.text, '') ELSE coalesce(rest.x, '') END) AS text_sha256
+FROM documents o LEFT JOIN lost ON lost.d = o.doc_id LEFT JOIN rest ON rest.d = o.doc_id
 """

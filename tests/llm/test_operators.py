@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sigloom.llm import bpe, decontaminate, langid, linededup, passages, pii, quality, registry, shards, simhash, tiff, toxicity
+from sigloom.llm import bpe, decontaminate, langid, linededup, pii, quality, registry, shards, simhash, tiff, toxicity
+from sigloom.llm.common import stored
 from tests.compare import duck, same
 
 R = random.Random(5)
@@ -279,79 +280,47 @@ def test_quality(spark, odd, none):
     assert quality.add_quality(odd, scorer).count() == 15 and quality.add_quality(none, scorer).count() == 0
 
 
-def brute_lines(docs, min_words):
-    """Pieces in a run of min_words words or more that also occurs earlier, by trying all runs of every document."""
-    cuts = []
-    for _, t in docs:
-        at, cut = 0, []
-        for m in re.finditer(r"\n|[.!?] ", t):
-            if m[0] == "\n" or m.start() - at >= linededup.PIECE_CHARS:
-                cut.append(t[at : m.end()])
-                at = m.end()
-        cuts.append([*cut, t[at:]] if t[at:] else cut)
-    seq = [[(p, x.strip(" \n"), x.strip(" \n").count(" ") + 1) for p, x in enumerate(c) if x.strip(" \n")] for c in cuts]
-    seen, gone = {}, [set() for _ in docs]
-    for k, lines in enumerate(seq):
-        for i in range(len(lines)):
-            for j in range(i, len(lines)):
-                if sum(w for _, _, w in lines[i : j + 1]) >= min_words:
-                    run = tuple(x for _, x, _ in lines[i : j + 1])
-                    if seen.setdefault(run, (k, i)) != (k, i):
-                        gone[k] |= set(range(lines[i][0], lines[j][0] + 1))
-    return ["".join(x for p, x in enumerate(c) if p not in gone[k]) for k, c in enumerate(cuts)]
-
-
-def test_line_dedup(spark, odd, none):
-    pool = [sentence(R.randrange(1, 9)) for _ in range(8)] + [""]
-    docs = [(i, "".join(R.choice(pool) + R.choice(("\n", ". ", "! ", ".  ")) for _ in range(R.randrange(12)))) for i in range(60)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = linededup.drop_repeated_lines(df, min_words=12).orderBy("doc_id").toPandas().text.tolist()
-    assert got == brute_lines(docs, 12)
-    passage = ". ".join(sentence(9) for _ in range(6)) + "."
-    inside = [(i, f"{sentence(20 + i)} {passage} {sentence(11 + i)}.\n{sentence(8)}") for i in range(40)]
-    kept = {r.doc_id: r.text for r in linededup.drop_repeated_lines(spark.createDataFrame(inside, "doc_id long, text string")).collect()}
-    assert [i for i, t in kept.items() if passage in t] == [0] and kept[0] == inside[0][1]
-    assert all(t.startswith(inside[i][1][:60]) and t.endswith(inside[i][1][-60:]) for i, t in kept.items())
-    rows = linededup.drop_repeated_lines(odd).collect()
-    assert len(rows) == 15 and {"lang", "score", "fp"} <= set(rows[0].asDict())
-    assert [r.text for r in rows if r.doc_id == 0] == [None] and [r.text for r in rows if r.doc_id == 8] == [""]
-    assert len({r.text for r in rows if r.doc_id == 5}) == 1
-    assert linededup.drop_repeated_lines(none).count() == 0
-
-
-def brute_passages(docs):
-    """The texts without the words of runs of 51 words that also occur earlier, by trying all runs."""
+def brute_lines(docs, run_words, line_chars):
+    """The texts without the words of runs and long lines that also occur earlier, by trying all of them."""
     seen, out = {}, []
     for k, t in docs:
         words = re.findall(r"\s*\S+\s*", t)
         bare, gone = [x.strip() for x in words], set()
-        for i in range(len(bare) - 50):
-            if seen.setdefault(tuple(bare[i : i + 51]), (k, i)) != (k, i):
-                gone |= set(range(i, i + 51))
+        for i in range(len(bare) - run_words + 1):
+            if seen.setdefault(tuple(bare[i : i + run_words]), (k, i)) != (k, i):
+                gone |= set(range(i, i + run_words))
+        at = 0
+        for line in filter(str.strip, t.split("\n")):
+            n = len(line.split())
+            if len(line.strip()) >= line_chars and seen.setdefault(line.strip(), (k, at)) != (k, at):
+                gone |= set(range(at, at + n))
+            at += n
         out.append("".join(x for i, x in enumerate(words) if i not in gone) if gone else t)
     return out
 
 
-def test_repeated_passages(spark, odd, none):
-    pool = [" ".join(sentence(1) for _ in range(n)) for n in (30, 51, 52, 70, 120)] + ["ka " * 130, "lo mi " * 60, ". ".join(sentence(9) for _ in range(7))]
-    docs = [(i, R.choice(("", " ", "\n")) + "".join(R.choice((R.choice(pool), sentence(R.randrange(1, 40)))) + R.choice((" ", "\n", "  ", "\t")) for _ in range(R.randrange(7)))) for i in range(80)]
+def test_line_dedup(spark, odd, none):
+    pool = [" ".join(sentence(1) for _ in range(n)) for n in (9, 30, 35, 36, 70, 120)] + ["ka " * 130, "lo mi " * 60, ". ".join(sentence(9) for _ in range(7))]
+    docs = [(i, R.choice(("", " ", "\n")) + "".join(R.choice((R.choice(pool), sentence(R.randrange(1, 40)))) + R.choice((" ", "\n", " \n", "\n\n", "  ", "\t")) for _ in range(R.randrange(7)))) for i in range(80)]
     docs += [(90 + n, " ".join(f"{w}{n}" for w in ("ka", "lo", "mi") for _ in range(n)) + " " + f"un{n} ter{n} so{n} " * (n // 3)) for n in range(50, 90, 4)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = passages.drop_repeated_passages(df).orderBy("doc_id").toPandas().text.tolist()
-    assert got == brute_passages(docs) and got != [t for _, t in docs]
-    # 51 words of one sentence, glued to other surroundings: no whole piece is shared.
+    for sizes in ((35, 40), (20, 15), (51, 200)):
+        got = linededup.drop_repeated_lines(df, run_words=sizes[0], line_chars=sizes[1]).orderBy("doc_id").toPandas().text.tolist()
+        assert got == brute_lines(docs, *sizes) and got != [t for _, t in docs]
+    # A passage of one sentence, glued to other surroundings: no whole line or sentence is shared.
     passage = sentence(51)
     glued = [(i, f"{sentence(5 + i)} {passage} {sentence(9 + i)}.") for i in range(3)]
     chinese = "".join(chr(0x4E00 + R.randrange(5000)) for _ in range(60))
     glued += [(i, f"{sentence(3)} {chr(0x5A00 + i)}{chinese}{chr(0x5B00 + i)}") for i in (10, 11)]
-    staged = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(glued, "doc_id long, text string"), None)
-    kept = {r.doc_id: r.text for r in staged.collect()}
+    kept = {r.doc_id: r.text for r in linededup.drop_repeated_lines(spark.createDataFrame(glued, "doc_id long, text string")).collect()}
     assert [i for i, t in kept.items() if passage in t] == [0] and kept[0] == glued[0][1]
     assert kept[2] == glued[2][1].replace(passage + " ", "")
     assert [i for i, t in kept.items() if chinese in t] == [10] and kept[11] == glued[4][1].replace(chinese, "")
-    rows = passages.drop_repeated_passages(odd)
-    assert rows.columns == odd.columns and rows.count() == 15 and [r.text for r in rows.collect() if r.doc_id == 0] == [None]
-    assert passages.drop_repeated_passages(none).count() == 0
+    rows = linededup.drop_repeated_lines(odd).collect()
+    assert len(rows) == 15 and {"lang", "score", "fp"} <= set(rows[0].asDict())
+    assert [r.text for r in rows if r.doc_id == 0] == [None] and [r.text for r in rows if r.doc_id == 8] == [""]
+    assert len({r.text for r in rows if r.doc_id == 5}) == 1
+    assert linededup.drop_repeated_lines(none).count() == 0
 
 
 def test_decontamination(spark, odd, none):
@@ -408,7 +377,7 @@ def test_pipeline(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, kept, sf_dir)
         assert out.columns == docs.columns
-        kept = corpus_pipeline.written(out, name)
+        kept = stored(out, name)
     last = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).toPandas()
     same(corpus_pipeline.run(spark, sf_dir).toPandas(), last)
     assert 0.6 * docs.count() < len(last) < docs.count()
