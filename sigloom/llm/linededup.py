@@ -30,6 +30,8 @@ from sigloom.llm.common import neutral, stored
 RUN_WORDS = 35
 #: Characters of a whole line that is deleted when it repeats, at least, without the white space at its ends.
 LINE_CHARS = 40
+#: A key of a join with more than 1 in HOT of the rows is dealt to SALTS places; there are less than HOT such keys.
+HOT, SALTS = 1000, 64
 #: Words of a hashed shingle; the shingles in a run are a window.
 SHINGLE = 8
 #: White space, and the characters of scripts without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese), each a word.
@@ -125,21 +127,32 @@ def single_runs(near: DataFrame, run_words: int) -> DataFrame:
     return words.select("d", "t", F.explode(each).alias("v")).select("d", "t", "v.*")
 
 
+def spread_join(many: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
+    """``many`` joined by ``key`` with ``groups``, one row a key with its number ``rows`` of rows in ``many``.
+
+    Keys with more than 1 in HOT of the ``total`` rows, HOT at most, are dealt to SALTS places, where ``groups`` repeats.
+    """
+    hot = F.col("rows") * HOT > F.lit(total)
+    marks = F.broadcast(groups.where(hot).select(*key, F.lit(True).alias("__hot")))
+    salted = many.join(marks, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("d", "t", "lo"), F.lit(SALTS))).otherwise(0)).drop("__hot")
+    copied = groups.select(*groups.columns, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("__salt"))
+    return salted.join(copied, [*key, "__salt"]).drop("__salt", "rows")
+
+
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, line_chars: int = LINE_CHARS) -> DataFrame:
     """(d, t, spans): for documents with runs that occurred before these as structs (lo, hi, line): first and last words, or line numbers."""
     texts = named(docs, doc_id, text)
     runs = stored(runs_of(texts, run_words, line_chars), "runs")
     place, spot = F.struct("d", "t", "lo"), F.xxhash64("d", "t", "lo")
     # Fingerprints, and lines, at two places or more; mixed: the stretches differ.
-    prints = runs.groupBy("fp", "line").agg(F.min(spot).alias("s0"), F.max(spot).alias("s1"), F.min("kind").alias("k0"), F.max("kind").alias("k1"))
-    prints = prints.where("s0 <> s1").select("fp", "line", F.expr("k0 <> k1 and not line").alias("mixed"))
-    close = stored(runs.join(prints, ["fp", "line"]), "close-runs")
+    prints = runs.groupBy("fp", "line").agg(F.min(spot).alias("s0"), F.max(spot).alias("s1"), F.min("kind").alias("k0"), F.max("kind").alias("k1"), F.count("*").alias("rows"))
+    prints = stored(prints.where("s0 <> s1").select("fp", "line", "rows", F.expr("k0 <> k1 and not line").alias("mixed")), "prints")
+    close = stored(spread_join(runs, prints, ["fp", "line"], runs.count()), "close-runs")
     key = ["fp", "kind", "line"]
-    firsts = close.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("mixed").alias("mixed"), F.max(F.expr("hi - lo")).alias("more"))
+    firsts = close.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("mixed").alias("mixed"), F.max(F.expr("hi - lo")).alias("more"), F.count("*").alias("rows"))
     firsts = stored(firsts, "first-runs")
-    again = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(*key, "first")
-    whole = close.select(*key, place.alias("o"), "hi").join(again, key)
-    whole = whole.where(~F.col("o").eqNullSafe(F.col("first"))).select("o.d", "o.t", "o.lo", "hi", "line")
+    again = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(*key, "first", "rows")
+    whole = spread_join(close.drop("mixed"), again, key, close.count()).where(~place.eqNullSafe(F.col("first"))).select("d", "t", "lo", "hi", "line")
     # The first stretch of each kind under a mixed fingerprint, run by run.
     heads = firsts.where("mixed").select("first.d", "first.t", F.struct("first.lo", (F.col("first.lo") + F.col("more")).alias("hi")).alias("v"))
     heads = heads.groupBy(F.col("d").alias("d2"), F.col("t").alias("t2")).agg(F.collect_set("v").alias("r"))
