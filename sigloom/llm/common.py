@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
+#: Bytes of the rows that a Python function gets at a time, on average over their batch.
+SLICE_BYTES = 8 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -92,17 +94,21 @@ def map_columns(
     """Runs a Python function over Arrow batches.
 
     ``make()`` is called once per partition and returns ``f(*columns) -> list of output columns``; the input
-    columns come as Python lists. ``keep`` columns pass through unchanged, before the new ones.
+    columns come as Python lists. ``keep`` columns pass through unchanged, before the new ones, whose names they may not
+    have. A call gets at most 1024 rows, and fewer if they are long, but one at least.
     """
     ship_package(df.sparkSession)
     inputs, keep = list(inputs), list(keep)
+    if clash := {c.lower() for c in keep} & {c.lower() for c in schema.names}:
+        raise ValueError(f"columns to keep have the names of new ones: {sorted(clash)}")
     picked = list(dict.fromkeys([*keep, *inputs]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            step = max(1, min(1024, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 out = f(*(part.column(picked.index(c)).to_pylist() for c in inputs))
                 arrays = [part.column(picked.index(c)) for c in keep]
                 arrays += [pa.array(x, type=t.type) for x, t in zip(out, schema, strict=True)]

@@ -12,15 +12,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut
+from sigloom.llm.common import cut, neutral, stored
 
 #: Hash bits of a key, from its md5.
 BITS = 60
 SHARD_BYTES = 1 << 20
 #: Bits by which cells are finer than shards of even size would be.
-FINER = 6
-#: Cells of a directory that is broadcast, at most (24 bytes each).
-BROADCAST_CELLS = 1 << 16
+FINER = 2
+#: Cells of a directory that is broadcast, at most; one takes about 200 bytes in memory.
+BROADCAST_CELLS = 1 << 14
 
 
 def leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
@@ -65,8 +65,8 @@ def split_rows(rows: DataFrame, low: int, high: int, width: int, limit: int, mar
     return cut(rows.join(F.broadcast(lookup) if small else lookup, ["g", "cell"]).drop("cell"))
 
 
-def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
-    """key, n_bytes, shard (its hash bits as text) and depth (their number) of every row.
+def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES, row: str | None = None) -> DataFrame:
+    """key, the column ``row`` if named, n_bytes, shard (its hash bits as text) and depth (their number) of every row.
 
     A null key hashes as the empty text; a null text has no bytes; an empty table gives an empty result. Rows with the
     same key share all hash bits, so where they alone exceed the limit, bits from the rows' places follow after a slash.
@@ -74,29 +74,37 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     """
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    rest = cut(docs.select(F.col(key).alias("key"), F.lit("").alias("g"), hashed.alias("bits"), size.alias("n_bytes")))
+    number = F.col(row) if row else F.lit(0)
+    rest = cut(docs.select(F.col(key).alias("key"), number.alias("row"), F.lit("").alias("g"), hashed.alias("bits"), size.alias("n_bytes")))
     finer = lambda most: FINER + max(0, math.ceil(math.log2(max(1, (most or 0) / limit))))
     high = min(BITS, finer(rest.agg(F.sum("n_bytes")).first()[0]))
     rounds = [split_rows(rest, 0, high, BITS, limit, "", True)]
     if high < BITS and not (rest := rounds[-1].where("over")).isEmpty():
-        rest = rest.select("key", F.lit("").alias("g"), "bits", "n_bytes")
+        rest = rest.select("key", "row", F.lit("").alias("g"), "bits", "n_bytes")
         rounds.append(split_rows(rest, high, BITS, BITS, limit, "", False))
     while not (rest := rounds[-1].where("over")).isEmpty():
         most = rest.groupBy("shard").agg(F.sum("n_bytes").alias("b")).agg(F.max("b")).first()[0]
         place = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit(len(rounds))), 34)
-        rest = cut(rest.select("key", F.col("shard").alias("g"), place.alias("bits"), "n_bytes"))
+        rest = cut(rest.select("key", "row", F.col("shard").alias("g"), place.alias("bits"), "n_bytes"))
         rounds.append(split_rows(rest, 0, min(30, finer(most)), 30, limit, "/", True))
     out = None
     for found in rounds:
-        part = found.where("not over").select("key", "n_bytes", "shard")
+        part = found.where("not over").select("key", "row", "n_bytes", "shard")
         out = part if out is None else out.unionAll(part)
-    return out.select(F.col("key").alias(key), "n_bytes", "shard", F.length(F.replace("shard", F.lit("/"), F.lit(""))).alias("depth"))
+    return out.select(F.col("key").alias(key), *([F.col("row").alias(row)] if row else []), "n_bytes", "shard", F.length(F.replace("shard", F.lit("/"), F.lit(""))).alias("depth"))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """One folder of Parquet per shard under ``path``. Keys have to be unique here, since rows find their shard by key."""
-    where = assign_shards(docs, key, text, limit).select(F.col(key).alias("__key"), F.col("shard"))
-    joined = docs.join(where, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    """One folder of Parquet per shard under ``path``, which holds every row of ``docs`` once, those with the same key as well.
+
+    Rows are numbered in a table in the shared folder, since rows with the same key may go to different shards.
+    """
+    if any(c.lower() == "shard" for c in docs.columns):
+        raise ValueError("the folders are named by a column shard; rename the one that the rows have")
+    plain, name, _ = neutral(docs)
+    rows = stored(plain.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    where = assign_shards(rows, name[key], name[text], limit, "__row").select("__row", "shard")
+    joined = rows.join(where, "__row").select(*(F.col(name[c]).alias(c) for c in docs.columns), "shard")
     joined.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
