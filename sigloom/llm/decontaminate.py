@@ -2,9 +2,9 @@
 
 Test items are partitioned by the number of their shingles. An item's sketch is its smallest shingle hashes, as many
 as its partition needs for a guarantee: a document that holds a share t of an item's q shingles misses at most
-(1 - t) q of them, so any floor((1 - t) q) + 1 of them hold a hit. A document is a candidate for the items of which it
-has a sketch hash, and exact containment over all shingles then decides. Documents are looked up in the index where
-they are, whole and one by one; nothing of theirs is shuffled.
+(1 - t) q of them, so any floor((1 - t) q) + 1 of them hold a hit. Only sketches are looked up: a document is a candidate
+for the items of which it has a sketch hash. Candidates alone meet all shingles of their items, in a join by document and
+shingle, which counts them exactly. Of documents without a hit nothing is stored or shuffled.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_columns, neutral, words_of
+from sigloom.llm.common import map_columns, neutral, stored, words_of
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: Shingles of an index that is broadcast at once, at most (16 bytes each); more items are searched block by block.
-INDEX_SHINGLES = 1_000_000
+#: Distinct sketch hashes that are broadcast, at most (8 bytes each); more are joined with the documents' shingles.
+SKETCH_HASHES = 2_000_000
 WORD_MEMO = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,9 +32,12 @@ class WordHashes(dict):
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
+    def of(self, text: str | None) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words_of(text))), np.uint64)
+
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of all stretches of ``size`` word hashes."""
+    """64-bit hashes of all stretches of ``size`` word hashes, in their order."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -42,91 +45,90 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = (out ^ words[k : k + n]) * MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
 
 
 def item_shingles(words: np.ndarray) -> np.ndarray:
-    """An item's shingles; one with fewer words than a shingle has is a single shorter shingle."""
-    return shingle_hashes(words, min(SHINGLE_WORDS, len(words))) if len(words) else np.zeros(0, np.uint64)
-
-
-class Index:
-    """All shingles of some items, which of them are sketch hashes, and a bit table that turns most lookups away."""
-
-    def __init__(self, items: list[tuple[object, np.ndarray, int]], threshold: float):
-        self.ids = [i for i, _, _ in items]
-        self.sizes = np.array([len(h) for _, h, _ in items], np.int64)
-        self.threshold = threshold
-        self.lengths = sorted({n for _, h, n in items if len(h)})
-        marked = []
-        for k, (_, h, _) in enumerate(items):
-            upper = (1 << int(len(h)).bit_length()) - 1  # the largest size in this item's partition
-            need = min(len(h), int(np.floor((1 - threshold) * upper + 1e-9)) + 1)
-            marked += [(int(x), k, i < need) for i, x in enumerate(h.tolist())]
-        marked.sort()
-        self.hashes = np.array([x for x, _, _ in marked], np.uint64)
-        self.items = np.array([k for _, k, _ in marked], np.int64)
-        self.sketch = np.array([s for _, _, s in marked], bool)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(item number, shared shingles) of the items that the words contain to the threshold."""
-        found = [shingle_hashes(words, n) for n in self.lengths]
-        h = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        h = h[self.bits[(h >> np.uint64(44)).astype(np.int64)]]
-        if not len(h):
-            return []
-        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        counts = high - low
-        at = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        candidates = np.unique(self.items[at[self.sketch[at]]])
-        shared = np.bincount(self.items[at], minlength=len(self.ids))
-        return [(int(k), int(shared[k])) for k in candidates if shared[k] + 1e-9 >= self.threshold * self.sizes[k]]
-
-
-def indexes(items: DataFrame, item_id: str, text: str, threshold: float) -> list[Index]:
-    """One index, or as many as keep each under INDEX_SHINGLES; the items come to the driver one block at a time."""
+    """An item's distinct shingles, smallest first; one with fewer words than a shingle has is a single shorter shingle."""
+    return np.unique(shingle_hashes(words, min(SHINGLE_WORDS, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
+
+def sketch_length(q: int, threshold: float) -> int:
+    """Smallest hashes in the sketch of an item of ``q`` shingles, by the largest size in its partition (powers of two)."""
+    upper = (1 << int(q).bit_length()) - 1
+    return min(q, int(np.floor((1 - threshold) * upper + 1e-9)) + 1)
+
+
+def item_table(items: DataFrame, item_id: str, text: str, threshold: float) -> DataFrame:
+    """(item, item_id, size, q, h, sketch) of the items with a word: a number, the id, words of a shingle, all shingles and the sketch."""
 
     def make():
         memo = WordHashes()
 
         def run(texts):
-            out = []
-            for t in texts:
-                w = np.array(list(map(memo.__getitem__, words_of(t))), np.uint64)
-                out.append((item_shingles(w).view(np.int64).tolist(), min(SHINGLE_WORDS, len(w))))
-            return [[h for h, _ in out], [n for _, n in out]]
+            found = [memo.of(t) for t in texts]
+            shingles = [item_shingles(w).view(np.int64).tolist() for w in found]
+            sketches = [h[: sketch_length(len(h), threshold)] if h else [] for h in shingles]
+            return [[min(SHINGLE_WORDS, len(w)) for w in found], [len(h) for h in shingles], shingles, sketches]
 
         return run
 
-    schema = pa.schema([("h", pa.list_(pa.int64())), ("n", pa.int32())])
-    rows = map_columns(items, [text], make, schema, "h array<bigint>, n int", [item_id])
-    block, size, done = [], 0, []
-    for r in rows.where(F.size("h") > 0).toLocalIterator():
-        block.append((r[0], np.sort(np.array(r.h, np.int64).view(np.uint64)), r.n))
-        size += len(r.h)
-        if size >= INDEX_SHINGLES:
-            done.append(Index(block, threshold))
-            block, size = [], 0
-    return [*done, Index(block, threshold)] if block else done
+    schema = pa.schema([("size", pa.int32()), ("q", pa.int64()), ("h", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    plain = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("x"))
+    rows = map_columns(plain, ["x"], make, schema, "size int, q bigint, h array<bigint>, sketch array<bigint>", ["item_id"])
+    return stored(rows.where("q > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+class Sketches:
+    """Sorted sketch hashes, and a bit table that turns most lookups away. None stands for hashes that are too many to hold."""
+
+    def __init__(self, hashes: np.ndarray | None, sizes: list[int]):
+        self.hashes, self.sizes = hashes, sizes
+        if hashes is not None:
+            self.bits = np.zeros(1 << 20, bool)
+            self.bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
 
+    def find(self, words: np.ndarray) -> tuple[list[int], list[int]]:
+        """The sketch hashes that occur in a document, and all its distinct shingles; nothing if none occurs."""
+        every = np.concatenate([shingle_hashes(words, n) for n in self.sizes])
+        if self.hashes is None:
+            every = np.unique(every).view(np.int64).tolist()
+            return every, every
+        near = np.unique(every[self.bits[(every >> np.uint64(44)).astype(np.int64)]])
+        near = near[np.isin(near, self.hashes, assume_unique=True)]
+        return (near.view(np.int64).tolist(), np.unique(every).view(np.int64).tolist()) if len(near) else ([], [])
 
-def search(docs: DataFrame, index: Index, doc_text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and __hits, the (item number, shared shingles) that each row contains."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+def contained_pairs(docs: DataFrame, items: DataFrame, text: str, keys: list[str], threshold: float) -> DataFrame:
+    """``keys`` columns, item, q and n_shared of each document row and item (of an item table) from the threshold on."""
+    spark = docs.sparkSession
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most SHINGLE_WORDS numbers
+    if not sizes:
+        return docs.select(*keys, F.lit(0).cast("long").alias("item"), F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("n_shared")).limit(0)
+    sketch = items.select("item", F.explode("sketch").alias("s"))
+    few = sketch.select("s").distinct()
+    held = None
+    if few.count() <= SKETCH_HASHES:
+        held = np.sort(np.array([r[0] for r in few.collect()], np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast(Sketches(held, sizes))
 
     def make():
-        memo, index = WordHashes(), shared.value
+        memo, sketches = WordHashes(), shared.value
 
         def run(texts):
-            get = memo.__getitem__
-            return [[[{"k": k, "n": n} for k, n in index.find(np.array(list(map(get, words_of(t))), np.uint64))] for t in texts]]
+            found = [sketches.find(memo.of(t)) for t in texts]
+            return [[hits for hits, _ in found], [every for _, every in found]]
 
         return run
 
-    item = pa.struct([("k", pa.int32()), ("n", pa.int64())])
-    return map_columns(docs, [doc_text], make, pa.schema([("__hits", pa.list_(item))]), "__hits array<struct<k:int,n:bigint>>", keep)
+    schema = pa.schema([("hits", pa.list_(pa.int64())), ("h", pa.list_(pa.int64()))])
+    near = map_columns(docs, [text], make, schema, "hits array<bigint>, h array<bigint>", keys).where(F.size("hits") > 0)
+    near = stored(near.withColumn("row", F.monotonically_increasing_id()), "near-items")
+    pairs = near.select("row", F.explode("hits").alias("s")).join(sketch, "s").select("row", "item").distinct()
+    wanted = pairs.join(items.select("item", F.explode("h").alias("h")), "item")
+    counts = wanted.join(near.select("row", F.explode("h").alias("h")), ["row", "h"]).groupBy("row", "item").agg(F.count("*").alias("n_shared"))
+    exact = counts.join(items.select("item", "q"), "item").where(F.col("n_shared") + 1e-9 >= threshold * F.col("q"))
+    return near.select("row", *keys).join(exact, "row").select(*keys, "item", "q", "n_shared")
 
 
 def contained_items(
@@ -135,39 +137,29 @@ def contained_items(
 ) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of each pair from the threshold on.
 
-    Null and empty texts contain and are contained in nothing. A repeated document or item makes its pairs again. An
-    empty table on either side gives an empty result. Extra columns are ignored.
+    Null and empty texts contain and are contained in nothing. A repeated document or item makes its pairs again. Ids have
+    any type, and nulls are ids. An empty table on either side gives an empty result. Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    kind = items.schema[item_id].dataType.simpleString()
-    parts = []
-    for index in indexes(items, item_id, item_text, threshold):
-        names = spark.sparkContext.broadcast((index.ids, index.sizes.tolist()))
-
-        def look_up(found=search(docs, index, text, [doc_id]), names=names):
-            def make():
-                ids, sizes = names.value
-                return lambda hits: [[[{"i": ids[x["k"]], "n": x["n"], "q": sizes[x["k"]]} for x in h] for h in hits]]
-
-            item = pa.struct([("i", pa.from_numpy_dtype(np.int64) if kind in ("bigint", "int") else pa.string()), ("n", pa.int64()), ("q", pa.int64())])
-            ddl = f"__found array<struct<i:{'bigint' if kind in ('bigint', 'int') else 'string'},n:bigint,q:bigint>>"
-            return map_columns(found.where(F.size("__hits") > 0), ["__hits"], make, pa.schema([("__found", pa.list_(item))]), ddl, [doc_id])
-
-        parts.append(look_up().select(F.col(doc_id).alias("doc_id"), F.explode("__found").alias("x")))
-    if not parts:
-        parts = [docs.select(F.col(doc_id).alias("doc_id")).limit(0).withColumn("x", F.lit(None).cast("struct<i:bigint,n:bigint,q:bigint>"))]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionAll(more)
-    return out.select("doc_id", F.col("x.i").alias("item_id"), F.col("x.n").alias("n_shared"), F.col("x.q").alias("n_item"), (F.col("x.n") / F.col("x.q")).alias("containment"))
+    index = item_table(items, item_id, item_text, threshold)
+    plain = docs.select(F.col(f"`{doc_id}`").alias("k"), F.col(f"`{text}`").alias("x"))
+    found = contained_pairs(plain, index, "x", ["k"], threshold).join(index.select("item", "item_id"), "item")
+    share = (F.col("n_shared") / F.col("q")).alias("containment")
+    return found.select(F.col("k").alias("doc_id"), "item_id", "n_shared", F.col("q").alias("n_item"), share)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no item; null and empty texts stay. Extra columns may have any names."""
-    rest, name, back = neutral(docs)
-    for index in indexes(items, item_id, item_text, threshold):
-        rest = search(rest, index, name[text], rest.columns).where(F.size("__hits") == 0).drop("__hits")
-    return back(rest)
+    """The rows of ``docs`` that contain no item; null and empty texts stay. Extra columns may have any names.
+
+    Texts that contain one are known by two 64-bit hashes, whatever their row.
+    """
+    plain, name, back = neutral(docs)
+    marks = lambda c: [F.xxhash64(c), F.xxhash64(c, F.lit(1))]
+    index = item_table(items, item_id, item_text, threshold)
+    texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("x"))
+    keyed = texts.select("x", *(m.alias(f"__{i}") for i, m in enumerate(marks(F.col("x")))))
+    bad = stored(contained_pairs(keyed, index, "x", ["__0", "__1"], threshold).select("__0", "__1").distinct(), "contaminated")
+    same = [m == F.col(f"__{i}") for i, m in enumerate(marks(F.col(name[text])))]
+    return back(plain.join(bad, same[0] & same[1], "left_anti"))
 
 
 def op9_decontaminate(spark, sf_dir):
