@@ -1,8 +1,8 @@
 """Text quality by compression: which of two dictionaries, of good or of bad text, compresses a text better.
 
 Two views of a text are compressed block by block: the bytes, and their shape (letters, capitals and digits folded),
-in which the form of a text shows whatever its language. The normalised differences and the plain compression ratios
-go through a logistic calibration fitted on other labelled documents than the dictionaries.
+in which the form of a text shows whatever its language. The normalised differences of the compressed sizes, one for each view,
+are all that the calibration sees; it is fitted on other labelled documents than the dictionaries.
 """
 
 from __future__ import annotations
@@ -18,54 +18,60 @@ from sigloom.llm.learn import fit_logistic, predict
 
 #: Labelled documents used at most: half for dictionaries, half for calibration.
 SAMPLE_DOCS = 8000
-BLOCK = 2048
-DICTIONARY = 100_000
-#: Bytes of a dictionary taken from one document at most.
-SLICE = 1024
-LEVEL = 1
+#: Bytes compressed at a time; a text is cut whole into such blocks.
+BLOCK = 512
+#: Bytes of a dictionary, and blocks of each class that it is built from at most, chosen by hash among all blocks of its documents.
+DICTIONARY, DICTIONARY_BLOCKS = 100_000, 8000
+LEVEL = 3
 THRESHOLD = 0.3
 SHAPE = bytes(
     97 if 97 <= b <= 122 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if b >= 128 else b for b in range(256)
 )
 
 
+def build(blocks: list[bytes]) -> bytes:
+    """A zstandard dictionary of the blocks; of too few for one, the blocks themselves."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(blocks)[-DICTIONARY:]
+
+
+def blocks_of(data: bytes) -> list[bytes]:
+    return [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)] or [b""]
+
+
 class Compressors:
-    """One compressor for each dictionary and one without; ``features`` gives a text's numbers."""
+    """One compressor for each dictionary; ``features`` gives a text's numbers."""
 
     def __init__(self, dictionaries: list[bytes]):
         self.parts = []
         for data in dictionaries:
-            known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(data) >= 8 else None
+            known = zstandard.ZstdCompressionDict(data) if len(data) >= 8 else None
             if known is not None:
                 known.precompute_compress(level=LEVEL)
-            self.parts.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False))
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+            self.parts.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False, write_checksum=False))
 
     def features(self, text: str | None) -> list[float]:
-        data = (text or "").encode("utf-8", "replace")
-        out: list[float] = [float(not data)]
+        """For bytes and shapes: compressed size with the bad dictionary less that with the good one, by the larger of them."""
+        data, out = (text or "").encode("utf-8", "replace"), []
         for view, good, bad in ((data, self.parts[0], self.parts[1]), (data.translate(SHAPE), self.parts[2], self.parts[3])):
-            g = b = p = 0
-            for at in range(0, len(view), BLOCK):
-                block = view[at : at + BLOCK]
-                g += len(good.compress(block))
-                b += len(bad.compress(block))
-                p += len(self.plain.compress(block))
-            n = max(1, len(view))
-            out += [(b - g) / max(1, min(g, b)), (b - g) / n, float(np.log((p + 1) / (n + 1)))]
-        shape = data.translate(SHAPE)
-        n = max(1, len(data))
-        out += [shape.count(b"A") / n, 1 - (shape.count(b"a") + shape.count(b"A") + shape.count(b" ")) / n]
+            blocks = blocks_of(view)
+            g, b = (sum(len(part.compress(x)) for x in blocks) for part in (good, bad))
+            out.append((b - g) / max(g, b))
         return out
 
 
-def collect_slices(docs: DataFrame, text: str) -> list[bytes]:
-    """Up to DICTIONARY bytes per view from as many documents as are needed, one slice from the middle of each."""
-    middle = F.greatest(F.lit(1), (F.length(text) / 2 - SLICE / 2).cast("int"))
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), F.substring(F.col(text), middle, F.lit(SLICE)).alias("t"))
-    found = [r.t.encode("utf-8", "replace") for r in rows.orderBy("h", "t").limit(DICTIONARY // 200).collect() if r.t]
-    data = b"\n".join(found)
-    return [data[-DICTIONARY:], b"\n".join(x.translate(SHAPE) for x in found)[-DICTIONARY:]]
+def sample_blocks(docs: DataFrame, text: str) -> list[bytes]:
+    """At most DICTIONARY_BLOCKS blocks of the whole texts, by the hash of document and place."""
+
+    def make():
+        return lambda texts: [[blocks_of((t or "").encode("utf-8", "replace")) for t in texts]]
+
+    each = map_columns(docs, [text], make, pa.schema([("b", pa.list_(pa.binary()))]), "b array<binary>", ["doc_id"])
+    each = each.select("doc_id", F.posexplode("b").alias("i", "b")).where(F.length("b") > 0)
+    found = each.select(F.xxhash64("doc_id", "i").alias("h"), "b").orderBy("h", "b").limit(DICTIONARY_BLOCKS).collect()
+    return [bytes(r.b) for r in found]
 
 
 class Scorer:
@@ -76,31 +82,31 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample: int = SAMPLE_DOCS) -> Scorer:
     """Dictionaries and calibration from at most ``sample`` labelled documents, chosen by the hash of the id.
 
-    Null labels and null texts teach nothing; a document labelled twice takes its larger label. With no label of one
-    kind, the score is the share of good labels, or a half without any label.
+    Null labels and null texts teach nothing; a document labelled twice takes its larger label, and of a repeated id one row
+    counts. With no label of one kind, the score is the share of good labels, or a half without any label.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     limit = hash_threshold(marks, "doc_id", sample)
     if limit is None:
-        return Scorer([b""] * 4, fit_logistic(np.zeros((0, 9)), np.zeros(0)))
+        return Scorer([b""] * 4, fit_logistic(np.zeros((0, 2)), np.zeros(0)))
     marks = marks.where(F.xxhash64("doc_id") <= limit)
     known = docs.where((F.xxhash64("doc_id") <= limit) & F.col(text).isNotNull()).select("doc_id", F.col(text).alias("t"))
-    known = known.join(F.broadcast(marks), "doc_id")  # at most `sample` rows
+    known = known.join(F.broadcast(marks), "doc_id")  # at most `sample` labels
     half = F.xxhash64("doc_id", F.lit(1)) % 2 == 0
-    good, bad = (collect_slices(known.where(half & (F.col("y") == y)), "t") for y in (1, 0))
-    dictionaries = [good[0], bad[0], good[1], bad[1]]
-    names = [f"f{i}" for i in range(9)]
+    good, bad = (sample_blocks(known.where(half & (F.col("y") == y)), "t") for y in (1, 0))
+    shapes = ([x.translate(SHAPE) for x in blocks] for blocks in (good, bad))
+    dictionaries = [build(good), build(bad), *(build(x) for x in shapes)]
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def make():
         parts = Compressors(shared.value)
         return lambda texts: [list(x) for x in zip(*(parts.features(t) for t in texts), strict=True)]
 
-    rows = map_columns(
-        known.where(~half), ["t"], make, pa.schema([(x, pa.float64()) for x in names]), ", ".join(f"{x} double" for x in names), ["doc_id", "y"]
-    ).collect()
-    rows.sort(key=lambda r: tuple(map(float, r[2:])))
-    x = np.array([list(r[2:]) for r in rows]).reshape(-1, 9)
+    schema = pa.schema([("f0", pa.float64()), ("f1", pa.float64())])
+    rows = map_columns(known.where(~half), ["t"], make, schema, "f0 double, f1 double", ["doc_id", "y"])
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("f0", "f1", "y")).alias("r")).select("r.*").collect()
+    rows.sort()
+    x = np.array([(r.f0, r.f1) for r in rows]).reshape(-1, 2)
     return Scorer(dictionaries, fit_logistic(x, np.array([r.y for r in rows], float), 0.1, 1500))
 
 
