@@ -21,14 +21,16 @@ SCRIPT_NAMES = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "o
 
 #: Training documents at most; chosen by the hash of the id.
 SAMPLE_DOCS = 3000
-#: n-grams kept at most, the most frequent first, among this many hash buckets.
+#: n-grams of the model at most, the most frequent first, among this many hash buckets; others count as unseen in every language.
 MODEL_GRAMS, BUCKETS = 80_000, 1 << 18
 LONGEST_GRAM = 3
 #: Natural-log units that a change of language has to earn.
-SWITCH = 12.0
-#: One word's evidence against its best language at most.
-WORD_LIMIT = 6.0
-#: Letters scored at a time; a longer run of letters counts as several words.
+SWITCH = 9.0
+#: One word's evidence against a language at most. Three such words among others make a span of their own.
+WORD_LIMIT = 8.0
+#: Evidence against a language that isn't written in a word's script: enough for a span of one word.
+OTHER_SCRIPT = 2 * SWITCH + 1
+#: Letters scored at a time, and the rest of the word that they end in.
 BLOCK = 65_536
 
 
@@ -80,15 +82,18 @@ class Model:
         self.written[~self.written.any(1)] = True
 
     def word_scores(self, letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row for each word: log-probability less the best language's, 0 for the best, down to -WORD_LIMIT."""
+        """A row for each word: log-probability less the best language's, 0 for the best, down to -WORD_LIMIT.
+
+        Languages that the word's script excludes don't count as best and get -OTHER_SCRIPT.
+        """
         score = np.zeros((len(starts), len(self.langs)), np.float32)
         for bucket in gram_buckets(letters):
             each = self.logp[bucket]
             each[letters == 0] = 0
             score += np.add.reduceat(each, starts, 0)
         fits = self.written[letter_tables()[1][letters[starts]]]
-        score = np.where(fits, score, -np.inf)
-        return np.maximum(score - score.max(1, keepdims=True), -WORD_LIMIT)
+        best = np.where(fits, score, -np.inf).max(1, keepdims=True)
+        return np.where(fits, np.maximum(score - best, -WORD_LIMIT), -OTHER_SCRIPT)
 
 
 def word_starts(letters: np.ndarray) -> np.ndarray:
@@ -96,6 +101,16 @@ def word_starts(letters: np.ndarray) -> np.ndarray:
     return np.flatnonzero(is_letter & ~np.concatenate(([False], is_letter[:-1])))
 
 
+def word_blocks(letters: np.ndarray):
+    """(start, end) of stretches of BLOCK letters and the rest of the word at their end."""
+    gaps, at = np.flatnonzero(letters == 0), 0
+    while at < len(letters):
+        k = int(np.searchsorted(gaps, at + BLOCK - 1))
+        end = int(gaps[k]) + 1 if k < len(gaps) else len(letters)
+        yield at, end
+        at = end
+
+
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word (row); a change from one row to the next costs ``switch``. Ties: the first.
 
@@ -136,17 +151,11 @@ class Tagger:
         """Start, number of letters and language of each word of a whole text."""
         letters = letters_of(text)
         starts, scores = [], []
-        at = 0 if self.model.langs else len(letters)
-        while at < len(letters):
-            end = min(len(letters), at + BLOCK)
-            if end < len(letters):  # not inside a word, unless it fills the block
-                gaps = np.flatnonzero(letters[at:end] == 0)
-                end = at + int(gaps[-1]) + 1 if len(gaps) else end
+        for at, end in word_blocks(letters) if self.model.langs else ():
             found = word_starts(letters[at:end])
             if len(found):
                 scores.append(self.model.word_scores(letters[at:end], found))
                 starts.append(found + at)
-            at = end
         if not starts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         start = np.concatenate(starts)
@@ -187,8 +196,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             for x, t in zip(langs, texts, strict=True):
                 count = seen.setdefault(x, np.zeros(BUCKETS + 256, np.int64))
                 letters = letters_of(t)
-                for at in range(0, len(letters), BLOCK):
-                    part = letters[at : at + BLOCK]
+                for at, end in word_blocks(letters):
+                    part = letters[at:end]
                     for bucket in gram_buckets(part):
                         count[:BUCKETS] += np.bincount(bucket[part > 0], minlength=BUCKETS)
                     count[BUCKETS:] += np.bincount(scripts[part[part > 0]], minlength=256)
