@@ -11,13 +11,15 @@ import math
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_columns, table
+from sigloom.llm.common import map_columns, ship_package, table
 
 # Fixed values of the TIFF 6.0 format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -158,13 +160,20 @@ def squeeze(data: bytes, compression: int) -> bytes:
 
 
 def read_pages(data: bytes, max_bytes: int = 1 << 30) -> list[Page]:
-    """Every page that the chain of directories leads to. A page that can't be decoded carries a problem instead."""
+    return list(walk_pages(data, max_bytes))
+
+
+def walk_pages(data: bytes, max_bytes: int = 1 << 30) -> Iterator[Page]:
+    """Every page that the chain of directories leads to, one at a time.
+
+    A page that can't be decoded whole, or has more than ``max_bytes`` bytes of pixels, carries a problem and no pixels.
+    """
     if data[:4] in (b"II+\0", b"MM\0+"):
-        return [Page(0, 0, 0, 0, 0, 0, 0, False, b"", "BigTIFF")]
+        yield Page(0, 0, 0, 0, 0, 0, 0, False, b"", "BigTIFF")
     if len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
-        return []
+        return
     order = "<" if data[:2] == b"II" else ">"
-    pages, seen = [], set()
+    number, seen = 0, set()
     (at,) = struct.unpack_from(order + "I", data, 4)
     while at and at not in seen and at + 2 <= len(data):
         seen.add(at)
@@ -179,15 +188,14 @@ def read_pages(data: bytes, max_bytes: int = 1 << 30) -> list[Page]:
                     (where,) = struct.unpack_from(order + "I", data, where)
                 if code and code != "s" and where + size * count <= len(data):
                     tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, where))
-            pages.append(_page(data, tags, len(pages), order, max_bytes))
-            (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+            page = _page(data, tags, number, order, max_bytes)
         except (struct.error, ValueError, KeyError, zlib.error, IndexError) as why:
-            pages.append(Page(len(pages), 0, 0, 0, 0, 0, 0, False, b"", f"{type(why).__name__}: {why}"))
-            try:
-                (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-            except struct.error:
-                break
-    return pages
+            page = Page(number, 0, 0, 0, 0, 0, 0, False, b"", f"{type(why).__name__}: {why}")
+        yield page
+        number += 1
+        if at + 6 + 12 * n > len(data):
+            return
+        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
 #: Each byte with its bits in the opposite order, as fill order 2 has them.
@@ -205,6 +213,8 @@ def _page(data: bytes, tags: dict[int, list], number: int, order: str, max_bytes
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height, samples, bits = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1), one(BITS, 1)
     compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
+    if not all(isinstance(x, int) and x > 0 for x in (width, height, samples, planar)):
+        raise ValueError("a size that is no positive number")
     if bits not in (1, 2, 4, 8, 16):
         raise ValueError(f"{bits} bits a sample")
     if bits < 8 and predictor != 1:
@@ -214,7 +224,11 @@ def _page(data: bytes, tags: dict[int, list], number: int, order: str, max_bytes
     tiled = TILE_OFFSETS in tags
     w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
     offsets, counts = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
-    across, down, depth = math.ceil(width / w), math.ceil(height / max(1, h)), samples if planar == 1 else 1
+    if not all(isinstance(x, int) and x > 0 for x in (w, h)) or not all(isinstance(x, int) for x in [*offsets, *counts]):
+        raise ValueError("a strip or tile of no size")
+    across, down, depth = math.ceil(width / w), math.ceil(height / h), samples if planar == 1 else 1
+    if not len(offsets) == len(counts) == across * down * (1 if planar == 1 else samples):
+        raise ValueError(f"{len(offsets)} strips or tiles of {across * down * (1 if planar == 1 else samples)}")
     kind = np.dtype("u1") if bits <= 8 else np.dtype(f"{order}u2")
     image = np.zeros((height, width, samples), kind.newbyteorder("=") if bits == 16 else kind)
     for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
@@ -281,18 +295,16 @@ def write_pages(pages: list[tuple[np.ndarray, int, int, tuple[int, int] | None]]
 PAGE_BYTES = 192 * 4096
 ROW = 192
 
+#: Compression, predictor and tile size of stored pages.
+FORMS = (
+    (LZW, 1, None), (LZW, 2, (32, 32)), (PACKBITS, 1, None), (PACKBITS, 2, (64, 64)),
+    (DEFLATE, 1, (64, 64)), (DEFLATE, 2, None), (DEFLATE, 2, (32, 16)), (NONE, 1, None),
+)
+
 
 def store(payload: bytes) -> bytes:
     """The payload as colour pages of 64 pixels a row. Its own checksum picks the form of its pages."""
-    pick = zlib.crc32(payload) % 16
-    if pick == 0:
-        form = (LZW, 1, (32, 32))
-    elif pick < 4:
-        form = (PACKBITS, 1, None)
-    elif pick < 10:
-        form = (DEFLATE, 1, (64, 64))
-    else:
-        form = (DEFLATE, 2, None)
+    form = FORMS[zlib.crc32(payload) % len(FORMS)]
     parts = [payload[at : at + PAGE_BYTES] for at in range(0, len(payload), PAGE_BYTES)]
     return write_pages([(np.frombuffer(p, np.uint8).reshape(-1, ROW // 3, 3), *form) for p in parts])
 
@@ -338,19 +350,28 @@ def pages_of(files: DataFrame, content: str = "content", keep: list[str] = ("pat
     """One row per page of binary files: ``keep`` columns (of which none may be named like a page column), page number,
     width, height, samples, bits, compression, predictor, tiled, pixels and problem.
 
-    A null, empty or foreign file has no page; a broken page, one over 1 GiB, or a BigTIFF file has a problem and no pixels.
+    A null, empty or foreign file has no page; a broken or incomplete page, one over 1 GiB, or a BigTIFF file has a problem
+    and no pixels.
     """
-    item = pa.struct([("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("problem", pa.string())])
-
-    def make():
-        def run(contents):
-            return [[[dict(zip(item.names, (p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, p.problem), strict=True)) for p in read_pages(c or b"")] for c in contents]]
-
-        return run
-
-    ddl = "__pages array<struct<page:int,width:bigint,height:bigint,samples:int,bits:int,compression:int,predictor:int,tiled:boolean,pixels:binary,problem:string>>"
-    found = map_columns(files, [content], make, pa.schema([("__pages", pa.list_(item))]), ddl, keep)
-    return found.selectExpr(*(f"`{c}`" for c in keep), "inline(__pages)")
+    fields = [("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("problem", pa.string())]
+    if clash := {c.lower() for c in keep} & {n for n, _ in fields}:
+        raise ValueError(f"columns to keep have the names of page columns: {sorted(clash)}")
+    ship_package(files.sparkSession)
+    picked = list(dict.fromkeys([*keep, content]))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                data = row.column(picked.index(content))[0].as_py() or b""
+                for p in walk_pages(data):  # a page at a time, so that a file's pages are never all in memory
+                    values = (p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, p.problem)
+                    columns = [row.column(picked.index(c)) for c in keep] + [pa.array([v], t) for v, (_, t) in zip(values, fields, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(n for n, _ in fields)])
+
+    kept = "".join(f"`{c}` {t}, " for c, t in files.select(*(F.col(f"`{c}`") for c in keep)).dtypes)
+    ddl = "page int, width long, height long, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, problem string"
+    return files.select(*(F.col(f"`{c}`") for c in picked)).mapInArrow(run, kept + ddl)
 
 
 def op6_tiff(spark, sf_dir):
