@@ -20,6 +20,11 @@ def power_db(power: Column) -> Column:
     return 10 * F.log10(power + F.lit(EPS))
 
 
+def rms_db(power: Column) -> Column:
+    """Level of a mean square, with the floor added to the amplitude."""
+    return 20 * F.log10(F.sqrt(power) + F.lit(EPS))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return a / F.nullif(b, F.lit(0.0))

@@ -47,8 +47,8 @@ def splice_events(notes: DataFrame, patch: DataFrame, start: float, end: float)
 
 
 def chroma(notes: DataFrame, seconds: float) -> DataFrame:
-    """(sig, pc, beat, n): notes per pitch class and beat, the last beat taking what lies past it."""
-    n = notes.groupBy("sig").agg(F.greatest(F.lit(1), F.ceil(F.max("onset") / seconds)).cast("long").alias("beats"))
+    """(sig, pc, beat, n): notes per pitch class and beat up to the end of the last note; the last beat takes what lies past it."""
+    n = notes.groupBy("sig").agg(F.greatest(F.lit(1), F.ceil(F.max(F.col("onset") + F.col("dur")) / seconds)).cast("long").alias("beats"))
     placed = notes.join(n, "sig").select("sig", (F.col("pitch") % 12).alias("pc"), F.least(F.floor(F.col("onset") / seconds), F.col("beats") - 1).cast("long").alias("beat"))
     return placed.groupBy("sig", "pc", "beat").agg(F.count("*").alias("n"))
 
@@ -65,10 +65,15 @@ def chunk_spans(signals: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return s.select("sig", "c", "start", F.when(F.col("last"), F.col("n")).otherwise(F.col("stop")).alias("stop"), "n")
 
 
+def ramp_angle(d, width):
+    """From 0 at the first of ``width`` samples to a right angle at the last one; 0 for a single sample."""
+    return F.pi() / 2 * F.coalesce(d / F.nullif(width - 1, F.lit(0)), F.lit(0.0))
+
+
 def taper(i, start, stop, n, fade: int):
-    """sin^2 ramps at the sides of a chunk that have a neighbour."""
+    """sin^2 ramps, from exactly 0 to exactly 1, at the sides of a chunk that have a neighbour."""
     width = F.least(F.lit(fade).cast("long"), F.floor((stop - start) / 2).cast("long"))
-    rise = lambda d: F.pow(F.sin(F.pi() / 2 * (d + 0.5) / width), 2)
+    rise = lambda d: F.pow(F.sin(ramp_angle(d, width)), 2)
     left = F.when((start > 0) & (i - start < width), rise(i - start)).otherwise(1.0)
     right = F.when((stop < n) & (stop - 1 - i < width), rise(stop - 1 - i)).otherwise(1.0)
     return left * right
@@ -83,13 +88,32 @@ def overlap_add(s: DataFrame, spans: DataFrame, overlap: int, gain) -> DataFrame
 
 
 def crossfade(s: DataFrame, patch: DataFrame, start: int, length: int, fade: int) -> DataFrame:
-    """(sig, i, y): the patch (sig, j, p) put in at ``start`` with equal-power fades at both seams."""
-    fade = min(fade, length // 2)
-    p = patch.where(F.col("j") < length).select("sig", (F.col("j") + start).alias("i"), "p")
-    d_in, d_out = F.col("i") - start, F.lit(start + length - 1) - F.col("i")
-    angle = F.when(d_in < fade, (d_in + 0.5) / fade).when(d_out < fade, (d_out + 0.5) / fade).otherwise(1.0) * F.pi() / 2
+    """(sig, i, y): the first ``length`` samples of the patch (sig, j, p) put in at ``start`` with equal-power fades at both seams.
+
+    The patch is cut where the signal ends, and its fades are no longer than half of what is left.
+    """
+    room = s.groupBy("sig").agg((F.max("i") + 1 - start).alias("room"))
+    long = patch.where(F.col("j") < length).groupBy("sig").agg((F.max("j") + 1).alias("long"))
+    size = room.join(long, "sig").select("sig", F.least("room", "long").cast("long").alias("long")).where("long > 0")
+    p = patch.join(size, "sig").where(F.col("j") < F.col("long")).select("sig", (F.col("j") + start).alias("i"), "p", "j", "long")
+    width = F.least(F.lit(fade).cast("long"), F.expr("long div 2"))
+    d_out = F.col("long") - 1 - F.col("j")
+    # Of a fade of one sample the first seam is all signal, the last one all patch.
+    angle = F.when(F.col("j") < width, ramp_angle(F.col("j"), width)).when((d_out < width) & (width > 1), ramp_angle(d_out, width)).otherwise(F.pi() / 2)
     mixed = F.col("x") * F.cos(angle) + F.col("p") * F.sin(angle)
-    return s.join(p, ["sig", "i"], "left").select("sig", "i", F.when(F.col("p").isNull(), F.col("x")).otherwise(mixed).alias("y"))
+    return s.join(p.withColumn("mix", F.lit(True)), ["sig", "i"], "left").select("sig", "i", F.when(F.col("mix"), mixed).otherwise(F.col("x")).alias("y"))
+
+
+def stage_gain(s: DataFrame, top: float = 0.5) -> DataFrame:
+    """``s`` with x brought down so that no signal's peak is over ``top``, and the ``gain`` that did it."""
+    peak = s.groupBy("sig").agg(F.max(F.abs("x")).alias("__peak"))
+    gain = F.when(F.col("__peak") > top, top / F.col("__peak")).otherwise(1.0)
+    return s.join(peak, "sig").withColumn("gain", gain).withColumn("x", F.col("x") * F.col("gain")).drop("__peak")
+
+
+def unstage_gain(s: DataFrame) -> DataFrame:
+    """The levels before :func:`stage_gain`."""
+    return s.withColumn("x", F.col("x") / F.col("gain")).drop("gain")
 
 
 def limit_peak(s: DataFrame, top: float = 1.0, to: float = 0.95) -> DataFrame:
@@ -115,9 +139,13 @@ def unpaired_names(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def rank_references(stems: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
-    """(name, pos, kw, n_beats): stems that contain a keyword, ranked by keyword and then by their own order."""
+    """(name, pos, kw, n_beats): stems that contain a keyword, ranked by keyword and then by their own order.
+
+    A stem that is alone needs no keyword; no row means that none can serve as reference.
+    """
     kw = F.least(*(F.when(F.lower("name").contains(k), F.lit(i)).otherwise(F.lit(len(keywords))) for i, k in enumerate(keywords)))
-    return stems.withColumn("kw", kw).where(F.col("kw") < len(keywords))
+    alone = stems.agg((F.count("*") == 1).alias("alone"))
+    return stems.withColumn("kw", kw).join(F.broadcast(alone)).where((F.col("kw") < len(keywords)) | F.col("alone")).drop("alone")
 
 
 def fallback_reference(ranked: DataFrame, least: int = 4) -> DataFrame:

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.operators.timing import window_scores
+
 
 def per_signal(signals: DataFrame, function, ddl: str = "sig long, y array<double>") -> DataFrame:
     """``function(x) -> y`` (or a tuple for several columns after sig) over each signal's array."""
@@ -28,24 +30,42 @@ def per_signal(signals: DataFrame, function, ddl: str = "sig long, y array<doubl
     return signals.select("sig", "x").mapInPandas(run, ddl)
 
 
-def biquad(x: np.ndarray, b: tuple, a: tuple) -> np.ndarray:
-    y, x1, x2, y1, y2 = np.empty(len(x)), 0.0, 0.0, 0.0, 0.0
-    for i, v in enumerate(x.tolist()):
-        w = b[0] * v + b[1] * x1 + b[2] * x2 - a[0] * y1 - a[1] * y2
-        x2, x1, y2, y1 = x1, v, y1, w
-        y[i] = w
-    return y
+def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 128) -> np.ndarray:
+    """A second-order section over a whole signal, block by block: a block is its response at rest plus that to the state before it."""
+    # Columns of ``free``: how the two past outputs go on by themselves. ``rest``: the response to a unit sample.
+    free, rest = np.zeros((block, 2)), np.zeros(block)
+    for k in range(block):
+        past = lambda v, n: v[k - n] if k >= n else 0.0  # noqa: B023, E731
+        rest[k] = (k == 0) - a[0] * past(rest, 1) - a[1] * past(rest, 2)
+        for c, (y1, y2) in enumerate(((1.0, 0.0), (0.0, 1.0))):
+            one = free[k - 1, c] if k else y1
+            two = free[k - 2, c] if k > 1 else (y1 if k else y2)
+            free[k, c] = -a[0] * one - a[1] * two
+    feed = np.convolve(x, b)[: len(x)]
+    matrix = np.array([[rest[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
+    pieces = np.pad(feed, (0, -len(x) % block)).reshape(-1, block) @ matrix.T
+    y1 = y2 = 0.0
+    for row in pieces:
+        row += free[:, 0] * y1 + free[:, 1] * y2
+        y1, y2 = row[-1], row[-2]
+    return pieces.ravel()[: len(x)]
 
 
 def k_weighting(sr: float) -> list[tuple[tuple, tuple]]:
-    """High shelf and high-pass sections of loudness measurement at any rate, from their analogue corner values."""
-    k = np.tan(np.pi * 1681.974450955533 / sr)
-    gain, q = 10 ** (3.999843853973347 / 20), 0.7071752369554196
-    mid, d = gain**0.4996667741545416, 1 + k / q + k * k
-    shelf = ((gain + mid * k / q + k * k) / d, 2 * (k * k - gain) / d, (gain - mid * k / q + k * k) / d), (2 * (k * k - 1) / d, (1 - k / q + k * k) / d)
-    k, q = np.tan(np.pi * 38.13547087602444 / sr), 0.5003270373238773
-    d = 1 + k / q + k * k
-    return [shelf, ((1.0, -2.0, 1.0), (2 * (k * k - 1) / d, (1 - k / q + k * k) / d))]
+    """The two sections of loudness measurement as (b, a1 and a2): a high shelf and a high-pass of the audio EQ cookbook.
+
+    Fixed values: the corner frequencies, qualities and gain of the standard.
+    """
+    turn, q = 2 * np.pi * 1681.974450955533 / sr, 0.7071752369554196
+    amp, c = 10 ** (3.999843853973347 / 40), np.cos(turn)
+    swell = np.sqrt(amp) * np.sin(turn) / q
+    up, down = amp + 1 + (amp - 1) * c, amp + 1 - (amp - 1) * c
+    shelf = np.array([amp * (up + swell), -2 * amp * (amp - 1 + (amp + 1) * c), amp * (up - swell)]) / (down + swell)
+    shelf_a = np.array([2 * (amp - 1 - (amp + 1) * c), down - swell]) / (down + swell)
+    turn, q = 2 * np.pi * 38.13547087602444 / sr, 0.5003270373238773
+    c, width = np.cos(turn), np.sin(turn) / (2 * q)
+    cut = np.array([(1 + c) / 2, -1 - c, (1 + c) / 2]) / (1 + width)
+    return [(tuple(shelf), tuple(shelf_a)), (tuple(cut), tuple(np.array([-2 * c, 1 - width]) / (1 + width)))]
 
 
 def k_weight(signals: DataFrame, sr: float) -> DataFrame:
@@ -53,18 +73,47 @@ def k_weight(signals: DataFrame, sr: float) -> DataFrame:
 
     def run(x):
         for b, a in parts:
-            x = biquad(x, b, a)
+            x = biquad(x, b, a) if len(x) else x
         return x
 
     return per_signal(signals, run)
 
 
+def block_power(channels: DataFrame, sr: float, block: int, hop: int) -> DataFrame:
+    """(sig, frame, power): mean squares of K-weighted blocks, summed over the channels; channels (sig, ch, x array).
+
+    All blocks that fit count, the one that ends with the last sample too; a signal shorter than one has no row.
+    """
+    parts = k_weighting(sr)
+
+    def run(rows):
+        import pandas as pd
+
+        for part in rows:
+            out = []
+            for sig, x in zip(part.sig, part.x, strict=True):
+                x = np.asarray(x, float)
+                for b, a in parts:
+                    x = biquad(x, b, a) if len(x) else x
+                sums = np.concatenate(([0.0], np.cumsum(x * x)))
+                starts = np.arange(0, len(x) - block + 1, hop)
+                out.append(pd.DataFrame({"sig": sig, "frame": np.arange(len(starts)), "power": (sums[starts + block] - sums[starts]) / block}))
+            yield pd.concat(out) if out else pd.DataFrame({"sig": [], "frame": [], "power": []})
+
+    each = channels.select("sig", "x").mapInPandas(run, "sig long, frame long, power double")
+    return each.groupBy("sig", "frame").agg(F.sum("power").alias("power"))
+
+
 def resample_array(x: np.ndarray, source: int, target: int, zeros: int = 16) -> np.ndarray:
     """Windowed-sinc resampling; the same array where the rates are equal."""
     if source == target or not len(x):
         return x
     n = int(round(len(x) * target / source))
-    at, scale = np.arange(n) * source / target, min(1.0, target / source)
+    step = 1 << 14  # outputs at a time, so that the taps of a long signal are never all in memory
+    return np.concatenate([_resampled(x, np.arange(k, min(n, k + step)) * source / target, min(1.0, target / source), zeros) for k in range(0, n, step)])
+
+
+def _resampled(x: np.ndarray, at: np.ndarray, scale: float, zeros: int) -> np.ndarray:
     reach = zeros / scale
     offsets = np.arange(-int(np.ceil(reach)), int(np.ceil(reach)) + 1)
     taps = np.floor(at).astype(int)[:, None] + offsets
@@ -108,9 +157,20 @@ def phase_warp_array(x: np.ndarray, src: np.ndarray, dst: np.ndarray, n_fft: int
     return (out / np.maximum(weight, 1e-6))[n_fft // 2 : n_fft // 2 + length]
 
 
-def phase_warp(signals: DataFrame, src: list[float], dst: list[float]) -> DataFrame:
-    a, b = np.array(src), np.array(dst)
-    return per_signal(signals, lambda x: phase_warp_array(x, a, b))
+def phase_warp(signals: DataFrame, src: list[float] | None = None, dst: list[float] | None = None, n_fft: int = 32, hop: int = 8) -> DataFrame:
+    """(sig, y): signals (sig, x) read through one map, or through their own where they have arrays src and dst."""
+    if src is not None:
+        a, b = np.array(src), np.array(dst)
+        return per_signal(signals, lambda x: phase_warp_array(x, a, b, n_fft, hop))
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            warped = [phase_warp_array(*(np.asarray(v, float) for v in row), n_fft, hop).tolist() for row in zip(part.x, part.src, part.dst, strict=True)]
+            yield pd.DataFrame({"sig": part.sig, "y": warped})
+
+    return signals.select("sig", "x", "src", "dst").mapInPandas(run, "sig long, y array<double>")
 
 
 def time_stretch(signals: DataFrame, rate: float) -> DataFrame:
@@ -189,40 +249,45 @@ def coherence(pairs: DataFrame, n: int, low: int) -> DataFrame:
     return pairs.groupBy("sig").applyInPandas(run, "sig long, coherence double")
 
 
-def track_offsets(ab: DataFrame, window: int, hop: int, search: int, follow: int) -> DataFrame:
-    """(sig, w, lag, score): local offsets of b against a, each window searched around the one before.
+def track_offsets(ab: DataFrame, window: int, hop: int, search: int, overall: str | None = None) -> DataFrame:
+    """(sig, w, lag, score): local offsets of b against a, each window searched around the one before; ab (sig, i, a, b).
 
-    The state is one number per signal, so each signal is folded in order; a window that strays further than
-    ``search`` is lost and leaves the state as it is, and silent windows are skipped.
+    The first window searches as far as the overall offset (a column, 0 without) and ``search`` beyond, the later ones to
+    ``search`` either way. A window whose offset is more than ``search`` from the one before is lost and leaves the state as it
+    is; so drift may add up to any size. Silent windows, and those without room to move, are skipped. A null of b is a 0.
+    The state is one number per signal, so each signal is folded in order.
     """
+    data = ab.select("sig", "i", "a", "b", (F.col(overall) if overall else F.lit(0)).alias("o"))
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("i")
-        a, b = pdf.a.to_numpy(float), pdf.b.to_numpy(float)
-        rows, last = [], None
-        for w, at in enumerate(range(0, len(a) - window, hop)):
-            x = a[at : at + window]
-            if np.sqrt(np.mean(x * x)) < 1e-5:
-                continue
-            centre, radius = (0, search) if last is None else (last, follow)
-            best = None
-            for lag in range(centre - radius, centre + radius + 1):
-                if 0 <= at + lag and at + lag + window <= len(b):
-                    y = b[at + lag : at + lag + window]
-                    p, q = x - x.mean(), y - y.mean()
-                    norm = np.sqrt((p @ p) * (q @ q))
-                    score = float(p @ q / norm) if norm > 0 else 0.0
-                    if best is None or score > best[1] + 1e-12:
-                        best = (lag, score)
-            if best is None or abs(best[0]) > search:
-                continue
-            last = best[0]
-            rows.append((int(pdf.sig.iloc[0]), w, best[0], best[1]))
-        return pd.DataFrame(rows, columns=["sig", "w", "lag", "score"])
-
-    return ab.groupBy("sig").applyInPandas(run, "sig long, w long, lag long, score double")
+        a, b = pdf.a.to_numpy(float), pdf.b.fillna(0.0).to_numpy(float)
+        found = [(int(pdf.sig.iloc[0]), *row) for row in tracked(a[~np.isnan(a)], b, window, hop, search, abs(int(pdf.o.iloc[0])))]
+        return pd.DataFrame(found, columns=["sig", "w", "lag", "score"])
+
+    return data.groupBy("sig").applyInPandas(run, "sig long, w long, lag long, score double")
+
+
+def tracked(a: np.ndarray, b: np.ndarray, window: int, hop: int, search: int, overall: int):
+    running = None
+    for w, at in enumerate(range(0, len(a) - window, hop)):
+        x = a[at : at + window]
+        if np.sqrt(np.mean(x * x)) < 1e-5:
+            continue
+        centre, radius = (at, max(search, overall + search)) if running is None else (at + running, search)
+        low = max(0, centre - radius)
+        wide = b[low : max(low, min(len(b), centre + window + radius))]
+        if len(wide) <= window:
+            continue
+        scores = window_scores(x, wide)
+        best = int(np.argmax(np.round(scores, 9)))
+        lag = low + best - at
+        if running is not None and abs(lag - running) > search:
+            continue
+        running = lag
+        yield w, lag, float(scores[best])
 
 
 def apply_model(signals: DataFrame, load, ddl: str = "sig long, y array<double>") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.numeric import CLIPPED, correlation, db
+from sigloom.functions.numeric import CLIPPED, correlation, db, rms_db
+from sigloom.operators.levels import frame_power
 from sigloom.operators.spectral import BANDS
 
 #: Gain bins of 6 dB from -100 to -4 dB with 12 frames at least, and the limits of the verdict.
@@ -19,6 +20,16 @@ def gain_curve(levels: DataFrame, least: int = BIN_FRAMES) -> DataFrame:
     return b.groupBy("sig", "bin").agg(F.median(F.col("db") - F.col("da")).alias("gain"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def dynamics(ab: DataFrame, window: int = 2048, hop: int = 512, least: int = BIN_FRAMES) -> DataFrame:
+    """(sig, spread, quiet, loud): height of the gain curve over frames, and the gain of its lowest and highest level; ab (sig, i, a, b).
+
+    Signals without a bin of ``least`` frames have no row.
+    """
+    side = lambda c: frame_power(ab.select("sig", "i", F.col(c).alias("x")), window, hop, last=False).select("sig", "frame", rms_db(F.col("power")).alias(f"d{c}"))
+    curve = gain_curve(side("a").join(side("b"), ["sig", "frame"]), least)
+    return curve.groupBy("sig").agg((F.max("gain") - F.min("gain")).alias("spread"), F.min_by("gain", "bin").alias("quiet"), F.max_by("gain", "bin").alias("loud"))
+
+
 def transients(ab: DataFrame, onsets: DataFrame, pre: int, gap: int, post: int) -> DataFrame:
     """(sig, n, slope_a, slope_b): median attack slopes of both signals around a's onsets.
 
@@ -29,7 +40,7 @@ def transients(ab: DataFrame, onsets: DataFrame, pre: int, gap: int, post: int)
     s = reach.join(ab, ["sig", "i"]).withColumn("late", F.when(F.col("i") >= F.col("o"), 1).when(F.col("i") < F.col("o") - gap, 0)).where("late is not null")
     power = lambda c, side: F.avg(F.when(F.col("late") == side, F.col(c) * F.col(c)))
     g = s.groupBy("sig", "o").agg(*(power(c, k).alias(f"{c}{k}") for c in "ab" for k in (0, 1)))
-    slope = lambda c: 10 * F.log10((F.col(f"{c}1") + 1e-12) / (F.col(f"{c}0") + 1e-12))
+    slope = lambda c: rms_db(F.col(f"{c}1")) - rms_db(F.col(f"{c}0"))
     g = g.where("a0 is not null and a1 is not null").select("sig", slope("a").alias("sa"), slope("b").alias("sb"))
     return g.groupBy("sig").agg(F.count("*").alias("n"), F.median("sa").alias("slope_a"), F.median("sb").alias("slope_b"))
 
@@ -40,8 +51,8 @@ def local_fine(ab: DataFrame, window: int) -> DataFrame:
     return g.where(F.col("n") == window).select("sig", "w", F.coalesce("corr", F.lit(0.0)).alias("corr"))
 
 
-def quality_report(ab: DataFrame, window: int = 8) -> DataFrame:
-    """One row per pair of signals; ab (sig, k, t, a, b), aligned."""
+def quality_report(ab: DataFrame, window: int = 8, frame: int = 2048, hop: int = 512) -> DataFrame:
+    """One row per pair of signals; ab (sig, k, t, a, b), aligned. The gain curve takes frames of ``frame`` samples."""
     w = Window.partitionBy("sig").orderBy("k")
     d = ab.withColumns({"ja": F.abs(F.col("a") - F.lag("a").over(w)), "jb": F.abs(F.col("b") - F.lag("b").over(w))})
     rms = lambda x: F.sqrt(F.avg(x * x))
@@ -53,15 +64,13 @@ def quality_report(ab: DataFrame, window: int = 8) -> DataFrame:
         (F.max("ja") / F.nullif(F.max(F.abs("a")), F.lit(0.0))).alias("step_a"), (F.max("jb") / F.nullif(F.max(F.abs("b")), F.lit(0.0))).alias("step_b"),
         F.coalesce(correlation("a", "b"), F.lit(1.0)).alias("corr"),
     )
-    level = F.floor(db(F.abs("a")) / 6) * 6
-    bins = ab.where("a <> 0 and b <> 0").withColumn("bin", level).withColumn("gain", 20 * F.log10(F.abs(F.col("b") / F.nullif("a", F.lit(0.0)))))
-    spread = bins.groupBy("sig", "bin").agg(F.median("gain").alias("gain"), F.count("*").alias("c")).where("c >= 4").groupBy("sig").agg((F.max("gain") - F.min("gain")).alias("spread"))
+    curve = dynamics(ab.select("sig", F.col("k").alias("i"), "a", "b"), frame, hop)
     fine = local_fine(ab, window).groupBy("sig").agg(F.min("corr").alias("corr_min"), F.median("corr").alias("corr_median"))
-    out = g.join(spread, "sig", "left").join(fine, "sig", "left")
+    out = g.join(curve, "sig", "left").join(fine, "sig", "left")
     residual = F.when((F.col("rd") > 0) & (F.col("ra") > 0), db(F.col("rd")) - db(F.col("ra"))).otherwise(F.lit(float("-inf")))
     return out.select(
         "sig", "n", "duration", "peak_a", "peak_b", "clipped_in", "clipped_out", (db(F.col("rb")) - db(F.col("ra"))).alias("rms_delta"),
-        residual.alias("residual"), "program_gain", "step_a", "step_b", "corr", F.coalesce("spread", F.lit(0.0)).alias("spread"), "corr_min", "corr_median",
+        residual.alias("residual"), "program_gain", "step_a", "step_b", "corr", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("spread", "quiet", "loud")), "corr_min", "corr_median",
     )
 
 

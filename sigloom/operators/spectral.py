@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.numeric import EPS, clip, correlation, db
+from sigloom.functions.numeric import EPS, clip, correlation, db, rms_db
 
 #: The ten half-open bands of a report, in Hz.
 BANDS = (
@@ -14,16 +15,51 @@ BANDS = (
 )
 
 
-def dft(frames: DataFrame, n: int, sr: int, phase: bool = False) -> DataFrame:
-    """(stem, frame, bin, hz, mag): magnitudes of arrays ``x`` of n samples, without a join or a shuffle; also ``phase``."""
-    def part(wave):
-        terms = F.zip_with("x", F.sequence(F.lit(0), F.lit(n - 1)), lambda v, j: v * wave(F.lit(2.0) * F.pi() * F.col("bin") * j / n))
-        return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+def dft(frames: DataFrame, n: int, sr: int, phase: bool = False, second: str | None = None, window=None) -> DataFrame:
+    """(stem, frame, bin, hz, mag): magnitudes of arrays ``x`` of n samples, by FFT over Arrow batches; also ``phase``.
 
-    bins = frames.where(F.size("x") == n).select("stem", "frame", "x", F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("bin"))
-    both = bins.select("stem", "frame", F.col("bin").cast("long").alias("bin"), part(F.cos).alias("re"), part(F.sin).alias("im"))
-    angle = [F.atan2(F.round(-F.col("im"), 9) + F.lit(0.0), F.col("re")).alias("phase")] if phase else []
-    return both.select("stem", "frame", "bin", (F.col("bin") * sr / n).alias("hz"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"), *angle)
+    ``second`` names another array of each row, whose magnitude comes as ``mb`` beside mag, so that two sides need no join.
+    Frames of another length are left out.
+    """
+    columns = ["x", *([second] if second else [])]
+    taper = np.ones(n) if window is None else np.asarray(window, float)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [batch.column("stem"), batch.column("frame")]
+            for c in columns:
+                flat = batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+                spec = np.fft.rfft(flat * taper, axis=1)
+                sides = [np.abs(spec)] + ([np.arctan2(np.round(spec.imag, 9) + 0.0, spec.real)] if phase and c == "x" else [])
+                offsets = np.arange(0, spec.size + 1, spec.shape[1], dtype=np.int32)
+                out += [pa.ListArray.from_arrays(offsets, side.ravel()) for side in sides]
+            yield pa.RecordBatch.from_arrays(out, names=["stem", "frame", "mag", *(["phase"] if phase else []), *(["mb"] if second else [])])
+
+    ddl = "stem bigint, frame bigint, mag array<double>" + ", phase array<double>" * phase + ", mb array<double>" * bool(second)
+    fits = frames.where(" and ".join(f"size({c}) = {n} and not exists({c}, v -> v is null)" for c in columns))
+    whole = fits.select(F.col("stem").cast("long").alias("stem"), F.col("frame").cast("long").alias("frame"), *columns).mapInArrow(run, ddl)
+    spread = whole.select("stem", "frame", F.posexplode(F.arrays_zip(*whole.columns[2:])).alias("bin", "v"))
+    return spread.select("stem", "frame", F.col("bin").cast("long").alias("bin"), (F.col("bin") * sr / n).alias("hz"), *(F.col(f"v.{c}").alias(c) for c in whole.columns[2:]))
+
+
+def stft(signals: DataFrame, n: int = 2048, hop: int = 512, second: str | None = None) -> DataFrame:
+    """(stem, frame, x and ``second``): frames of arrays ``x`` of each signal (sig, x), centred: half a frame of zeros stands at both ends.
+
+    Their spectrum is that of :func:`dft` with :func:`hann`.
+    """
+    columns = ["x", *([second] if second else [])]
+    zeros = F.array_repeat(F.lit(0.0), n // 2)
+    padded = signals.select("sig", *(F.concat(zeros, F.col(c), zeros).alias(c) for c in columns)).where(F.size("x") >= n)
+    starts = padded.select("sig", *columns, F.explode(F.sequence(F.lit(0), F.expr(f"(size(x) - {n}) div {hop}"))).alias("frame"))
+    part = lambda c: F.slice(c, F.col("frame") * hop + 1, F.lit(n)).alias(c)
+    return starts.select(F.col("sig").alias("stem"), F.col("frame").cast("long").alias("frame"), *map(part, columns))
+
+
+def hann(n: int) -> np.ndarray:
+    """The periodic window of short-time spectra."""
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
 def percentile_spectrum(spec: DataFrame, q: float = 0.95) -> DataFrame:
@@ -67,12 +103,12 @@ def with_bands(spec: DataFrame, nyquist: float) -> DataFrame:
     return spec.withColumn("band", name).where("band is not null")
 
 
-def band_delta(a: DataFrame, b: DataFrame, nyquist: float) -> DataFrame:
-    """(stem, band, delta, gain, frames_used): change of each band from spectrum a to b, less the programme gain.
+def band_delta(both: DataFrame, nyquist: float) -> DataFrame:
+    """(stem, band, delta, gain, frames_used): change of each band from magnitude mag to mb, less the programme gain.
 
     Only frames at or above the 40th percentile of a's level count, or all if fewer than four do.
     """
-    both = a.join(b.select("stem", "frame", "bin", F.col("mag").alias("mb")), ["stem", "frame", "bin"]).withColumns({"pa": F.col("mag") * F.col("mag"), "pb": F.col("mb") * F.col("mb")})
+    both = both.withColumns({"pa": F.col("mag") * F.col("mag"), "pb": F.col("mb") * F.col("mb")})
     level = lambda c: 10 * F.log10(F.sum(c) + F.lit(EPS))
     f = both.groupBy("stem", "frame").agg(level("pa").alias("da"), level("pb").alias("db"))
     gate = f.groupBy("stem").agg(F.percentile("da", F.lit(0.4)).alias("gate"))
@@ -84,24 +120,57 @@ def band_delta(a: DataFrame, b: DataFrame, nyquist: float) -> DataFrame:
     return d.join(gain, "stem").select("stem", "band", (F.col("d") - F.col("gain")).alias("delta"), "gain", "frames_used")
 
 
-def hf_envelope_correlation(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
-    """(stem, corr): level of b above the cut-off against a's whole level, frame by frame."""
-    fa = a.groupBy("stem", "frame").agg((10 * F.log10(F.sum(F.col("mag") * F.col("mag")) + F.lit(EPS))).alias("u"))
-    fb = b.where(F.col("hz") >= cutoff).groupBy("stem", "frame").agg((10 * F.log10(F.sum(F.col("mag") * F.col("mag")) + F.lit(EPS))).alias("v"))
-    return fa.join(fb, ["stem", "frame"]).groupBy("stem").agg(correlation("u", "v").alias("corr"), F.count("*").alias("n_frames"))
-
-
-def modulation(levels: DataFrame, n: int) -> DataFrame:
-    """(sig, period, depth): the strongest period of the first n levels (sig, k, x), mean removed, under a Hann window."""
-    w = Window.partitionBy("sig")
-    s = levels.where(F.col("k") < n).withColumn("n", F.count("*").over(w)).where(F.col("n") == n)
-    s = s.withColumn("y", (F.col("x") - F.avg("x").over(w)) * (0.5 - 0.5 * F.cos(2 * F.pi() * F.col("k") / (n - 1))))
-    e = s.select("sig", "k", "y", F.explode(F.sequence(F.lit(1), F.lit(n // 2))).alias("bin"))
-    turn = 2 * F.pi() * F.col("bin") * F.col("k") / n
-    g = e.groupBy("sig", "bin").agg(F.sum(F.col("y") * F.cos(turn)).alias("re"), F.sum(F.col("y") * F.sin(turn)).alias("im"))
-    g = g.withColumn("mag", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-    top = g.groupBy("sig").agg(F.max_by("bin", F.struct(F.round("mag", 9), -F.col("bin"))).alias("bin"), F.max("mag").alias("mag"))
-    return top.select("sig", (F.lit(float(n)) / F.col("bin")).alias("period"), (F.col("mag") * 4 / n).alias("depth"))
+#: Fewer frames say nothing about an envelope.
+ENVELOPE_FRAMES = 16
+
+
+def hf_envelope_correlation(both: DataFrame, cutoff: float) -> DataFrame:
+    """(stem, corr, n_frames): level of mb above the cut-off against the whole level of mag, frame by frame.
+
+    No bin from the cut-off on gives no row; with fewer than ENVELOPE_FRAMES frames, or a level that doesn't vary, corr is null.
+    """
+    high = F.when(F.col("hz") >= cutoff, F.col("mb") * F.col("mb"))
+    f = both.groupBy("stem", "frame").agg(rms_db(F.avg(F.col("mag") * F.col("mag"))).alias("u"), rms_db(F.avg(high)).alias("v")).where("v is not null")
+    g = f.groupBy("stem").agg(correlation("u", "v").alias("corr"), F.count("*").alias("n_frames"))
+    return g.select("stem", F.when(F.col("n_frames") >= ENVELOPE_FRAMES, F.col("corr")).alias("corr"), "n_frames")
+
+
+#: Periods in seconds of a swing that counts, and the shortest signal in seconds and frames.
+SLOWEST, FASTEST, SWING_SECONDS, SWING_FRAMES = 30.0, 2.0, 4.0, 16
+
+
+def modulation(levels: DataFrame, rate: float) -> DataFrame:
+    """(sig, period, depth): the strongest swing of 2 to 30 seconds in all levels (sig, k, x), ``rate`` a second.
+
+    The mean goes, a Hann window applies, and a parabola through the peak gives the period between bins. Signals under 4
+    seconds or 16 levels, or without such a period, have zeros. A signal's levels (some dozens a second) are one group.
+    """
+
+    def run(pdf):
+        import pandas as pd
+
+        x = pdf.sort_values("k").x.to_numpy(float)
+        return pd.DataFrame([(int(pdf.sig.iloc[0]), *swing(x, rate))], columns=["sig", "period", "depth"])
+
+    return levels.select("sig", "k", "x").groupBy("sig").applyInPandas(run, "sig long, period double, depth double")
+
+
+def swing(x: np.ndarray, rate: float) -> tuple[float, float]:
+    n = len(x)
+    if n < SWING_FRAMES or n / rate < SWING_SECONDS:
+        return 0.0, 0.0
+    size = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(n)))
+    bins = np.arange(1, len(size))
+    bins = bins[(n / rate / bins >= FASTEST) & (n / rate / bins <= SLOWEST)]
+    if not len(bins):
+        return 0.0, 0.0
+    top = int(bins[np.argmax(np.round(size[bins], 9))])
+    shift = 0.0
+    if top + 1 < len(size):
+        low, mid, high = size[top - 1 : top + 2]
+        bend = low - 2 * mid + high
+        shift = float(np.clip((low - high) / (2 * bend), -0.5, 0.5)) if bend else 0.0
+    return n / rate / (top + shift), float(4 * size[top] / n)
 
 
 def stereo_metrics(lr: DataFrame) -> DataFrame:

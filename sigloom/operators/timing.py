@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,43 +132,117 @@ def risk_region(f: DataFrame, dt: float, least: float = 0.4, merge_s: float = 1.
 def best_lag(ab: DataFrame, max_lag: int) -> DataFrame:
     """(pair, lag, score): the first lag with the highest normalised correlation; ab (pair, i, l, r), |lag| <= max_lag.
 
-    Positive lags mean that r is late. Each sample of l meets the few samples of r in reach by an equality on position.
+    Positive lags mean that r is late. Null and missing samples count as the side's mean; a side that doesn't vary gives lag
+    and score 0. All lags come from one FFT of the pair, whose samples (envelopes for long signals) are one group.
     """
-    m = ab.groupBy("pair").agg(F.avg("l").alias("ml"), F.avg("r").alias("mr"), F.sqrt(F.sum(F.col("l") ** 2) - F.count("*") * F.avg("l") ** 2).alias("nl"), F.sqrt(F.sum(F.col("r") ** 2) - F.count("*") * F.avg("r") ** 2).alias("nr"))
-    c = ab.join(m, "pair").select("pair", "i", (F.col("l") - F.col("ml")).alias("l"), (F.col("r") - F.col("mr")).alias("r"), (F.col("nl") * F.col("nr")).alias("norm"))
-    left = c.select("pair", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"), "i", "l", "norm").withColumn("i", F.col("i") + F.col("lag"))
-    s = left.join(c.select("pair", "i", "r"), ["pair", "i"]).groupBy("pair", "lag").agg((F.sum(F.col("l") * F.col("r")) / F.nullif(F.first("norm"), F.lit(0.0))).alias("score"))
-    return s.groupBy("pair").agg(first_best(F.col("lag"), F.round("score", 9), F.col("lag")).cast("long").alias("lag"), F.max("score").alias("score"))
+
+    def run(pdf):
+        import pandas as pd
+
+        place = (pdf.i - pdf.i.min()).to_numpy()
+        sides = []
+        for c in ("l", "r"):
+            x, v = np.zeros(int(place.max()) + 1), pdf[c].to_numpy(float)
+            known = ~np.isnan(v)
+            x[place[known]] = v[known] - v[known].mean() if known.any() else 0.0
+            sides.append(x)
+        norm = np.linalg.norm(sides[0]) * np.linalg.norm(sides[1])
+        lag, score = 0, 0.0
+        if norm > 0:
+            reach = min(max_lag, len(sides[0]) - 1)
+            scores = lagged_products(*sides, reach) / norm
+            best = int(np.argmax(np.round(scores, 9)))
+            lag, score = best - reach, float(scores.max())
+        return pd.DataFrame({"pair": [int(pdf.pair.iloc[0])], "lag": [lag], "score": [score]})
+
+    return ab.select("pair", "i", "l", "r").groupBy("pair").applyInPandas(run, "pair long, lag long, score double")
+
+
+def lagged_products(l: np.ndarray, r: np.ndarray, reach: int) -> np.ndarray:  # noqa: E741
+    """Sums of l[i] r[i + lag] for the lags from -reach to reach."""
+    size = 1 << (len(l) + len(r)).bit_length()
+    c = np.fft.irfft(np.conj(np.fft.rfft(l, size)) * np.fft.rfft(r, size), size)
+    return np.concatenate((c[size - reach :], c[: reach + 1])) if reach else c[:1]
+
+
+def window_scores(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Correlation of ``short`` with every window of ``long``; 0 where a side doesn't vary."""
+    n, count = len(short), len(long) - len(short) + 1
+    if not n or count < 1:
+        return np.zeros(0)
+    size = 1 << (n + len(long)).bit_length()
+    centred, base = short - short.mean(), long.mean()
+    long = long - base  # sums of squares stay small
+    dots = np.fft.irfft(np.conj(np.fft.rfft(centred, size)) * np.fft.rfft(long, size), size)[:count]
+    one, two = (np.concatenate(([0.0], np.cumsum(v))) for v in (long, long * long))
+    var = (two[n:] - two[:-n]) - (one[n:] - one[:-n]) ** 2 / n
+    own = float(centred @ centred)
+    return np.where((var > 1e-12) & (own > 1e-12), dots / np.sqrt(np.maximum(var, 1e-30) * max(own, 1e-30)), 0.0)
 
 
 def sliding_correlation(ab: DataFrame, short: int) -> DataFrame:
     """(pair, start, score): the first ``short`` samples of l against every window of r; 0 where a side doesn't vary."""
-    a = ab.where(F.col("i") < short).select("pair", F.col("i").alias("j"), "l")
-    n = ab.groupBy("pair").agg(F.count("*").alias("n"))
-    b = ab.join(n, "pair").select("pair", "n", "r", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("i") - short + 1), F.col("i"))).alias("start"), "i").where(F.col("start") <= F.col("n") - short)
-    b = b.withColumn("j", F.col("i") - F.col("start"))
-    g = b.join(a, ["pair", "j"]).groupBy("pair", "start").agg(
-        F.sum(F.col("l") * F.col("r")).alias("lr"), F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(F.col("l") ** 2).alias("ll"), F.sum(F.col("r") ** 2).alias("rr"))
-    vl, vr = F.greatest(F.col("ll") - F.col("l") ** 2 / short, F.lit(0.0)), F.greatest(F.col("rr") - F.col("r") ** 2 / short, F.lit(0.0))
-    return g.select("pair", "start", F.when((vl > 1e-12) & (vr > 1e-12), (F.col("lr") - F.col("l") * F.col("r") / short) / F.sqrt(vl * vr)).otherwise(0.0).alias("score"))
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("i")
+        scores = window_scores(pdf.l.to_numpy(float)[:short], pdf.r.to_numpy(float))
+        return pd.DataFrame({"pair": int(pdf.pair.iloc[0]), "start": np.arange(len(scores)), "score": scores})
+
+    return ab.select("pair", "i", "l", "r").groupBy("pair").applyInPandas(run, "pair long, start long, score double")
+
+
+#: Fixed value: a window's offset counts from this correlation on.
+CONFIDENT = 0.5
 
 
 def correlation_summary(windows: DataFrame) -> DataFrame:
-    """Least, median and mean score of (pair, start, score), windows of 0.5 or more, or all where there are none."""
-    w = windows.withColumn("any", F.max((F.col("score") >= 0.5).cast("int")).over(Window.partitionBy("pair"))).where("any = 0 or score >= 0.5")
-    return w.groupBy("pair").agg(F.min("score").alias("corr_min"), F.median("score").alias("corr_median"), F.avg("score").alias("corr_mean"), F.count("*").alias("n_windows"))
+    """(pair, corr_min, corr_median, corr_mean, drift, max_offset, confident) of windows (pair, start, score).
+
+    The correlations are those of all windows, so that damage isn't hidden. Drift, and the offset (``start``) furthest from 0,
+    the positive one on ties, are of the windows with CONFIDENT or more, or of all where there are none; ``confident`` is their number.
+    """
+    sure = F.col("score") >= CONFIDENT
+    g = windows.groupBy("pair").agg(
+        F.min("score").alias("corr_min"), F.median("score").alias("corr_median"), F.avg("score").alias("corr_mean"), F.count("*").alias("n"),
+        F.count_if(sure).alias("n_sure"), *(f(F.when(sure, F.col("start"))).alias(f"{n}_sure") for n, f in (("low", F.min), ("high", F.max))),
+        F.min("start").alias("low"), F.max("start").alias("high"),
+    )
+    pick = lambda c: F.when(F.col("n_sure") > 0, F.col(f"{c}_sure")).otherwise(F.col(c))
+    far = F.when(-pick("low") > pick("high"), pick("low")).otherwise(pick("high"))
+    return g.select("pair", "corr_min", "corr_median", "corr_mean", (pick("high") - pick("low")).alias("drift"), far.alias("max_offset"), F.when(F.col("n_sure") > 0, F.col("n_sure")).otherwise(F.col("n")).alias("confident"))
 
 
 def estimate_offset(a: DataFrame, b: DataFrame, hop: int, coarse: int, fine: int, span: int) -> DataFrame:
     """(sig, coarse, offset, score): how many samples b is late, first by envelopes, then by samples; a, b (sig, i, x).
 
-    Envelopes of ``hop`` samples are searched to ``coarse`` hops either way. Around the lag found, samples of a's loudest
-    stretch of ``span`` hops are searched to ``fine`` either way, so the sample step doesn't grow with the signals.
+    Envelopes of ``hop`` samples are searched to ``coarse`` hops either way. Then a's loudest stretch of ``span`` hops slides
+    over the wider stretch of b that reaches ``fine`` samples further either way, so every position compares as many samples
+    and the sample step doesn't grow with the signals. Where b has no room for it the coarse offset stays, with score 0.
     """
     env = lambda s, n: levels.envelope(s, hop).select(F.col("sig").alias("pair"), F.col("b").alias("i"), F.col("env").alias(n))
-    first = best_lag(env(a, "l").join(env(b, "r"), ["pair", "i"]), coarse).select(F.col("pair").alias("sig"), (F.col("lag") * hop).alias("coarse"))
-    start = levels.loudest_start(a, span, hop).select("sig", "start")
-    near = a.join(start, "sig").where((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + span * hop)).select("sig", "i", F.col("x").alias("l"))
-    moved = b.join(first, "sig").select("sig", (F.col("i") - F.col("coarse")).alias("i"), F.col("x").alias("r"))
-    found = best_lag(near.join(moved, ["sig", "i"]).withColumnRenamed("sig", "pair"), fine).withColumnRenamed("pair", "sig")
-    return first.join(found, "sig").select("sig", "coarse", (F.col("coarse") + F.col("lag")).alias("offset"), "score")
+    first = best_lag(env(a, "l").join(env(b, "r"), ["pair", "i"], "full"), coarse).select(F.col("pair").alias("sig"), (F.col("lag") * hop).alias("coarse"))
+    ends = a.groupBy("sig").agg((F.max("i") + 1).alias("na")).join(b.groupBy("sig").agg((F.max("i") + 1).alias("nb")), "sig")
+    size = span * hop
+    lowest = F.greatest(F.lit(0), fine - F.col("coarse"))
+    highest = F.least(F.col("na") - size, F.col("nb") - F.col("coarse") - size - fine)
+    start = levels.loudest_start(a, span, hop).select("sig", "start").join(first, "sig").join(ends, "sig").where(highest >= lowest)
+    start = start.select("sig", "coarse", F.least(F.greatest("start", lowest), highest).cast("long").alias("start"))
+    near = a.join(start, "sig").select("sig", (F.col("i") - F.col("start") + fine).alias("i"), F.col("x").alias("l")).where(F.col("i").between(fine, fine + size - 1))
+    wide = b.join(start, "sig").select("sig", (F.col("i") - F.col("coarse") - F.col("start") + fine).alias("i"), F.col("x").alias("r")).where(F.col("i").between(0, size + 2 * fine - 1))
+
+    def run(pdf):
+        import pandas as pd
+
+        x, y = np.zeros(size), np.zeros(size + 2 * fine)
+        for v, c, shift in ((x, "l", fine), (y, "r", 0)):
+            known = pdf[c].notna()
+            v[pdf.i[known].to_numpy() - shift] = pdf[c][known]
+        scores = window_scores(x, y)
+        best = int(np.argmax(np.round(scores, 9)))
+        return pd.DataFrame({"sig": [int(pdf.sig.iloc[0])], "lag": [best - fine], "score": [float(scores[best])]})
+
+    found = near.join(wide, ["sig", "i"], "full").groupBy("sig").applyInPandas(run, "sig long, lag long, score double")
+    lag, score = F.coalesce("lag", F.lit(0)), F.coalesce("score", F.lit(0.0))
+    return first.join(found, "sig", "left").select("sig", "coarse", (F.col("coarse") + lag).alias("offset"), score.alias("score"))

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.numeric import r, setting_flag, setting_number, setting_text, setting_whole
+from sigloom.functions.numeric import r, rms_db, setting_flag, setting_number, setting_text, setting_whole
 from sigloom.operators import events, harmony, kernels, layout, levels, report, spectral, stages, timing
 from sigloom.plans import sql
 from sigloom.sources import tables
@@ -41,6 +41,11 @@ def cut_band(spec):
     return spec.withColumn("mag", F.col("mag") * down)
 
 
+def two_sided(spec):
+    """mag, and mb as :func:`cut_band` changes it."""
+    return cut_band(spec.withColumn("old", F.col("mag"))).withColumnsRenamed({"mag": "mb", "old": "mag"})
+
+
 def lengths(b, sr):
     return b.groupBy("sig").agg((F.floor(F.max("t") * sr) + 1).cast("long").alias("n"))
 
@@ -133,8 +138,7 @@ def q_above(spark, d):
 
 
 def q_bands(spark, d):
-    s = spectrum(spark, d)
-    return rounded(spectral.band_delta(s, cut_band(s), SR / 2))
+    return rounded(spectral.band_delta(two_sided(spectrum(spark, d)), SR / 2))
 
 
 def q_features(spark, d):
@@ -142,12 +146,11 @@ def q_features(spark, d):
 
 
 def q_hf(spark, d):
-    s = spectrum(spark, d)
-    return rounded(spectral.hf_envelope_correlation(s, cut_band(s), 10_000.0))
+    return rounded(spectral.hf_envelope_correlation(two_sided(spectrum(spark, d)), 10_000.0))
 
 
 def q_modulation(spark, d):
-    return rounded(spectral.modulation(tables.beats(spark, d).select("sig", "k", "x"), 32))
+    return rounded(spectral.modulation(tables.beats(spark, d).select("sig", "k", "x"), sql.LEVEL_RATE))
 
 
 def q_risk(spark, d):
@@ -158,7 +161,7 @@ def q_gain(spark, d):
     s = damaged(tables.dense(spark, d).withColumn("x", F.col("x") * F.pow(F.lit(10.0), -(F.col("i") % 4000) / 1000.0)).withColumn("sig", F.lit(1).cast("long")))
     hop = F.expr(f"i div {BLOCK}")
     f = s.groupBy("sig", hop.alias("f")).agg(F.avg(F.col("a") * F.col("a")).alias("pa"), F.avg(F.col("b") * F.col("b")).alias("pb"))
-    lv = f.select("sig", (10 * F.log10(F.col("pa") + 1e-12)).alias("da"), (10 * F.log10(F.col("pb") + 1e-12)).alias("db"))
+    lv = f.select("sig", rms_db(F.col("pa")).alias("da"), rms_db(F.col("pb")).alias("db"))
     return rounded(report.gain_curve(lv))
 
 
@@ -254,9 +257,8 @@ def q_limit(spark, d):
 
 
 def q_staging(spark, d):
-    peak = F.max(F.abs("x")).over(Window.partitionBy("sig"))
-    s = tables.beats(spark, d).withColumn("g", F.when(peak > 0.5, 0.5 / peak).otherwise(1.0))
-    return rounded(s.groupBy("sig").agg(F.max("g").alias("gain"), F.max(F.abs(F.col("x") * F.col("g"))).alias("staged_peak")))
+    s = events.stage_gain(tables.beats(spark, d).select("sig", "x"))
+    return rounded(s.groupBy("sig").agg(F.max("gain").alias("gain"), F.max(F.abs("x")).alias("staged_peak")))
 
 
 def q_rank(spark, d):
@@ -285,13 +287,13 @@ def q_transients(spark, d):
 
 
 def q_report(spark, d):
-    return rounded(report.quality_report(report_pairs(spark, d)))
+    return rounded(report.quality_report(report_pairs(spark, d), 8, *sql.SHORT_FRAME))
 
 
-def short_spectrum(ab, column):
-    """Spectra of one side of a pair, in frames of 16 samples."""
-    f = ab.groupBy("sig", F.expr("k div 16").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("k", F.col(column).alias("x")))).alias("v"))
-    return spectral.dft(f.select(F.col("sig").alias("stem"), "frame", F.col("v.x").alias("x")), 16, SR)
+def short_spectrum(ab):
+    """Spectra of both sides of a pair beside each other, in frames of 16 samples."""
+    f = ab.groupBy("sig", F.expr("k div 16").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("k", "a", "b"))).alias("v"))
+    return spectral.dft(f.select(F.col("sig").alias("stem"), "frame", F.col("v.a").alias("x"), F.col("v.b").alias("y")), 16, SR, second="y")
 
 
 def q_verdict(spark, d):
@@ -300,10 +302,10 @@ def q_verdict(spark, d):
     ends = ab.withColumn("tb", F.when(~cut, F.col("t"))).groupBy("sig").agg(F.max("t").alias("end_a"), F.max("tb").alias("end_b"))
     ends = ends.withColumns({"channels_a": F.lit(1), "channels_b": F.when(F.col("sig") % 11 == 0, 2).otherwise(1)})
     late = ab.select("sig", F.col("k").alias("w"), F.when(F.col("sig") % 17 == 0, F.col("k") * 0.2).otherwise(0.0).alias("ms"))
-    bands = spectral.band_delta(short_spectrum(ab, "a"), short_spectrum(ab, "b"), SR / 2).withColumnRenamed("stem", "sig")
+    bands = spectral.band_delta(short_spectrum(ab), SR / 2).withColumnRenamed("stem", "sig")
     onsets = ab.where("a > 0.85 and k >= 6").select("sig", F.col("k").alias("o"))
     slopes = report.transients(ab.select("sig", F.col("k").alias("i"), "a", "b"), onsets, 5, 1, 6)
-    return report.verdict(report.with_measures(report.quality_report(ab), ends, late, bands, slopes))
+    return report.verdict(report.with_measures(report.quality_report(ab, 8, *sql.SHORT_FRAME), ends, late, bands, slopes))
 
 
 def q_batch(spark, d):
@@ -377,7 +379,25 @@ def q_labels(spark, d):
 def q_track(spark, d):
     s = tables.beats(spark, d).select("sig", F.col("k").alias("i"), F.col("x").alias("a"))
     late = s.select("sig", (F.col("i") + 2).alias("i"), F.col("a").alias("b"))
-    return rounded(kernels.track_offsets(s.join(late, ["sig", "i"], "left").fillna(0.0, ["b"]), 12, 6, 6, 3))
+    return rounded(kernels.track_offsets(s.join(late, ["sig", "i"], "left"), *sql.TRACK))
+
+
+def q_k_weight(spark, d):
+    found = kernels.k_weight(arrays(spark, d), SR)
+    return rounded(found.select("sig", F.posexplode("y").alias("i", "y")))
+
+
+def q_k_loudness(spark, d):
+    """Two vectors are the channels of a signal; blocks of 32 samples, 8 apart."""
+    f = tables.frames(spark, d).select(F.expr("frame div 2").alias("sig"), (F.col("frame") % 2).alias("ch"), "x")
+    return rounded(levels.integrated_loudness(kernels.block_power(f, SR, *sql.LOUD_BLOCK)))
+
+
+def q_describe(spark, d):
+    f = tables.frames(spark, d).select(F.expr("frame div 2").alias("sig"), (F.col("frame") % 2).alias("ch"), "x")
+    rows = f.select("sig", "ch", F.posexplode("x").alias("i", "x"))
+    short, long = (kernels.block_power(f, SR, *size) for size in (sql.LOUD_BLOCK, sql.RANGE_BLOCK))
+    return rounded(levels.describe(rows, short, long, SR).drop("rate"))
 
 
 def q_dtw(spark, d):
@@ -447,7 +467,7 @@ def queries():
         "stage_integrity": q_integrity, "stem_summary": q_stem_sum, "repair_rollback": q_rollback, "labels_and_rates": q_labels,
         "mid_side_retry": q_retry, "waveform_scaling": q_scaled, "settings_parse": q_settings,
         "local_offset_track": q_track, "dtw_distance": q_dtw, "coherence": q_coherence, "model_hook": partial(model, stand_in),
-        "k_weight": lambda spark, d: kernels.k_weight(arrays(spark, d), SR),
+        "k_weight": q_k_weight, "k_weighted_loudness": q_k_loudness, "signal_description": q_describe,
         "resample": lambda spark, d: kernels.resample(arrays(spark, d), 48_000, 44_100),
         "phase_warp": lambda spark, d: kernels.phase_warp(arrays(spark, d), [0.0, 30.0, 64.0], [0.0, 34.0, 66.0]),
         "pitch_shift": lambda spark, d: kernels.pitch_shift(arrays(spark, d), 3.0),

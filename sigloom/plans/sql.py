@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 REGION = (300_000.0, 900_000.0)
 BEAT_SECONDS = 50_000.0
 CHUNK = (20, 6)
 SPLICE = (10, 24, 5)
 DELAY = 137
+LEVEL_RATE = 4.0
+SHORT_FRAME = (8, 2)
+TRACK = (12, 6, 6)
+LOUD_BLOCK, RANGE_BLOCK = (32, 8), (48, 8)
 KEYWORDS = ("ring", "widget", "bolt", "gear")
 
 BEATS = """ev AS (SELECT user_id AS sig, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k,
@@ -54,12 +60,14 @@ REPORT = f"""{AB}, lg AS (SELECT *, abs(a - lag(a) OVER w) AS ja, abs(b - lag(b)
 g AS (SELECT sig, count(*) AS n, max(t) AS duration, max(abs(a)) AS peak_a, max(abs(b)) AS peak_b, CAST(count(*) FILTER (abs(a) >= 0.999969) AS BIGINT) AS clipped_in, CAST(count(*) FILTER (abs(b) >= 0.999969) AS BIGINT) AS clipped_out,
   sqrt(avg(a * a)) AS ra, sqrt(avg(b * b)) AS rb, sqrt(avg((a - b) * (a - b))) AS rd, median(20 * log10(abs(b / a))) FILTER (a <> 0 AND b <> 0) AS program_gain,
   max(ja) / nullif(max(abs(a)), 0) AS step_a, max(jb) / nullif(max(abs(b)), 0) AS step_b, coalesce({CORR('a', 'b')}, 1.0) AS corr FROM lg GROUP BY 1),
-sb AS (SELECT sig, floor(20 * log10(abs(a)) / 6) AS bin, median(20 * log10(abs(b / a))) AS gain FROM ab WHERE a <> 0 AND b <> 0 GROUP BY 1, 2 HAVING count(*) >= 4),
-sd AS (SELECT sig, max(gain) - min(gain) AS spread FROM sb GROUP BY 1),
+ft AS (SELECT sig, count(*) AS n FROM ab GROUP BY 1), fs2 AS (SELECT sig, unnest(range(0, n - 8, 2)) AS s FROM ft),
+fd AS (SELECT f.sig, s, 20 * log10(sqrt(avg(a * a)) + 1e-12) AS da, 20 * log10(sqrt(avg(b * b)) + 1e-12) AS db FROM fs2 f JOIN ab ON ab.sig = f.sig AND k >= s AND k < s + 8 GROUP BY 1, 2),
+sb AS (SELECT sig, floor((da + 100) / 6) AS bin, median(db - da) AS gain FROM fd WHERE da >= -100 AND da < -4 GROUP BY 1, 2 HAVING count(*) >= 12),
+sd AS (SELECT sig, max(gain) - min(gain) AS spread, arg_min(gain, bin) AS quiet, arg_max(gain, bin) AS loud FROM sb GROUP BY 1),
 fw AS (SELECT sig, k // 8 AS w, coalesce({CORR('a', 'b')}, 0.0) AS corr FROM ab GROUP BY 1, 2 HAVING count(*) = 8),
 fs AS (SELECT sig, min(corr) AS corr_min, median(corr) AS corr_median FROM fw GROUP BY 1),
 rp AS (SELECT g.sig, n, duration, peak_a, peak_b, clipped_in, clipped_out, ({DB('rb')}) - ({DB('ra')}) AS rms_delta, CASE WHEN rd > 0 AND ra > 0 THEN 20 * log10(rd) - 20 * log10(ra) ELSE CAST('-Infinity' AS DOUBLE) END AS residual,
-  program_gain, step_a, step_b, corr, coalesce(spread, 0.0) AS spread, corr_min, corr_median FROM g LEFT JOIN sd USING (sig) LEFT JOIN fs USING (sig))"""
+  program_gain, step_a, step_b, corr, coalesce(spread, 0.0) AS spread, coalesce(quiet, 0.0) AS quiet, coalesce(loud, 0.0) AS loud, corr_min, corr_median FROM g LEFT JOIN sd USING (sig) LEFT JOIN fs USING (sig))"""
 
 
 def END(h, m, h2, m2):  # noqa: N802
@@ -73,7 +81,8 @@ def rd(*names: str, places: int = 6) -> str:
 
 BANDS = "(VALUES ('20_100',20,100),('100_250',100,250),('250_500',250,500),('500_1k',500,1000),('1k_2_5k',1000,2500),('2_5k_5k',2500,5000),('5k_8k',5000,8000),('8k_10k',8000,10000),('10k_16k',10000,16000),('16k_24k',16000,24000)) AS bands(band, lo, hi)"
 WIDTH = f"least({CHUNK[1]}, (stop - start) // 2)"
-RAMP = lambda d: f"pow(sin(pi() / 2 * ({d} + 0.5) / {WIDTH}), 2)"
+TURN = lambda d, w: f"(pi() / 2 * coalesce(({d}) / nullif(CAST({w} AS DOUBLE) - 1, 0), 0))"
+RAMP = lambda d: f"pow(sin({TURN(d, WIDTH)}), 2)"
 S0, SL, SF = SPLICE
 
 RISK = f"""{BEATS}, t AS (SELECT sig, greatest(avg(x) + 1.5 * stddev_pop(x), 0.4) AS threshold FROM ev GROUP BY 1), up AS (SELECT sig, k, CASE WHEN k - lag(k) OVER (PARTITION BY sig ORDER BY k) - 1 <= 2 THEN 0 ELSE 1 END AS fresh FROM ev JOIN t USING (sig) WHERE x > threshold),
@@ -95,13 +104,34 @@ bn AS (SELECT bd.sig, band, median(bb - ba) - any_value(gain) AS delta FROM bd J
 mv AS (SELECT sig, {MOVED} FROM bn GROUP BY 1),
 ts AS (SELECT o.sig, o.k AS o, avg(s.a * s.a) FILTER (s.k < o.k) AS a0, avg(s.a * s.a) FILTER (s.k >= o.k) AS a1, avg(s.b * s.b) FILTER (s.k < o.k) AS b0, avg(s.b * s.b) FILTER (s.k >= o.k) AS b1
   FROM ab o JOIN ab s ON s.sig = o.sig AND s.k >= o.k - 5 AND s.k < o.k + 6 AND (s.k < o.k - 1 OR s.k >= o.k) WHERE o.a > 0.85 AND o.k >= 6 GROUP BY 1, 2),
-sl AS (SELECT sig, median(10 * log10((b1 + 1e-12) / (b0 + 1e-12))) - median(10 * log10((a1 + 1e-12) / (a0 + 1e-12))) AS sd FROM ts GROUP BY 1),
+sl AS (SELECT sig, median(20 * log10(sqrt(b1) + 1e-12) - 20 * log10(sqrt(b0) + 1e-12)) - median(20 * log10(sqrt(a1) + 1e-12) - 20 * log10(sqrt(a0) + 1e-12)) AS sd FROM ts GROUP BY 1),
 v AS (SELECT rp.sig, list_filter([CASE WHEN rp.sig % 11 = 0 THEN 'channels' END, CASE WHEN abs(dd) > 5 THEN 'duration' END, CASE WHEN dr > 5 THEN 'drift' END, CASE WHEN corr_min < 0.9 THEN 'corr_min' END, {BAD},
   CASE WHEN sd < -0.5 THEN 'attack slope' END, CASE WHEN spread > 6 THEN 'spread' END, CASE WHEN clipped_out > clipped_in THEN 'clipping' END], lambda y: y IS NOT NULL) AS p
   FROM rp LEFT JOIN ln USING (sig) LEFT JOIN mv USING (sig) LEFT JOIN sl USING (sig))"""
-LAGS = lambda c, s, most: f"""m_{c} AS (SELECT avg(l) AS ml, avg(r) AS mr, sqrt(sum(l * l) - count(*) * avg(l) * avg(l)) * sqrt(sum(r * r) - count(*) * avg(r) * avg(r)) AS norm FROM {c}),
+LAGS = lambda c, s, most: f"""m_{c} AS (SELECT avg(l) AS ml, avg(r) AS mr, sqrt(sum(l * l) - count(l) * avg(l) * avg(l)) * sqrt(sum(r * r) - count(r) * avg(r) * avg(r)) AS norm FROM {c}),
 {s} AS (SELECT b.i - a.i AS lag, sum((a.l - ml) * (b.r - mr)) / nullif(any_value(norm), 0) AS score FROM {c} a, {c} b, m_{c} WHERE b.i BETWEEN a.i - {most} AND a.i + {most} GROUP BY 1)"""
 
+KW_A, KW_1, KW_2 = 10 ** (3.999843853973347 / 40), 2 * math.pi * 1681.974450955533 / 48_000, 2 * math.pi * 38.13547087602444 / 48_000
+KW_S, KW_C = math.sqrt(KW_A) * math.sin(KW_1) / 0.7071752369554196, math.cos(KW_1)
+KW_N = KW_A + 1 - (KW_A - 1) * KW_C + KW_S
+SHELF = [KW_A * (KW_A + 1 + (KW_A - 1) * KW_C + KW_S) / KW_N, -2 * KW_A * (KW_A - 1 + (KW_A + 1) * KW_C) / KW_N, KW_A * (KW_A + 1 + (KW_A - 1) * KW_C - KW_S) / KW_N,
+         2 * (KW_A - 1 - (KW_A + 1) * KW_C) / KW_N, (KW_A + 1 - (KW_A - 1) * KW_C - KW_S) / KW_N]
+KW_W, KW_D = math.sin(KW_2) / (2 * 0.5003270373238773), math.cos(KW_2)
+PASS = [(1 + KW_D) / 2 / (1 + KW_W), -(1 + KW_D) / (1 + KW_W), (1 + KW_D) / 2 / (1 + KW_W), -2 * KW_D / (1 + KW_W), (1 - KW_W) / (1 + KW_W)]
+WEIGHTED = f"""fr AS (SELECT vec_id AS sig, embedding AS x FROM embeddings),
+k1 AS (SELECT sig, x, 0 AS i, x[1]::DOUBLE AS v, 0.0::DOUBLE AS v1, {SHELF[0]!r} * x[1]::DOUBLE AS y, 0.0::DOUBLE AS y1, {PASS[0]!r} * ({SHELF[0]!r} * x[1]::DOUBLE) AS z, 0.0::DOUBLE AS z1 FROM fr
+  UNION ALL SELECT sig, x, i + 1, x[i + 2]::DOUBLE, v, {SHELF[0]!r} * x[i + 2]::DOUBLE + {SHELF[1]!r} * v + {SHELF[2]!r} * v1 - {SHELF[3]!r} * y - {SHELF[4]!r} * y1, y,
+  {PASS[0]!r} * ({SHELF[0]!r} * x[i + 2]::DOUBLE + {SHELF[1]!r} * v + {SHELF[2]!r} * v1 - {SHELF[3]!r} * y - {SHELF[4]!r} * y1) + {PASS[1]!r} * y + {PASS[2]!r} * y1 - {PASS[3]!r} * z - {PASS[4]!r} * z1, z FROM k1 WHERE i + 1 < len(x))"""
+BLOCKS = lambda name, size: f"""{name} AS (SELECT sig // 2 AS sig, f AS frame, sum(z * z) / {size[0]} AS power, max(sig % 2) AS top FROM k1, range(0, 65 - {size[0]}, {size[1]}) AS g(f) WHERE i >= f AND i < f + {size[0]} GROUP BY 1, 2)"""
+GATED = lambda b: f"""{b}l AS (SELECT sig, -0.691 + 10 * log10(power + 1e-12) AS l FROM {b}), {b}p AS (SELECT *, pow(10, (l + 0.691) / 10) AS p FROM {b}l WHERE l > -70),
+{b}g AS (SELECT sig, -0.691 + 10 * log10(avg(p) + 1e-12) AS whole, avg(l) AS plain FROM {b}p GROUP BY 1),
+{b}u AS (SELECT sig, coalesce(-0.691 + 10 * log10(avg(p) FILTER (l > whole - 10) + 1e-12), any_value(plain)) AS lufs, CASE WHEN count(*) FILTER (l > whole - 20) < 2 THEN 0 ELSE quantile_cont(l, 0.95) FILTER (l > whole - 20) - quantile_cont(l, 0.1) FILTER (l > whole - 20) END AS lra FROM {b}p JOIN {b}g USING (sig) GROUP BY 1)"""
+TRACKED = f"""{BEATS}, tn AS (SELECT sig, count(*) AS n FROM ev GROUP BY 1), tb AS (SELECT a.sig, a.k AS i, coalesce(b.x, 0) AS b FROM ev a LEFT JOIN ev b ON b.sig = a.sig AND b.k = a.k - 2),
+tw AS (SELECT sig, n, unnest(range(0, n - {TRACK[0]}, {TRACK[1]})) AS s FROM tn), tp AS (SELECT sig, n, s, unnest(range(0, n - {TRACK[0]} + 1)) AS p FROM tw),
+tc AS (SELECT tp.sig, s, p, coalesce({CORR('a.x', 'tb.b')}, 0) AS score FROM tp JOIN ev a ON a.sig = tp.sig AND a.k >= s AND a.k < s + {TRACK[0]} JOIN tb ON tb.sig = tp.sig AND tb.i = a.k - s + p GROUP BY 1, 2, 3),
+tr AS (SELECT sig, n, CAST(-1 AS BIGINT) AS w, CAST(NULL AS BIGINT) AS lag, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS BIGINT) AS running FROM tn
+  UNION ALL SELECT tr.sig, n, w + 1, arg_max(p - s, round(tc.score, 9) - p * 1e-12), max(tc.score), coalesce(arg_max(p - s, round(tc.score, 9) - p * 1e-12), running)
+  FROM tr LEFT JOIN tc ON tc.sig = tr.sig AND s = (w + 1) * {TRACK[1]} AND abs(p - s - coalesce(running, 0)) <= {TRACK[2]} WHERE (w + 1) * {TRACK[1]} < n - {TRACK[0]} GROUP BY tr.sig, n, w, running)"""
 QUERIES = {
     "tempo_stability": f"""WITH {BEATS}, gp AS (SELECT sig, t - lag(t) OVER (PARTITION BY sig ORDER BY t) AS gap FROM ev),
 n AS (SELECT sig, count(*) AS n_beats, median(gap) AS iv FROM gp GROUP BY 1),
@@ -143,17 +173,19 @@ SELECT bd.stem, band, round(median(bb - ba) - any_value(gain), 6) + 0.0 AS delta
     "spectral_features": f"""WITH {SPEC}, s AS (SELECT *, sum(mag) OVER (PARTITION BY frame ORDER BY bin) AS run, sum(mag) OVER (PARTITION BY frame) AS al FROM sp),
 g AS (SELECT frame, sum(hz * mag) / sum(mag) AS centroid, min(hz) FILTER (run >= 0.85 * al - 1e-9) AS rolloff85, min(hz) FILTER (run >= 0.99 * al - 1e-9) AS rolloff99, exp(avg(ln(greatest(mag * mag, 1e-10)))) / avg(greatest(mag * mag, 1e-10)) AS flatness FROM s GROUP BY 1)
 SELECT frame, {rd('centroid', 'flatness')}, CAST(rolloff85 AS DOUBLE) AS rolloff85, CAST(rolloff99 AS DOUBLE) AS rolloff99, round(least(greatest((flatness - 0.15) / 0.20, 0), 1), 6) + 0.0 AS risk FROM g""",
-    "hf_envelope_corr": f"""WITH {SPEC}, {CUT}, a AS (SELECT stem, frame, 10 * log10(sum(mag * mag) + 1e-12) AS u FROM sp GROUP BY 1, 2), b AS (SELECT stem, frame, 10 * log10(sum(mag * mag) + 1e-12) AS v FROM cu WHERE hz >= 10000 GROUP BY 1, 2), q AS (SELECT * FROM a JOIN b USING (stem, frame))
-SELECT stem, CASE WHEN count(*) * var_pop(u) > 1e-12 AND count(*) * var_pop(v) > 1e-12 THEN round(corr(u, v), 6) + 0.0 END AS corr, count(*) AS n_frames FROM q GROUP BY 1""",
-    "hf_modulation": f"""WITH {BEATS}, s AS (SELECT sig, k, (x - avg(x) OVER (PARTITION BY sig)) * (0.5 - 0.5 * cos(2 * pi() * k / 31)) AS y, count(*) OVER (PARTITION BY sig) AS n FROM ev WHERE k < 32),
-g AS (SELECT sig, bin, sqrt(pow(sum(y * cos(2 * pi() * bin * k / 32)), 2) + pow(sum(y * sin(2 * pi() * bin * k / 32)), 2)) AS mag FROM s, range(1, 17) AS b(bin) WHERE n = 32 GROUP BY 1, 2),
-q AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY round(mag, 9) DESC, bin) AS rn FROM g)
-SELECT sig, round(32.0 / bin, 6) + 0.0 AS period, round(mag * 4 / 32, 6) + 0.0 AS depth FROM q WHERE rn = 1""",
+    "hf_envelope_corr": f"""WITH {SPEC}, {CUT}, a AS (SELECT stem, frame, 20 * log10(sqrt(avg(mag * mag)) + 1e-12) AS u FROM sp GROUP BY 1, 2), b AS (SELECT stem, frame, 20 * log10(sqrt(avg(mag * mag)) + 1e-12) AS v FROM cu WHERE hz >= 10000 GROUP BY 1, 2), q AS (SELECT * FROM a JOIN b USING (stem, frame))
+SELECT stem, CASE WHEN count(*) >= 16 AND count(*) * var_pop(u) > 1e-12 AND count(*) * var_pop(v) > 1e-12 THEN round(corr(u, v), 6) + 0.0 END AS corr, count(*) AS n_frames FROM q GROUP BY 1""",
+    "hf_modulation": f"""WITH {BEATS}, c AS (SELECT sig, count(*) AS n, avg(x) AS m FROM ev GROUP BY 1), bs AS (SELECT sig, n, m, unnest(range(0, n // 2 + 1)) AS bin FROM c WHERE n >= 16 AND n >= 4 * {LEVEL_RATE}),
+g AS (SELECT sig, n, bin, sqrt(pow(sum((x - m) * (0.5 - 0.5 * cos(2 * pi() * k / (n - 1))) * cos(2 * pi() * bin * k / n)), 2) + pow(sum((x - m) * (0.5 - 0.5 * cos(2 * pi() * k / (n - 1))) * sin(2 * pi() * bin * k / n)), 2)) AS mag FROM bs JOIN ev USING (sig) GROUP BY 1, 2, 3),
+b3 AS (SELECT *, lag(mag) OVER w AS lo, lead(mag) OVER w AS hi FROM g WINDOW w AS (PARTITION BY sig ORDER BY bin)),
+q AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY round(mag, 9) DESC, bin) AS rn FROM b3 WHERE bin > 0 AND n / {LEVEL_RATE} / bin BETWEEN 2 AND 30),
+t AS (SELECT sig, n / {LEVEL_RATE} / (bin + CASE WHEN hi IS NULL THEN 0 ELSE coalesce(least(greatest(0.5 * (lo - hi) / nullif(lo - 2 * mag + hi, 0), -0.5), 0.5), 0) END) AS period, mag * 4 / n AS depth FROM q WHERE rn = 1)
+SELECT c.sig, round(coalesce(period, 0), 6) + 0.0 AS period, round(coalesce(depth, 0), 6) + 0.0 AS depth FROM c LEFT JOIN t USING (sig)""",
     "risk_regions": f"""WITH {RISK},
 ins AS (SELECT ev.sig, avg(x) AS inside FROM ev JOIN rg ON rg.sig = ev.sig AND k * 0.5 >= "start" AND k * 0.5 < "end" GROUP BY 1)
 SELECT t.sig, round(threshold, 6) + 0.0 AS threshold, round("start", 6) + 0.0 AS "start", round("end", 6) + 0.0 AS "end", round(inside, 6) + 0.0 AS inside FROM t LEFT JOIN rg USING (sig) LEFT JOIN ins USING (sig)""",
     "gain_curve": """WITH s AS (SELECT event_id AS i, value / 500 * pow(10, -(event_id % 4000) / 1000.0) AS a FROM events), f AS (SELECT i // 50 AS f, avg(a * a) AS pa, avg(pow(a * pow(10, -0.1), 2)) AS pb FROM s GROUP BY 1),
-l AS (SELECT 10 * log10(pa + 1e-12) AS da, 10 * log10(pb + 1e-12) AS db FROM f)
+l AS (SELECT 20 * log10(sqrt(pa) + 1e-12) AS da, 20 * log10(sqrt(pb) + 1e-12) AS db FROM f)
 SELECT CAST(1 AS BIGINT) AS sig, CAST(floor((da + 100) / 6) * 6 - 100 AS BIGINT) AS bin, round(median(db - da), 6) + 0.0 AS gain, count(*) AS n FROM l WHERE da >= -100 AND da < -4 GROUP BY 2 HAVING count(*) >= 12""",
     "stereo_metrics": f"""WITH {LR}, g AS (SELECT pair, sqrt(avg(pow((l + r) / 2, 2))) AS m, sqrt(avg(pow((l - r) / 2, 2))) AS s, coalesce({CORR('l', 'r')}, 1.0) AS corr FROM lr GROUP BY 1)
 SELECT pair, CASE WHEN s > 0 AND m > 0 THEN round(20 * log10(s) - 20 * log10(m), 6) + 0.0 ELSE CAST('-Infinity' AS DOUBLE) END AS side_mid_db, {rd('corr')} FROM g""",
@@ -172,21 +204,24 @@ q AS (SELECT *, row_number() OVER (ORDER BY round(power, 9) DESC, f) AS rn FROM
 s AS (SELECT a.pair, b.i - a.i AS lag, sum((a.l - ml) * (b.r - mr)) / nullif(any_value(norm), 0) AS score FROM lr a JOIN lr b ON a.pair = b.pair AND b.i - a.i BETWEEN -8 AND 8 JOIN m ON m.pair = a.pair GROUP BY 1, 2),
 q AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(score, 9) DESC, lag) AS rn, max(score) OVER (PARTITION BY pair) AS best FROM s) SELECT pair, lag, round(best, 6) + 0.0 AS score FROM q WHERE rn = 1""",
     "sliding_correlation": f"WITH {SLIDE} SELECT pair, start, {rd('score')} FROM sw",
-    "correlation_summary": f"""WITH {SLIDE}, w AS (SELECT *, max(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY pair) AS anyc FROM sw)
-SELECT pair, round(min(score), 6) + 0.0 AS corr_min, round(median(score), 6) + 0.0 AS corr_median, round(avg(score), 6) + 0.0 AS corr_mean, count(*) AS n_windows FROM w WHERE anyc = 0 OR score >= 0.5 GROUP BY 1""",
+    "correlation_summary": f"""WITH {SLIDE}, g AS (SELECT pair, min(score) AS corr_min, median(score) AS corr_median, avg(score) AS corr_mean, count(*) FILTER (score >= 0.5) AS sure FROM sw GROUP BY 1),
+c AS (SELECT sw.* FROM sw JOIN g USING (pair) WHERE sure = 0 OR score >= 0.5), m AS (SELECT pair, max(start) - min(start) AS drift, arg_max(start, abs(start) * 2 + (start > 0)::INT) AS max_offset, count(*) AS confident FROM c GROUP BY 1)
+SELECT pair, {rd('corr_min', 'corr_median', 'corr_mean')}, drift, max_offset, confident FROM g JOIN m USING (pair)""",
     "fine_correlation": f"WITH {AB} SELECT sig, k // 8 AS w, round(coalesce({CORR('a', 'b')}, 0), 6) + 0.0 AS corr FROM ab GROUP BY 1, 2 HAVING count(*) = 8",
     "donor_match": f"""WITH {NOTES}, t AS (SELECT * FROM nt WHERE onset >= {REGION[0]} AND onset < {REGION[1]}), l AS (SELECT * FROM nt WHERE NOT (onset >= {REGION[0]} AND onset < {REGION[1]})),
 q AS (SELECT t.sig, t.k, t.pitch, l.k AS donor_k, t.pitch - l.pitch AS shift, row_number() OVER (PARTITION BY t.sig, t.k ORDER BY (l.pitch = t.pitch) DESC, CASE WHEN l.pitch = t.pitch THEN round(abs(l.dur - 0.3), 9) ELSE abs(l.pitch - t.pitch) END, l.k) AS rn FROM t JOIN l USING (sig))
 SELECT sig, k, pitch, donor_k, shift FROM q WHERE rn = 1""",
     "event_splice_union": f"WITH {NOTES} SELECT sig, k, {rd('onset', 'dur')}, CASE WHEN onset >= {REGION[0]} AND onset < {REGION[1]} THEN (pitch + 1) % 128 ELSE pitch END AS pitch, instrument FROM nt",
-    "chroma_histogram": f"""WITH {NOTES}, n AS (SELECT sig, CAST(greatest(1, ceil(max(onset) / {BEAT_SECONDS})) AS BIGINT) AS beats FROM nt GROUP BY 1)
+    "chroma_histogram": f"""WITH {NOTES}, n AS (SELECT sig, CAST(greatest(1, ceil(max(onset + dur) / {BEAT_SECONDS})) AS BIGINT) AS beats FROM nt GROUP BY 1)
 SELECT sig, pitch % 12 AS pc, CAST(least(floor(onset / {BEAT_SECONDS}), beats - 1) AS BIGINT) AS beat, count(*) AS n FROM nt JOIN n USING (sig) GROUP BY 1, 2, 3""",
     "decode_notes": f"WITH {NOTES} SELECT sig, k, round_even(onset * 100, 0) / 100 AS onset, round_even(dur * 100, 0) / 100 AS dur, pitch, instrument FROM nt",
     "chunk_spans": f"WITH {BEATS}, {SPANS} SELECT sig, c, start, stop FROM spans",
     "overlap_add": f"""WITH {BEATS}, {SPANS}, e AS (SELECT s.sig, k AS i, x, (CASE WHEN start > 0 AND k - start < {WIDTH} THEN {RAMP('k - start')} ELSE 1 END) * (CASE WHEN stop < n AND stop - 1 - k < {WIDTH} THEN {RAMP('stop - 1 - k')} ELSE 1 END) AS w FROM spans s JOIN ev ON ev.sig = s.sig AND k >= start AND k < stop)
 SELECT sig, i, round(CASE WHEN sum(w) > 1e-6 THEN sum(x * 0.5 * w) / sum(w) ELSE any_value(x) END, 6) + 0.0 AS y FROM e GROUP BY 1, 2""",
-    "crossfade_splice": f"""WITH {BEATS}, q AS (SELECT a.sig, a.k AS i, a.x, 1 - p.x AS p, CASE WHEN a.k - {S0} < {SF} THEN (a.k - {S0} + 0.5) / {SF} WHEN {S0 + SL - 1} - a.k < {SF} THEN ({S0 + SL - 1} - a.k + 0.5) / {SF} ELSE 1 END * pi() / 2 AS g
-  FROM ev a LEFT JOIN ev p ON p.sig = a.sig AND p.k = a.k - {S0} AND p.k < {SL}) SELECT sig, i, round(CASE WHEN p IS NULL THEN x ELSE x * cos(g) + p * sin(g) END, 6) + 0.0 AS y FROM q""",
+    "crossfade_splice": f"""WITH {BEATS}, n AS (SELECT sig, count(*) AS n, least({SL}, count(*), count(*) - {S0}) AS size FROM ev GROUP BY 1),
+q AS (SELECT a.sig, a.k AS i, a.x, 1 - p.x AS p, a.k - {S0} AS j, size, least({SF}, size // 2) AS w FROM ev a JOIN n USING (sig) LEFT JOIN ev p ON p.sig = a.sig AND p.k = a.k - {S0} AND p.k < size),
+r AS (SELECT *, CASE WHEN j < w THEN {TURN('j', 'w')} WHEN size - 1 - j < w AND w > 1 THEN {TURN('size - 1 - j', 'w')} ELSE pi() / 2 END AS g FROM q)
+SELECT sig, i, round(CASE WHEN p IS NULL THEN x ELSE x * cos(g) + p * sin(g) END, 6) + 0.0 AS y FROM r""",
     "peak_limiter": f"WITH {BEATS}, s AS (SELECT sig, k, CASE WHEN sig % 2 = 0 THEN x * 1.5 ELSE x END AS x FROM ev), p AS (SELECT *, max(abs(x)) OVER (PARTITION BY sig) AS peak FROM s) SELECT sig, k, round(CASE WHEN peak > 1 THEN x * 0.95 / peak ELSE x END, 6) + 0.0 AS y FROM p",
     "gain_staging": f"WITH {BEATS} SELECT sig, round(CASE WHEN max(abs(x)) > 0.5 THEN 0.5 / max(abs(x)) ELSE 1 END, 6) + 0.0 AS gain, round(least(max(abs(x)), 0.5), 6) + 0.0 AS staged_peak FROM ev GROUP BY 1",
     "reference_rank": f"WITH {RANKED} SELECT name, kw, pos FROM rk",
@@ -195,25 +230,27 @@ SELECT sig, i, round(CASE WHEN sum(w) > 1e-6 THEN sum(x * 0.5 * w) / sum(w) ELSE
     "unpaired_names": f"WITH {SIDES} SELECT key, 'a' AS side FROM ka WHERE key NOT IN (SELECT key FROM kb) UNION ALL SELECT key, 'b' FROM kb WHERE key NOT IN (SELECT key FROM ka)",
     "transient_windows": f"""WITH s AS (SELECT event_id AS i, value / 500 AS a, value / 500 * pow(10, -0.1) AS b FROM events), o AS (SELECT i AS o FROM s WHERE a > 0.85 AND i >= 40),
 g AS (SELECT o, avg(a * a) FILTER (i < o) AS a0, avg(a * a) FILTER (i >= o) AS a1, avg(b * b) FILTER (i < o) AS b0, avg(b * b) FILTER (i >= o) AS b1 FROM o JOIN s ON i >= o - 25 AND i < o + 30 AND (i < o - 5 OR i >= o) GROUP BY 1),
-q AS (SELECT 10 * log10((a1 + 1e-12) / (a0 + 1e-12)) AS sa, 10 * log10((b1 + 1e-12) / (b0 + 1e-12)) AS sb FROM g WHERE a0 IS NOT NULL AND a1 IS NOT NULL)
+q AS (SELECT 20 * log10(sqrt(a1) + 1e-12) - 20 * log10(sqrt(a0) + 1e-12) AS sa, 20 * log10(sqrt(b1) + 1e-12) - 20 * log10(sqrt(b0) + 1e-12) AS sb FROM g WHERE a0 IS NOT NULL AND a1 IS NOT NULL)
 SELECT CAST(1 AS BIGINT) AS sig, count(*) AS n, round(median(sa), 6) + 0.0 AS slope_a, round(median(sb), 6) + 0.0 AS slope_b FROM q HAVING count(*) > 0""",
-    "quality_report": f"WITH {REPORT} SELECT sig, n, clipped_in, clipped_out, {rd('duration', 'peak_a', 'peak_b', 'rms_delta', 'residual', 'program_gain', 'step_a', 'step_b', 'corr', 'spread', 'corr_min', 'corr_median')} FROM rp",
+    "quality_report": f"WITH {REPORT} SELECT sig, n, clipped_in, clipped_out, {rd('duration', 'peak_a', 'peak_b', 'rms_delta', 'residual', 'program_gain', 'step_a', 'step_b', 'corr', 'spread', 'quiet', 'loud', 'corr_min', 'corr_median')} FROM rp",
     "verdict": f"WITH {VERDICT} SELECT sig, array_to_string(p, ',') AS problems, len(p) = 0 AS passed FROM v",
     "batch_verdict": f"WITH {VERDICT} SELECT count(*) AS n, count(*) FILTER (len(p) > 0) AS failed, coalesce(bool_and(len(p) = 0), true) AS passed FROM v",
     "offset_estimate": f"""WITH da AS (SELECT event_id AS i, value / 500 AS x FROM events), db AS (SELECT event_id + {DELAY} AS i, value / 500 AS x FROM events),
 ea AS (SELECT i // 50 AS i, sqrt(avg(x * x)) AS v FROM da GROUP BY 1 HAVING count(*) = 50), eb AS (SELECT i // 50 AS i, sqrt(avg(x * x)) AS v FROM db GROUP BY 1 HAVING count(*) = 50),
-c0 AS (SELECT i, ea.v AS l, eb.v AS r FROM ea JOIN eb USING (i)), {LAGS('c0', 's0', 10)}, k0 AS (SELECT lag * 50 AS coarse FROM s0 ORDER BY round(score, 9) DESC, lag LIMIT 1),
+c0 AS (SELECT i, ea.v AS l, eb.v AS r FROM ea FULL JOIN eb USING (i)), {LAGS('c0', 's0', 10)}, k0 AS (SELECT lag * 50 AS coarse FROM s0 ORDER BY round(score, 9) DESC, lag LIMIT 1),
 h AS (SELECT f, sum(x * x) / 400 AS power FROM da, LATERAL (SELECT unnest(range(greatest(0, i // 50 - 7), i // 50 + 1)) AS f) GROUP BY 1 HAVING count(*) = 400),
-st AS (SELECT f * 50 AS start FROM h, (SELECT max(i) + 1 AS total FROM da) WHERE f * 50 < total - 400 ORDER BY round(power, 9) DESC, f LIMIT 1),
-c1 AS (SELECT da.i, da.x AS l, db.x AS r FROM da, db, k0, st WHERE db.i = da.i + coarse AND da.i >= start AND da.i < start + 400), {LAGS('c1', 's1', 60)}
-SELECT CAST(0 AS BIGINT) AS sig, coarse, coarse + lag AS "offset", round((SELECT max(score) FROM s1), 6) + 0.0 AS score FROM k0, (SELECT lag FROM s1 ORDER BY round(score, 9) DESC, lag LIMIT 1)""",
+st AS (SELECT f * 50 AS loud FROM h, (SELECT max(i) + 1 AS total FROM da) WHERE f * 50 < total - 400 ORDER BY round(power, 9) DESC, f LIMIT 1),
+ps AS (SELECT coarse, least(greatest(loud, 0, 60 - coarse), least((SELECT max(i) + 1 FROM da) - 400, (SELECT max(i) + 1 FROM db) - coarse - 460)) AS start FROM k0, st),
+c1 AS (SELECT p, da.x AS l, coalesce(db.x, 0) AS r FROM ps JOIN da ON da.i >= start AND da.i < start + 400, range(-60, 61) AS g(p) LEFT JOIN db ON db.i = da.i + coarse + p),
+s1 AS (SELECT p, {CORR('l', 'r')} AS score FROM c1 GROUP BY 1)
+SELECT CAST(0 AS BIGINT) AS sig, coarse, coarse + p AS "offset", round(score, 6) + 0.0 AS score FROM k0, (SELECT p, coalesce(score, 0) AS score FROM s1 ORDER BY round(coalesce(score, 0), 9) DESC, p LIMIT 1)""",
     "key_profile": f"""WITH {NOTES}, pc AS (SELECT sig, p AS pc, coalesce(sum(dur) FILTER (pitch % 12 = p), 0) AS w FROM nt, range(12) AS g(p) GROUP BY 1, 2),
 pr AS (SELECT unnest(range(12)) AS k, unnest([6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88])::DOUBLE AS major, unnest([6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17])::DOUBLE AS minor),
 ks AS (SELECT tonic, m, k, CASE m WHEN 0 THEN major ELSE minor END AS v FROM pr, range(12) AS t(tonic), range(2) AS u(m)),
 sc AS (SELECT sig, tonic, m, corr(w, v) AS score FROM pc JOIN ks ON (pc - tonic + 12) % 12 = k GROUP BY 1, 2, 3 HAVING 12 * var_pop(w) > 1e-18),
 q AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY round(score, 9) DESC, tonic, m) AS rn FROM sc)
 SELECT sig, ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][tonic + 1] || CASE m WHEN 0 THEN ' major' ELSE ' minor' END AS key, {rd('score')} FROM q WHERE rn = 1""",
-    "column_normalize": f"""WITH {NOTES}, b AS (SELECT sig, CAST(greatest(1, ceil(max(onset) / {BEAT_SECONDS})) AS BIGINT) AS beats FROM nt GROUP BY 1),
+    "column_normalize": f"""WITH {NOTES}, b AS (SELECT sig, CAST(greatest(1, ceil(max(onset + dur) / {BEAT_SECONDS})) AS BIGINT) AS beats FROM nt GROUP BY 1),
 c AS (SELECT sig, pitch % 12 AS pc, CAST(least(floor(onset / {BEAT_SECONDS}), beats - 1) AS BIGINT) AS beat, count(*) AS n FROM nt JOIN b USING (sig) GROUP BY 1, 2, 3)
 SELECT sig, pc, beat, round(n / (sqrt(sum(n * n) OVER (PARTITION BY sig, beat)) + 1e-9), 6) + 0.0 AS n FROM c""",
     "phase_accumulate": f"""WITH fr AS (SELECT CAST(label AS BIGINT) AS stem, vec_id AS frame, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS j FROM embeddings),
@@ -245,5 +282,12 @@ h AS (SELECT *, (l + r) / 2 AS m, (l - r) / 2 AS s FROM g), t AS (SELECT pair, m
   sum(2 * pow(m - 0.5 * m * m * m, 2) + 2 * pow(s - 0.5 * s * s * s, 2)) AS later, sqrt(avg(pow(0.5 * m * m * m, 2))) AS gone, sqrt(avg(m * m)) AS level FROM h GROUP BY 1)
 SELECT pair AS sig, CASE WHEN quiet THEN 'skipped' ELSE 'mid_side' END AS strategy, round(CASE WHEN quiet THEN before ELSE later END, 6) + 0.0 AS energy,
   CASE WHEN quiet THEN CAST('-Infinity' AS DOUBLE) ELSE round(20 * log10(gone / level), 6) + 0.0 END AS residual FROM t""",
+    "k_weight": f"WITH RECURSIVE {WEIGHTED} SELECT sig, i, round(z, 6) + 0.0 AS y FROM k1",
+    "k_weighted_loudness": f"WITH RECURSIVE {WEIGHTED}, {BLOCKS('q', LOUD_BLOCK)}, {GATED('q')} SELECT DISTINCT q.sig, round(coalesce(lufs, CAST('-Infinity' AS DOUBLE)), 6) + 0.0 AS lufs FROM q LEFT JOIN qu USING (sig)",
+    "signal_description": f"""WITH RECURSIVE {WEIGHTED}, {BLOCKS('q', LOUD_BLOCK)}, {GATED('q')}, {BLOCKS('h', RANGE_BLOCK)}, {GATED('h')},
+d AS (SELECT sig // 2 AS sig, max(sig % 2) + 1 AS channels, CAST(max(i) + 1 AS INTEGER) AS n, max(abs(v)) AS peak, CAST(count(*) FILTER (abs(v) >= 0.999969) AS BIGINT) AS clipped FROM k1 GROUP BY 1)
+SELECT d.sig, channels, n, round(n / 48000.0, 6) + 0.0 AS duration, round(peak, 6) + 0.0 AS peak, round({DB('peak')}, 6) + 0.0 AS peak_db, clipped, round(coalesce(qu.lufs, CAST('-Infinity' AS DOUBLE)), 6) + 0.0 AS lufs, round(coalesce(hu.lra, 0), 6) + 0.0 AS lra
+FROM d LEFT JOIN qu USING (sig) LEFT JOIN hu USING (sig)""",
+    "local_offset_track": f"WITH RECURSIVE {TRACKED} SELECT sig, w, lag, round(score, 6) + 0.0 AS score FROM tr WHERE lag IS NOT NULL",
     "model_hook": "SELECT vec_id AS sig, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
 }
