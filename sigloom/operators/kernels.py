@@ -249,6 +249,35 @@ def coherence(pairs: DataFrame, n: int, low: int) -> DataFrame:
     return pairs.groupBy("sig").applyInPandas(run, "sig long, coherence double")
 
 
+def welch_coherence(pairs: DataFrame, n: int, sr: float, low: float, high: float) -> DataFrame:
+    """(sig, coherence): mean magnitude-squared coherence of (sig, x, y) arrays from ``low`` to ``high`` Hz.
+
+    Frames of n samples overlap by half, each without its mean and under a periodic Hann window; null with n samples or fewer,
+    or without a bin in the range.
+    """
+    win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    hz = np.arange(n // 2 + 1) * sr / n
+    inside = (hz >= low) & (hz <= high)
+
+    def one(x, y):
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        if len(x) <= n or not inside.any():
+            return None
+        xx, yy, xy = np.zeros(len(hz)), np.zeros(len(hz)), np.zeros(len(hz), complex)
+        for at in range(0, len(x) - n + 1, n // 2):  # a frame at a time, so that memory is that of one frame
+            u, v = (np.fft.rfft((s[at : at + n] - s[at : at + n].mean()) * win) for s in (x, y))
+            xx, yy, xy = xx + np.abs(u) ** 2, yy + np.abs(v) ** 2, xy + np.conj(u) * v
+        return float((np.abs(xy) ** 2 / np.maximum(xx * yy, 1e-300))[inside].mean())
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            yield pd.DataFrame({"sig": part.sig, "coherence": pd.Series([one(x, y) for x, y in zip(part.x, part.y, strict=True)], dtype=float)})
+
+    return pairs.select("sig", "x", "y").mapInPandas(run, "sig long, coherence double")
+
+
 def track_offsets(ab: DataFrame, window: int, hop: int, search: int, overall: str | None = None) -> DataFrame:
     """(sig, w, lag, score): local offsets of b against a, each window searched around the one before; ab (sig, i, a, b).
 

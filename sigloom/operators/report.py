@@ -30,19 +30,28 @@ def dynamics(ab: DataFrame, window: int = 2048, hop: int = 512, least: int = BIN
     return curve.groupBy("sig").agg((F.max("gain") - F.min("gain")).alias("spread"), F.min_by("gain", "bin").alias("quiet"), F.max_by("gain", "bin").alias("loud"))
 
 
-def transients(ab: DataFrame, onsets: DataFrame, pre: int, gap: int, post: int) -> DataFrame:
-    """(sig, n, slope_a, slope_b): median attack slopes of both signals around a's onsets.
+def transients(ab: DataFrame, onsets: DataFrame, pre: int, gap: int, post: int, tail: tuple[int, int] | None = None) -> DataFrame:
+    """(sig, n, slope_a, slope_b): median attack slopes of both signals around a's onsets; with ``tail`` also decay_a and decay_b.
 
-    ab (sig, i, a, b), onsets (sig, o). A slope is the level of [o, o + post) over that of [o - pre, o - gap). Each
-    sample finds its onsets by position, through the few offsets that can reach it.
+    ab (sig, i, a, b), onsets (sig, o). A slope is the level of [o, o + post) over that of [o - pre, o - gap). A decay is the
+    level of [o + tail[0], tail[1] samples) over that of [o, o + post). Each sample finds its onsets by position, through the few
+    offsets that can reach it.
     """
-    reach = onsets.select("sig", "o", F.explode(F.sequence(F.col("o") - pre, F.col("o") + post - 1)).alias("i"))
-    s = reach.join(ab, ["sig", "i"]).withColumn("late", F.when(F.col("i") >= F.col("o"), 1).when(F.col("i") < F.col("o") - gap, 0)).where("late is not null")
-    power = lambda c, side: F.avg(F.when(F.col("late") == side, F.col(c) * F.col(c)))
-    g = s.groupBy("sig", "o").agg(*(power(c, k).alias(f"{c}{k}") for c in "ab" for k in (0, 1)))
-    slope = lambda c: rms_db(F.col(f"{c}1")) - rms_db(F.col(f"{c}0"))
-    g = g.where("a0 is not null and a1 is not null").select("sig", slope("a").alias("sa"), slope("b").alias("sb"))
-    return g.groupBy("sig").agg(F.count("*").alias("n"), F.median("sa").alias("slope_a"), F.median("sb").alias("slope_b"))
+    reach = [F.sequence(F.col("o") - pre, F.col("o") + post - 1)]
+    if tail:
+        reach.append(F.sequence(F.col("o") + tail[0], F.col("o") + sum(tail) - 1))
+    spots = onsets.select("sig", "o", F.explode(F.array_distinct(F.concat(*reach))).alias("i"))
+    s = spots.join(ab, ["sig", "i"]).withColumn("d", F.col("i") - F.col("o"))
+    parts = {0: F.col("d") < -gap, 1: (F.col("d") >= 0) & (F.col("d") < post), 2: F.lit(False)}
+    if tail:
+        parts[2] = (F.col("d") >= tail[0]) & (F.col("d") < sum(tail))
+    power = lambda c, k: F.avg(F.when(parts[k], F.col(c) * F.col(c)))
+    g = s.groupBy("sig", "o").agg(*(power(c, k).alias(f"{c}{k}") for c in "ab" for k in parts))
+    change = lambda c, to, of: rms_db(F.col(f"{c}{to}")) - rms_db(F.col(f"{c}{of}"))
+    g = g.where("a0 is not null and a1 is not null or a1 is not null and a2 is not null")
+    g = g.select("sig", *(x.alias(f"{n}{c}") for c in "ab" for n, x in (("s", change(c, 1, 0)), ("d", change(c, 2, 1)))))
+    out = g.groupBy("sig").agg(F.count("sa").alias("n"), *(F.median(f"{k}{c}").alias(f"{n}_{c}") for n, k in (("slope", "s"), ("decay", "d")) for c in "ab"))
+    return out if tail else out.where("n > 0").drop("decay_a", "decay_b")
 
 
 def local_fine(ab: DataFrame, window: int) -> DataFrame:
