@@ -86,26 +86,28 @@ def runs_of(docs: DataFrame, run_words: int, line_chars: int) -> DataFrame:
     """(d, t, lo, hi, fp, kind, line): the stretches of texts (d, t, x), by their first and last words, and the long lines, by their number.
 
     ``fp`` is the fingerprint of a stretch or a hash of a line, ``kind`` another hash of all its words. A stretch has less than
-    twice as many words as a run, so its first and last ``run_words`` words are all of them. Blank lines have no number.
+    twice as many words as a run, so shingles side by side from both its ends, as many as a run needs, hold all of them. Blank
+    lines have no number.
     """
     row = lambda lo, hi, fp, kind, line: F.struct(lo.alias("lo"), hi.alias("hi"), fp.alias("fp"), kind.alias("kind"), F.lit(line).alias("line"))
     bare = F.filter(F.transform(F.split("x", "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
     lines = F.transform(bare, lambda x, j: F.when(F.length(x) >= line_chars, row(j, j, F.xxhash64(x), F.xxhash64(x, F.lit(1)), True)))
     words = docs.select("d", "t", F.array_compact(lines).alias("lines"), matches("x", UNIT, PLAIN_UNIT).alias("u")).withColumn("n", F.size("u"))
     words = words.withColumn("h", word_hashes()).drop("u")
-    words = words.withColumn("m", ahead("h", F.xxhash64, [1]))
-    words = words.withColumn("m", ahead("m", F.xxhash64, [2]))
+    for held in (1, 2, 4):
+        words = words.withColumn("h", ahead("h", F.xxhash64, [held]))
     # The lower half of a shingle's hash, then its place from the right: of equal ones the rightmost is the least.
-    words = words.withColumn("m", F.transform("m", lambda x, i: F.shiftleft(F.xxhash64(x, F.get(F.col("m"), i + 4)), 32) - i))
+    words = words.withColumn("m", F.transform("h", lambda x, i: F.shiftleft(x, 32) - i))
     least = least_of(words.withColumn("m", trimmed("m", SHINGLE - 1)), "m", run_words - SHINGLE + 1)
-    place = lambda x: (-x).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    new = F.transform("m", lambda x, i: F.when((i == 0) | (F.get(F.col("m"), i - 1) != x), F.struct(place(x).alias("p"), i.alias("a"))))
+    new = F.transform("m", lambda x, i: F.when((i == 0) | (F.get(F.col("m"), i - 1) != x), F.struct(x.alias("m"), i.alias("a"))))
     parts = least.select("d", "t", "n", "h", "lines", F.array_compact(new).alias("r"))
+    shingle = lambda i: F.get(F.col("h"), i)
+    place = lambda x: (-x).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     last = lambda j: F.coalesce(F.get(F.col("r"), j + 1)["a"] + (run_words - 2), F.col("n") - 1)
-    parts = parts.withColumn("r", F.transform("r", lambda v, j: F.struct(v.a.alias("lo"), last(j).alias("hi"), v.p.alias("p"))))
-    block = lambda at, size: [F.get(F.col("h"), at + k) for k in range(size)]
-    whole = lambda lo, hi: F.xxhash64(hi - lo, *block(lo, run_words), *block(hi - (run_words - 1), run_words))
-    each = F.transform("r", lambda v: row(v.lo, v.hi, F.xxhash64(*block(v.p, SHINGLE)), whole(v.lo, v.hi), False))
+    parts = parts.withColumn("r", F.transform("r", lambda v, j: F.struct(v.a.alias("lo"), last(j).alias("hi"), shingle(place(v.m)).alias("fp"))))
+    steps = [*range(0, run_words - SHINGLE, SHINGLE), run_words - SHINGLE]
+    whole = lambda lo, hi: F.xxhash64(hi - lo, *(shingle(lo + k) for k in steps), *(shingle(hi - (SHINGLE - 1) - k) for k in steps))
+    each = F.transform("r", lambda v: row(v.lo, v.hi, v.fp, whole(v.lo, v.hi), False))
     return parts.select("d", "t", F.explode(F.concat(each, "lines")).alias("v")).select("d", "t", "v.*")
 
 
