@@ -9,6 +9,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def column_spread(x: np.ndarray, rows: int = 512) -> np.ndarray:
+    """The standard deviation of each column, without a copy of the array."""
+    mean, total = x.mean(0, dtype=float), np.zeros(x.shape[1])
+    for at in range(0, len(x), rows):
+        total += ((x[at : at + rows] - mean) ** 2).sum(0)
+    return np.sqrt(total / len(x))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300) -> np.ndarray:
     """Weights, the last one the bias, of a ridge logistic regression by accelerated gradient steps.
 
@@ -18,9 +26,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300
     if not n or y.min() == y.max():
         rate = (y.sum() + 0.5) / (n + 1.0)
         return np.append(np.zeros(x.shape[1]), np.log(rate / (1 - rate)))
-    mean, spread = x.mean(0), x.std(0)
+    mean, spread = x.mean(0, dtype=float), column_spread(x)
     spread = np.where(spread < 1e-9, 1.0, spread)
-    z = np.hstack([(x - mean) / spread, np.ones((n, 1))])
+    z = np.ones((n, x.shape[1] + 1))
+    np.subtract(x, mean, out=z[:, :-1])  # in place: a sample's features are the largest thing on the driver
+    z[:, :-1] /= spread
     ridge = np.append(np.full(x.shape[1], l2), 0.0)
     probe = np.ones(z.shape[1])
     for _ in range(20):

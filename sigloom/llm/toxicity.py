@@ -9,6 +9,7 @@ of longer words, chosen by how far their document rates differ between the class
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ class Chain:
     def __init__(self, words: list[bytes], signs: list[float], models: list[np.ndarray], categories: tuple[str, ...]):
         self.words, self.signs, self.models, self.categories = words, np.array(signs), models, categories
 
-    def features(self, counts: list[dict[int, int]]) -> np.ndarray:
-        """For each document: presence of each term, then log numbers of marked terms, all and distinct."""
-        x = np.zeros((len(counts), len(self.words) + 2))
+    def features(self, counts: Iterable[dict[int, int]], n: int) -> np.ndarray:
+        """For each of n documents: presence of each term, then log numbers of marked terms, all and distinct."""
+        x = np.zeros((n, len(self.words) + 2), np.float32)
         for row, count in zip(x, counts, strict=True):
             for k, n in count.items():
                 row[k] = 1.0
@@ -52,23 +53,23 @@ class Chain:
         return x
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), 0))
+        out, x = np.zeros((len(x), 0)), x.astype(float)
         for w in self.models:
             out = np.hstack([out, predict(w, np.hstack([x, out]))[:, None]])
         return out
 
 
-def fit_chain(views: list[np.ndarray], y: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
+def fit_chain(view: Callable[[int], np.ndarray], y: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
     """A model for each column of ``y``; the models after the first are trained on out-of-fold probabilities.
 
-    ``views`` are the features by the terms of all documents, then by those chosen without each fold.
+    ``view(0)`` are the features by the terms of all documents, ``view(f + 1)`` by those chosen without fold f; only one is held at a time.
     """
     earlier, models = np.zeros((len(y), 0)), []
     for k in range(y.shape[1]):
-        models.append(fit_logistic(np.hstack([views[0], earlier]), y[:, k], 2.0, 120))
+        models.append(fit_logistic(np.hstack([view(0), earlier]), y[:, k], 2.0, 120))
         held = np.zeros(len(y))
         for f in range(FOLDS):
-            out, z = folds == f, np.hstack([views[f + 1], earlier])
+            out, z = folds == f, np.hstack([view(f + 1), earlier])
             if out.any():
                 held[out] = predict(fit_logistic(z[~out], y[~out, k], 2.0, 120), z[out])
         earlier = np.hstack([earlier, held[:, None]])
@@ -135,19 +136,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     each = map_columns(known, ["t"], make, pa.schema([("w", pa.list_(pa.binary()))]), "w array<binary>", ["fold", "y"])
     chosen = chosen_terms(each)
     union = sorted({w for words, _ in chosen for w in words})
-    rows = count_terms(known, union, "t", ["doc_id", "y", "fold"]).collect()  # one for each id at most
-    rows.sort(key=lambda r: (str(r.doc_id), r.k))
-    folds, toxic = np.array([r.fold for r in rows]), np.array([r.y for r in rows], float)
-    views, at = [], {w: i for i, w in enumerate(union)}
-    for words, signs in chosen:
-        place = {at[w]: i for i, w in enumerate(words)}
-        views.append(Chain(words, signs, [], CATEGORIES).features([{place[k]: n for k, n in zip(r.k, r.n, strict=True) if k in place} for r in rows]))
+    found = count_terms(known, union, "t", ["doc_id", "y", "fold"]).toArrow()  # one for each id at most
+    order = np.argsort([str(i) for i in found["doc_id"].to_pylist()], kind="stable")
+    folds, toxic = found["fold"].to_numpy()[order], found["y"].to_numpy()[order].astype(float)
+    rows = [(found["k"][i].values.to_numpy(), found["n"][i].values.to_numpy()) for i in order.tolist()]
+    at = {w: i for i, w in enumerate(union)}
+
+    def view(which: int) -> np.ndarray:
+        words, signs = chosen[which]
+        place = np.full(len(union), -1)
+        place[[at[w] for w in words]] = np.arange(len(words))
+        counts = (dict(zip(place[k][place[k] >= 0].tolist(), n[place[k] >= 0].tolist(), strict=True)) for k, n in rows)
+        return Chain(words, signs, [], CATEGORIES).features(counts, len(rows))
+
     marked = np.zeros(len(rows))
     for f in range(FOLDS):
-        marked[folds == f] = np.expm1(views[f + 1][folds == f, -2]) if len(rows) else 0
+        marked[folds == f] = np.expm1(view(f + 1)[folds == f, -2])
+    marked = np.rint(marked)
     middle = np.median(marked[toxic > 0]) if toxic.any() else 0.0
     y = np.stack([toxic * (marked >= max(2.0, 2 * middle)), toxic * (marked >= 2), toxic], 1)
-    return Chain(*chosen[0], fit_chain(views, y, folds), CATEGORIES)
+    return Chain(*chosen[0], fit_chain(view, y, folds), CATEGORIES)
 
 
 def add_toxicity(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -164,7 +172,7 @@ def add_toxicity(docs: DataFrame, chain: Chain, text: str = "text", keep: list[s
 
         def run(texts):
             counts = [Counter(k for k in map(get, terms_of(t)) if k is not None) for t in texts]
-            p = model.predict(model.features(counts))
+            p = model.predict(model.features(counts, len(counts)))
             return [*(p[:, k].tolist() for k in range(p.shape[1])), p[:, -1].tolist(), (p[:, -1] >= THRESHOLD).astype(int).tolist()]
 
         return run

@@ -483,7 +483,7 @@ def test_chain_against_its_definition():
     """Out-of-fold probabilities by training each fold's model anew, terms chosen without the fold."""
     rng = np.random.default_rng(2)
     views, y, folds = [rng.random((60, 3)) for _ in range(5)], rng.integers(0, 2, (60, 3)).astype(float), np.arange(60) % 4
-    models = toxicity.fit_chain(views, y, folds)
+    models = toxicity.fit_chain(views.__getitem__, y, folds)
     earlier = np.zeros((60, 0))
     for k in range(3):
         assert np.allclose(models[k], toxicity.fit_logistic(np.hstack([views[0], earlier]), y[:, k], 2.0, 120))
