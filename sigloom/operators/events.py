@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +88,31 @@ def overlap_add(s: DataFrame, spans: DataFrame, overlap: int, gain) -> DataFrame
     return g.select("sig", "i", F.when(F.col("w") > 1e-6, F.col("y") / F.col("w")).otherwise(F.col("x")).alias("y"))
 
 
+def process_chunks(signals: DataFrame, load, chunk: int, overlap: int) -> DataFrame:
+    """(sig, i, y): arrays (sig, x) cut into chunks, each through a model, tapered, summed and divided by the weights.
+
+    ``load()`` runs once a partition and returns ``f(x) -> y``. Chunks are rows of their own, so one long signal spreads over
+    tasks. What a model returns too long is cut, what it returns too short its own input fills up.
+    """
+    spans = chunk_spans(signals.select("sig", F.size("x").cast("long").alias("n")), chunk, overlap)
+    pieces = spans.join(signals, "sig").select("sig", "start", "stop", "n", F.slice("x", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("x"))
+
+    def run(parts):
+        model = load()
+        for part in parts:
+            out = []
+            for x in part.x:
+                y = np.asarray(model(np.asarray(x, float)), float)[: len(x)]
+                out.append(np.concatenate((y, x[len(y) :])).tolist())
+            yield part[["sig", "start", "stop", "n"]].assign(y=out)
+
+    done = pieces.repartition("sig", "start").mapInPandas(run, "sig long, start long, stop long, n long, y array<double>")
+    rows = done.select("sig", "start", "stop", "n", F.posexplode("y").alias("j", "y")).withColumn("i", F.col("start") + F.col("j"))
+    rows = rows.withColumn("w", taper(F.col("i"), F.col("start"), F.col("stop"), F.col("n"), min(overlap, chunk // 2)))
+    g = rows.groupBy("sig", "i").agg(F.sum(F.col("y") * F.col("w")).alias("y"), F.sum("w").alias("w"), F.first("y").alias("plain"))
+    return g.select("sig", "i", F.when(F.col("w") > 1e-6, F.col("y") / F.col("w")).otherwise(F.col("plain")).alias("y"))
+
+
 def crossfade(s: DataFrame, patch: DataFrame, start: int, length: int, fade: int) -> DataFrame:
     """(sig, i, y): the first ``length`` samples of the patch (sig, j, p) put in at ``start`` with equal-power fades at both seams.
 

@@ -181,7 +181,9 @@ def stereo_metrics(lr: DataFrame) -> DataFrame:
 
 
 def to_mid_side(lr: DataFrame) -> DataFrame:
-    return lr.select("pair", "i", ((F.col("l") + F.col("r")) / 2).alias("mid"), ((F.col("l") - F.col("r")) / 2).alias("side"))
+    """(pair, i, mid, side) of (pair, i, l, r). A row without both channels fails: only stereo has a middle and a side."""
+    both = F.when(F.col("l").isNull() | F.col("r").isNull(), F.raise_error(F.lit("mid and side need two channels")).cast("double"))
+    return lr.select("pair", "i", both.otherwise((F.col("l") + F.col("r")) / 2).alias("mid"), ((F.col("l") - F.col("r")) / 2).alias("side"))
 
 
 def from_mid_side(ms: DataFrame) -> DataFrame:

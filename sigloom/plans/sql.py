@@ -282,6 +282,11 @@ h AS (SELECT *, (l + r) / 2 AS m, (l - r) / 2 AS s FROM g), t AS (SELECT pair, m
   sum(2 * pow(m - 0.5 * m * m * m, 2) + 2 * pow(s - 0.5 * s * s * s, 2)) AS later, sqrt(avg(pow(0.5 * m * m * m, 2))) AS gone, sqrt(avg(m * m)) AS level FROM h GROUP BY 1)
 SELECT pair AS sig, CASE WHEN quiet THEN 'skipped' ELSE 'mid_side' END AS strategy, round(CASE WHEN quiet THEN before ELSE later END, 6) + 0.0 AS energy,
   CASE WHEN quiet THEN CAST('-Infinity' AS DOUBLE) ELSE round(20 * log10(gone / level), 6) + 0.0 END AS residual FROM t""",
+    "wav_roundtrip": """WITH v AS (SELECT vec_id, unnest(embedding)::FLOAT::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings WHERE vec_id - vec_id % 2 + 1 IN (SELECT vec_id FROM embeddings))
+SELECT vec_id // 2 AS sig, vec_id % 2 AS ch, i, round(least(greatest(round_even(x * 8388608, 0), -8388608), 8388607) / 8388608, 6) + 0.0 AS x FROM v""",
+    "chunked_model": f"""WITH {BEATS}, {SPANS}, e AS (SELECT s.sig, k AS i, CASE WHEN stop - start > 3 AND k < stop - 3 THEN x * 0.5 ELSE x END AS y,
+  (CASE WHEN start > 0 AND k - start < {WIDTH} THEN {RAMP('k - start')} ELSE 1 END) * (CASE WHEN stop < n AND stop - 1 - k < {WIDTH} THEN {RAMP('stop - 1 - k')} ELSE 1 END) AS w FROM spans s JOIN ev ON ev.sig = s.sig AND k >= start AND k < stop)
+SELECT sig, i, round(CASE WHEN sum(w) > 1e-6 THEN sum(y * w) / sum(w) ELSE any_value(y) END, 6) + 0.0 AS y FROM e GROUP BY 1, 2""",
     "k_weight": f"WITH RECURSIVE {WEIGHTED} SELECT sig, i, round(z, 6) + 0.0 AS y FROM k1",
     "k_weighted_loudness": f"WITH RECURSIVE {WEIGHTED}, {BLOCKS('q', LOUD_BLOCK)}, {GATED('q')} SELECT DISTINCT q.sig, round(coalesce(lufs, CAST('-Infinity' AS DOUBLE)), 6) + 0.0 AS lufs FROM q LEFT JOIN qu USING (sig)",
     "signal_description": f"""WITH RECURSIVE {WEIGHTED}, {BLOCKS('q', LOUD_BLOCK)}, {GATED('q')}, {BLOCKS('h', RANGE_BLOCK)}, {GATED('h')},

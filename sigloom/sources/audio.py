@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.operators.kernels import resample_array
+
 #: The file suffixes that count as stems.
 SUFFIXES = (".wav", ".mp3", ".flac", ".aiff", ".aif", ".ogg", ".m4a")
 BLOCK = 65_536
@@ -69,8 +71,45 @@ def render_wav(x: np.ndarray, rate: int, bits: int = 24) -> bytes:
     return out.getvalue()
 
 
-def load_stems(spark: SparkSession, folder: str, mono: bool = False) -> DataFrame:
-    """(name, sr, channels, n, ch, block, i0, x): WAV stems in blocks; of files with one name the last path counts."""
+def probe(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, sr, channels, n): what the headers of the WAV files right in a folder say. No samples are decoded."""
+    heads = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".wav")).select("path", "content")
+
+    def read(parts):
+        import pandas as pd
+
+        for part in parts:
+            rows = []
+            for path, content in zip(part.path, part.content, strict=True):
+                (_, channels, rate, _, _, bits), size = wav_format(content)
+                rows.append((path, rate, channels, size // (channels * bits // 8)))
+            yield pd.DataFrame(rows, columns=["path", "sr", "channels", "n"])
+
+    return heads.mapInPandas(read, "path string, sr int, channels int, n long")
+
+
+def wav_format(data: bytes) -> tuple[tuple, int]:
+    """The fields of a WAV file's format chunk, and the bytes of its samples that are there."""
+    form, at = None, 12
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"fmt ":
+            form = struct.unpack_from("<HHIIHH", data, at + 8)
+        elif name == b"data":
+            if form is None:
+                break
+            return form, min(size, len(data) - at - 8)
+        at += 8 + size + size % 2
+    raise ValueError("no format or data chunk")
+
+
+def load_stems(spark: SparkSession, folder: str, mono: bool = False, target_sr: int | None = None, channels: int | None = None) -> DataFrame:
+    """(name, sr, channels, n, ch, block, i0, x): WAV stems in blocks; of files with one name the last path counts.
+
+    ``target_sr`` is the rate to convert to, none for the file's own. ``channels`` forces a number of channels whatever the
+    file holds: one is the mean, more repeat the mean of a file with another number; ``mono`` is the same as one.
+    """
+    wanted = channels or (1 if mono else None)
     files = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".wav")).select("path", "content")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     last = files.select("path", name.alias("name")).groupBy("name").agg(F.max("path").alias("path"))
@@ -82,12 +121,15 @@ def load_stems(spark: SparkSession, folder: str, mono: bool = False) -> DataFram
         for part in parts:
             for row in part.itertuples():
                 rate, x = parse_wav(row.content)
-                channels = x.shape[1]
-                if mono:
-                    x = x.mean(1, keepdims=True)
+                held = x.shape[1]
+                if wanted and wanted != held:
+                    x = np.repeat(x.mean(1, keepdims=True), wanted, 1)
+                if target_sr and target_sr != rate:
+                    x = np.stack([resample_array(c.astype(float), rate, target_sr) for c in x.T], 1).astype(np.float32)
+                    rate = target_sr
                 for ch in range(x.shape[1]):
                     for b, at in enumerate(range(0, max(1, len(x)), BLOCK)):
-                        yield pd.DataFrame([{"name": row.name, "sr": rate, "channels": channels, "n": len(x), "ch": ch, "block": b, "i0": at, "x": x[at : at + BLOCK, ch].tolist()}])
+                        yield pd.DataFrame([{"name": row.name, "sr": rate, "channels": held, "n": len(x), "ch": ch, "block": b, "i0": at, "x": x[at : at + BLOCK, ch].tolist()}])
 
     return files.mapInPandas(decode, "name string, sr int, channels int, n long, ch int, block long, i0 long, x array<float>")
 
@@ -110,9 +152,36 @@ def wav_bytes(blocks: DataFrame, bits: int = 24) -> DataFrame:
     return blocks.groupBy("name").applyInPandas(join, "name string, content binary")
 
 
-def write_report(reports: DataFrame, path: str) -> None:
-    """One JSON object per row."""
-    reports.write.mode("overwrite").json(path)
+def save_wavs(blocks: DataFrame, folder: str, bits: int = 24) -> DataFrame:
+    """Writes a WAV file per stem into a folder that all executors share, and returns (path, bytes) of those written."""
+
+    def write(parts):
+        import pandas as pd
+        from pyarrow import fs
+
+        for part in parts:
+            store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+            store.create_dir(root, recursive=True)
+            rows = []
+            for name, content in zip(part.name, part.content, strict=True):
+                with store.open_output_stream(f"{root}/{name}.wav") as out:
+                    out.write(content)
+                rows.append((f"{folder}/{name}.wav", len(content)))
+            yield pd.DataFrame(rows, columns=["path", "bytes"])
+
+    written = wav_bytes(blocks, bits).mapInPandas(write, "path string, bytes long")
+    return blocks.sparkSession.createDataFrame(written.collect(), written.schema)  # one short row a stem
+
+
+def write_report(reports: DataFrame, path: str, stem: str = "sig") -> None:
+    """A JSON object a line for each stem: its name, and under it ``report`` (the other columns) and ``problems`` (a list).
+
+    ``problems`` comes from a column of that name, commas between them, and is empty without one.
+    """
+    rest = [c for c in reports.columns if c not in (stem, "problems")]
+    listed = F.filter(F.split(F.coalesce("problems", F.lit("")), ","), lambda x: x != "") if "problems" in reports.columns else F.array().cast("array<string>")
+    entry = F.create_map(F.col(stem).cast("string"), F.struct(F.struct(*rest).alias("report"), listed.alias("problems")))
+    reports.select(F.to_json(entry).alias("value")).write.mode("overwrite").text(path)
 
 
 def report_text(reports: DataFrame) -> DataFrame:

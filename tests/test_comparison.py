@@ -153,3 +153,55 @@ def test_one_grid_for_all_stems(spark):
     assert got[3, "Keys", 0].status == "no reference" and got[3, "Keys", 0].y == x.tolist() and got[3, "Voice", 0].reference is None
     warped = np.array(got[1, "Bass", 0].y)[SR : 4 * SR]
     assert np.abs(warped).max() < 1.3 and np.sqrt(np.mean(warped**2)) == pytest.approx(np.sqrt(0.5), rel=0.1)
+
+
+def test_chunks_through_a_model_that_returns_short(spark):
+    x = np.random.default_rng(5).normal(size=230).tolist()
+    s = spark.createDataFrame([(1, x), (2, x[:15])], "sig long, x array<double>")
+    same = events.process_chunks(s, lambda: lambda v: v, 50, 12)
+    assert np.allclose([r.y for r in same.where("sig = 1").orderBy("i").collect()], x) and same.where("sig = 2").count() == 15
+    short = events.process_chunks(s, lambda: lambda v: v[:-7], 50, 12)
+    assert np.allclose([r.y for r in short.where("sig = 1").orderBy("i").collect()], x)
+    half = events.process_chunks(s, lambda: lambda v: np.concatenate((v, v)) * 0.5, 50, 12)
+    assert np.allclose([r.y for r in half.where("sig = 1").orderBy("i").collect()], np.array(x) / 2)
+
+
+def test_gain_staging_comes_back(spark):
+    s = spark.createDataFrame([(1, i, 0.1 * i) for i in range(11)] + [(2, 0, 0.2)], "sig long, i long, x double")
+    staged = events.stage_gain(s)
+    assert staged.agg(F.max(F.abs("x"))).first()[0] == pytest.approx(0.5) and {round(r.gain, 9) for r in staged.collect()} == {0.5, 1.0}
+    assert np.allclose([r.x for r in events.unstage_gain(staged).orderBy("sig", "i").collect()], [r.x for r in s.orderBy("sig", "i").collect()])
+
+
+def test_mid_side_of_mono_fails(spark):
+    with pytest.raises(Exception, match="two channels"):
+        spectral.to_mid_side(spark.createDataFrame([(1, 0, 0.5, None)], "pair long, i long, l double, r double")).collect()
+
+
+def test_files_in_and_out(spark, tmp_path):
+    import json
+
+    from sigloom.sources import audio
+
+    x = np.stack([np.sin(np.arange(4000) * 0.05), np.cos(np.arange(4000) * 0.05)], 1).astype(np.float32) * 0.5
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/one.wav").write_bytes(audio.render_wav(x, 32_000))
+    assert [tuple(r)[1:] for r in audio.probe(spark, f"{tmp_path}/in").collect()] == [(32_000, 2, 4000)]
+    forced = audio.load_stems(spark, f"{tmp_path}/in", target_sr=16_000, channels=3)
+    assert {(r.sr, r.channels, r.n) for r in forced.collect()} == {(16_000, 2, 2000)} and {r.ch for r in forced.collect()} == {0, 1, 2}
+    written = audio.save_wavs(audio.load_stems(spark, f"{tmp_path}/in"), f"{tmp_path}/out").collect()
+    rate, y = audio.parse_wav((tmp_path / "out/one.wav").read_bytes())
+    assert len(written) == 1 and rate == 32_000 and np.abs(x - y).max() < 1e-6
+    audio.write_report(spark.createDataFrame([("one", 1.5, "drift,clipping"), ("two", 2.5, "")], "sig string, corr double, problems string"), f"{tmp_path}/json")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/json").collect()]
+    assert {k: v for line in lines for k, v in line.items()} == {"one": {"report": {"corr": 1.5}, "problems": ["drift", "clipping"]}, "two": {"report": {"corr": 2.5}, "problems": []}}
+
+
+def test_frames_of_any_window_and_hop(spark):
+    x = np.random.default_rng(6).normal(size=200)
+    s = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "sig long, i long, x double")
+    for window, hop in ((48, 18), (50, 7), (10, 25), (40, 10)):
+        for last in (True, False):
+            got = {r.frame: r.power for r in levels.frame_power(s, window, hop, last).collect()}
+            want = {k: np.mean(x[at : at + window] ** 2) for k, at in enumerate(range(0, 200 - window + last, hop))}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want), (window, hop, last)

@@ -131,3 +131,22 @@ def test_stream_matches_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = spark.read.parquet(str(src)).withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "2 hours", "1 hour"), "user_id").count()
     assert spark.table("levels").count() == batch.count()
+
+
+def test_loud_sessions_merge_and_close(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from sigloom.streaming import live
+
+    start = datetime(2024, 1, 1)
+    minutes = [(1, 0, 9.0), (1, 30, 8.0), (1, 50, 1.0), (1, 80, 7.0), (1, 200, 9.0), (2, 10, 2.0), (1, 100_000, 9.0)]
+    rows = [(k, start + timedelta(minutes=m), u, "x", v, "{}") for k, (u, m, v) in enumerate(minutes)]
+    frame = spark.createDataFrame(rows, live.SCHEMA).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    src = str(tmp_path / "in")
+    frame.coalesce(1).write.parquet(src)
+    q = live.loud_sessions(live.event_stream(spark, src), 5.0).writeStream.outputMode("append").format("memory").queryName("sessions").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.user_id, r.n, round(r["mean"], 6)) for r in spark.table("sessions").collect())
+    assert got == [(1, 1, 9.0), (1, 3, 8.0)]  # the last session is still open
