@@ -28,19 +28,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300
         return np.append(np.zeros(x.shape[1]), np.log(rate / (1 - rate)))
     mean, spread = x.mean(0, dtype=float), column_spread(x)
     spread = np.where(spread < 1e-9, 1.0, spread)
-    z = np.ones((n, x.shape[1] + 1))
+    z = np.ones((n, x.shape[1] + 1), x.dtype if x.dtype == np.float32 else float)
     np.subtract(x, mean, out=z[:, :-1])  # in place: a sample's features are the largest thing on the driver
     z[:, :-1] /= spread
     ridge = np.append(np.full(x.shape[1], l2), 0.0)
     probe = np.ones(z.shape[1])
     for _ in range(20):
-        probe = z.T @ (z @ probe)
+        probe = (z.T @ (z @ probe.astype(z.dtype))).astype(float)
         size = np.linalg.norm(probe)
         probe /= size
     step = 1 / (0.25 * size + l2)
     w = v = np.zeros(z.shape[1])
     for k in range(steps):
-        new = v - step * (z.T @ (sigmoid(z @ v) - y) + ridge * v)
+        off = (sigmoid(z @ v.astype(z.dtype)) - y).astype(z.dtype)
+        new = v - step * (z.T @ off + ridge * v)
         w, v = new, new + k / (k + 3) * (new - w)
     slopes = w[:-1] / spread
     return np.append(slopes, w[-1] - slopes @ mean)

@@ -64,15 +64,17 @@ def fit_chain(view: Callable[[int], np.ndarray], y: np.ndarray, folds: np.ndarra
 
     ``view(0)`` are the features by the terms of all documents, ``view(f + 1)`` by those chosen without fold f; only one is held at a time.
     """
-    earlier, models = np.zeros((len(y), 0)), []
+    earlier, models = np.zeros((len(y), 0), np.float32), []
     for k in range(y.shape[1]):
         models.append(fit_logistic(np.hstack([view(0), earlier]), y[:, k], 2.0, 120))
+        if k + 1 == y.shape[1]:
+            break
         held = np.zeros(len(y))
         for f in range(FOLDS):
             out, z = folds == f, np.hstack([view(f + 1), earlier])
             if out.any():
                 held[out] = predict(fit_logistic(z[~out], y[~out, k], 2.0, 120), z[out])
-        earlier = np.hstack([earlier, held[:, None]])
+        earlier = np.hstack([earlier, held[:, None].astype(np.float32)])
     return models
 
 
