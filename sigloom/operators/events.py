@@ -144,8 +144,8 @@ def unstage_gain(s: DataFrame) -> DataFrame:
 
 def limit_peak(s: DataFrame, top: float = 1.0, to: float = 0.95) -> DataFrame:
     """(sig, k, y): signals whose peak is over ``top`` scaled so that it is ``to``; others unchanged."""
-    peak = F.max(F.abs("x")).over(Window.partitionBy("sig"))
-    return s.withColumn("peak", peak).select("sig", "k", F.when(F.col("peak") > top, F.col("x") * to / F.col("peak")).otherwise(F.col("x")).alias("y"))
+    peak = s.groupBy("sig").agg(F.max(F.abs("x")).alias("peak"))
+    return s.select("sig", "k", "x").join(peak, "sig").select("sig", "k", F.when(F.col("peak") > top, F.col("x") * to / F.col("peak")).otherwise(F.col("x")).alias("y"))
 
 
 def canonical(name):

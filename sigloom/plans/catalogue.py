@@ -428,6 +428,11 @@ def short_model():
     return lambda x: x[:-3] * 0.5 if len(x) > 3 else x[:0]
 
 
+def q_resample(spark, d):
+    found = kernels.resample(arrays(spark, d), 48_000, 44_100)
+    return rounded(found.select("sig", F.posexplode("y").alias("i", "y")))
+
+
 def q_dtw(spark, d):
     a = arrays(spark, d)
     b = a.select((F.col("sig") - 1).alias("sig"), F.col("x").alias("y")).where("sig % 2 = 0")
@@ -496,7 +501,7 @@ def queries():
         "mid_side_retry": q_retry, "waveform_scaling": q_scaled, "settings_parse": q_settings,
         "local_offset_track": q_track, "dtw_distance": q_dtw, "coherence": q_coherence, "model_hook": partial(model, stand_in),
         "wav_roundtrip": q_wav, "chunked_model": q_chunks, "k_weight": q_k_weight, "k_weighted_loudness": q_k_loudness, "signal_description": q_describe,
-        "resample": lambda spark, d: kernels.resample(arrays(spark, d), 48_000, 44_100),
+        "resample": q_resample,
         "phase_warp": lambda spark, d: kernels.phase_warp(arrays(spark, d), [0.0, 30.0, 64.0], [0.0, 34.0, 66.0]),
         "pitch_shift": lambda spark, d: kernels.pitch_shift(arrays(spark, d), 3.0),
         "onsets": lambda spark, d: kernels.onsets(arrays(spark, d), 4, 16),

@@ -287,6 +287,15 @@ SELECT vec_id // 2 AS sig, vec_id % 2 AS ch, i, round(least(greatest(round_even(
     "chunked_model": f"""WITH {BEATS}, {SPANS}, e AS (SELECT s.sig, k AS i, CASE WHEN stop - start > 3 AND k < stop - 3 THEN x * 0.5 ELSE x END AS y,
   (CASE WHEN start > 0 AND k - start < {WIDTH} THEN {RAMP('k - start')} ELSE 1 END) * (CASE WHEN stop < n AND stop - 1 - k < {WIDTH} THEN {RAMP('stop - 1 - k')} ELSE 1 END) AS w FROM spans s JOIN ev ON ev.sig = s.sig AND k >= start AND k < stop)
 SELECT sig, i, round(CASE WHEN sum(w) > 1e-6 THEN sum(y * w) / sum(w) ELSE any_value(y) END, 6) + 0.0 AS y FROM e GROUP BY 1, 2""",
+    "resample": """WITH o AS (SELECT i, i * 48000 / 44100.0 AS pos, unnest(range(-18, 19)) AS k FROM range(0, 59) AS g(i)),
+t AS (SELECT i, CAST(floor(pos) AS BIGINT) + k AS tap, (floor(pos) + k - pos) * 44100 / 48000.0 AS d FROM o),
+w AS (SELECT i, tap, CASE WHEN abs(d) >= 16 THEN 0 WHEN abs(d) < 1e-12 THEN 1 ELSE sin(pi() * d) / (pi() * d) * pow(cos(pi() * d / 32), 2) END * 44100 / 48000.0 AS w FROM t WHERE tap BETWEEN 0 AND 63)
+SELECT vec_id AS sig, i, round(sum(embedding[tap + 1]::DOUBLE * w), 6) + 0.0 AS y FROM embeddings, w GROUP BY 1, 2""",
+    "coherence": """WITH f AS (SELECT CAST(label AS BIGINT) AS sig, vec_id AS frame, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS j FROM embeddings),
+m AS (SELECT sig, frame, j, x - avg(x) OVER (PARTITION BY frame) AS x, x + 0.05 * sin(j) - avg(x + 0.05 * sin(j)) OVER (PARTITION BY frame) AS y, 0.5 - 0.5 * cos(2 * pi() * j / 64) AS w FROM f),
+s AS (SELECT sig, frame, bin, sum(x * w * cos(2 * pi() * bin * j / 64)) AS xr, sum(x * w * sin(2 * pi() * bin * j / 64)) AS xi, sum(y * w * cos(2 * pi() * bin * j / 64)) AS yr, sum(y * w * sin(2 * pi() * bin * j / 64)) AS yi FROM m, range(8, 33) AS b(bin) GROUP BY 1, 2, 3),
+c AS (SELECT sig, bin, (pow(sum(xr * yr + xi * yi), 2) + pow(sum(xi * yr - xr * yi), 2)) / greatest(sum(xr * xr + xi * xi) * sum(yr * yr + yi * yi), 1e-30) AS c FROM s GROUP BY 1, 2)
+SELECT sig, round(avg(c), 6) + 0.0 AS coherence FROM c GROUP BY 1""",
     "k_weight": f"WITH RECURSIVE {WEIGHTED} SELECT sig, i, round(z, 6) + 0.0 AS y FROM k1",
     "k_weighted_loudness": f"WITH RECURSIVE {WEIGHTED}, {BLOCKS('q', LOUD_BLOCK)}, {GATED('q')} SELECT DISTINCT q.sig, round(coalesce(lufs, CAST('-Infinity' AS DOUBLE)), 6) + 0.0 AS lufs FROM q LEFT JOIN qu USING (sig)",
     "signal_description": f"""WITH RECURSIVE {WEIGHTED}, {BLOCKS('q', LOUD_BLOCK)}, {GATED('q')}, {BLOCKS('h', RANGE_BLOCK)}, {GATED('h')},
