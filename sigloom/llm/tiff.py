@@ -77,69 +77,79 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+#: Codes that follow a clear code before the table is full, and the bits of each, as the format widens them one code early.
+LZW_CODES = 3840
+LZW_BITS = 9 + np.searchsorted((254, 766, 1790), np.arange(LZW_CODES + 1), "right")
+LZW_STARTS = np.concatenate(([0], np.cumsum(LZW_BITS)))
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, that widen one code early, as the format asks."""
-    start = {bytes([i]): i for i in range(256)}
-    table, bits, acc, held, out = dict(start), 9, LZW_CLEAR, 9, bytearray()
-    free, word = 258, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
+    """Codes of 9 to 12 bits, high bit first, that widen one code early, as the format asks; a clear code when the table is full."""
+    codes, table, free = [LZW_CLEAR], {}, 258
+    add, get = codes.append, table.get
+    word = data[0] if data else -1
+    for byte in data[1:]:
+        key = word << 8 | byte
+        longer = get(key)
+        if longer is not None:
             word = longer
             continue
-        acc, held = acc << bits | table[word], held + bits
-        table[longer] = free
+        add(word)
+        table[key] = free
         free += 1
         if free == 4094:
-            acc, held = acc << bits | LZW_CLEAR, held + bits
-            table, free, bits = dict(start), 258, 9
-        elif free >= (1 << bits):
-            bits += 1
-        word = data[i : i + 1]
-        if held >= 512:
-            keep = held % 8
-            out += (acc >> keep).to_bytes(held // 8, "big")
-            acc, held = acc & ((1 << keep) - 1), keep
-    if word:
-        acc, held, free = acc << bits | table[word], held + bits, free + 1
-        bits += free >= (1 << bits) and bits < 12
-    acc, held = acc << bits | LZW_END, held + bits
-    pad = -held % 8
-    return bytes(out) + (acc << pad).to_bytes((held + pad) // 8, "big")
+            add(LZW_CLEAR)
+            table.clear()
+            free = 258
+        word = byte
+    if word >= 0:
+        add(word)
+    add(LZW_END)
+    held = np.array(codes, ">u2")
+    clears = np.flatnonzero(held == LZW_CLEAR)
+    since = np.arange(len(held)) - clears[np.searchsorted(clears, np.arange(len(held)), "left") - 1] - 1
+    bits = np.where(np.arange(len(held)) == 0, 9, LZW_BITS[np.clip(since, 0, LZW_CODES)])
+    spread = np.unpackbits(held.view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(spread[np.arange(16) >= 16 - bits[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
+    """Codes are cut out a table's life at a time, by their known widths, and looked up one by one."""
+    padded = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
     start = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, bits, out, acc, held, last = list(start), 9, [], 0, 0, b""
-    total = 0
-    for byte in data:
-        acc, held = (acc << 8 | byte) & 0xFFFFFF, held + 8
-        if held < bits:
-            continue
-        held -= bits
-        code = acc >> held & ((1 << bits) - 1)
-        if code == LZW_END:
-            break
-        if code == LZW_CLEAR:
-            table, bits, last = list(start), 9, b""
-            continue
-        if not last:
-            last = table[code]
-        else:
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table):
-                entry = last + last[:1]
+    out, total, bit = [], 0, 0
+    while bit + 9 <= 8 * len(data) and total < size:
+        # The first code may be a clear code, which takes part in no entry; so may any later one, which ends the stretch.
+        starts = bit + LZW_STARTS[:-1]
+        starts = starts[starts + LZW_BITS <= 8 * len(data)]
+        at = starts >> 3
+        window = padded[at] << 16 | padded[at + 1] << 8 | padded[at + 2]
+        codes = window >> (24 - (starts & 7) - LZW_BITS[: len(starts)]).astype(np.uint32) & ((1 << LZW_BITS[: len(starts)]) - 1).astype(np.uint32)
+        stops = np.flatnonzero((codes == LZW_CLEAR) | (codes == LZW_END))
+        count = int(stops[0]) if len(stops) else len(codes)
+        table, last = list(start), b""
+        grow = table.append
+        for code in codes[:count].tolist():
+            if last:
+                if code < len(table):
+                    entry = table[code]
+                elif code == len(table):
+                    entry = last + last[:1]
+                else:
+                    raise ValueError("LZW code out of order")
+                grow(last + entry[:1])
+                last = entry
+            elif code < 256:
+                last = table[code]
             else:
                 raise ValueError("LZW code out of order")
-            table.append(last + entry[:1])
-            last = entry
-            if len(table) + 1 >= (1 << bits) and bits < 12:
-                bits += 1
-        out.append(last)
-        total += len(last)
-        if total >= size:
+            out.append(last)
+            total += len(last)
+            if total >= size:
+                break
+        if count == len(codes) or int(codes[count]) == LZW_END:
             break
+        bit = int(starts[count] + LZW_BITS[count])
     return b"".join(out)[:size]
 
 
