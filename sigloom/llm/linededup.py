@@ -159,10 +159,11 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     heads = firsts.where("mixed").select("first.d", "first.t", F.struct("first.lo", (F.col("first.lo") + F.col("more")).alias("hi")).alias("v"))
     heads = heads.groupBy(F.col("d").alias("d2"), F.col("t").alias("t2")).agg(F.collect_set("v").alias("r"))
     near = texts.join(heads, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2"))).select("d", "t", "x", "r")
-    single = stored(single_runs(near, run_words).select("k1", "k2", place.alias("o")), "single-runs")
-    before = single.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last"))
-    before = before.where(~F.col("first").eqNullSafe(F.col("last"))).select("k1", "k2", "first")
-    later = single.join(before, ["k1", "k2"]).where(~F.col("o").eqNullSafe(F.col("first"))).select("o.d", "o.t", "o.lo", (F.col("o.lo") + (run_words - 1)).alias("hi"), F.lit(False).alias("line"))
+    single = stored(single_runs(near, run_words), "single-runs")
+    before = single.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("rows"))
+    before = stored(before.where(~F.col("first").eqNullSafe(F.col("last"))).select("k1", "k2", "first", "rows"), "repeated-single-runs")
+    later = spread_join(single, before, ["k1", "k2"], single.count()).where(~place.eqNullSafe(F.col("first")))
+    later = later.select("d", "t", "lo", (F.col("lo") + (run_words - 1)).alias("hi"), F.lit(False).alias("line"))
     return whole.unionAll(later).groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi", "line")).alias("spans"))
 
 
