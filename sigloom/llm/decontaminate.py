@@ -85,8 +85,10 @@ class Sketches:
     def __init__(self, hashes: np.ndarray | None, sizes: list[int]):
         self.hashes, self.sizes = hashes, sizes
         if hashes is not None:
-            self.bits = np.zeros(1 << 20, bool)
-            self.bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
+            width = max(20, len(hashes).bit_length() + 4)  # a sixteenth of the table is set at most
+            self.shift = np.uint64(64 - width)
+            self.bits = np.zeros(1 << width, bool)
+            self.bits[(hashes >> self.shift).astype(np.int64)] = True
 
     def find(self, words: np.ndarray) -> tuple[list[int], list[int]]:
         """The sketch hashes that occur in a document, and all its distinct shingles; nothing if none occurs."""
@@ -94,8 +96,8 @@ class Sketches:
         if self.hashes is None:
             every = np.unique(every).view(np.int64).tolist()
             return every, every
-        near = np.unique(every[self.bits[(every >> np.uint64(44)).astype(np.int64)]])
-        near = near[np.isin(near, self.hashes, assume_unique=True)]
+        near = np.unique(every[self.bits[(every >> self.shift).astype(np.int64)]])
+        near = near[self.hashes[np.minimum(np.searchsorted(self.hashes, near), len(self.hashes) - 1)] == near]
         return (near.view(np.int64).tolist(), np.unique(every).view(np.int64).tolist()) if len(near) else ([], [])
 
 
