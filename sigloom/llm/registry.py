@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigloom.llm import bpe, decontaminate, langid, linededup, pii, quality, shards, simhash, tiff, toxicity
+from sigloom.llm import align, bpe, chat, decontaminate, langid, linededup, pii, quality, shards, simhash, tiff, toxicity, trie
 
 
 def queries():
@@ -17,8 +17,14 @@ def queries():
         "op8_linededup": linededup.op8_linededup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_trie": trie.op11_trie,
+        "op12_chat": chat.op12_chat,
+        "op13_align": align.op13_align,
     }
 
 
 def oracle_sql():
-    return {"op5_shards": shards.OP5_SQL, "op8_linededup": linededup.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {
+        "op5_shards": shards.OP5_SQL, "op8_linededup": linededup.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL,
+        "op11_trie": trie.OP11_SQL, "op12_chat": chat.OP12_SQL,
+    }
