@@ -21,13 +21,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import ship_package, stored, table
 
 #: UTF-8 bytes of the texts of one block, at least one text.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text a place that distinct segments are dealt to; there are as many places as the corpus needs.
 SHARD_BYTES = 8 << 20
 #: Characters that are encoded by one call.
@@ -147,55 +148,90 @@ def ragged(flat: np.ndarray, counts: np.ndarray, pick: np.ndarray) -> tuple[np.n
     return flat[np.repeat(starts[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
-def lists(flat: np.ndarray, counts, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat, kind))
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as bytes of seven bits, the lowest first; all but the last of a number have the eighth bit set."""
+    v = np.asarray(values, np.int64)
+    n = 1 + sum((v >> (7 * k) > 0).astype(np.int64) for k in range(1, 9))
+    starts, out = np.cumsum(n) - n, np.zeros(int(n.sum()), np.uint8)
+    for k in range(int(n.max(initial=0))):
+        here = n > k
+        out[starts[here] + k] = (v[here] >> (7 * k) & 127) | np.where(n[here] > k + 1, 128, 0)
+    return out.tobytes()
 
 
-BLOCKS = "block long, doc_id long, seq array<int>, shard int, at array<int>, segs array<string>"
+def unpacked(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    if not len(b):
+        return b
+    starts = np.concatenate(([0], np.flatnonzero(b < 128)[:-1] + 1))
+    n = np.diff(np.append(starts, len(b)))
+    return np.add.reduceat((b & 127) << 7 * (np.arange(len(b)) - np.repeat(starts, n)), starts)
+
+
+def squeezed(*columns: np.ndarray | bytes) -> bytes:
+    """Arrays of 64-bit numbers (first all their lowest bytes, then the next ones) and bytes, compressed."""
+    raw = [c if isinstance(c, bytes) else np.ascontiguousarray(np.asarray(c, "<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(columns), *map(len, raw)], "<i8").tobytes() + b"".join(raw))
+
+
+def loosened(data: bytes, *kinds: type) -> list:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    sizes, at, out = np.frombuffer(raw, "<i8", len(kinds), 8), 8 * (len(kinds) + 1), []
+    for size, kind in zip(sizes.tolist(), kinds, strict=True):
+        part = raw[at : at + size]
+        out.append(part if kind is bytes else np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+        at += size
+    return out
+
+
+BLOCKS = "block long, doc_id long, seq binary, shard int, segs binary"
+BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.binary()), ("shard", pa.int32()), ("segs", pa.binary())])
 
 
 def blocks_of(docs: DataFrame, shards: int, byte_level: str, pieces: str) -> DataFrame:
-    """Rows of documents (block, doc_id, seq: numbers of segments) and rows of the segments of a block (shard, at: numbers, segs).
+    """Rows of documents (block, doc_id, seq: packed numbers of segments) and of the segments of a block by shard.
 
-    A block is a stretch of neighbouring documents. A null or empty text has an empty seq.
+    The latter have the segments' numbers, lengths and bytes in ``segs``. A block is a stretch of neighbouring documents. A null or
+    empty text has an empty seq.
     """
     ship_package(docs.sparkSession)
 
+    def rows(**columns):
+        n = len(columns["block"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in BLOCKS_ARROW], schema=BLOCKS_ARROW)
+
     def run(batches):
         from pyspark import TaskContext
 
         split, block, numbers, size = load(byte_level, pieces).split, TaskContext.get().partitionId() << 32, {}, 0
 
-        def rows(**columns):
-            n = len(next(iter(columns.values())))
-            kinds = {"block": pa.int64(), "doc_id": pa.int64(), "seq": pa.list_(pa.int32()), "shard": pa.int32(), "at": pa.list_(pa.int32()), "segs": pa.list_(pa.string())}
-            columns = {k: pa.nulls(n, t) if k not in columns else columns[k] for k, t in kinds.items()}
-            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns.values(), kinds.values(), strict=True)], names=list(kinds))
-
         def close():
-            names = list(numbers)
-            shard = np.fromiter((zlib.crc32(s.encode()) % shards for s in names), np.int64, len(names))
-            order = np.argsort(shard, kind="stable").astype(np.int32)
-            places, n = np.unique(shard, return_counts=True)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            segs = pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(order)))
+            names = [s.encode() for s in numbers]
             numbers.clear()
-            return rows(block=np.full(len(places), block), shard=places.astype(np.int32), at=lists(order, n, pa.int32()), segs=segs)
+            shard = np.fromiter((zlib.crc32(s) % shards for s in names), np.int64, len(names))
+            order = np.argsort(shard, kind="stable")
+            places, firsts = np.unique(shard[order], return_index=True)
+            cells = []
+            for at in np.split(order, firsts[1:]):
+                found = [names[i] for i in at]
+                cells.append(squeezed(np.diff(at, prepend=0), np.array([*map(len, found)], np.int64), b"".join(found)))
+            return rows(block=[block] * len(places), shard=places, segs=cells[: len(places)])
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             seqs, first = [], 0
             for i, text in enumerate(texts):
                 text = text.as_py() or ""
-                if size and size + len(text) > BLOCK_BYTES:
+                bytes_ = len(text.encode())
+                if size and size + bytes_ > BLOCK_BYTES:
                     if seqs:
-                        yield rows(block=np.full(len(seqs), block), doc_id=ids.slice(first, len(seqs)), seq=pa.array(seqs, pa.list_(pa.int32())))
+                        yield rows(block=[block] * len(seqs), doc_id=ids.slice(first, len(seqs)), seq=seqs)
                     yield close()
                     block, size, seqs, first = block + 1, 0, [], i
-                size += len(text.encode())
-                seqs.append([numbers.setdefault(s, len(numbers)) for s in split(text)] if text else [])
+                size += bytes_
+                seqs.append(packed([numbers.setdefault(s, len(numbers)) for s in split(text)]) if text else b"")
             if seqs:
-                yield rows(block=np.full(len(seqs), block), doc_id=ids.slice(first, len(seqs)), seq=pa.array(seqs, pa.list_(pa.int32())))
+                yield rows(block=[block] * len(seqs), doc_id=ids.slice(first, len(seqs)), seq=seqs)
         if numbers:
             yield close()
 
@@ -203,22 +239,23 @@ def blocks_of(docs: DataFrame, shards: int, byte_level: str, pieces: str) -> Dat
 
 
 def align_segments(dictionary: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """(block, at, n, links): the alignments of each block's segments, every distinct segment of a shard aligned once."""
+    """(block, links): numbers, counts and links of each block's segments; every distinct segment of a shard is aligned once."""
 
     def run(shard: pa.Table) -> pa.Table:
-        segs = shard.column("segs").combine_chunks()
-        each = np.diff(segs.offsets.to_numpy())
-        coded = segs.flatten().dictionary_encode()
-        flat, counts = load(byte_level, pieces).align(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        links, n = ragged(flat, counts, index)
-        per_row = [part.sum() for part in np.split(n, np.cumsum(each)[:-1])]
-        return pa.table({"block": shard.column("block"), "at": shard.column("at"), "n": lists(n.astype(np.int32), each, pa.int32()), "links": lists(links, per_row, pa.int64())})
+        numbers, codes, known = [], [], {}
+        for cell in shard.column("segs"):
+            at, sizes, data = loosened(cell.as_py(), np.ndarray, np.ndarray, bytes)
+            numbers.append(at)  # as differences
+            ends = np.cumsum(sizes).tolist()
+            codes.append(np.array([known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)], np.int64))
+        flat, counts = load(byte_level, pieces).align([s.decode() for s in known])
+        cells = [squeezed(at, *reversed(ragged(flat, counts, code))) for at, code in zip(numbers, codes, strict=True)]
+        return pa.table({"block": shard.column("block"), "links": pa.array(cells, pa.binary())})
 
-    return dictionary.select("shard", "block", "at", "segs").groupBy("shard").applyInArrow(run, "block long, at array<int>, n array<int>, links array<long>")
+    return dictionary.select("shard", "block", "segs").groupBy("shard").applyInArrow(run, "block long, links binary")
 
 
-COMPOSED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places array<int>, times array<int>, pairs array<long>, held array<int>"
+COMPOSED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary, pairs array<long>, held array<int>"
 
 
 def group_text(links: list[int]) -> str:
@@ -241,44 +278,42 @@ def compose(left: pa.Table, right: pa.Table) -> pa.Table:
 
     ``held`` says how many documents of the block hold each pair linked.
     """
-    at = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in right.column("at").chunks)])
-    n = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in right.column("n").chunks)])
-    flat = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in right.column("links").chunks)])
+    cells = [loosened(c.as_py(), np.ndarray, np.ndarray, np.ndarray) for c in right.column("links")]
+    none = np.zeros(0, np.int64)
+    at = np.concatenate([none, *(np.cumsum(c[0]) for c in cells)])
+    n, flat = (np.concatenate([none, *(c[k] for c in cells)]) for k in (1, 2))
+    del cells
     flat, n = ragged(flat, n, np.argsort(at))  # by number
     pairs, place = np.unique(flat >> 3, return_inverse=True)
+    place = place.astype(np.int32)
     ends = np.cumsum(n)
-    total = np.concatenate(([0], ends))
-    marks = [np.concatenate(([0], np.cumsum(flat & m > 0)))[total] for m in (NEW_A, NEW_B, NEW_GROUP)]
-    sums = np.stack([np.diff(m) for m in marks] + [n])
-    texts = [group_text(part.tolist()) if len(part) else None for part in (np.split(flat, ends[:-1]) if len(n) else [])]
-    starts, held = ends - n, np.zeros(len(pairs), np.int32)
+    starts = ends - n
+    sums = np.stack([np.add.reduceat(np.append(flat & m > 0, False).astype(np.int64), starts) if len(n) else n for m in (NEW_A, NEW_B, NEW_GROUP)] + [n])
+    texts = [group_text(flat[a:b].tolist()) if b > a else None for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    held = np.zeros(len(pairs), np.int32)
     out, digests, found, times = [], [], [], []
-    for chunk in left.column("seq").chunks:
-        offsets, values = chunk.offsets.to_numpy(), chunk.flatten().to_numpy()
-        offsets = offsets - offsets[0]
-        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-            seq = values[lo:hi]
-            if not len(seq) or not n[seq].all():
-                out.append(np.zeros(4, np.int64))
-                digests.append("")
-                found.append(np.zeros(0, np.int32))
-                times.append(np.zeros(0, np.int32))
-                continue
-            out.append(sums[:, seq].sum(1))
-            digests.append(hashlib.sha256(";".join(map(texts.__getitem__, seq.tolist())).encode()).hexdigest())
-            k = n[seq]
-            here, count = np.unique(place[np.repeat(starts[seq] - (np.cumsum(k) - k), k) + np.arange(k.sum())], return_counts=True)
-            held[here] += 1
-            found.append(here.astype(np.int32))
-            times.append(count.astype(np.int32))
+    for cell in left.column("seq"):
+        seq = unpacked(cell.as_py())
+        if not len(seq) or not n[seq].all():
+            out.append(np.zeros(4, np.int64))
+            digests.append("")
+            found.append(b"")
+            times.append(b"")
+            continue
+        out.append(sums[:, seq].sum(1))
+        digests.append(hashlib.sha256(";".join(map(texts.__getitem__, seq.tolist())).encode()).hexdigest())
+        k = n[seq]
+        here, count = np.unique(place[np.repeat(starts[seq] - (np.cumsum(k) - k), k) + np.arange(k.sum())], return_counts=True)
+        held[here] += 1
+        found.append(packed(np.diff(here, prepend=0)))
+        times.append(packed(count))
     docs = len(out)
-    sizes = [len(x) for x in found]
     block = left.column("block")[0].as_py() if docs else right.column("block")[0].as_py()
     table = np.array(out, np.int64).reshape(docs, 4)
     rows = pa.table({
         "block": pa.array(np.full(docs, block)), "doc_id": left.column("doc_id"), **{c: pa.array(table[:, i]) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
-        "groups_sha256": pa.array(digests, pa.string()), "places": lists(np.concatenate([np.zeros(0, np.int32), *found]), sizes, pa.int32()),
-        "times": lists(np.concatenate([np.zeros(0, np.int32), *times]), sizes, pa.int32()), "pairs": pa.nulls(docs, pa.list_(pa.int64())), "held": pa.nulls(docs, pa.list_(pa.int32())),
+        "groups_sha256": pa.array(digests, pa.string()), "places": pa.array(found, pa.binary()), "times": pa.array(times, pa.binary()),
+        "pairs": pa.nulls(docs, pa.list_(pa.int64())), "held": pa.nulls(docs, pa.list_(pa.int32())),
     })
     last = {"block": pa.array([block]), "pairs": pa.array([pairs], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.int32()))}
     return pa.concat_tables([rows, pa.table({f.name: last.get(f.name, pa.nulls(1, f.type)) for f in rows.schema})])
@@ -290,14 +325,12 @@ def score(left: pa.Table, right: pa.Table) -> pa.Table:
     count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     count[place], best[place] = right.column("count").to_numpy(), right.column("best").to_numpy(zero_copy_only=False)
     n_best, count_sum = [], []
-    for places, times in zip(left.column("places").chunks, left.column("times").chunks, strict=True):
-        offsets = places.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        at, k = places.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
-        for weight, out in ((best, n_best), (count, count_sum)):
-            out.append(np.diff(np.concatenate(([0], np.cumsum(weight[at] * k)))[offsets]))
+    for places, times in zip(left.column("places"), left.column("times"), strict=True):
+        at, k = np.cumsum(unpacked(places.as_py())), unpacked(times.as_py())
+        n_best.append(int(best[at] @ k))
+        count_sum.append(int(count[at] @ k))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
-    both = {n: pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for n, x in (("n_best", n_best), ("count_sum", count_sum))}
+    both = {"n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(count_sum, pa.int64())}
     return pa.table({**{c: left.column(c) for c in names}, **both, "groups_sha256": left.column("groups_sha256")})
 
 
