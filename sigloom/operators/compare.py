@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.numeric import correlation
 from sigloom.operators import kernels, levels, report, spectral, timing
+from sigloom.sources.interim import stored
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class Sizes:
     coherence: int = 8192
     hf_low: float = 10_000.0
     hf_high: float = 20_000.0
+    least_s: float = 1.0
 
 
 def mono_rows(channels: DataFrame, name: str) -> DataFrame:
@@ -75,23 +77,21 @@ def compare(a: DataFrame, b: DataFrame, sr: int, sizes: Sizes = Sizes()) -> Data
     """
     at = lambda seconds: int(seconds * sr)
     hop = max(1, round(sr / sizes.envelope_hz))
-    ra, rb = mono_rows(a, "a"), mono_rows(b, "b")
+    ra, rb = (stored(mono_rows(s, n), f"mono-{n}") for s, n in ((a, "a"), (b, "b")))
     x = lambda rows, c: rows.select("sig", "i", F.col(c).alias("x"))
-    span = min(at(sizes.material_s), 1 << 30) // hop
-    longest = ra.agg(F.max("i")).first()[0] or 0
-    span = max(1, min(span, (longest + 1 - 4 * at(sizes.fine_s)) // hop))
-    offset = timing.estimate_offset(x(ra, "a"), x(rb, "b"), hop, int(sizes.coarse_s * sizes.envelope_hz), at(sizes.fine_s), span)
-    ab = aligned_rows(ra, rb, offset.select("sig", "offset"))
+    offset = timing.estimate_offset(x(ra, "a"), x(rb, "b"), hop, int(sizes.coarse_s * sizes.envelope_hz), at(sizes.fine_s), None, at(sizes.material_s), at(sizes.least_s))
+    offset = stored(offset, "offsets")
+    ab = stored(aligned_rows(ra, rb, offset.select("sig", "offset")), "aligned")
     both = ra.join(rb, ["sig", "i"], "full").join(offset.select("sig", "offset"), "sig")
-    tracked = kernels.track_offsets(both, at(sizes.window_s), at(sizes.hop_s), at(sizes.search_s), "offset")
+    tracked = stored(kernels.track_offsets(both, at(sizes.window_s), at(sizes.hop_s), at(sizes.search_s), "offset"), "tracked")
     times = timing.correlation_summary(tracked.select(F.col("sig").alias("pair"), F.col("lag").alias("start"), "score")).withColumnRenamed("pair", "sig")
     ms = lambda c: F.col(c) * 1000.0 / sr
     times = times.select("sig", "corr_min", "corr_median", "corr_mean", ms("drift").alias("drift_ms"), ms("max_offset").alias("max_offset_ms"), "confident")
     fine = fine_at_offsets(ra, rb, tracked, at(sizes.hop_s), at(sizes.fine_window_s))
 
     side = F.sort_array(F.collect_list(F.struct("i", "a", "b")))
-    arrays = ab.groupBy("sig").agg(side.alias("v")).select("sig", F.col("v.a").alias("x"), F.col("v.b").alias("y"))
-    spec = spectral.dft(spectral.stft(arrays, sizes.n_fft, sizes.hop, "y"), sizes.n_fft, sr, second="y", window=spectral.hann(sizes.n_fft))
+    arrays = stored(ab.groupBy("sig").agg(side.alias("v")).select("sig", F.col("v.a").alias("x"), F.col("v.b").alias("y")), "pairs")
+    spec = stored(spectral.dft(spectral.stft(arrays, sizes.n_fft, sizes.hop, "y"), sizes.n_fft, sr, second="y", window=spectral.hann(sizes.n_fft)), "spectra")
     bands = spectral.band_delta(spec, sr / 2).groupBy(F.col("stem").alias("sig"))
     bands = bands.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("band", "delta")))).alias("bands"), F.first("gain").alias("program_gain"), F.first("frames_used").alias("frames_used"))
     high = spec.where(F.col("hz") >= sizes.hf_low).groupBy(F.col("stem").alias("sig"), F.col("frame").alias("k"))
@@ -100,7 +100,7 @@ def compare(a: DataFrame, b: DataFrame, sr: int, sizes: Sizes = Sizes()) -> Data
     contour = spectral.hf_envelope_correlation(spec, sizes.hf_low).select(F.col("stem").alias("sig"), F.col("corr").alias("hf_envelope_corr"))
     related = kernels.welch_coherence(arrays, sizes.coherence, sr, sizes.hf_low, min(sr / 2, sizes.hf_high)).withColumnRenamed("coherence", "hf_coherence")
 
-    found = kernels.onsets(arrays.select("sig", "x"), sizes.hop, sizes.n_fft)
+    found = stored(kernels.onsets(arrays.select("sig", "x"), sizes.hop, sizes.n_fft), "onsets")
     again = kernels.onsets(arrays.select("sig", F.col("y").alias("x")), sizes.hop, sizes.n_fft)
     counts = found.select("sig", F.size("y").alias("onsets_a")).join(again.select("sig", F.size("y").alias("onsets_b")), "sig")
     spots = found.select("sig", F.explode("y").alias("o")).select("sig", F.col("o").cast("long").alias("o"))

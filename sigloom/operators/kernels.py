@@ -6,6 +6,8 @@ they agree with other implementations to a tolerance, not bit by bit.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +32,9 @@ def per_signal(signals: DataFrame, function, ddl: str = "sig long, y array<doubl
     return signals.select("sig", "x").mapInPandas(run, ddl)
 
 
-def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 128) -> np.ndarray:
-    """A second-order section over a whole signal, block by block: a block is its response at rest plus that to the state before it."""
-    # Columns of ``free``: how the two past outputs go on by themselves. ``rest``: the response to a unit sample.
+@lru_cache(maxsize=16)
+def responses(a: tuple, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """How the two past outputs of a section go on by themselves over a block, and the response to each of its samples."""
     free, rest = np.zeros((block, 2)), np.zeros(block)
     for k in range(block):
         past = lambda v, n: v[k - n] if k >= n else 0.0  # noqa: B023, E731
@@ -41,8 +43,13 @@ def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 128) -> np.ndarray:
             one = free[k - 1, c] if k else y1
             two = free[k - 2, c] if k > 1 else (y1 if k else y2)
             free[k, c] = -a[0] * one - a[1] * two
+    return free, np.array([[rest[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
+
+
+def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 128) -> np.ndarray:
+    """A second-order section over a whole signal, block by block: a block is its response at rest plus that to the state before it."""
+    free, matrix = responses(tuple(map(float, a)), block)
     feed = np.convolve(x, b)[: len(x)]
-    matrix = np.array([[rest[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
     pieces = np.pad(feed, (0, -len(x) % block)).reshape(-1, block) @ matrix.T
     y1 = y2 = 0.0
     for row in pieces:
@@ -173,24 +180,28 @@ def phase_warp(signals: DataFrame, src: list[float] | None = None, dst: list[flo
     return signals.select("sig", "x", "src", "dst").mapInPandas(run, "sig long, y array<double>")
 
 
-def time_stretch(signals: DataFrame, rate: float) -> DataFrame:
-    """Duration divided by ``rate``, clipped to 0.25 to 4, pitch unchanged."""
+def stretched(x: np.ndarray, rate: float, n_fft: int = 2048, hop: int = 512) -> np.ndarray:
+    """Duration divided by ``rate``, clipped to 0.25 to 4, pitch unchanged; shorter than a frame: as it is."""
     rate = min(4.0, max(0.25, rate))
-    return per_signal(signals, lambda x: phase_warp_array(x, np.array([0.0, len(x)]), np.array([0.0, max(1.0, len(x) / rate)])))
+    return phase_warp_array(x, np.array([0.0, len(x)]), np.array([0.0, max(1.0, len(x) / rate)]), n_fft, hop)
 
 
-def pitch_shift(signals: DataFrame, semitones: float, least: int = 32) -> DataFrame:
-    """Pitch changed, duration unchanged: stretched, then resampled back; arrays under ``least`` samples stay."""
+def shifted(x: np.ndarray, semitones: float, n_fft: int = 2048, hop: int = 512, least: int = 512) -> np.ndarray:
+    """Pitch changed, duration unchanged: stretched, then resampled back; arrays under ``least`` samples or a frame stay."""
+    if len(x) < max(least, n_fft) or not semitones:
+        return x
     factor = 2 ** (semitones / 12)
+    y = phase_warp_array(x, np.array([0.0, len(x)]), np.array([0.0, len(x) * factor]), n_fft, hop)
+    y = resample_array(y, int(round(10000 * factor)), 10000)
+    return np.pad(y, (0, max(0, len(x) - len(y))))[: len(x)]
 
-    def run(x):
-        if len(x) < least or not semitones:
-            return x
-        y = phase_warp_array(x, np.array([0.0, len(x)]), np.array([0.0, len(x) * factor]))
-        y = resample_array(y, int(round(10000 * factor)), 10000)
-        return np.pad(y, (0, max(0, len(x) - len(y))))[: len(x)]
 
-    return per_signal(signals, run)
+def time_stretch(signals: DataFrame, rate: float, n_fft: int = 2048, hop: int = 512) -> DataFrame:
+    return per_signal(signals, lambda x: stretched(x, rate, n_fft, hop))
+
+
+def pitch_shift(signals: DataFrame, semitones: float, n_fft: int = 2048, hop: int = 512, least: int = 512) -> DataFrame:
+    return per_signal(signals, lambda x: shifted(x, semitones, n_fft, hop, least))
 
 
 def onsets(signals: DataFrame, hop: int, n_fft: int = 32, delta: float = 0.07) -> DataFrame:
@@ -253,7 +264,7 @@ def welch_coherence(pairs: DataFrame, n: int, sr: float, low: float, high: float
     """(sig, coherence): mean magnitude-squared coherence of (sig, x, y) arrays from ``low`` to ``high`` Hz.
 
     Frames of n samples overlap by half, each without its mean and under a periodic Hann window; null with n samples or fewer,
-    or without a bin in the range.
+    without a bin in the range or with silence on a side. Bins that one side is silent in don't count.
     """
     win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
     hz = np.arange(n // 2 + 1) * sr / n
@@ -267,7 +278,9 @@ def welch_coherence(pairs: DataFrame, n: int, sr: float, low: float, high: float
         for at in range(0, len(x) - n + 1, n // 2):  # a frame at a time, so that memory is that of one frame
             u, v = (np.fft.rfft((s[at : at + n] - s[at : at + n].mean()) * win) for s in (x, y))
             xx, yy, xy = xx + np.abs(u) ** 2, yy + np.abs(v) ** 2, xy + np.conj(u) * v
-        return float((np.abs(xy) ** 2 / np.maximum(xx * yy, 1e-300))[inside].mean())
+        power = (xx * yy)[inside]
+        known = power > 0
+        return float((np.abs(xy[inside][known]) ** 2 / power[known]).mean()) if known.any() else None
 
     def run(parts):
         import pandas as pd

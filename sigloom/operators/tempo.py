@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.operators import kernels, timing
+from sigloom.operators import timing, warp
 
 #: Beats that a reference needs.
 LEAST_BEATS = 4
@@ -17,7 +17,7 @@ def pick_references(stems: DataFrame, beats: DataFrame, keywords: tuple[str, ...
     stems (song, name, pos), beats (song, name, t). A song without such a stem has no row.
     """
     known = stems.select("song", "name", "pos").distinct()
-    kw = F.least(*(F.when(F.lower("name").contains(k), F.lit(i)).otherwise(F.lit(len(keywords))) for i, k in enumerate(keywords)))
+    kw = F.array_min(F.array(*(F.when(F.lower("name").contains(k), F.lit(i)).otherwise(F.lit(len(keywords))) for i, k in enumerate(keywords)), F.lit(len(keywords))))
     alone = F.count("*").over(Window.partitionBy("song")) == 1
     ranked = known.withColumns({"kw": kw, "alone": alone}).where((F.col("kw") < len(keywords)) | F.col("alone"))
     enough = beats.groupBy("song", "name").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_BEATS)
@@ -25,20 +25,18 @@ def pick_references(stems: DataFrame, beats: DataFrame, keywords: tuple[str, ...
 
 
 def correct_tempo(stems: DataFrame, beats: DataFrame, sr: int, keywords: tuple[str, ...], n_fft: int = 2048, hop: int = 512) -> DataFrame:
-    """(song, name, ch, y, reference, status): every channel of every stem read through the map of its song's reference.
+    """(song, name, ch, y, reference, status): every stem read through the map of its song's reference.
 
-    stems (song, name, pos, ch, x array). All stems of a song share one grid and so stay together. status: corrected, even
-    (the map is the identity, samples unchanged) or no reference (samples unchanged, reference null).
+    stems (song, name, pos, ch, x array). All stems of a song share one grid and so stay together, and the channels of a stem one
+    rotation of their spectra, so that its stereo image stays (see :mod:`warp`). status: corrected, even (the map is the identity
+    or the stem is shorter than a frame: samples unchanged) or no reference (samples unchanged, reference null).
     """
     picked = pick_references(stems, beats, keywords)
-    sizes = stems.withColumnRenamed("name", "reference").join(picked, ["song", "reference"]).groupBy("song").agg(F.max(F.size("x")).cast("long").alias("n"))
-    grid = beats.withColumnRenamed("name", "reference").join(picked, ["song", "reference"]).select(F.col("song").alias("sig"), "t")
-    anchors = timing.warp_anchors(grid, sr, sizes.select(F.col("song").alias("sig"), "n"))
-    maps = anchors.groupBy(F.col("sig").alias("song")).agg(F.sort_array(F.collect_set(F.struct("dst", "src"))).alias("m"))
-    maps = maps.select("song", F.col("m.src").cast("array<double>").alias("src"), F.col("m.dst").cast("array<double>").alias("dst"))
-    key = F.xxhash64("song", "name", "ch")
-    all_stems = stems.withColumn("sig", key).join(picked, "song", "left").join(maps, "song", "left")
-    moved = F.col("src") != F.col("dst")
-    warped = kernels.phase_warp(all_stems.where(moved).select("sig", "x", "src", "dst"), n_fft=n_fft, hop=hop)
-    status = F.when(F.col("reference").isNull(), "no reference").when(moved, "corrected").otherwise("even")
-    return all_stems.join(warped, "sig", "left").select("song", "name", "ch", F.coalesce("y", "x").alias("y"), "reference", status.alias("status"))
+    every = stems.withColumn("sig", F.xxhash64("song", "name")).join(picked, "song", "left")
+    led = every.where("reference is not null")
+    sizes = led.groupBy("sig", "song", "reference").agg(F.min(F.size("x")).cast("long").alias("n"))
+    grid = sizes.join(beats.withColumnRenamed("name", "reference"), ["song", "reference"]).select("sig", "t")
+    anchors = timing.warp_anchors(grid, sr, sizes.select("sig", "n"))
+    warped = warp.warp_arrays(led.select("sig", "ch", "x"), anchors, n_fft, hop)
+    status = F.when(F.col("reference").isNull(), "no reference").when(F.col("y").isNotNull(), "corrected").otherwise("even")
+    return every.join(warped, ["sig", "ch"], "left").select("song", "name", "ch", F.coalesce("y", "x").alias("y"), "reference", status.alias("status"))

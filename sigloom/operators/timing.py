@@ -214,27 +214,47 @@ def correlation_summary(windows: DataFrame) -> DataFrame:
     return g.select("pair", "corr_min", "corr_median", "corr_mean", (pick("high") - pick("low")).alias("drift"), far.alias("max_offset"), F.when(F.col("n_sure") > 0, F.col("n_sure")).otherwise(F.col("n")).alias("confident"))
 
 
-def estimate_offset(a: DataFrame, b: DataFrame, hop: int, coarse: int, fine: int, span: int) -> DataFrame:
+def loudest_stretch(s: DataFrame, spans: DataFrame, hop: int) -> DataFrame:
+    """(sig, start): the first of the loudest stretches that begin at a whole hop; spans (sig, span) in hops, each signal's own."""
+    order = Window.partitionBy("sig").orderBy("b")
+    full = levels.hop_powers(s, hop).where(F.col("n") == hop)
+    sums = full.select("sig", "b", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "p")
+    ends = sums.select("sig", (F.col("b") + 1).alias("to"), "upto")
+    each = sums.select("sig", "b", (F.col("upto") - F.col("p")).alias("before")).join(spans, "sig").withColumn("to", F.col("b") + F.col("span")).join(ends, ["sig", "to"])
+    return each.groupBy("sig").agg(first_best(F.col("b") * hop, F.round(F.col("upto") - F.col("before"), 9), F.col("b")).alias("start"))
+
+
+def estimate_offset(a: DataFrame, b: DataFrame, hop: int, coarse: int, fine: int, span: int | None, material: int = 1 << 40, least: int = 0) -> DataFrame:
     """(sig, coarse, offset, score): how many samples b is late, first by envelopes, then by samples; a, b (sig, i, x).
 
     Envelopes of ``hop`` samples are searched to ``coarse`` hops either way. Then a's loudest stretch of ``span`` hops slides
     over the wider stretch of b that reaches ``fine`` samples further either way, so every position compares as many samples
     and the sample step doesn't grow with the signals. Where b has no room for it the coarse offset stays, with score 0.
+    Without a span each pair has its own: what the shorter of the two signals, or ``material``, leaves beside four times
+    ``fine``, if that is more than ``least`` samples. So no row depends on other rows.
     """
     env = lambda s, n: levels.envelope(s, hop).select(F.col("sig").alias("pair"), F.col("b").alias("i"), F.col("env").alias(n))
     first = best_lag(env(a, "l").join(env(b, "r"), ["pair", "i"], "full"), coarse).select(F.col("pair").alias("sig"), (F.col("lag") * hop).alias("coarse"))
     ends = a.groupBy("sig").agg((F.max("i") + 1).alias("na")).join(b.groupBy("sig").agg((F.max("i") + 1).alias("nb")), "sig")
-    size = span * hop
+    if span is None:
+        room = F.least("na", "nb", F.lit(material)) - 4 * fine
+        spans = ends.select("sig", F.floor(room / hop).alias("span"), room.alias("room")).where((F.col("span") > 0) & (F.col("room") > least)).drop("room")
+        loudest = loudest_stretch(a, spans, hop)
+    else:
+        spans = ends.select("sig", F.lit(span).cast("long").alias("span"))
+        loudest = levels.loudest_start(a, span, hop).select("sig", "start")
+    ends = ends.join(spans, "sig").withColumn("size", F.col("span") * hop)
     lowest = F.greatest(F.lit(0), fine - F.col("coarse"))
-    highest = F.least(F.col("na") - size, F.col("nb") - F.col("coarse") - size - fine)
-    start = levels.loudest_start(a, span, hop).select("sig", "start").join(first, "sig").join(ends, "sig").where(highest >= lowest)
-    start = start.select("sig", "coarse", F.least(F.greatest("start", lowest), highest).cast("long").alias("start"))
-    near = a.join(start, "sig").select("sig", (F.col("i") - F.col("start") + fine).alias("i"), F.col("x").alias("l")).where(F.col("i").between(fine, fine + size - 1))
-    wide = b.join(start, "sig").select("sig", (F.col("i") - F.col("coarse") - F.col("start") + fine).alias("i"), F.col("x").alias("r")).where(F.col("i").between(0, size + 2 * fine - 1))
+    highest = F.least(F.col("na") - F.col("size"), F.col("nb") - F.col("coarse") - F.col("size") - fine)
+    start = loudest.join(first, "sig").join(ends, "sig").where(highest >= lowest)
+    start = start.select("sig", "coarse", "size", F.least(F.greatest("start", lowest), highest).cast("long").alias("start"))
+    near = a.join(start, "sig").select("sig", (F.col("i") - F.col("start") + fine).alias("i"), F.col("x").alias("l"), "size").where(F.col("i").between(F.lit(fine), fine + F.col("size") - 1))
+    wide = b.join(start, "sig").select("sig", (F.col("i") - F.col("coarse") - F.col("start") + fine).alias("i"), F.col("x").alias("r"), F.col("size").alias("s2")).where(F.col("i").between(F.lit(0), F.col("s2") + 2 * fine - 1))
 
     def run(pdf):
         import pandas as pd
 
+        size = int(pdf["size"].max() if pdf["size"].notna().any() else pdf.s2.max())
         x, y = np.zeros(size), np.zeros(size + 2 * fine)
         for v, c, shift in ((x, "l", fine), (y, "r", 0)):
             known = pdf[c].notna()

@@ -8,14 +8,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.numeric import r, rms_db, setting_flag, setting_number, setting_text, setting_whole
-from sigloom.operators import events, harmony, kernels, layout, levels, report, spectral, stages, timing
+from sigloom.operators import blocks, compare, events, harmony, kernels, layout, levels, report, spectral, stages, tempo, timing
 from sigloom.plans import sql
 from sigloom.sources import audio, tables
 
-FLAGSHIP = "quality_report"
+FLAGSHIP = "compare"
 SR, N = 48_000, 64
 #: Samples a second of beat signals, and the frame sizes of the dense signal.
 BEAT_SR, FRAME, HOP, BLOCK = 100, 400, 100, 50
+#: Rate and measures of the signals that are compared as a whole, and how late one of a pair is.
+PLAY_SR, LATE = 4000, 37
+PLAY_SIZES = compare.Sizes(coarse_s=0.25, fine_s=0.02, material_s=1.0, window_s=0.25, hop_s=0.125, search_s=0.03, n_fft=256, hop=64, coherence=512, hf_low=1000.0, hf_high=2000.0, least_s=0.1)
 
 
 def rounded(df, *places):
@@ -481,8 +484,112 @@ def stand_in():
     return lambda x: x * 0.98
 
 
+def long_signals(spark, d, n):
+    """(sig, ch, x array): the dense signal cut into signals of n samples, whose second channel is a bent, weaker copy."""
+    s = tables.dense(spark, d).select(F.expr(f"i div {n}").alias("sig"), "i", (F.col("x") - 0.5).alias("x"))
+    rows = F.sort_array(F.collect_list(F.struct("i", "x")))
+    both = F.array(F.transform(rows, lambda r: r.x), F.transform(rows, lambda r: 0.6 * r.x + 0.2 * r.x * r.x))
+    return s.groupBy("sig").agg(both.alias("x")).select("sig", F.posexplode("x").alias("ch", "x")).withColumn("ch", F.col("ch").cast("long"))
+
+
+def q_compare(spark, d):
+    """Whole signals of two seconds against themselves 2 dB down, those of odd number 37 samples late, every third one nearer to mono."""
+    a = long_signals(spark, d, 2 * PLAY_SR)
+    other = a.select("sig", (1 - F.col("ch")).alias("ch"), F.col("x").alias("other"))
+    mixed = a.join(other, ["sig", "ch"]).withColumn("share", F.when(F.col("sig") % 3 == 0, 0.25).otherwise(0.0))
+    gain = 10 ** (-2 / 20)
+    b = mixed.withColumn("y", F.zip_with("x", "other", lambda x, y: gain * (x + F.col("share") * (y - x))))
+    late = F.when(F.col("sig") % 2 == 1, F.concat(F.array_repeat(F.lit(0.0), LATE), F.slice("y", F.lit(1), F.greatest(F.size("y") - LATE, F.lit(0))))).otherwise(F.col("y"))
+    return compare.compare(a, b.select("sig", "ch", late.alias("x")), PLAY_SR, PLAY_SIZES)
+
+
+def q_correct_tempo(spark, d):
+    """Songs of 5000 samples, of a drum and a bass stem, with a beat on about every 500th sample."""
+    stems = long_signals(spark, d, 5000).withColumn("name", F.explode(F.array(F.lit("Drums"), F.lit("Bass"))))
+    stems = stems.select(F.col("sig").alias("song"), "name", F.when(F.col("name") == "Drums", 0).otherwise(1).alias("pos"), "ch", "x")
+    e = tables.dense(spark, d).where("i % 500 = 250")
+    beats = e.select(F.expr("i div 5000").alias("song"), F.lit("Drums").alias("name"), ((F.col("i") % 5000 + F.round(40 * F.col("x"))) / BEAT_SR).alias("t"))
+    found = tempo.correct_tempo(stems, beats, BEAT_SR, ("drums",), 128, 32)
+    return found.select("song", "name", "ch", "status", F.size("y").alias("n"), F.aggregate("y", F.lit(0.0), lambda t, x: t + x * x).alias("energy"))
+
+
+def vectors(spark, d, size, ch=None):
+    """The vectors as blocks, each a signal, or two of them the channels of one."""
+    f = tables.frames(spark, d)
+    f = f.select(F.expr("frame div 2").alias("sig"), (F.col("frame") % 2).alias("ch"), "x") if ch else f.select(F.col("frame").alias("sig"), F.lit(0).alias("ch"), "x")
+    return blocks.to_blocks(f, size)
+
+
+def q_block_weight(spark, d):
+    found = blocks.k_weighted(vectors(spark, d, 24), SR)
+    return rounded(found.select("sig", "block", F.posexplode("x").alias("j", "y")).select("sig", (F.col("block") * 24 + F.col("j")).cast("int").alias("i"), "y"))
+
+
+def q_block_loudness(spark, d):
+    return rounded(levels.integrated_loudness(blocks.k_weighted_power(vectors(spark, d, 24, True), SR, 24, *sql.LOUD_BLOCK)))
+
+
+def beat_blocks(spark, d, size=20):
+    s = tables.beats(spark, d)
+    late = s.select("sig", (F.col("k") + 2).alias("k"), F.col("x").alias("b"))
+    rows = F.sort_array(F.collect_list(F.struct("k", "x", "b")))
+    both = s.join(late, ["sig", "k"], "left").groupBy("sig", F.expr(f"k div {size}").alias("block")).agg(rows.alias("v"))
+    return both.select("sig", F.lit(0).alias("ch"), "block", F.col("v.x").alias("x"), F.col("v.x").alias("a"), F.transform("v.b", lambda v: F.coalesce(v, F.lit(0.0))).alias("b"))
+
+
+def q_block_step(spark, d):
+    return rounded(blocks.max_step(beat_blocks(spark, d)).select("sig", "step"))
+
+
+def q_block_track(spark, d):
+    return rounded(blocks.track_offsets(beat_blocks(spark, d), *sql.TRACK))
+
+
+def two_sided_vectors(spark, d):
+    return tables.frames(spark, d).select(F.col("frame").alias("sig"), "x", F.transform("x", lambda v, i: v + 0.05 * F.sin(i * 1.0)).alias("y"))
+
+
+def q_welch(spark, d):
+    return rounded(kernels.welch_coherence(two_sided_vectors(spark, d), 32, SR, 3000.0, 24_000.0))
+
+
+def q_block_welch(spark, d):
+    pairs = two_sided_vectors(spark, d)
+    sides = [blocks.to_blocks(pairs.select("sig", F.lit(0).alias("ch"), F.col(c).alias("x")), 32).select("sig", "block", F.col("x").alias(c)) for c in "xy"]
+    return rounded(blocks.coherence(sides[0].join(sides[1], ["sig", "block"]), 32, 32, SR, 3000.0, 24_000.0))
+
+
+def q_fine_tracked(spark, d):
+    s = tables.beats(spark, d).select("sig", F.col("k").alias("i"), F.col("x").alias("a"))
+    late = s.select("sig", (F.col("i") + 2).alias("i"), F.col("a").alias("b"))
+    tracked = kernels.track_offsets(s.join(late, ["sig", "i"], "left"), *sql.TRACK)
+    return rounded(compare.fine_at_offsets(s, late, tracked, sql.TRACK[1], 8))
+
+
+def q_both_images(spark, d):
+    """The stereo image of the pairs, and of the same a quarter of the way to each other."""
+    lr = tables.stereo(spark, d)
+    near = lr.select("pair", "i", (0.75 * F.col("l") + 0.25 * F.col("r")).alias("l"), (0.25 * F.col("l") + 0.75 * F.col("r")).alias("r"))
+
+    def channels(s):
+        rows = F.sort_array(F.collect_list(F.struct("i", "l", "r")))
+        both = s.groupBy(F.col("pair").alias("sig")).agg(rows.alias("v")).select("sig", F.posexplode(F.array("v.l", "v.r")).alias("ch", "x"))
+        return both
+
+    return rounded(compare.stereo(channels(lr), "a").join(compare.stereo(channels(near), "b"), "sig").drop("channels_a", "channels_b"))
+
+
+def q_decay(spark, d):
+    s = damaged(tables.dense(spark, d).withColumn("sig", F.lit(1).cast("long")))
+    on = s.where((F.col("a") > 0.3) & (F.col("i") >= 40)).select("sig", F.col("i").alias("o"))
+    return rounded(report.transients(s, on, 25, 5, 30, sql.TAIL))
+
+
 def queries():
     return {
+        "compare": q_compare, "correct_tempo": q_correct_tempo, "block_k_weight": q_block_weight, "block_loudness": q_block_loudness, "block_max_step": q_block_step,
+        "block_offset_track": q_block_track, "welch_coherence": q_welch, "block_coherence": q_block_welch, "fine_at_offsets": q_fine_tracked,
+        "stereo_both_sides": q_both_images, "transient_decay": q_decay,
         "tempo_stability": q_tempo, "beat_warp_anchors": q_anchors, "warp_summary": q_warp, "warp_read": q_read_warp,
         "signal_info": q_info, "silence_flags": q_silence, "residual_level": q_residual, "residual_bucket": q_bucket,
         "frame_rms_hopping": q_frames, "envelope_blocks": q_envelope, "dft_magnitude": q_dft, "spectrum_p95": q_p95,
@@ -503,7 +610,7 @@ def queries():
         "wav_roundtrip": q_wav, "chunked_model": q_chunks, "k_weight": q_k_weight, "k_weighted_loudness": q_k_loudness, "signal_description": q_describe,
         "resample": q_resample,
         "phase_warp": lambda spark, d: kernels.phase_warp(arrays(spark, d), [0.0, 30.0, 64.0], [0.0, 34.0, 66.0]),
-        "pitch_shift": lambda spark, d: kernels.pitch_shift(arrays(spark, d), 3.0),
+        "pitch_shift": lambda spark, d: kernels.pitch_shift(arrays(spark, d), 3.0, 32, 8, 32),
         "onsets": lambda spark, d: kernels.onsets(arrays(spark, d), 4, 16),
     }
 

@@ -13,6 +13,7 @@ LEVEL_RATE = 4.0
 SHORT_FRAME = (8, 2)
 TRACK = (12, 6, 6)
 LOUD_BLOCK, RANGE_BLOCK = (32, 8), (48, 8)
+TAIL = (40, 20)
 KEYWORDS = ("ring", "widget", "bolt", "gear")
 
 BEATS = """ev AS (SELECT user_id AS sig, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k,
@@ -305,3 +306,28 @@ FROM d LEFT JOIN qu USING (sig) LEFT JOIN hu USING (sig)""",
     "local_offset_track": f"WITH RECURSIVE {TRACKED} SELECT sig, w, lag, round(score, 6) + 0.0 AS score FROM tr WHERE lag IS NOT NULL",
     "model_hook": "SELECT vec_id AS sig, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
 }
+# Blocks are another way to the same figures.
+QUERIES |= {f"block_{n}": QUERIES[n] for n in ("k_weight", "max_step")} | {"block_loudness": QUERIES["k_weighted_loudness"], "block_offset_track": QUERIES["local_offset_track"]}
+WELCH = """WITH f AS (SELECT vec_id AS sig, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS j FROM embeddings),
+w AS (SELECT sig, s, j - s AS m, x, x + 0.05 * sin(j) AS y FROM f, range(0, 33, 16) AS g(s) WHERE j >= s AND j < s + 32),
+m AS (SELECT sig, s, m, x - avg(x) OVER (PARTITION BY sig, s) AS x, y - avg(y) OVER (PARTITION BY sig, s) AS y, 0.5 - 0.5 * cos(2 * pi() * m / 32) AS w FROM w),
+t AS (SELECT sig, s, bin, sum(x * w * cos(2 * pi() * bin * m / 32)) AS xr, sum(x * w * sin(2 * pi() * bin * m / 32)) AS xi, sum(y * w * cos(2 * pi() * bin * m / 32)) AS yr, sum(y * w * sin(2 * pi() * bin * m / 32)) AS yi FROM m, range(2, 17) AS b(bin) GROUP BY 1, 2, 3),
+c AS (SELECT sig, bin, (pow(sum(xr * yr + xi * yi), 2) + pow(sum(xi * yr - xr * yi), 2)) / nullif(sum(xr * xr + xi * xi) * sum(yr * yr + yi * yi), 0) AS c FROM t GROUP BY 1, 2)
+SELECT sig, round(avg(c), 6) + 0.0 AS coherence FROM c GROUP BY 1"""
+IMAGE = lambda n, t: f"""m{n} AS (SELECT pair AS sig, sqrt(avg(pow((l + r) / 2, 2))) AS m, sqrt(avg(pow((l - r) / 2, 2))) AS s, coalesce({CORR('l', 'r')}, 1.0) AS corr FROM {t} GROUP BY 1)"""
+DEEP = lambda n: f"CASE WHEN m{n}.s > 0 AND m{n}.m > 0 THEN round(20 * log10(m{n}.s) - 20 * log10(m{n}.m), 6) + 0.0 ELSE CAST('-Infinity' AS DOUBLE) END AS side_mid_{n}, round(m{n}.corr, 6) + 0.0 AS lr_{n}"
+PART = lambda c, k, where: f"avg({c} * {c}) FILTER ({where}) AS {c}{k}"
+PARTS = ", ".join(PART(c, k, w) for c in "ab" for k, w in enumerate(("i < o - 5", "i >= o AND i < o + 30", f"i >= o + {TAIL[0]} AND i < o + {sum(TAIL)}")))
+LEVEL = lambda x: f"20 * log10(sqrt({x}) + 1e-12)"
+QUERIES |= {
+    "welch_coherence": WELCH, "block_coherence": WELCH,
+    "fine_at_offsets": f"""WITH RECURSIVE {TRACKED}, fo AS (SELECT tr.sig, w, {CORR('a.x', 'b.x')} AS c, count(*) AS n FROM tr JOIN ev a ON a.sig = tr.sig AND a.k >= w * {TRACK[1]} AND a.k < w * {TRACK[1]} + 8
+  JOIN ev b ON b.sig = tr.sig AND b.k = a.k + lag - 2 WHERE lag IS NOT NULL GROUP BY 1, 2)
+SELECT sig, round(min(c), 6) + 0.0 AS fine_min, round(median(c), 6) + 0.0 AS fine_median FROM fo WHERE n = 8 AND c IS NOT NULL GROUP BY 1""",
+    "stereo_both_sides": f"""WITH {LR}, nr AS (SELECT pair, i, 0.75 * l + 0.25 * r AS l, 0.25 * l + 0.75 * r AS r FROM lr), {IMAGE('a', 'lr')}, {IMAGE('b', 'nr')}
+SELECT ma.sig, {DEEP('a')}, {DEEP('b')} FROM ma JOIN mb USING (sig)""",
+    "transient_decay": f"""WITH s AS (SELECT event_id AS i, value / 500 AS a, value / 500 * pow(10, -0.1) AS b FROM events), o AS (SELECT i AS o FROM s WHERE a > 0.3 AND i >= 40),
+g AS (SELECT o, {PARTS} FROM o JOIN s ON i >= o - 25 AND i < o + {sum(TAIL)} GROUP BY 1),
+q AS (SELECT {LEVEL('a1')} - {LEVEL('a0')} AS sa, {LEVEL('b1')} - {LEVEL('b0')} AS sb, {LEVEL('a2')} - {LEVEL('a1')} AS da, {LEVEL('b2')} - {LEVEL('b1')} AS db FROM g WHERE a1 IS NOT NULL AND (a0 IS NOT NULL OR a2 IS NOT NULL))
+SELECT CAST(1 AS BIGINT) AS sig, count(sa) AS n, {", ".join(f"round(median({k}{c}), 6) + 0.0 AS {n}_{c}" for n, k in (("slope", "s"), ("decay", "d")) for c in "ab")} FROM q HAVING count(*) > 0""",
+}

@@ -100,7 +100,7 @@ def test_gain_curve_of_an_expander(spark):
 
 
 SR = 4000
-SMALL = compare.Sizes(200.0, 1.0, 0.02, 1.0, 0.5, 0.25, 0.05, 0.05, 256, 64, 512, 1000.0, 2000.0)
+SMALL = compare.Sizes(200.0, 1.0, 0.02, 1.0, 0.5, 0.25, 0.05, 0.05, 256, 64, 512, 1000.0, 2000.0, 0.5)
 
 
 def play(seconds=5):
@@ -139,6 +139,17 @@ def test_comparison_names_each_damage(spark):
     assert verdicts[1].passed and verdicts[2].passed and verdicts[3].passed and "channels" in verdicts[5].problems and "clipping" in verdicts[6].problems
 
 
+def test_a_row_depends_on_no_other_row(spark):
+    """A pair of three seconds, 37 samples late, gives the same beside one of twelve seconds."""
+    short, long = play(3), play(12)
+    late = lambda x: np.concatenate((np.zeros((2, 37)), x[:, :-37]), 1)
+    alone = compare.compare(table(spark, {1: short}), table(spark, {1: late(short)}), SR, SMALL).first()
+    both = {r.sig: r for r in compare.compare(table(spark, {1: short, 2: long}), table(spark, {1: late(short), 2: late(long)}), SR, SMALL).collect()}
+    assert alone.offset_ms == both[1].offset_ms == both[2].offset_ms == pytest.approx(1000 * 37 / SR)
+    assert alone.offset_score == pytest.approx(both[1].offset_score) and alone.offset_score > 0.99
+    assert alone.bands == pytest.approx(both[1].bands) and alone.slope_b == pytest.approx(both[1].slope_b)
+
+
 def test_one_grid_for_all_stems(spark):
     n = 6 * SR
     x = np.sin(2 * np.pi * 200 * np.arange(n) / SR)
