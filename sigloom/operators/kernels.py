@@ -6,6 +6,7 @@ they agree with other implementations to a tolerance, not bit by bit.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -115,19 +116,33 @@ def resample_array(x: np.ndarray, source: int, target: int, zeros: int = 16) ->
     """Windowed-sinc resampling; the same array where the rates are equal."""
     if source == target or not len(x):
         return x
-    n = int(round(len(x) * target / source))
-    step = 1 << 14  # outputs at a time, so that the taps of a long signal are never all in memory
-    return np.concatenate([_resampled(x, np.arange(k, min(n, k + step)) * source / target, min(1.0, target / source), zeros) for k in range(0, n, step)])
-
-
-def _resampled(x: np.ndarray, at: np.ndarray, scale: float, zeros: int) -> np.ndarray:
-    reach = zeros / scale
-    offsets = np.arange(-int(np.ceil(reach)), int(np.ceil(reach)) + 1)
-    taps = np.floor(at).astype(int)[:, None] + offsets
-    d = (taps - at[:, None]) * scale
-    w = np.sinc(d) * np.where(np.abs(d) < zeros, np.cos(np.pi * d / (2 * zeros)) ** 2, 0)
-    ok = (taps >= 0) & (taps < len(x))
-    return (np.where(ok, x[np.clip(taps, 0, len(x) - 1)], 0) * w).sum(1) * scale
+    return resample_range(lambda lo, hi: x[None, lo:hi], len(x), 0, int(round(len(x) * target / source)), source, target, zeros)[0]
+
+
+def resample_range(read, n: int, lo: int, hi: int, source: int, target: int, zeros: int = 16) -> np.ndarray:
+    """Outputs lo to hi, a row a channel, of a signal of n samples, of which ``read(a, b)`` gives those from a to b.
+
+    Only the samples that these outputs hear are read, so blocks of a long signal are made one by one, and
+    equal those of the whole. With the ratio in lowest terms there are as many phases as outputs in a cycle; each phase's taps
+    are worked out once.
+    """
+    shared = math.gcd(source, target)
+    up, down = target // shared, source // shared
+    scale = min(1.0, target / source)
+    reach = int(np.ceil(zeros / scale))
+    offsets = np.arange(-reach, reach + 1)
+    first, end = lo * down // up - reach, max(lo, hi - 1) * down // up + reach + 1
+    x = np.asarray(read(max(0, first), min(n, end)), float)
+    x = np.pad(x, ((0, 0), (max(0, -first), max(0, end - n) + 1)))
+    windows = np.lib.stride_tricks.sliding_window_view(x, len(offsets), axis=1)
+    out = np.zeros((len(x), max(0, hi - lo)))
+    for phase in range(min(up, hi - lo)):
+        m = np.arange(lo + phase, hi, up)  # one phase, as many samples apart each time
+        at = m[0] * down
+        d = (offsets - at % up / up) * scale
+        taps = np.sinc(d) * np.where(np.abs(d) < zeros, np.cos(np.pi * d / (2 * zeros)) ** 2, 0) * scale
+        out[:, phase::up] = windows[:, at // up - reach - first :: down][:, : len(m)] @ taps
+    return out
 
 
 def resample(signals: DataFrame, source: int, target: int) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.operators.kernels import resample_array
-
 #: The file suffixes that count as stems.
 SUFFIXES = (".wav", ".mp3", ".flac", ".aiff", ".aif", ".ogg", ".m4a")
 BLOCK = 65_536
@@ -24,83 +21,74 @@ def discover_stems(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.regexp_replace(leaf, r"\.[^.]*$", "").alias("name"), suffix.alias("suffix"), "length").where(F.col("suffix").isin(*SUFFIXES)).orderBy("path")
 
 
+def wav_header(chunk: bytes) -> tuple[int, int, int, int]:
+    """Kind of samples, channels, rate and bits of a format chunk, its name and size included."""
+    kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", chunk, 8)
+    if kind == 0xFFFE and int.from_bytes(chunk[4:8], "little") >= 26:
+        kind = struct.unpack_from("<H", chunk, 32)[0]
+    return kind, channels, rate, bits
+
+
+def decode_samples(kind: int, bits: int, channels: int, body: bytes) -> np.ndarray:
+    """float32 samples (n x channels) of PCM 8, 16, 24, 32 or float data; an incomplete last frame is left out."""
+    width = bits // 8
+    body = body[: len(body) // (width * channels) * width * channels]
+    if kind == 3:
+        x = np.frombuffer(body, "<f4" if bits == 32 else "<f8").astype(np.float32)
+    elif bits == 24:
+        raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
+    elif bits == 8:
+        x = (np.frombuffer(body, np.uint8).astype(np.float32) - 128) / 128
+    else:
+        x = np.frombuffer(body, f"<i{width}").astype(np.float32) / float(1 << (bits - 1))
+    return x.reshape(-1, channels)
+
+
 def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
-    """Rate and float32 samples (n x channels) of PCM 8, 16, 24, 32 or float data; chunk sizes past the end are cut."""
+    """Rate and float32 samples (n x channels) of a WAV image; chunk sizes past the end are cut."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, form, body = 12, None, b""
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", data, at + 8)
-            if form[0] == 0xFFFE and size >= 26:
-                form = (struct.unpack_from("<H", data, at + 32)[0], *form[1:])
+            form = wav_header(data[at : at + 48])
         elif name == b"data":
             body = data[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     if form is None:
         raise ValueError("no format chunk")
-    kind, channels, rate, _, _, bits = form
-    width = bits // 8
-    body = body[: len(body) // (width * channels) * width * channels]
-    if kind == 3:
-        x = np.frombuffer(body, "<f4" if bits == 32 else "<f8").astype(np.float32)
-    elif bits == 24:
-        raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
-    elif bits == 8:
-        x = (np.frombuffer(body, np.uint8).astype(np.float32) - 128) / 128
-    else:
-        x = np.frombuffer(body, f"<i{width}").astype(np.float32) / float(1 << (bits - 1))
-    return rate, x.reshape(-1, channels)
+    kind, channels, rate, bits = form
+    return rate, decode_samples(kind, bits, channels, body)
 
 
-def render_wav(x: np.ndarray, rate: int, bits: int = 24) -> bytes:
-    """PCM of 16 or 24 bits, or float for 32."""
-    x = np.atleast_2d(np.asarray(x, np.float32).T).T
+def encode_samples(x: np.ndarray, rate: int, bits: int, n: int | None) -> bytes:
+    """Samples (n x channels) as PCM of 16 or 24 bits, or float for 32; after the header of a file of n frames if n is given."""
     if bits == 32:
         body, kind = x.astype("<f4").tobytes(), 3
     else:
         top = (1 << (bits - 1)) - 1
         ints = np.clip(np.rint(x.astype(np.float64) * (top + 1)), -top - 1, top).astype("<i4")
         body, kind = ints.reshape(-1, 1).view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes(), 1
+    if n is None:
+        return body
     align = x.shape[1] * bits // 8
     head = struct.pack("<HHIIHH", kind, x.shape[1], rate, rate * align, align, bits)
-    out = io.BytesIO()
-    out.write(b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(body)) + body)
-    return out.getvalue()
+    return b"RIFF" + struct.pack("<I", min(36 + n * align, 0xFFFFFFFF)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", min(n * align, 0xFFFFFFFF)) + body
 
 
-def probe(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sr, channels, n): what the headers of the WAV files right in a folder say. No samples are decoded."""
-    heads = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".wav")).select("path", "content")
-
-    def read(parts):
-        import pandas as pd
-
-        for part in parts:
-            rows = []
-            for path, content in zip(part.path, part.content, strict=True):
-                (_, channels, rate, _, _, bits), size = wav_format(content)
-                rows.append((path, rate, channels, size // (channels * bits // 8)))
-            yield pd.DataFrame(rows, columns=["path", "sr", "channels", "n"])
+def render_wav(x: np.ndarray, rate: int, bits: int = 24) -> bytes:
+    """A WAV image of PCM of 16 or 24 bits, or float for 32."""
+    x = np.atleast_2d(np.asarray(x, np.float32).T).T
+    return encode_samples(x, rate, bits, len(x))
 
-    return heads.mapInPandas(read, "path string, sr int, channels int, n long")
 
+def probe(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, sr, channels, n): what the headers of the WAV files right in a folder say. Nothing but headers is read."""
+    from sigloom.sources import wav
 
-def wav_format(data: bytes) -> tuple[tuple, int]:
-    """The fields of a WAV file's format chunk, and the bytes of its samples that are there."""
-    form, at = None, 12
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", data, at + 8)
-        elif name == b"data":
-            if form is None:
-                break
-            return form, min(size, len(data) - at - 8)
-        at += 8 + size + size % 2
-    raise ValueError("no format or data chunk")
+    return wav.read_headers(spark, folder).select("path", "sr", "channels", "n")
 
 
 def load_stems(spark: SparkSession, folder: str, mono: bool = False, target_sr: int | None = None, channels: int | None = None) -> DataFrame:
@@ -109,29 +97,12 @@ def load_stems(spark: SparkSession, folder: str, mono: bool = False, target_sr:
     ``target_sr`` is the rate to convert to, none for the file's own. ``channels`` forces a number of channels whatever the
     file holds: one is the mean, more repeat the mean of a file with another number; ``mono`` is the same as one.
     """
-    wanted = channels or (1 if mono else None)
-    files = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".wav")).select("path", "content")
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    last = files.select("path", name.alias("name")).groupBy("name").agg(F.max("path").alias("path"))
-    files = files.join(last, "path")
+    from sigloom.sources import wav
 
-    def decode(parts):
-        import pandas as pd
-
-        for part in parts:
-            for row in part.itertuples():
-                rate, x = parse_wav(row.content)
-                held = x.shape[1]
-                if wanted and wanted != held:
-                    x = np.repeat(x.mean(1, keepdims=True), wanted, 1)
-                if target_sr and target_sr != rate:
-                    x = np.stack([resample_array(c.astype(float), rate, target_sr) for c in x.T], 1).astype(np.float32)
-                    rate = target_sr
-                for ch in range(x.shape[1]):
-                    for b, at in enumerate(range(0, max(1, len(x)), BLOCK)):
-                        yield pd.DataFrame([{"name": row.name, "sr": rate, "channels": held, "n": len(x), "ch": ch, "block": b, "i0": at, "x": x[at : at + BLOCK, ch].tolist()}])
-
-    return files.mapInPandas(decode, "name string, sr int, channels int, n long, ch int, block long, i0 long, x array<float>")
+    wanted = {"channels": channels or (1 if mono else None), "rate": target_sr}
+    found = wav.read_blocks(spark, folder, **{k: str(v) for k, v in wanted.items() if v})
+    last = wav.read_headers(spark, folder).groupBy("name").agg(F.max("path").alias("path"))
+    return found.join(last, ["name", "path"], "left_semi").select("name", "sr", "channels", "n", "ch", "block", "i0", "x")
 
 
 def samples(blocks: DataFrame) -> DataFrame:
