@@ -32,13 +32,17 @@ def donor_match(notes: DataFrame, start: float, end: float, preferred: float = 0
     donor. The library is first reduced to one donor per pitch, so a target meets at most 128 rows.
     """
     inside = (F.col("onset") >= start) & (F.col("onset") < end)
-    lib = notes.where(~inside)
+    return match_donors(notes.where(inside), notes.where(~inside), preferred).select("sig", "k", "pitch", "donor_k", "shift")
+
+
+def match_donors(targets: DataFrame, lib: DataFrame, preferred: float = 0.3) -> DataFrame:
+    """``targets`` (sig, k, pitch and others) with donor_k and shift, of a library (sig, k, pitch, dur); see :func:`donor_match`."""
     order = F.struct(F.round(F.abs(F.col("dur") - preferred), 9), "k")
     best = lib.groupBy("sig", "pitch").agg(F.min_by("k", order).alias("exact"), F.min("k").alias("first"))
     cards = best.groupBy("sig").agg(F.collect_list(F.struct("pitch", "exact", "first")).alias("lib"))
     rank = lambda x: F.struct(F.abs(x.pitch - F.col("pitch")).alias("d"), F.when(x.pitch == F.col("pitch"), x.exact).otherwise(x["first"]).alias("k"), x.pitch.alias("p"))
-    got = notes.where(inside).join(cards, "sig").withColumn("best", F.array_min(F.transform("lib", rank)))
-    return got.select("sig", "k", "pitch", F.col("best.k").alias("donor_k"), (F.col("pitch") - F.col("best.p")).alias("shift"))
+    got = targets.join(cards, "sig").withColumn("best", F.array_min(F.transform("lib", rank)))
+    return got.withColumns({"donor_k": F.col("best.k"), "shift": F.col("pitch") - F.col("best.p")}).drop("best", "lib")
 
 
 def splice_events(notes: DataFrame, patch: DataFrame, start: float, end: float) -> DataFrame:

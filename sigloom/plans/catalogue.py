@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.numeric import r, rms_db, setting_flag, setting_number, setting_text, setting_whole
-from sigloom.operators import blocks, compare, events, harmony, kernels, layout, levels, report, spectral, stages, tempo, timing
+from sigloom.operators import blocks, compare, events, harmony, kernels, layout, levels, repair, report, spectral, stages, tempo, timing
 from sigloom.plans import sql
-from sigloom.sources import audio, tables
+from sigloom.sources import audio, interim, tables, wav
 
 FLAGSHIP = "compare"
 SR, N = 48_000, 64
@@ -513,6 +514,30 @@ def q_correct_tempo(spark, d):
     return found.select("song", "name", "ch", "status", F.size("y").alias("n"), F.aggregate("y", F.lit(0.0), lambda t, x: t + x * x).alias("energy"))
 
 
+def q_repair(spark, d):
+    """Stems of 16,384 samples, a note each quarter second, with the table's values as noise in the middle; the repair has the missing notes."""
+    e = tables.dense(spark, d).select(F.expr("i div 16384").alias("sig"), (F.col("i") % 16_384).alias("i"), "x")
+    second = F.col("i") / PLAY_SR
+    pitch = 60 + F.floor(4 * second) % 5
+    tone = 0.3 * F.sin(2 * F.pi() * 440 * F.pow(F.lit(2.0), (pitch - 69) / 12) * (second - F.floor(4 * second) / 4))
+    noisy = e.withColumn("y", F.when((second >= 1.5) & (second < 2.5), F.col("x") - 0.2).otherwise(tone))
+    both = F.sort_array(F.collect_list(F.struct("i", "y")))
+    stems = noisy.groupBy("sig").agg(both.alias("v")).select("sig", F.posexplode(F.array(F.col("v.y"), F.transform("v.y", lambda x: 0.5 * x))).alias("ch", "x"))
+    notes = e.where("i % 1000 = 0").select("sig", F.expr("i div 1000").alias("k"), second.alias("onset"), F.lit(0.25).alias("dur"), pitch.cast("long").alias("pitch"))
+    found = repair.enhance(stems.withColumn("sr", F.lit(PLAY_SR)), notes, notes, PLAY_SR, 512, 128)
+    return found.select("sig", F.col("ch").cast("long").alias("ch"), "status", F.size("x").alias("n"), *(F.round(c, 3).alias(c) for c in ("start", "end", "before", "after")))
+
+
+def q_wav_source(spark, d):
+    """Stereo pairs written as WAV files by the data source and read again."""
+    f = tables.frames(spark, d).select(F.expr("frame div 2").cast("string").alias("name"), F.lit(SR).alias("sr"), F.lit(2).alias("channels"), F.lit(64).cast("long").alias("n"), (F.col("frame") % 2).cast("int").alias("ch"), F.lit(0).cast("long").alias("block"), "x")
+    whole = f.withColumn("both", F.count("*").over(Window.partitionBy("name"))).where("both = 2").drop("both")
+    folder = f"{interim.shared_folder(spark)}/wav-{uuid.uuid4().hex}"
+    wav.write_stems(whole, folder)
+    back = wav.read_blocks(spark, folder).select(F.col("name").cast("long").alias("sig"), F.col("ch").cast("long").alias("ch"), "i0", F.posexplode("x").alias("i", "x"))
+    return rounded(back.select("sig", "ch", (F.col("i0") + F.col("i")).cast("int").alias("i"), F.col("x").cast("double").alias("x")))
+
+
 def vectors(spark, d, size, ch=None):
     """The vectors as blocks, each a signal, or two of them the channels of one."""
     f = tables.frames(spark, d)
@@ -589,7 +614,7 @@ def queries():
     return {
         "compare": q_compare, "correct_tempo": q_correct_tempo, "block_k_weight": q_block_weight, "block_loudness": q_block_loudness, "block_max_step": q_block_step,
         "block_offset_track": q_block_track, "welch_coherence": q_welch, "block_coherence": q_block_welch, "fine_at_offsets": q_fine_tracked,
-        "stereo_both_sides": q_both_images, "transient_decay": q_decay,
+        "stereo_both_sides": q_both_images, "transient_decay": q_decay, "repair_chain": q_repair, "wav_source": q_wav_source,
         "tempo_stability": q_tempo, "beat_warp_anchors": q_anchors, "warp_summary": q_warp, "warp_read": q_read_warp,
         "signal_info": q_info, "silence_flags": q_silence, "residual_level": q_residual, "residual_bucket": q_bucket,
         "frame_rms_hopping": q_frames, "envelope_blocks": q_envelope, "dft_magnitude": q_dft, "spectrum_p95": q_p95,

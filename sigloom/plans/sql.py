@@ -307,7 +307,7 @@ FROM d LEFT JOIN qu USING (sig) LEFT JOIN hu USING (sig)""",
     "model_hook": "SELECT vec_id AS sig, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
 }
 # Blocks are another way to the same figures.
-QUERIES |= {f"block_{n}": QUERIES[n] for n in ("k_weight", "max_step")} | {"block_loudness": QUERIES["k_weighted_loudness"], "block_offset_track": QUERIES["local_offset_track"]}
+QUERIES |= {f"block_{n}": QUERIES[n] for n in ("k_weight", "max_step")} | {"block_loudness": QUERIES["k_weighted_loudness"], "block_offset_track": QUERIES["local_offset_track"], "wav_source": QUERIES["wav_roundtrip"]}
 WELCH = """WITH f AS (SELECT vec_id AS sig, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS j FROM embeddings),
 w AS (SELECT sig, s, j - s AS m, x, x + 0.05 * sin(j) AS y FROM f, range(0, 33, 16) AS g(s) WHERE j >= s AND j < s + 32),
 m AS (SELECT sig, s, m, x - avg(x) OVER (PARTITION BY sig, s) AS x, y - avg(y) OVER (PARTITION BY sig, s) AS y, 0.5 - 0.5 * cos(2 * pi() * m / 32) AS w FROM w),
