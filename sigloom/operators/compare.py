@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.numeric import correlation
-from sigloom.operators import kernels, levels, report, spectral, timing
+from sigloom.operators import kernels, levels, pitch, report, spectral, timing
 from sigloom.sources.interim import stored
 
 
@@ -100,8 +100,8 @@ def compare(a: DataFrame, b: DataFrame, sr: int, sizes: Sizes = Sizes()) -> Data
     contour = spectral.hf_envelope_correlation(spec, sizes.hf_low).select(F.col("stem").alias("sig"), F.col("corr").alias("hf_envelope_corr"))
     related = kernels.welch_coherence(arrays, sizes.coherence, sr, sizes.hf_low, min(sr / 2, sizes.hf_high)).withColumnRenamed("coherence", "hf_coherence")
 
-    found = stored(kernels.onsets(arrays.select("sig", "x"), sizes.hop, sizes.n_fft), "onsets")
-    again = kernels.onsets(arrays.select("sig", F.col("y").alias("x")), sizes.hop, sizes.n_fft)
+    found = stored(pitch.onsets(arrays.select("sig", "x"), sr, sizes.n_fft, sizes.hop), "onsets")
+    again = pitch.onsets(arrays.select("sig", F.col("y").alias("x")), sr, sizes.n_fft, sizes.hop)
     counts = found.select("sig", F.size("y").alias("onsets_a")).join(again.select("sig", F.size("y").alias("onsets_b")), "sig")
     spots = found.select("sig", F.explode("y").alias("o")).select("sig", F.col("o").cast("long").alias("o"))
     attack = report.transients(ab, spots, at(0.025), at(0.025) - at(0.020), at(0.030), (at(0.400), at(0.050)))

@@ -234,33 +234,6 @@ def onsets(signals: DataFrame, hop: int, n_fft: int = 32, delta: float = 0.07) -
     return per_signal(signals, run)
 
 
-def dtw_array(a: np.ndarray, b: np.ndarray) -> float:
-    """Length-normalised cost of the best alignment of two series, row by row."""
-    if not len(a) or not len(b):
-        return float("nan")
-    row = np.full(len(b) + 1, np.inf)
-    row[0] = 0.0
-    for v in a:
-        cost, new = np.abs(b - v), np.full(len(b) + 1, np.inf)
-        best = np.minimum(row[1:], row[:-1])
-        for j in range(len(b)):
-            new[j + 1] = cost[j] + min(best[j], new[j])
-        row = new
-    return float(row[-1] / (len(a) + len(b)))
-
-
-def dtw(pairs: DataFrame) -> DataFrame:
-    """(sig, distance) of rows (sig, x, y)."""
-
-    def run(parts):
-        import pandas as pd
-
-        for part in parts:
-            yield pd.DataFrame({"sig": part.sig, "distance": [dtw_array(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(part.x, part.y, strict=True)]})
-
-    return pairs.select("sig", "x", "y").mapInPandas(run, "sig long, distance double")
-
-
 def coherence(pairs: DataFrame, n: int, low: int) -> DataFrame:
     """(sig, coherence): mean magnitude-squared coherence of (sig, frame, x, y) frames from bin ``low`` on."""
 

@@ -146,13 +146,15 @@ def modulation(levels: DataFrame, rate: float) -> DataFrame:
     seconds or 16 levels, or without such a period, have zeros. A signal's levels (some dozens a second) are one group.
     """
 
-    def run(pdf):
+    def run(parts):
         import pandas as pd
 
-        x = pdf.sort_values("k").x.to_numpy(float)
-        return pd.DataFrame([(int(pdf.sig.iloc[0]), *swing(x, rate))], columns=["sig", "period", "depth"])
+        for part in parts:
+            found = [swing(np.asarray(x, float), rate) for x in part.x]
+            yield pd.DataFrame({"sig": part.sig, "period": [f[0] for f in found], "depth": [f[1] for f in found]})
 
-    return levels.select("sig", "k", "x").groupBy("sig").applyInPandas(run, "sig long, period double, depth double")
+    rows = levels.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
+    return rows.select(F.col("sig").cast("long").alias("sig"), F.col("v.x").cast("array<double>").alias("x")).mapInPandas(run, "sig long, period double, depth double")
 
 
 def swing(x: np.ndarray, rate: float) -> tuple[float, float]:

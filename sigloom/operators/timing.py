@@ -136,26 +136,36 @@ def best_lag(ab: DataFrame, max_lag: int) -> DataFrame:
     and score 0. All lags come from one FFT of the pair, whose samples (envelopes for long signals) are one group.
     """
 
-    def run(pdf):
-        import pandas as pd
-
-        place = (pdf.i - pdf.i.min()).to_numpy()
+    def score(i, l, r):  # noqa: E741
+        place = np.asarray(i, np.int64)
+        place = place - place.min()
         sides = []
-        for c in ("l", "r"):
-            x, v = np.zeros(int(place.max()) + 1), pdf[c].to_numpy(float)
+        for side in (l, r):
+            x, v = np.zeros(int(place.max()) + 1), np.asarray(side, float)
             known = ~np.isnan(v)
             x[place[known]] = v[known] - v[known].mean() if known.any() else 0.0
             sides.append(x)
         norm = np.linalg.norm(sides[0]) * np.linalg.norm(sides[1])
-        lag, score = 0, 0.0
-        if norm > 0:
-            reach = min(max_lag, len(sides[0]) - 1)
-            scores = lagged_products(*sides, reach) / norm
-            best = int(np.argmax(np.round(scores, 9)))
-            lag, score = best - reach, float(scores.max())
-        return pd.DataFrame({"pair": [int(pdf.pair.iloc[0])], "lag": [lag], "score": [score]})
+        if not norm > 0:
+            return 0, 0.0
+        reach = min(max_lag, len(sides[0]) - 1)
+        scores = lagged_products(*sides, reach) / norm
+        return int(np.argmax(np.round(scores, 9))) - reach, float(scores.max())
+
+    def run(parts):
+        import pandas as pd
 
-    return ab.select("pair", "i", "l", "r").groupBy("pair").applyInPandas(run, "pair long, lag long, score double")
+        for part in parts:
+            found = [score(*row) for row in zip(part.i, part.l, part.r, strict=True)]
+            yield pd.DataFrame({"pair": part.pair, "lag": [f[0] for f in found], "score": [f[1] for f in found]})
+
+    return side_by_side(ab).mapInPandas(run, "pair long, lag long, score double")
+
+
+def side_by_side(ab: DataFrame) -> DataFrame:
+    """(pair, i, l, r): the samples (pair, i, l, r) of a pair as arrays in one row, by place."""
+    rows = ab.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("i", "l", "r"))).alias("v"))
+    return rows.select(F.col("pair").cast("long").alias("pair"), F.col("v.i").cast("array<bigint>").alias("i"), *(F.col(f"v.{c}").cast("array<double>").alias(c) for c in "lr"))
 
 
 def lagged_products(l: np.ndarray, r: np.ndarray, reach: int) -> np.ndarray:  # noqa: E741
@@ -183,14 +193,16 @@ def window_scores(short: np.ndarray, long: np.ndarray) -> np.ndarray:
 def sliding_correlation(ab: DataFrame, short: int) -> DataFrame:
     """(pair, start, score): the first ``short`` samples of l against every window of r; 0 where a side doesn't vary."""
 
-    def run(pdf):
+    def run(parts):
         import pandas as pd
 
-        pdf = pdf.sort_values("i")
-        scores = window_scores(pdf.l.to_numpy(float)[:short], pdf.r.to_numpy(float))
-        return pd.DataFrame({"pair": int(pdf.pair.iloc[0]), "start": np.arange(len(scores)), "score": scores})
+        for part in parts:
+            found = [window_scores(np.asarray(l, float)[:short], np.asarray(r, float)) for l, r in zip(part.l, part.r, strict=True)]  # noqa: E741
+            sizes = [len(f) for f in found]
+            starts = np.concatenate([np.zeros(0, int), *map(np.arange, sizes)])
+            yield pd.DataFrame({"pair": np.repeat(part.pair.to_numpy(), sizes), "start": starts, "score": np.concatenate([np.zeros(0), *found])})
 
-    return ab.select("pair", "i", "l", "r").groupBy("pair").applyInPandas(run, "pair long, start long, score double")
+    return side_by_side(ab).mapInPandas(run, "pair long, start long, score double")
 
 
 #: Fixed value: a window's offset counts from this correlation on.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import partial
 
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.numeric import r, rms_db, setting_flag, setting_number, setting_text, setting_whole
-from sigloom.operators import blocks, compare, events, harmony, kernels, layout, levels, repair, report, spectral, stages, tempo, timing
+from sigloom.operators import blocks, compare, events, harmony, kernels, layout, levels, pitch, repair, report, runs, spectral, stages, tempo, timing
 from sigloom.plans import sql
 from sigloom.sources import audio, interim, tables, wav
 
@@ -440,7 +441,7 @@ def q_resample(spark, d):
 def q_dtw(spark, d):
     a = arrays(spark, d)
     b = a.select((F.col("sig") - 1).alias("sig"), F.col("x").alias("y")).where("sig % 2 = 0")
-    return rounded(kernels.dtw(a.join(b, "sig")))
+    return rounded(pitch.chroma_distance(a.join(b, "sig"), 1))
 
 
 def q_coherence(spark, d):
@@ -528,6 +529,40 @@ def q_repair(spark, d):
     return found.select("sig", F.col("ch").cast("long").alias("ch"), "status", F.size("x").alias("n"), *(F.round(c, 3).alias(c) for c in ("start", "end", "before", "after")))
 
 
+def note_signals(spark, d, rate=8000):
+    """(sig, x): the first notes of each user as tones of a quarter second, three partials each, their pitch that of the table."""
+    n = tables.notes(spark, d).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("k", "pitch"))).alias("v"))
+    tone = lambda p: F.transform(F.sequence(F.lit(0), F.lit(rate // 4 - 1)), lambda i: F.sin(i * (2 * math.pi / rate) * p))
+    hz = lambda p: 440 * F.pow(F.lit(2.0), (48 + p % 24 - 69) / 12)
+    return n.select("sig", F.flatten(F.transform(F.slice("v.pitch", 1, 16), lambda p: F.zip_with(tone(hz(p)), tone(2 * hz(p)), lambda a, b: 0.3 * a + 0.1 * b))).alias("x"))
+
+
+def q_mel_onsets(spark, d):
+    found = pitch.onsets(note_signals(spark, d), 8000, 512, 128)
+    return found.select("sig", F.posexplode("y").alias("k", "o"))
+
+
+def q_chroma_distance(spark, d):
+    """The chroma of each user's tune against that of the next user's."""
+    v = pitch.chroma(note_signals(spark, d), 8000, 1024)
+    other = v.select((F.col("sig") - 1).alias("sig"), F.col("y").alias("z"))
+    return rounded(pitch.chroma_distance(v.join(other, "sig").select("sig", F.col("y").alias("x"), F.col("z").alias("y"))))
+
+
+def gentle():
+    return lambda x: 0.9 * x
+
+
+def q_restore(spark, d):
+    """The dense signal as WAV stems of two seconds, restored: tempo, denoiser and extender are stand-ins."""
+    folder = f"{interim.shared_folder(spark)}/restore-{uuid.uuid4().hex}"
+    stems = long_signals(spark, d, 2 * PLAY_SR).select(F.concat(F.lit("Stem "), "sig").alias("name"), F.lit(PLAY_SR).alias("sr"), "ch", "x")
+    runs.save(stems, f"{folder}/in", "", 32)
+    beats = stems.where("name = 'Stem 0' and ch = 0").select("name", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k")).select("name", (F.col("k") * 0.25 + 0.01 * (F.col("k") % 2)).alias("t"))
+    report, _ = runs.restore(spark, f"{folder}/in", f"{folder}/out", f"{folder}/work", beats, ("stem 0",), gentle, gentle, 512, 128, (1024, 256), 1000.0)
+    return rounded(report.drop("output"))
+
+
 def q_wav_source(spark, d):
     """Stereo pairs written as WAV files by the data source and read again."""
     f = tables.frames(spark, d).select(F.expr("frame div 2").cast("string").alias("name"), F.lit(SR).alias("sr"), F.lit(2).alias("channels"), F.lit(64).cast("long").alias("n"), (F.col("frame") % 2).cast("int").alias("ch"), F.lit(0).cast("long").alias("block"), "x")
@@ -615,6 +650,7 @@ def queries():
         "compare": q_compare, "correct_tempo": q_correct_tempo, "block_k_weight": q_block_weight, "block_loudness": q_block_loudness, "block_max_step": q_block_step,
         "block_offset_track": q_block_track, "welch_coherence": q_welch, "block_coherence": q_block_welch, "fine_at_offsets": q_fine_tracked,
         "stereo_both_sides": q_both_images, "transient_decay": q_decay, "repair_chain": q_repair, "wav_source": q_wav_source,
+        "mel_onsets": q_mel_onsets, "chroma_distance": q_chroma_distance, "restore_run": q_restore,
         "tempo_stability": q_tempo, "beat_warp_anchors": q_anchors, "warp_summary": q_warp, "warp_read": q_read_warp,
         "signal_info": q_info, "silence_flags": q_silence, "residual_level": q_residual, "residual_bucket": q_bucket,
         "frame_rms_hopping": q_frames, "envelope_blocks": q_envelope, "dft_magnitude": q_dft, "spectrum_p95": q_p95,

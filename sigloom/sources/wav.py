@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,12 @@ STRETCH, HEAD = 64 << 20, 512
 
 
 def opened(path: str):
+    """The file system of a path or address, and the place in it. Names may hold spaces."""
     from pyarrow import fs
 
-    path = path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
-    store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return store, place
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/%@"))
 
 
 def stem(path: str) -> str:

@@ -113,7 +113,6 @@ def test_kernels():
     assert np.abs(kernels.resample_array(kernels.resample_array(x, 24, 48), 48, 24)[40:-40] - x[40:-40]).max() < 0.01
     assert kernels.phase_warp_array(x, np.array([0.0, 400.0]), np.array([0.0, 400.0])) is x
     assert len(kernels.phase_warp_array(x, np.array([0.0, 400.0]), np.array([0.0, 440.0]))) == 440
-    assert kernels.dtw_array(x, x) == 0.0
     for b, a in kernels.k_weighting(48_000):
         assert sum(b) / (1 + sum(a)) == pytest.approx(1 if sum(b) > 0.01 else 0, abs=1e-9)  # the shelf leaves low, the high-pass high frequencies
     (b, a), (d, c) = kernels.k_weighting(48_000)

@@ -14,7 +14,7 @@ from sigloom.sources import audio, wav
 @pytest.fixture
 def folder(tmp_path):
     rng = np.random.default_rng(8)
-    signals = {"one": rng.normal(size=(5000, 2)) * 0.1, "two": rng.normal(size=(1234, 1)) * 0.1, "none": np.zeros((0, 2))}
+    signals = {"one": rng.normal(size=(5000, 2)) * 0.1, "two more": rng.normal(size=(1234, 1)) * 0.1, "none": np.zeros((0, 2))}
     for (name, x), bits, rate in zip(signals.items(), (24, 32, 16), (48_000, 44_100, 8000), strict=True):
         (tmp_path / f"{name}.wav").write_bytes(audio.render_wav(x, rate, bits))
     (tmp_path / "notes.txt").write_text("no audio")
@@ -48,7 +48,7 @@ def test_headers_of_huge_files_take_some_bytes(spark, folder):
 
         assert wav.Header(File()).bytes_read < 4096
     got = {r.name: (r.sr, r.channels, r.n) for r in wav.read_headers(spark, path).collect()}
-    assert got == {"one": (48_000, 2, 5000), "two": (44_100, 1, 1234), "none": (8000, 2, 0), "huge": (48_000, 2, 0xFFFFFFF0 // 4)}
+    assert got == {"one": (48_000, 2, 5000), "two more": (44_100, 1, 1234), "none": (8000, 2, 0), "huge": (48_000, 2, 0xFFFFFFF0 // 4)}
     assert {(r.path.rsplit("/", 1)[1], r.sr) for r in audio.probe(spark, path).collect()} >= {("one.wav", 48_000), ("huge.wav", 48_000)}
 
 
@@ -57,32 +57,32 @@ def test_a_file_is_read_by_several_tasks(spark, folder):
     df = wav.read_blocks(spark, path, block="700", stretch="9000")
     assert df.rdd.getNumPartitions() > 3
     got = whole(df)
-    assert {k for k in got} == {("one", 0), ("one", 1), ("two", 0), ("none", 0), ("none", 1)}
+    assert {k for k in got} == {("one", 0), ("one", 1), ("two more", 0), ("none", 0), ("none", 1)}
     for name, x in signals.items():
         for c in range(x.shape[1]):
             assert got[name, c].shape == (len(x),) and (not len(x) or np.abs(got[name, c] - x[:, c]).max() < 1e-6)
-    assert df.where("name = 'two'").select("block", "i0").distinct().count() == 2
+    assert df.where("name = 'two more'").select("block", "i0").distinct().count() == 2
 
 
 def test_filters_leave_files_closed(spark, folder):
     path, _ = folder
     reader = wav.WavReader({"path": path}, wav.read_blocks(spark, path).schema)
-    assert list(reader.pushFilters([wav.EqualTo(("name",), "two"), wav.In(("sr",), (1,))])) == [wav.In(("sr",), (1,))]
-    assert [p.path.rsplit("/", 1)[1] for p in reader.partitions()] == ["two.wav"]
+    assert list(reader.pushFilters([wav.EqualTo(("name",), "two more"), wav.In(("sr",), (1,))])) == [wav.In(("sr",), (1,))]
+    assert [p.path.rsplit("/", 1)[1] for p in reader.partitions()] == ["two more.wav"]
 
 
 def test_rates_and_channels_by_block(spark, folder):
     path, signals = folder
     got = whole(wav.read_blocks(spark, path, rate="22050", channels="1", block="500"))
     want = kernels.resample_array(signals["one"].mean(1), 48_000, 22_050)
-    assert got["one", 0].shape == want.shape and np.abs(got["one", 0] - want).max() < 1e-5 and set(got) == {("one", 0), ("two", 0), ("none", 0)}
+    assert got["one", 0].shape == want.shape and np.abs(got["one", 0] - want).max() < 1e-5 and set(got) == {("one", 0), ("two more", 0), ("none", 0)}
 
 
 def test_stems_come_back_from_what_is_written(spark, folder, tmp_path):
     path, signals = folder
     out = f"{tmp_path}/out"
     wav.write_stems(wav.read_blocks(spark, path, block="700"), out)
-    assert sorted(os.listdir(out)) == ["none.wav", "one.wav", "two.wav"]
+    assert sorted(os.listdir(out)) == ["none.wav", "one.wav", "two more.wav"]
     got = whole(wav.read_blocks(spark, out))
     assert all(np.abs(got[n, c] - x[:, c]).max() < 1e-6 for n, x in signals.items() if len(x) for c in range(x.shape[1]))
     assert open(f"{out}/one.wav", "rb").read() == open(f"{path}/one.wav", "rb").read()
@@ -91,7 +91,7 @@ def test_stems_come_back_from_what_is_written(spark, folder, tmp_path):
 def test_a_failed_write_leaves_no_file(spark, folder, tmp_path):
     path, _ = folder
     out = f"{tmp_path}/out"
-    bad = wav.read_blocks(spark, path, block="700").withColumn("x", F.when((F.col("name") == "two") & (F.col("block") == 1), F.raise_error(F.lit("broken")).cast("array<float>")).otherwise(F.col("x")))
+    bad = wav.read_blocks(spark, path, block="700").withColumn("x", F.when((F.col("name") == "two more") & (F.col("block") == 1), F.raise_error(F.lit("broken")).cast("array<float>")).otherwise(F.col("x")))
     with pytest.raises(Exception, match="broken"):
         wav.write_stems(bad.coalesce(1), out)
     assert not os.path.exists(out) or os.listdir(out) == []
