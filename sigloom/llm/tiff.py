@@ -169,6 +169,10 @@ def squeeze(data: bytes, compression: int) -> bytes:
     return {NONE: bytes, DEFLATE: lambda x: zlib.compress(x, 6), LZW: lzw_encode, PACKBITS: pack_bits}[compression](data)
 
 
+#: A tile may have more bytes of pixels than four times its page only up to so many.
+TILE_BYTES = 1 << 24
+
+
 def read_pages(data: bytes, max_bytes: int = 1 << 30) -> list[Page]:
     return list(walk_pages(data, max_bytes))
 
@@ -176,7 +180,8 @@ def read_pages(data: bytes, max_bytes: int = 1 << 30) -> list[Page]:
 def walk_pages(data: bytes, max_bytes: int = 1 << 30) -> Iterator[Page]:
     """Every page that the chain of directories leads to, one at a time.
 
-    A page that can't be decoded whole, or has more than ``max_bytes`` bytes of pixels, carries a problem and no pixels.
+    A page that can't be decoded whole, has more than ``max_bytes`` bytes of pixels or tiles out of all proportion (over TILE_BYTES and
+    four times the page) carries a problem and no pixels.
     """
     if data[:4] in (b"II+\0", b"MM\0+"):
         yield Page(0, 0, 0, 0, 0, 0, 0, False, b"", "BigTIFF")
@@ -199,7 +204,7 @@ def walk_pages(data: bytes, max_bytes: int = 1 << 30) -> Iterator[Page]:
                 if code and code != "s" and where + size * count <= len(data):
                     tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, where))
             page = _page(data, tags, number, order, max_bytes)
-        except (struct.error, ValueError, KeyError, zlib.error, IndexError) as why:
+        except (struct.error, ValueError, KeyError, zlib.error, IndexError, OverflowError) as why:
             page = Page(number, 0, 0, 0, 0, 0, 0, False, b"", f"{type(why).__name__}: {why}")
         yield page
         number += 1
@@ -237,6 +242,8 @@ def _page(data: bytes, tags: dict[int, list], number: int, order: str, max_bytes
     if not all(isinstance(x, int) and x > 0 for x in (w, h)) or not all(isinstance(x, int) for x in [*offsets, *counts]):
         raise ValueError("a strip or tile of no size")
     across, down, depth = math.ceil(width / w), math.ceil(height / h), samples if planar == 1 else 1
+    if w * h * depth * max(bits, 8) // 8 > max(TILE_BYTES, 4 * width * height * samples * max(bits, 8) // 8):
+        raise ValueError("tile too large for its page")
     if not len(offsets) == len(counts) == across * down * (1 if planar == 1 else samples):
         raise ValueError(f"{len(offsets)} strips or tiles of {across * down * (1 if planar == 1 else samples)}")
     kind = np.dtype("u1") if bits <= 8 else np.dtype(f"{order}u2")
