@@ -375,6 +375,8 @@ def test_quality(spark, odd, none):
     got = quality.op7_quality(spark, d).toPandas().merge(labels, on="doc_id")
     held = got[got.held_out]
     assert ((held.predicted == held.quality).mean() > 0.9) and got.score.between(0, 1).all()
+    assert (held[held.quality == 0].predicted == 0).mean() >= 0.9 and (held[held.quality == 1].predicted == 1).mean() >= 0.9
+    assert quality.recurrence(b"a b a a c") == b"far far two one far "
     scorer = quality.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.add_quality(odd, scorer).count() == 15 and quality.add_quality(none, scorer).count() == 0
 
