@@ -13,13 +13,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sigloom.operators import layout, repair, spectral, stages, tempo
 from sigloom.operators.blocks import to_blocks
 from sigloom.sources import wav
+from sigloom.sources.interim import exists
 
 FAILURE = "struct<kind:string,message:string>"
 #: A cliff falls so many dB within so many Hz, above a floor; the share of energy is that above another frequency; spectra have frames of their own.
@@ -60,21 +61,18 @@ class Run:
     manifests: list[dict] = field(default_factory=list)
 
     def _manifest(self, name: str) -> dict | None:
-        try:
-            found = self.spark.read.text(f"{self.folder}/{name}/manifest").collect()  # one short row
-        except AnalysisException:
+        path = f"{self.folder}/{name}/manifest"
+        if not exists(self.spark, path):
             return None
+        found = self.spark.read.schema("value string").text(path).collect()  # one short row
         return json.loads(found[0][0]) if len(found) == 1 else None
 
     def _whole(self, name: str, settings: str, after: str | None) -> DataFrame | None:
         m = self._manifest(name)
-        if m is None or (m["settings"], m["after"]) != (settings, after):
+        if m is None or (m["settings"], m["after"]) != (settings, after) or not exists(self.spark, f"{m['path']}/_SUCCESS"):
             return None
-        try:
-            table = self.spark.read.parquet(m["path"])
-        except AnalysisException:
-            return None
-        if json.loads(table.schema.json()) != m["schema"] or table.count() != m["rows"] + m["failed"]:
+        table = self.spark.read.schema(StructType.fromJson(m["schema"])).parquet(m["path"])
+        if table.count() != m["rows"] + m["failed"]:
             return None
         self.manifests.append(m)
         self.skipped.append(name)

@@ -529,22 +529,22 @@ def q_repair(spark, d):
     return found.select("sig", F.col("ch").cast("long").alias("ch"), "status", F.size("x").alias("n"), *(F.round(c, 3).alias(c) for c in ("start", "end", "before", "after")))
 
 
-def note_signals(spark, d, rate=8000):
-    """(sig, x): the first notes of each user as tones of a quarter second, three partials each, their pitch that of the table."""
+def note_signals(spark, d, rate=4000):
+    """(sig, x): the first sixteen notes of each user as tones of an eighth of a second, two partials each, their pitch that of the table."""
     n = tables.notes(spark, d).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("k", "pitch"))).alias("v"))
-    tone = lambda p: F.transform(F.sequence(F.lit(0), F.lit(rate // 4 - 1)), lambda i: F.sin(i * (2 * math.pi / rate) * p))
+    tone = lambda p: F.transform(F.sequence(F.lit(0), F.lit(rate // 8 - 1)), lambda i: F.sin(i * (2 * math.pi / rate) * p))
     hz = lambda p: 440 * F.pow(F.lit(2.0), (48 + p % 24 - 69) / 12)
     return n.select("sig", F.flatten(F.transform(F.slice("v.pitch", 1, 16), lambda p: F.zip_with(tone(hz(p)), tone(2 * hz(p)), lambda a, b: 0.3 * a + 0.1 * b))).alias("x"))
 
 
 def q_mel_onsets(spark, d):
-    found = pitch.onsets(note_signals(spark, d), 8000, 512, 128)
+    found = pitch.onsets(note_signals(spark, d), 4000, 256, 64)
     return found.select("sig", F.posexplode("y").alias("k", "o"))
 
 
 def q_chroma_distance(spark, d):
     """The chroma of each user's tune against that of the next user's."""
-    v = pitch.chroma(note_signals(spark, d), 8000, 1024)
+    v = pitch.chroma(note_signals(spark, d), 4000, 512)
     other = v.select((F.col("sig") - 1).alias("sig"), F.col("y").alias("z"))
     return rounded(pitch.chroma_distance(v.join(other, "sig").select("sig", F.col("y").alias("x"), F.col("z").alias("y"))))
 
