@@ -19,8 +19,9 @@ from sigloom.llm.common import map_columns, neutral, stored, words_of
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: Distinct sketch hashes that are broadcast, at most (8 bytes each); more are joined with the documents' shingles.
-SKETCH_HASHES = 2_000_000
+#: Distinct sketch hashes that are broadcast, at most (8 bytes each). Of more a bit table is, of 1 << SLOT_BITS bits at most,
+#: and the texts whose hashes it lets pass are looked up by a join; the documents are read twice then.
+SKETCH_HASHES, SLOT_BITS = 2_000_000, 28
 WORD_MEMO = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,26 +80,65 @@ def item_table(items: DataFrame, item_id: str, text: str, threshold: float) -> D
     return stored(rows.where("q > 0").withColumn("item", F.monotonically_increasing_id()), "items")
 
 
+class Slots:
+    """A set of any number of 64-bit hashes, as two bits of a table for each: what isn't in the table isn't in the set."""
+
+    def __init__(self, words: np.ndarray, width: int):
+        self.words, self.width, self.mask = words, np.uint64(width), np.uint64((1 << width) - 1)
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> Slots:
+        """The table of a column, 64 bits or more a row up to 1 << SLOT_BITS in all; Spark sets the bits, 64 of them a row that comes back."""
+        width = min(SLOT_BITS, max(10, df.count().bit_length() + 6))
+        places = [F.shiftrightunsigned(F.col(column), k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in (0, 1)]
+        slots = df.select(F.explode(F.array(*places)).alias("p")).withColumn("bit", F.expr("shiftleft(1L, cast(p & 63 as int))"))
+        rows = slots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(1 << (width - 6), np.uint64)
+        words[rows["w"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+        return cls(words, width)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        low, six = np.uint64(63), np.uint64(6)
+        found = np.ones(len(hashes), bool)
+        for h in (hashes, hashes >> self.width):
+            p = h & self.mask
+            found &= (self.words[(p >> six).astype(np.int64)] >> (p & low) & np.uint64(1)).astype(bool)
+        return found
+
+
 class Sketches:
-    """Sorted sketch hashes, and a bit table that turns most lookups away. None stands for hashes that are too many to hold."""
+    """Sorted sketch hashes, and a bit table that turns most lookups away; of hashes too many to hold, the table alone."""
 
-    def __init__(self, hashes: np.ndarray | None, sizes: list[int]):
-        self.hashes, self.sizes = hashes, sizes
+    def __init__(self, sizes: list[int], hashes: np.ndarray | None, slots: Slots | None = None):
+        self.hashes, self.sizes, self.slots = hashes, sizes, slots
         if hashes is not None:
             width = max(20, len(hashes).bit_length() + 4)  # a sixteenth of the table is set at most
             self.shift = np.uint64(64 - width)
             self.bits = np.zeros(1 << width, bool)
             self.bits[(hashes >> self.shift).astype(np.int64)] = True
 
-    def find(self, words: np.ndarray) -> tuple[list[int], list[int]]:
-        """The sketch hashes that occur in a document, and all its distinct shingles; nothing if none occurs."""
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of a document that may be, or if they are held are, of a sketch, and all its shingles with repeats."""
         every = np.concatenate([shingle_hashes(words, n) for n in self.sizes])
         if self.hashes is None:
-            every = np.unique(every).view(np.int64).tolist()
-            return every, every
+            return np.unique(every[self.slots.has(every)]), every
         near = np.unique(every[self.bits[(every >> self.shift).astype(np.int64)]])
-        near = near[self.hashes[np.minimum(np.searchsorted(self.hashes, near), len(self.hashes) - 1)] == near]
-        return (near.view(np.int64).tolist(), np.unique(every).view(np.int64).tolist()) if len(near) else ([], [])
+        return near[self.hashes[np.minimum(np.searchsorted(self.hashes, near), len(self.hashes) - 1)] == near], every
+
+
+def near_texts(docs: DataFrame, sketch: DataFrame, sizes: list[int], text: str, slots: Slots) -> Slots:
+    """The hashes of the texts that hold a sketch hash. Of a text only the hashes that pass the table of sketches are stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(Sketches(sizes, None, slots))
+
+    def make():
+        memo, sketches = WordHashes(), shared.value
+        return lambda texts: [[sketches.find(memo.of(t))[0].view(np.int64).tolist() for t in texts]]
+
+    schema = pa.schema([("hits", pa.list_(pa.int64()))])
+    marked = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("mark"), text)
+    passed = map_columns(marked, [text], make, schema, "hits array<bigint>", ["mark"]).where(F.size("hits") > 0)
+    passed = stored(passed, "sketch-passes").select("mark", F.explode("hits").alias("s"))
+    return Slots.of(stored(passed.join(sketch.select("s").distinct(), "s").select("mark").distinct(), "near-texts"), "mark")
 
 
 def contained_pairs(docs: DataFrame, items: DataFrame, text: str, keys: list[str], threshold: float) -> DataFrame:
@@ -108,23 +148,31 @@ def contained_pairs(docs: DataFrame, items: DataFrame, text: str, keys: list[str
     if not sizes:
         return docs.select(*keys, F.lit(0).cast("long").alias("item"), F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("n_shared")).limit(0)
     sketch = items.select("item", F.explode("sketch").alias("s"))
-    few = sketch.select("s").distinct()
-    held = None
+    few, texts = sketch.select("s").distinct(), None
     if few.count() <= SKETCH_HASHES:
-        held = np.sort(np.array([r[0] for r in few.collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(Sketches(held, sizes))
+        sketches = Sketches(sizes, np.sort(few.toArrow()["s"].to_numpy().view(np.uint64)))
+    else:
+        sketches = Sketches(sizes, None, Slots.of(few, "s"))
+        texts = near_texts(docs, sketch, sizes, text, sketches.slots)
+    shared = spark.sparkContext.broadcast((sketches, texts))
 
     def make():
-        memo, sketches = WordHashes(), shared.value
+        memo, (sketches, texts) = WordHashes(), shared.value
 
-        def run(texts):
-            found = [sketches.find(memo.of(t)) for t in texts]
-            return [[hits for hits, _ in found], [every for _, every in found]]
+        def found(t):
+            near, every = sketches.find(memo.of(t))
+            return (near.view(np.int64).tolist(), np.unique(every).view(np.int64).tolist()) if len(near) else ([], [])
+
+        def run(bodies, marks):
+            wanted = [True] * len(marks) if texts is None else texts.has(np.array(marks, np.int64).view(np.uint64))
+            pairs = [found(t) if w else ([], []) for t, w in zip(bodies, wanted, strict=True)]
+            return [[hits for hits, _ in pairs], [every for _, every in pairs]]
 
         return run
 
     schema = pa.schema([("hits", pa.list_(pa.int64())), ("h", pa.list_(pa.int64()))])
-    near = map_columns(docs, [text], make, schema, "hits array<bigint>, h array<bigint>", keys).where(F.size("hits") > 0)
+    marked = docs.select(*keys, text, F.xxhash64(text).alias("__mark"))
+    near = map_columns(marked, [text, "__mark"], make, schema, "hits array<bigint>, h array<bigint>", keys).where(F.size("hits") > 0)
     near = stored(near.withColumn("row", F.monotonically_increasing_id()), "near-items")
     pairs = near.select("row", F.explode("hits").alias("s")).join(sketch, "s").select("row", "item").distinct()
     wanted = pairs.join(items.select("item", F.explode("h").alias("h")), "item")
