@@ -29,7 +29,8 @@ from sigloom.llm.common import neutral, stored
 #: Words of a run that is deleted when it repeats, at least.
 RUN_WORDS = 35
 #: Characters of a whole line that is deleted when it repeats, at least, without the white space at its ends.
-LINE_CHARS = 40
+#: Brackets, bullets and rules of a few characters mark structure and stay.
+LINE_CHARS = 6
 #: A key of a join with more than 1 in HOT of the rows is dealt to SALTS places; there are less than HOT such keys.
 HOT, SALTS = 1000, 64
 #: Words of a hashed shingle; the shingles in a run are a window.

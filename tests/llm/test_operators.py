@@ -417,6 +417,10 @@ def test_line_dedup(spark, odd, none):
     assert [i for i, t in kept.items() if passage in t] == [0] and kept[0] == glued[0][1]
     assert kept[2] == glued[2][1].replace(passage + " ", "")
     assert [i for i, t in kept.items() if chinese in t] == [10] and kept[11] == glued[4][1].replace(chinese, "")
+    # Short lines go as well, but for brackets and rules.
+    short = [(1, "All rights reserved.\n{\n  one thing\n}"), (2, "Other text\n All rights reserved. \n{\nanother thing\n}\n----\n----"), (3, "All rights reserved")]
+    kept = {r.doc_id: r.text for r in linededup.drop_repeated_lines(spark.createDataFrame(short, "doc_id long, text string")).collect()}
+    assert kept == {1: short[0][1], 2: "Other text\n {\nanother thing\n}\n----\n----", 3: short[2][1]}
     rows = linededup.drop_repeated_lines(odd).collect()
     assert len(rows) == 15 and {"lang", "score", "fp"} <= set(rows[0].asDict())
     assert [r.text for r in rows if r.doc_id == 0] == [None] and [r.text for r in rows if r.doc_id == 8] == [""]
@@ -424,7 +428,7 @@ def test_line_dedup(spark, odd, none):
     assert linededup.drop_repeated_lines(none).count() == 0
 
 
-def test_decontamination(spark, odd, none):
+def test_decontamination(spark, odd, none, monkeypatch):
     items = [(i, sentence(R.randrange(1, 40))) for i in range(30)] + [(90, ""), (91, None), (92, "Short, ITEM here")]
     docs = []
     for i in range(80):
@@ -449,13 +453,23 @@ def test_decontamination(spark, odd, none):
             s, _ = sh(item, n)
             want |= {(i, k) for i, t in docs if len(s & sh(t, n)[0]) >= 0.8 * len(s)}
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    # Beyond the limit the bit table finds the same pairs, and stores no more documents and no shingles but those that it lets pass.
+    kept, write = {}, decontaminate.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        kept[name] = out.agg(F.count("*"), *([F.sum(F.size("hits"))] if "hits" in out.columns else [])).first()
+        return out
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
     assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(d, b).collect()} == want and want
-    small = decontaminate.SKETCH_HASHES
-    decontaminate.SKETCH_HASHES = 100
-    try:
-        assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(d, b).collect()} == want
-    finally:
-        decontaminate.SKETCH_HASHES = small
+    near, hits = kept["near-items"]
+    assert 0 < near < len(docs) and "sketch-passes" not in kept
+    monkeypatch.setattr(decontaminate, "SKETCH_HASHES", 100)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(d, b).collect()} == want
+    assert near <= kept["near-items"][0] <= near + 3 and kept["near-texts"][0] == near and kept["sketch-passes"][1] < 1.1 * hits + 50
+    assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    monkeypatch.undo()
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
     assert decontaminate.contained_items(none, b).count() == 0 and decontaminate.contained_items(d, b.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(odd, b).columns == odd.columns
