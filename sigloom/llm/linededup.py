@@ -39,13 +39,11 @@ SHINGLE = 8
 SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ALONE = r"\x{e00}-\x{fff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
 WORD = f"[{ALONE}]|[^{SPACE}{ALONE}]+"
-#: A word with the white space after it up to the last line end.
-UNIT = rf"(?:{WORD})(?:[{SPACE}]*\n)?"
 #: A word with the white space after it, the first one also with that before it; joined they are the text.
 TOKEN = f"[{SPACE}]*(?:{WORD})[{SPACE}]*"
 #: Texts without such characters have the same words by these plainer patterns, which are three times as fast.
 FOREIGN = r"[\x{85}\x{a0}\x{e00}-\x{10ffff}]"
-PLAIN_UNIT = r"[^\x09-\x0d ]+(?:[\x09-\x0d ]*\n)?"
+PLAIN_WORD = r"[^\x09-\x0d ]+"
 PLAIN_TOKEN = r"[\x09-\x0d ]*[^\x09-\x0d ]+[\x09-\x0d ]*"
 #: The characters of SPACE.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -80,7 +78,7 @@ def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def word_hashes() -> F.Column:
-    return F.transform("u", lambda x: F.xxhash64(F.when(x.endswith("\n"), F.btrim(x, F.lit(SPACES))).otherwise(x)))
+    return F.transform("u", lambda x: F.xxhash64(x))
 
 
 def runs_of(docs: DataFrame, run_words: int, line_chars: int) -> DataFrame:
@@ -93,7 +91,7 @@ def runs_of(docs: DataFrame, run_words: int, line_chars: int) -> DataFrame:
     row = lambda lo, hi, fp, kind, line: F.struct(lo.alias("lo"), hi.alias("hi"), fp.alias("fp"), kind.alias("kind"), F.lit(line).alias("line"))
     bare = F.filter(F.transform(F.split("x", "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
     lines = F.transform(bare, lambda x, j: F.when(F.length(x) >= line_chars, row(j, j, F.xxhash64(x), F.xxhash64(x, F.lit(1)), True)))
-    words = docs.select("d", "t", F.array_compact(lines).alias("lines"), matches("x", UNIT, PLAIN_UNIT).alias("u")).withColumn("n", F.size("u"))
+    words = docs.select("d", "t", F.array_compact(lines).alias("lines"), matches("x", WORD, PLAIN_WORD).alias("u")).withColumn("n", F.size("u"))
     words = words.withColumn("h", word_hashes()).drop("u")
     for held in (1, 2, 4):
         words = words.withColumn("h", ahead("h", F.xxhash64, [held]))
@@ -117,7 +115,7 @@ def single_runs(near: DataFrame, run_words: int) -> DataFrame:
 
     Hashes of 1, 2, 4 and so on words; two of the longest that fit, and three or four of half their length, hold a run.
     """
-    words = near.select("d", "t", "r", matches("x", UNIT, PLAIN_UNIT).alias("u")).withColumn("h", word_hashes()).drop("u")
+    words = near.select("d", "t", "r", matches("x", WORD, PLAIN_WORD).alias("u")).withColumn("h", word_hashes()).drop("u")
     words, held = words.withColumn("g", F.col("h")), 1
     while 2 * held <= run_words:
         words = words.withColumn("g", F.col("h")).withColumn("h", ahead("h", F.xxhash64, [held]))
