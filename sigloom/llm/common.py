@@ -78,6 +78,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`stored` that nothing will read again."""
+    for table in tables:
+        if files := table.inputFiles():
+            sc = table.sparkSession.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
     """``df`` with its columns named c0, c1 and so on, the new names by the old ones, and the way back.
 

@@ -4,10 +4,11 @@ A text is a sequence of words, and its lines are runs of words as well. Two kind
 the order of (doc_id, text hash, word): every run of RUN_WORDS words or more, wherever it starts and ends, and every whole
 line of LINE_CHARS characters or more.
 
-Hashes of lines alone miss a passage inside a longer line, so the hashes winnowed are those of shingles of SHINGLE words. The
-least hash of every WINDOW shingles is selected: RUN_WORDS words hold a whole window, so equal runs select the same one,
-which makes the selected hashes guaranteed fingerprints. Neighbouring windows mostly select the same hash; such a stretch,
-about one for 14 words, is the only thing that leaves a document:
+Hashes of lines alone miss a passage inside a longer line, so runs are found by winnowing. In every window of words, as many as
+there are shingles of SHINGLE words in a run, the word with the least hash is selected; the hash of the shingle that it begins is
+the fingerprint. RUN_WORDS words hold a whole window and that shingle, so equal runs select the same word, which makes these
+guaranteed fingerprints. Neighbouring windows mostly select the same word; such a stretch, about one for 10 words, is the only
+thing that leaves a document:
 
 1. Stretches are joined by fingerprint. One whose fingerprint stands nowhere else is dropped.
 2. A stretch is extended both ways to all words that its windows reach, and compared as a whole. Inside a repeated passage
@@ -16,7 +17,7 @@ about one for 14 words, is the only thing that leaves a document:
    in it is compared. Later stretches equal to it hold the same runs, so nothing else needs a look.
 
 No pair of occurrences is ever listed, and no repeated run is missed. Runs count as equal if two 64-bit hashes of their words
-agree (for a stretch, the fingerprint, a hash of all its words and their number).
+agree (for a stretch, the fingerprint and a hash of all its words).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import neutral, stored
+from sigloom.llm.common import discard, neutral, stored
 
 #: Words of a run that is deleted when it repeats, at least.
 RUN_WORDS = 35
@@ -33,7 +34,9 @@ RUN_WORDS = 35
 LINE_CHARS = 6
 #: A key of a join with more than 1 in HOT of the rows is dealt to SALTS places; there are less than HOT such keys.
 HOT, SALTS = 1000, 64
-#: Words of a hashed shingle; the shingles in a run are a window.
+#: What is deleted, in the order of their deletion: lines, stretches, single runs.
+LINE, STRETCH, SINGLE = 0, 1, 2
+#: Words of a fingerprint; a window has a word for each such shingle in a run.
 SHINGLE = 8
 #: White space, and the characters of scripts without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese), each a word.
 SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -43,8 +46,8 @@ WORD = f"[{ALONE}]|[^{SPACE}{ALONE}]+"
 TOKEN = f"[{SPACE}]*(?:{WORD})[{SPACE}]*"
 #: Texts without such characters have the same words by these plainer patterns, which are three times as fast.
 FOREIGN = r"[\x{85}\x{a0}\x{e00}-\x{10ffff}]"
-PLAIN_WORD = r"[^\x09-\x0d ]+"
-PLAIN_TOKEN = r"[\x09-\x0d ]*[^\x09-\x0d ]+[\x09-\x0d ]*"
+PLAIN_WORD = r"\S+"
+PLAIN_TOKEN = r"\s*\S+\s*"
 #: The characters of SPACE.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -54,78 +57,61 @@ def matches(text: str, pattern: str, plain: str) -> F.Column:
     return F.when(F.col(text).rlike(FOREIGN), found(pattern)).otherwise(found(plain))
 
 
-def ahead(column: str, join, steps: list[int]) -> F.Column:
-    """Each item of an array joined with those so many places ahead; null stands for those beyond the end."""
-    return F.transform(column, lambda x, i: join(x, *(F.get(F.col(column), i + F.lit(n)) for n in steps)))
-
-
-def trimmed(column: str, lost: int) -> F.Column:
-    return F.slice(column, F.lit(1), F.greatest(F.lit(0), F.size(column) - lost))
-
-
-def least_of(df: DataFrame, column: str, size: int) -> DataFrame:
-    """Replaces each item of an array by the least of it and the ``size`` - 1 after it; the last ``size`` - 1 are cut off."""
-    held = 1
-    while held < size:  # each step is a column that the next one uses several times, so it is evaluated once a row
-        steps = sorted({min(k * held, size - held) for k in (1, 2, 3)})
-        df, held = df.withColumn(column, ahead(column, F.least, steps)), held + steps[-1]
-    return df.withColumn(column, trimmed(column, size - 1))
-
-
 def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(d, t, x): id, hash and text of the rows with a text."""
     return docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
 
 
-def word_hashes() -> F.Column:
-    return F.transform("u", lambda x: F.xxhash64(x))
+def places(count: F.Column) -> F.Column:
+    """A row for each number from 0 to ``count`` - 1.
+
+    What follows runs as compiled code on the arrays of the row, which it need not copy. An array function with a lambda
+    in the same step would prevent that, and so would an exploded column, whose expression Spark would evaluate again
+    to leave out empty arrays.
+    """
+    return F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)))
 
 
 def runs_of(docs: DataFrame, run_words: int, line_chars: int) -> DataFrame:
     """(d, t, lo, hi, fp, kind, line): the stretches of texts (d, t, x), by their first and last words, and the long lines, by their number.
 
-    ``fp`` is the fingerprint of a stretch or a hash of a line, ``kind`` another hash of all its words. A stretch has less than
-    twice as many words as a run, so shingles side by side from both its ends, as many as a run needs, hold all of them. Blank
-    lines have no number.
+    ``fp`` is the fingerprint of a stretch or a hash of a line, ``kind`` another hash of all its words. Blank lines have no number.
     """
-    row = lambda lo, hi, fp, kind, line: F.struct(lo.alias("lo"), hi.alias("hi"), fp.alias("fp"), kind.alias("kind"), F.lit(line).alias("line"))
+    window = run_words - SHINGLE + 1
     bare = F.filter(F.transform(F.split("x", "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
-    lines = F.transform(bare, lambda x, j: F.when(F.length(x) >= line_chars, row(j, j, F.xxhash64(x), F.xxhash64(x, F.lit(1)), True)))
-    words = docs.select("d", "t", F.array_compact(lines).alias("lines"), matches("x", WORD, PLAIN_WORD).alias("u")).withColumn("n", F.size("u"))
-    words = words.withColumn("h", word_hashes()).drop("u")
-    for held in (1, 2, 4):
-        words = words.withColumn("h", ahead("h", F.xxhash64, [held]))
-    # The lower half of a shingle's hash, then its place from the right: of equal ones the rightmost is the least.
-    words = words.withColumn("m", F.transform("h", lambda x, i: F.shiftleft(x, 32) - i))
-    least = least_of(words.withColumn("m", trimmed("m", SHINGLE - 1)), "m", run_words - SHINGLE + 1)
-    new = F.transform("m", lambda x, i: F.when((i == 0) | (F.get(F.col("m"), i - 1) != x), F.struct(x.alias("m"), i.alias("a"))))
-    parts = least.select("d", "t", "n", "h", "lines", F.array_compact(new).alias("r"))
-    shingle = lambda i: F.get(F.col("h"), i)
-    place = lambda x: (-x).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    last = lambda j: F.coalesce(F.get(F.col("r"), j + 1)["a"] + (run_words - 2), F.col("n") - 1)
-    parts = parts.withColumn("r", F.transform("r", lambda v, j: F.struct(v.a.alias("lo"), last(j).alias("hi"), shingle(place(v.m)).alias("fp"))))
-    steps = [*range(0, run_words - SHINGLE, SHINGLE), run_words - SHINGLE]
-    whole = lambda lo, hi: F.xxhash64(hi - lo, *(shingle(lo + k) for k in steps), *(shingle(hi - (SHINGLE - 1) - k) for k in steps))
-    each = F.transform("r", lambda v: row(v.lo, v.hi, v.fp, whole(v.lo, v.hi), False))
-    return parts.select("d", "t", F.explode(F.concat(each, "lines")).alias("v")).select("d", "t", "v.*")
+    words = docs.select("d", "t", bare.alias("lines"), matches("x", WORD, PLAIN_WORD).alias("u"))
+    words = words.select("d", "t", "lines", F.transform("u", lambda x: F.xxhash64(x)).alias("h"))
+    w, i, lo, hi, at = (F.col(c) for c in ("w", "i", "lo", "hi", "at"))
+    words = words.withColumn("w", F.greatest(F.lit(0), F.size("h") - (run_words - 1)))
+    each = words.select("d", "t", "h", "lines", "w", places(w + F.size("lines")).alias("i"))
+    h, part = lambda n: F.get(F.col("h"), n), lambda n, size: F.slice("h", n + 1, size)
+    line, end = F.get(F.col("lines"), i - w), i + (window - 1)
+    # A window selects another word than the one before it if its last word has less than all others, or the one before its
+    # first no more than these.
+    inner = F.array_min(part(i, F.lit(window - 1))) if window > 1 else F.lit((1 << 63) - 1)
+    new = (i == 0) | (inner >= F.least(h(i - 1), F.try_add(h(end), F.lit(1))))
+    found = each.where(F.when(i >= w, F.length(line) >= line_chars).otherwise(new))
+    found = found.withColumn("least", F.when(i < w, F.least(inner, h(end))))
+    found = found.withColumn("at", i + (F.array_position(part(i, F.lit(window)), F.col("least")) - 1).cast("int")).withColumn("held", F.lit(0))
+    # How many words after it have no less, by halving; the last window that selects it ends before the first that has less.
+    for step in (1 << k for k in reversed(range((window - 1).bit_length()))):
+        more = F.coalesce(F.array_min(part(at + 1 + F.col("held"), F.lit(step))) >= F.col("least"), F.lit(True))
+        found = found.withColumn("held", F.col("held") + F.when(more, step).otherwise(0))
+    last = F.least(w - 1, at + F.least(F.col("held"), F.lit(window - 1)) - (window - 1)) + (run_words - 1)
+    found = found.select("d", "t", "h", "at", line.alias("line"), F.when(i < w, i).otherwise(i - w).alias("lo"), F.when(i < w, last).otherwise(i - w).alias("hi"))
+    fp = F.when(at.isNull(), F.xxhash64("line")).otherwise(F.xxhash64(part(at, F.lit(SHINGLE))))
+    kind = F.when(at.isNull(), F.xxhash64("line", F.lit(1))).otherwise(F.xxhash64(F.lit(1), part(lo, hi - lo + 1)))
+    return found.select("d", "t", "lo", "hi", fp.alias("fp"), kind.alias("kind"), at.isNull().alias("line"))
 
 
 def single_runs(near: DataFrame, run_words: int) -> DataFrame:
-    """(d, t, lo, k1, k2): the runs in the stretches ``r`` of texts (d, t, x), and two hashes of the words of each.
-
-    Hashes of 1, 2, 4 and so on words; two of the longest that fit, and three or four of half their length, hold a run.
-    """
-    words = near.select("d", "t", "r", matches("x", WORD, PLAIN_WORD).alias("u")).withColumn("h", word_hashes()).drop("u")
-    words, held = words.withColumn("g", F.col("h")), 1
-    while 2 * held <= run_words:
-        words = words.withColumn("g", F.col("h")).withColumn("h", ahead("h", F.xxhash64, [held]))
-        held *= 2
-    get = lambda c, i, n: [F.get(F.col(c), i + k) for k in n]
-    half, rest = max(1, held // 2), run_words - held
-    keys = lambda i: (F.xxhash64(*get("h", i, (0, rest))), F.xxhash64(*get("g", i, (0, half, rest, rest + half))))
+    """(d, t, lo, k1, k2): the runs in the stretches ``r`` of texts (d, t, x), and two hashes of the words of each."""
     starts = F.array_distinct(F.flatten(F.transform("r", lambda v: F.sequence(v.lo, v.hi - (run_words - 1)))))
-    each = F.transform(starts, lambda i: F.struct(i.alias("lo"), keys(i)[0].alias("k1"), keys(i)[1].alias("k2")))
-    return words.select("d", "t", F.explode(each).alias("v")).select("d", "t", "v.*")
+    words = near.select("d", "t", starts.alias("starts"), matches("x", WORD, PLAIN_WORD).alias("u"))
+    words = words.select("d", "t", "starts", F.transform("u", lambda x: F.xxhash64(x)).alias("h"))
+    each = words.select("d", "t", "h", "starts", places(F.size("starts")).alias("i")).select("d", "t", "h", F.get("starts", F.col("i")).alias("lo"))
+    run = F.slice("h", F.col("lo") + 1, F.lit(run_words))
+    return each.select("d", "t", "lo", F.xxhash64(run).alias("k1"), F.xxhash64(F.lit(1), run).alias("k2"))
 
 
 def spread_join(many: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
@@ -141,7 +127,7 @@ def spread_join(many: DataFrame, groups: DataFrame, key: list[str], total: int)
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, line_chars: int = LINE_CHARS) -> DataFrame:
-    """(d, t, spans): for documents with runs that occurred before these as structs (lo, hi, line): first and last words, or line numbers."""
+    """(d, t, spans), stored: for documents with runs that occurred before these as sorted structs (of, lo, hi): first and last words, or line numbers."""
     texts = named(docs, doc_id, text)
     runs = stored(runs_of(texts, run_words, line_chars), "runs")
     place, spot = F.struct("d", "t", "lo"), F.xxhash64("d", "t", "lo")
@@ -149,11 +135,12 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     prints = runs.groupBy("fp", "line").agg(F.min(spot).alias("s0"), F.max(spot).alias("s1"), F.min("kind").alias("k0"), F.max("kind").alias("k1"), F.count("*").alias("rows"))
     prints = stored(prints.where("s0 <> s1").select("fp", "line", "rows", F.expr("k0 <> k1 and not line").alias("mixed")), "prints")
     close = stored(spread_join(runs, prints, ["fp", "line"], runs.count()), "close-runs")
+    discard(runs, prints)
     key = ["fp", "kind", "line"]
     firsts = close.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("mixed").alias("mixed"), F.max(F.expr("hi - lo")).alias("more"), F.count("*").alias("rows"))
     firsts = stored(firsts, "first-runs")
     again = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(*key, "first", "rows")
-    whole = spread_join(close.drop("mixed"), again, key, close.count()).where(~place.eqNullSafe(F.col("first"))).select("d", "t", "lo", "hi", "line")
+    whole = spread_join(close.drop("mixed"), again, key, close.count()).where(~place.eqNullSafe(F.col("first"))).select("d", "t", F.when(F.col("line"), LINE).otherwise(STRETCH).alias("of"), "lo", "hi")
     # The first stretch of each kind under a mixed fingerprint, run by run.
     heads = firsts.where("mixed").select("first.d", "first.t", F.struct("first.lo", (F.col("first.lo") + F.col("more")).alias("hi")).alias("v"))
     heads = heads.groupBy(F.col("d").alias("d2"), F.col("t").alias("t2")).agg(F.collect_set("v").alias("r"))
@@ -162,8 +149,11 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     before = single.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("rows"))
     before = stored(before.where(~F.col("first").eqNullSafe(F.col("last"))).select("k1", "k2", "first", "rows"), "repeated-single-runs")
     later = spread_join(single, before, ["k1", "k2"], single.count()).where(~place.eqNullSafe(F.col("first")))
-    later = later.select("d", "t", "lo", (F.col("lo") + (run_words - 1)).alias("hi"), F.lit(False).alias("line"))
-    return whole.unionAll(later).groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi", "line")).alias("spans"))
+    later = later.select("d", "t", F.lit(SINGLE).alias("of"), "lo", (F.col("lo") + (run_words - 1)).alias("hi"))
+    spans = whole.unionAll(later).groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("of", "lo", "hi"))).alias("spans"))
+    spans = stored(spans, "gone")
+    discard(close, firsts, single, before)
+    return spans
 
 
 def drop_repeated_lines(
@@ -177,20 +167,24 @@ def drop_repeated_lines(
     before all others. Of a text that repeats itself with overlaps one period stays. Other columns pass through under any
     names, but for that of the added one, which is replaced. An empty table gives an empty result.
     """
-    gone = stored(repeated_runs(docs, doc_id, text, run_words, line_chars), "gone")
+    gone = repeated_runs(docs, doc_id, text, run_words, line_chars)
     gone = gone.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans"))
     plain, name, _ = neutral(docs)
     body = F.col(name[text])
     same = F.col(name[doc_id]).eqNullSafe(F.col("__d")) & (F.xxhash64(body) == F.col("__t"))
     # Columns of their own, used several times, are evaluated once a row and not again inside the lambda below.
     joined = plain.join(gone, same, "left").withColumn("__tokens", F.when(F.col("__spans").isNotNull(), matches(name[text], TOKEN, PLAIN_TOKEN)))
-    tokens = F.col("__tokens")
+    tokens, spans = F.col("__tokens"), F.col("__spans")
     # The first word of each line; a line's words are those up to the next one's.
     ends = lambda x, i: x.contains("\n") & ((i > 0) | F.ltrim(x, F.lit(SPACES)).contains("\n"))
-    starts = F.transform("__tokens", lambda x, i: F.when((i == 0) | ends(F.get(tokens, i - 1), i - 1), i))
-    joined = joined.withColumn("__starts", F.when(F.exists("__spans", lambda v: v.line), F.array_append(F.array_compact(starts), F.size(tokens))))
+    after = F.array_compact(F.transform("__tokens", lambda x, i: F.when(ends(x, i), i + 1)))
+    joined = joined.withColumn("__starts", F.when(F.get(spans, F.lit(0))["of"] == LINE, F.concat(F.array(F.lit(0)), after, F.array(F.size(tokens)))))
     at = lambda j: F.get(F.col("__starts"), j)
-    numbers = F.flatten(F.transform("__spans", lambda v: F.when(v.line, F.sequence(at(v.lo), at(v.lo + 1) - 1)).otherwise(F.sequence(v.lo, v.hi))))
+    # Stretches end in the order in which they begin, and so do single runs, so each is listed up to where the next one begins.
+    next_ = lambda j: F.get(spans, j + 1)
+    hi = lambda v, j: F.when(next_(j)["of"] == v.of, F.least(v.hi, next_(j)["lo"] - 1)).otherwise(v.hi)
+    listed = F.transform("__spans", lambda v, j: F.when(v.of == LINE, F.sequence(at(v.lo), at(v.lo + 1) - 1)).otherwise(F.sequence(v.lo, hi(v, j))))
+    numbers = F.flatten(listed)
     joined = joined.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size(tokens) - 1), numbers))
     rest = F.array_join(F.transform("__kept", lambda i: F.get(tokens, i)), "")
     out = {

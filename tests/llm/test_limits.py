@@ -1,11 +1,13 @@
 """Labels that teach nothing wrong, memory of long number texts, and TIFF files that ask for too much."""
 
+import random
+import re
 import struct
 import zlib
 
 import pytest
 
-from sigloom.llm import pii, tiff
+from sigloom.llm import common, linededup, pii, tiff
 
 
 def test_real_numbers_in_the_sample_dont_unteach_numbers(spark):
@@ -44,3 +46,37 @@ def test_tiles_out_of_proportion_are_a_problem(compression, tile):
 def test_a_tile_may_be_larger_than_its_page():
     (page,) = tiff.read_pages(tiled(4, 4, 256, zlib.compress(bytes(range(256)) * 256), 8))
     assert not page.problem and page.pixels == bytes([0, 1, 2, 3] * 4)
+
+
+def test_line_dedup_leaves_one_table(spark, tmp_path, monkeypatch):
+    """Of the tables between its steps only the one that its result reads is left."""
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(i, " ".join(f"word{k}" for k in range(i, 60 + i))) for i in range(4)], "doc_id long, text string")
+    rest = [r.text.split() for r in linededup.drop_repeated_lines(docs).orderBy("doc_id").collect()]
+    assert [len(x) for x in rest] == [60, 1, 1, 1]
+    assert [p.name[:5] for p in tmp_path.iterdir()] == ["gone-"]
+
+
+@pytest.mark.parametrize("run_words", [8, 9, 12, 35])
+def test_line_dedup_of_few_words(spark, run_words):
+    """Agrees with trying all runs, on texts of so few words that windows hold equal ones, and for runs of one window."""
+    pick = random.Random(run_words)
+    docs = [(i, " ".join(pick.choice("abc") * (1 + pick.random() * 2 > 2) + pick.choice("xyz") for _ in range(pick.randrange(150)))) for i in range(30)]
+    docs += [(40 + i, f"{i} " + docs[i][1] + f" {i}") for i in range(8)]
+    seen, want = set(), {}
+    for i, text in docs:
+        words, gone = text.split(), set()
+        for k in range(len(words) - run_words + 1):
+            run = tuple(words[k : k + run_words])
+            gone |= set(range(k, k + run_words)) if run in seen else set()
+            seen.add(run)
+        want[i] = [w for k, w in enumerate(words) if k not in gone]
+    got = linededup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), run_words=run_words, line_chars=10_000)
+    assert {r.doc_id: r.text.split() for r in got.collect()} == want
+
+
+def test_line_dedup_compiles_its_passes_over_words(spark, sf_dir):
+    """Windows are read in compiled code: no array function with a lambda follows the words' hashes."""
+    docs = linededup.named(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    plan = linededup.runs_of(docs, 35, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan.split("Generate explode")[0] and re.search(r"\*\(\d+\) Generate explode", plan)
