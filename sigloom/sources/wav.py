@@ -1,7 +1,8 @@
 """WAV files as a data source: ``spark.read.format("wav_blocks")`` and ``df.write.format("wav_blocks")``.
 
-A read has a partition for each stretch of a file, and each task seeks to what it needs: only headers if no sample columns are
-asked for, and otherwise only its own blocks. A written file appears under its name when the whole job is committed.
+A long file is cut into stretches and short files share a partition, so tasks grow with the bytes and not with the number of files.
+Each task seeks to what it needs: only headers if no sample columns are asked for, and otherwise only its own blocks. A written
+file appears under its name when the whole job is committed.
 Paths may have any scheme that pyarrow's file systems know.
 """
 
@@ -20,8 +21,10 @@ from sigloom.sources.audio import BLOCK, decode_samples, encode_samples, wav_hea
 
 HEADER = "path string, name string, sr int, channels int, n long"
 SAMPLES = "ch int, block long, i0 long, x array<float>"
-#: Bytes of a file that make a partition, and those of a header that are read at once.
-STRETCH, HEAD = 64 << 20, 512
+#: Bytes of a file that make a partition, those of a header that are read at once, and those that opening a file counts for.
+STRETCH, HEAD, OPENING = 64 << 20, 512, 64 << 10
+#: Samples and rows that are handed to Spark at once.
+SAMPLES_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 10_000
 
 
 def opened(path: str):
@@ -68,18 +71,25 @@ class Header:
 
 
 @dataclass
-class Stretch(InputPartition):
-    path: str
-    lo: int
-    hi: int
+class Stretches(InputPartition):
+    """Stretches (leaf, lo, hi) of files that lie right in one folder."""
+
+    folder: str
+    parts: list
+
+    @property
+    def path(self) -> str:
+        """The first file."""
+        return self.folder + self.parts[0][0]
 
 
 class WavReader(DataSourceReader):
     def __init__(self, options: dict, schema):
-        self.folder, self.names = options["path"], [f.name for f in schema]
+        self.folder, self.schema, self.names = options["path"], schema, [f.name for f in schema]
         self.samples = bool(set(self.names) & {"ch", "block", "i0", "x"})
         self.block = int(options.get("block", BLOCK))
         self.stretch = int(options.get("stretch", STRETCH))
+        self.tasks = int(options.get("tasks", 1))
         self.channels = int(options["channels"]) if options.get("channels") else None
         self.rate = int(options["rate"]) if options.get("rate") else None
         self.only: set[str] | None = None
@@ -106,29 +116,61 @@ class WavReader(DataSourceReader):
     def partitions(self):
         files = {p: size for p, size in self._files().items() if self.only is None or p in self.only}
         step = self.stretch if self.samples else 1 << 62
-        return [Stretch(p, lo, min(lo + step, max(size, 1))) for p, size in files.items() for lo in range(0, max(size, 1), step)] or [Stretch("", 0, 0)]
+        cut = [(p, lo, min(lo + step, max(size, 1))) for p, size in files.items() for lo in range(0, max(size, 1), step)]
+        costs = [OPENING + (hi - lo if self.samples else HEAD) for _, lo, hi in cut]
+        # A partition for each of the tasks that can run at once, more of them where these would hold more than a stretch.
+        room = min(self.stretch, max(OPENING, sum(costs) // self.tasks))
+        found, held = [], 0
+        for (p, lo, hi), cost in zip(cut, costs, strict=True):
+            folder, leaf = p[: p.rfind("/") + 1], p[p.rfind("/") + 1 :]
+            if not found or held + cost > room:
+                found.append(Stretches(folder, []))
+                held = 0
+            found[-1].parts.append((leaf, lo, hi))
+            held += cost
+        return found or [Stretches("", [])]
 
     def read(self, part):
-        if not part.path:
+        """Batches of rows, so that a task holds those alone whatever its partition has."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
+
+        def batch(rows):
+            return pa.record_batch([pa.array([row[f.name] for row in rows], f.type) for f in schema], schema=schema)
+
+        rows, samples = [], 0
+        for row in self._rows(part):
+            rows.append(row)
+            samples += len(row.get("x", ()))
+            if samples >= SAMPLES_AT_ONCE or len(rows) >= ROWS_AT_ONCE:
+                yield batch(rows)
+                rows, samples = [], 0
+        if rows:
+            yield batch(rows)
+
+    def _rows(self, part):
+        if not part.parts:
             return
-        store, place = opened(part.path)
-        with store.open_input_file(place) as file:
-            head = Header(file)
-            rate = self.rate or head.rate
-            n = head.n if rate == head.rate else int(round(head.n * rate / head.rate))
-            known = {"path": part.path, "name": stem(part.path), "sr": rate, "channels": head.channels, "n": n}
-            if not self.samples:
-                yield tuple(known[c] for c in self.names)
-                return
-            for block in range(max(1, -(-n // self.block))):
-                lo, hi = block * self.block, min(n, (block + 1) * self.block)
-                # A block belongs to the stretch that holds its place in the file, in parts of the whole.
-                at = int(lo / max(n, 1) * part_size(file))
-                if not part.lo <= at < part.hi:
+        store, first = opened(part.path)
+        for leaf, start, stop in part.parts:
+            with store.open_input_file(first[: first.rfind("/") + 1] + leaf) as file:
+                head = Header(file)
+                rate = self.rate or head.rate
+                n = head.n if rate == head.rate else int(round(head.n * rate / head.rate))
+                known = {"path": part.folder + leaf, "name": stem(leaf), "sr": rate, "channels": head.channels, "n": n}
+                if not self.samples:
+                    yield known
                     continue
-                for ch, x in enumerate(self._block(file, head, rate, lo, hi)):
-                    row = known | {"ch": ch, "block": block, "i0": lo, "x": x.astype(np.float32).tolist()}
-                    yield tuple(row[c] for c in self.names)
+                for block in range(max(1, -(-n // self.block))):
+                    lo, hi = block * self.block, min(n, (block + 1) * self.block)
+                    # A block belongs to the stretch that holds its place in the file, in parts of the whole.
+                    at = int(lo / max(n, 1) * part_size(file))
+                    if not start <= at < stop:
+                        continue
+                    for ch, x in enumerate(self._block(file, head, rate, lo, hi)):
+                        yield known | {"ch": ch, "block": block, "i0": lo, "x": x.astype(np.float32)}
 
     def _block(self, file, head: Header, rate: int, lo: int, hi: int) -> np.ndarray:
         if rate == head.rate:
@@ -144,7 +186,10 @@ def part_size(file) -> int:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list
+    """The names of the stems that a task wrote, and what its unfinished files end in."""
+
+    mark: str
+    names: set
 
 
 class WavWriter(DataSourceWriter):
@@ -159,16 +204,15 @@ class WavWriter(DataSourceWriter):
     def write(self, rows):
         store, root = opened(self.folder)
         store.create_dir(root, recursive=True)
-        files, out, now = [], None, None
+        done, out, now = Written(f"{self.job}-{uuid.uuid4().hex}", set()), None, None
         try:
             held = []
             for row in rows:
                 if row["name"] != now:
                     self._close(out, held)
                     now, held = row["name"], []
-                    place = f"{root}/.{now}.wav.{self.job}-{uuid.uuid4().hex}"
-                    files.append((place, f"{root}/{now}.wav"))
-                    out = store.open_output_stream(place)
+                    done.names.add(now)
+                    out = store.open_output_stream(self._unfinished(root, now, done.mark))
                     out.write(encode_samples(np.zeros((0, row["channels"])), row["sr"], self.bits, row["n"]))
                 if held and held[-1][0] != row["block"]:
                     out.write(self._frames(held))
@@ -176,9 +220,13 @@ class WavWriter(DataSourceWriter):
                 held.append((row["block"], row["ch"], row["channels"], row["x"]))
             self._close(out, held)
         except BaseException:
-            self._delete(store, files)
+            self._delete(store, [self._unfinished(root, name, done.mark) for name in done.names])
             raise
-        return Written(files)
+        return done
+
+    @staticmethod
+    def _unfinished(root, name, mark) -> str:
+        return f"{root}/.{name}.wav.{mark}"
 
     def _frames(self, held) -> bytes:
         if [h[1] for h in held] != list(range(held[0][2])):
@@ -192,18 +240,18 @@ class WavWriter(DataSourceWriter):
             out.close()
 
     @staticmethod
-    def _delete(store, files):
+    def _delete(store, places):
         from pyarrow import fs
 
-        for place, _ in files:
+        for place in places:
             if store.get_file_info(place).type == fs.FileType.File:
                 store.delete_file(place)
 
     def commit(self, messages):
-        store, _ = opened(self.folder)
+        store, root = opened(self.folder)
         for message in messages:
-            for place, final in message.files if message else []:
-                store.move(place, final)
+            for name in message.names if message else []:
+                store.move(self._unfinished(root, name, message.mark), f"{root}/{name}.wav")
 
     def abort(self, messages):
         """Also what tasks left that ended without a message: every file of this job that has no name yet."""
@@ -217,7 +265,7 @@ class WavWriter(DataSourceWriter):
 
 
 class WavSource(DataSource):
-    """Options: ``block`` and ``stretch`` (samples of a block, bytes of a partition), ``rate`` and ``channels`` to convert to, ``bits`` to write."""
+    """Options: ``block`` and ``stretch`` (samples of a block, bytes of a partition), ``tasks`` (how many can run at once), ``rate`` and ``channels`` to convert to, ``bits`` to write."""
 
     @classmethod
     def name(cls):
@@ -242,13 +290,13 @@ def register(spark: SparkSession) -> None:
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, sr, channels, n) of the WAV files right in a folder; a few hundred bytes of each are read."""
     register(spark)
-    return spark.read.format("wav_blocks").schema(HEADER).load(folder)
+    return spark.read.format("wav_blocks").schema(HEADER).option("tasks", spark.sparkContext.defaultParallelism).load(folder)
 
 
 def read_blocks(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """(path, name, sr, channels, n, ch, block, i0, x) of the WAV files right in a folder, a task for each stretch of a file."""
+    """(path, name, sr, channels, n, ch, block, i0, x) of the WAV files right in a folder, a task for each stretch of a long file or for many short ones."""
     register(spark)
-    return spark.read.format("wav_blocks").options(**options).load(folder)
+    return spark.read.format("wav_blocks").options(**{"tasks": spark.sparkContext.defaultParallelism, **options}).load(folder)
 
 
 def write_stems(blocks: DataFrame, folder: str, bits: int = 24) -> None:

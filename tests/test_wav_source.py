@@ -1,6 +1,7 @@
 """WAV files read and written by the data source: headers alone, stretches of long files, whole jobs or nothing."""
 
 import os
+import pickle
 import struct
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.operators import kernels
+from sigloom.plans import catalogue
 from sigloom.sources import audio, wav
 
 
@@ -102,3 +104,45 @@ def test_a_failed_write_leaves_no_file(spark, folder, tmp_path):
 
 def test_an_empty_folder(spark, tmp_path):
     assert wav.read_headers(spark, str(tmp_path)).count() == 0 and audio.load_stems(spark, str(tmp_path)).count() == 0
+
+
+def test_short_files_share_a_task(spark, tmp_path):
+    """With a partition a file, tasks and their results on the driver grew with the number of files."""
+    rng = np.random.default_rng(3)
+    signals = {f"s {k:03}": rng.normal(size=(20 + k % 7, 1 + k % 2)) * 0.1 for k in range(300)} | {"s 150 long": rng.normal(size=(90_000, 2)) * 0.1}
+    for name, x in signals.items():
+        (tmp_path / f"{name}.wav").write_bytes(audio.render_wav(x, 48_000, 24))
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        df = wav.read_blocks(spark, path, stretch="200000")
+        parts = wav.WavReader({"path": path, "stretch": "200000", "tasks": "4"}, df.schema).partitions()
+        # 20 MB for opening 301 files, of which 200,000 bytes make a partition; the long one is in three stretches.
+        assert df.rdd.getNumPartitions() == len(parts) < 110 and sum(len(p.parts) for p in parts) == 303
+        assert wav.read_blocks(spark, path).rdd.getNumPartitions() <= 5 and wav.read_headers(spark, path).rdd.getNumPartitions() <= 5
+        got = whole(df)
+        assert set(got) == {(n, c) for n, x in signals.items() for c in range(x.shape[1])}
+        assert all(got[n, c].shape == (len(x),) and np.abs(got[n, c] - x[:, c]).max() < 1e-6 for n, x in signals.items() for c in range(x.shape[1]))
+        assert {(r.path, r.name, r.n) for r in wav.read_headers(spark, path).collect()} == {(f"{path}/{n}.wav", n, len(x)) for n, x in signals.items()}
+    assert catalogue.queries()["wav_source"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() <= 5
+
+
+def test_a_task_holds_a_batch_and_not_its_partition(spark, folder, monkeypatch):
+    path, signals = folder
+    schema = wav.read_blocks(spark, path).schema
+    reader = wav.WavReader({"path": path, "block": "700"}, schema)
+    monkeypatch.setattr(wav, "SAMPLES_AT_ONCE", 2000)
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert [b.schema.names for b in batches] == [schema.names] * len(batches) and len(batches) > 5
+    assert max(sum(map(len, b.column("x").to_pylist())) for b in batches) < 2700
+    assert sum(len(x) for b in batches for x in b.column("x").to_pylist()) == sum(x.size for x in signals.values())
+
+
+def test_what_a_write_tells_the_driver(tmp_path):
+    """The names alone, as many as there are files."""
+    schema = wav.WavSource({}).schema()
+    writer = wav.WavWriter({"path": str(tmp_path / "out")}, [type("Field", (), {"name": c.split()[0]}) for c in schema.split(", ")])
+    rows = [{"name": f"{k:03}", "sr": 8000, "channels": 1, "n": 2, "ch": 0, "block": 0, "x": [0.0, 0.5]} for k in range(400)]
+    message = writer.write(iter(rows))
+    assert not [f for f in os.listdir(tmp_path / "out") if not f.startswith(".")] and len(pickle.dumps(message)) < 400 * 12
+    writer.commit([message, None])
+    assert sorted(os.listdir(tmp_path / "out")) == [f"{k:03}.wav" for k in range(400)]
