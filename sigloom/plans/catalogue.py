@@ -564,12 +564,16 @@ def q_restore(spark, d):
 
 
 def q_wav_source(spark, d):
-    """Stereo pairs written as WAV files by the data source and read again."""
-    f = tables.frames(spark, d).select(F.expr("frame div 2").cast("string").alias("name"), F.lit(SR).alias("sr"), F.lit(2).alias("channels"), F.lit(64).cast("long").alias("n"), (F.col("frame") % 2).cast("int").alias("ch"), F.lit(0).cast("long").alias("block"), "x")
-    whole = f.withColumn("both", F.count("*").over(Window.partitionBy("name"))).where("both = 2").drop("both")
+    """Stereo pairs written as WAV files by the data source and read again; of a repeated vector each copy, without a partner as a mono stem."""
+    f = tables.frames(spark, d).select(F.expr("frame div 2").alias("pair"), (F.col("frame") % 2).cast("int").alias("side"), "x")
+    pair, stem = Window.partitionBy("pair"), Window.partitionBy("pair", "copy")
+    odd, copy = F.max("side").over(pair) == 1, F.row_number().over(Window.partitionBy("pair", "side").orderBy("x"))
+    whole = f.withColumns({"odd": odd, "copy": copy}).where("odd").withColumns({"channels": F.count("*").over(stem).cast("int"), "first": F.min("side").over(stem)})
+    stems = whole.select(F.concat_ws("_", "pair", "copy", "first").alias("name"), F.lit(SR).alias("sr"), "channels", F.lit(64).cast("long").alias("n"), (F.col("side") - F.col("first")).alias("ch"), F.lit(0).cast("long").alias("block"), "x")
     folder = f"{interim.shared_folder(spark)}/wav-{uuid.uuid4().hex}"
-    wav.write_stems(whole, folder)
-    back = wav.read_blocks(spark, folder).select(F.col("name").cast("long").alias("sig"), F.col("ch").cast("long").alias("ch"), "i0", F.posexplode("x").alias("i", "x"))
+    wav.write_stems(stems, folder)
+    part = F.split("name", "_")
+    back = wav.read_blocks(spark, folder).select(part[0].cast("long").alias("sig"), (part[2].cast("long") + F.col("ch")).alias("ch"), "i0", F.posexplode("x").alias("i", "x"))
     return rounded(back.select("sig", "ch", (F.col("i0") + F.col("i")).cast("int").alias("i"), F.col("x").cast("double").alias("x")))
 
 

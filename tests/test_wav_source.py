@@ -4,6 +4,7 @@ import os
 import pickle
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from sigloom.operators import kernels
 from sigloom.plans import catalogue
 from sigloom.sources import audio, wav
+from tests.compare import same
 
 
 @pytest.fixture
@@ -146,3 +148,15 @@ def test_what_a_write_tells_the_driver(tmp_path):
     assert not [f for f in os.listdir(tmp_path / "out") if not f.startswith(".")] and len(pickle.dumps(message)) < 400 * 12
     writer.commit([message, None])
     assert sorted(os.listdir(tmp_path / "out")) == [f"{k:03}.wav" for k in range(400)]
+
+
+def test_repeated_and_lone_vectors(spark, tmp_path):
+    """Every vector whose pair has an odd one comes back, as the SQL says: repeated ones, unequal numbers of them and lone odd ones."""
+    ids = [0, 1, 4, 4, 7, 8, 8, 9, 9, 10, 10, 11, 12, 13, 13, 13, 16, 21, 21]
+    rng = np.random.default_rng(5)
+    vectors = [(k, [float(v) for v in np.float32(rng.normal(size=64) * 0.2)], 1) for k in ids]
+    vectors[6] = vectors[5]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    same(catalogue.queries()["wav_source"](spark, str(tmp_path)).toPandas(), con.execute(catalogue.oracle_sql()["wav_source"]).df())
